@@ -132,7 +132,7 @@ def bet_down_to(
 
     american = F.aggregate(F.sequence(F.lit(1), F.lit(3)), start, worsen)
     return (
-        F.when(~((p > 0) & (p < 1)), None)
+        F.when(p.isNull() | ~((p > 0) & (p < 1)), None)
         .when(need <= 0, F.lit(int(band[0])))
         .when(american > band[1], None)
         .otherwise(F.greatest(american, F.lit(float(band[0]))))

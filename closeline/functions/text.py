@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from closeline.functions.prices import col
 
@@ -63,7 +63,7 @@ def letters_key(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), "[^a-z]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decompose(text: pd.Series) -> pd.Series:
     """Accent folding of text outside ASCII (Unicode NFKD), one Arrow batch at a time."""
     return text.map(

@@ -41,13 +41,15 @@ def _(t):
         {"fair": P.power_fair("a", "b"), "other": P.power_fair("b", "a")})
 
 
+def _worst(p: str) -> str:
+    """First American price, shortest payout first, that still clears the edge."""
+    prices = "list_concat(range(-400, -100), range(100, 601))"
+    return f"list_filter({prices}, lambda a: {p} * (1 + case when a > 0 then a / 100e0 else -100e0 / a end) - 1 >= 0.02e0)[1]"
+
+
 @query("bet_down_to_price", QK + " american:i from_edge:i",
-       """with base as (select *, 1.02e0 / model_probability - 1 as need, (1 + edge) / (1 + payout) as p2 from quotes),
-       walked as (select *, list_filter(list_concat(list_transform(range(-400, -100), lambda a: a), list_transform(range(100, 602), lambda a: a)),
-         lambda a: model_probability * (1 + case when a > 0 then a / 100e0 else -100e0 / a end) - 1 >= 0.02e0) as ok from base)
-       select event_id, partkey, suppkey, market,
-         case when model_probability is null then null when ok[1] is null or ok[1] > 600 then null else ok[1] end as american,
-         case when model_probability is null then null when ok[1] is null or ok[1] > 600 then null else ok[1] end as from_edge from walked""")
+       f"""select event_id, partkey, suppkey, market, {_worst('model_probability')} as american, {_worst('p2')} as from_edge
+       from (select *, (1 + edge) / (1 + payout) as p2 from quotes)""")
 def _(t):
     return t.quotes.withColumns({"american": P.bet_down_to("model_probability"), "from_edge": P.bet_down_to_from_edge("edge", "american_odds")})
 
@@ -103,7 +105,7 @@ def _(t):
 @query("minutes_parse", "row_key:i minutes:d",
        """select row_key, cast(l as bigint) + case when r = '' then 0 else cast(r as double) / 60 end as minutes from
        (select row_key, split_part(txt, ':', 1) as l, split_part(txt, ':', 2) as r from
-       (select row_key, case when row_key % 3 = 0 then cast(cast(minutes as bigint) as varchar) else cast(cast(minutes as bigint) as varchar) || ':' || lpad(cast(row_key % 60 as varchar), 2, '0') end as txt from player_games))""")
+       (select row_key, case when row_key % 3 = 0 then cast(cast(floor(minutes) as bigint) as varchar) else cast(cast(floor(minutes) as bigint) as varchar) || ':' || lpad(cast(row_key % 60 as varchar), 2, '0') end as txt from player_games))""")
 def _(t):
     whole = F.col("minutes").cast("long").cast("string")
     txt = F.when(F.col("row_key") % 3 == 0, whole).otherwise(F.concat(whole, F.lit(":"), F.lpad((F.col("row_key") % 60).cast("string"), 2, "0")))
@@ -229,7 +231,7 @@ def _(t):
 
 
 @query("measurable_rows", QK + " outcome:s profit_units:d edge:d",
-       "select event_id, partkey, suppkey, market, outcome, profit_units, edge from quotes where market <> 'player_points' and outcome in ('won', 'lost', 'push') and edge is not null")
+       "select event_id, partkey, suppkey, market, outcome, profit_units, edge from quotes where market <> 'player_points' and outcome in ('won', 'lost', 'push')")
 def _(t):
     from closeline.operators import ledger
     return ledger.measurable(t.quotes, refused_markets=["player_points"])
@@ -267,8 +269,7 @@ def _(t):
 
 
 @query("game_tier", "game_id:i tier:s",
-       """select game_id, case when greatest(coalesce(home_id, 0) % 4, away_id % 4) = 0 then 'high_major' when greatest(coalesce(home_id, 0) % 4, away_id % 4) = 1 then 'mid_major'
-       when greatest(coalesce(home_id, 0) % 4, away_id % 4) = 2 then 'low_major' else 'unplaced' end as tier from schedule""")
+       """select game_id, case greatest(nullif(coalesce(home_id, 0) % 4, 3), nullif(away_id % 4, 3)) when 0 then 'high_major' when 1 then 'mid_major' when 2 then 'low_major' else 'unplaced' end as tier from schedule""")
 def _(t):
     from closeline.operators import schedules
     names = F.array(*[F.lit(x) for x in schedules.TIERS])

@@ -17,6 +17,10 @@ from closeline.plans import views
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+# Decimals that end in a five at the seventh place would round by the last bit of the
+# sum; both sides are moved off that boundary by the same amount before rounding.
+_NUDGE = 3.1e-08
+
 _CASTS = {"i": "long", "d": "double", "s": "string", "b": "boolean", "t": "date"}
 _SQL_CASTS = {"i": "bigint", "s": "varchar", "b": "boolean", "t": "date"}
 
@@ -35,7 +39,7 @@ def shape(frame: DataFrame, columns: str) -> DataFrame:
         c = F.col(name)
         if kind == "d":
             v = c.cast("double")
-            c = F.round(F.when(~F.isnan(v), v), 6) + F.lit(0.0)
+            c = F.round(F.when(~F.isnan(v), v) + F.lit(_NUDGE), 6) + F.lit(0.0)
         elif kind != "x":
             c = c.cast(_CASTS[kind])
         exprs.append(c.alias(name))
@@ -46,7 +50,7 @@ def shape_sql(columns: str, body: str) -> str:
     exprs = []
     for name, kind in _spec(columns):
         if kind == "d":
-            exprs.append(f"case when isnan(cast({name} as double)) then null else round(cast({name} as double), 6) + 0.0e0 end as {name}")
+            exprs.append(f"case when isnan(cast({name} as double)) then null else round(cast({name} as double) + {_NUDGE!r}, 6) + 0.0e0 end as {name}")
         elif kind == "x":
             exprs.append(name)
         else:

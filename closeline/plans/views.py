@@ -117,7 +117,7 @@ VIEWS["team_games"] = """
 select game_id, season, slate_date, team_id, opponent_id, home_away, coalesce(neutral_site, false) as neutral_site, team_score, opponent_score,
        team_score - opponent_score as margin, team_score + opponent_score as total,
        case when neutral_site is null then 'unknown' when neutral_site then 'neutral' else 'home' end as venue_state,
-       cast(team_score / 2 as bigint) as team_score_h1, cast(opponent_score / 2 as bigint) as opponent_score_h1,
+       cast(floor(team_score / 2) as bigint) as team_score_h1, cast(floor(opponent_score / 2) as bigint) as opponent_score_h1,
        case when game_id % 17 = 0 then 3 else 2 end as periods, game_id % 17 = 0 as overtime,
        50 + (game_id * k) % 21 as field_goals_attempted, 18 + (game_id * 7 * k) % 15 as field_goals_made,
        15 + (game_id * k) % 11 as three_attempted, 4 + (game_id * 3 * k) % 9 as three_made,
@@ -204,18 +204,20 @@ class Tables:
         return self._made[name]
 
 
-def _needed(text: str, found: list[str]) -> list[str]:
-    for name in VIEWS:
-        if name not in found and re.search(rf"\b{name}\b", text):
-            _needed(VIEWS[name], found)
-            if name not in found:
-                found.append(name)
-    return found
+def _add(name: str, found: list[str]) -> None:
+    """Append a view after the views it is built from."""
+    if name in VIEWS and name not in found:
+        for inner in _TOKEN.findall(VIEWS[name]):
+            _add(inner, found)
+        found.append(name)
 
 
 def with_views(sql: str) -> str:
     """Put the definitions of the views a statement uses in front of it."""
-    names = _needed(sql, [])
+    names: list[str] = []
+    for name in VIEWS:
+        if re.search(rf"\b{name}\b", sql):
+            _add(name, names)
     if not names:
         return sql
     ctes = ", ".join(f"{n} as ({_TOKEN.sub(lambda m: m.group(1), VIEWS[n])})" for n in names)

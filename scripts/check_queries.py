@@ -6,7 +6,6 @@
 from __future__ import annotations
 
 import argparse
-import math
 import os
 import sys
 import time
@@ -22,7 +21,7 @@ import closeline.plans as plans  # noqa: E402
 
 
 def key(row):
-    return tuple("\0" if v is None else (f"{v:.6f}" if isinstance(v, float) else str(v)) for v in row)
+    return tuple("\0" if v is None else (repr(v) if isinstance(v, float) else str(v)) for v in row)
 
 
 def family(t) -> str:
@@ -54,14 +53,10 @@ def compare(spark, con, name, folder):
     if len(left) != len(right):
         return f"ROWS {len(left)} vs {len(right)}", took
     left, right = sorted(left, key=key), sorted(right, key=key)
-    diffs = []
-    for a, b in zip(left, right):
-        for c, x, y in zip(cols, a, b):
-            same = x == y or (x is None and y is None) or (isinstance(x, float) and isinstance(y, float) and math.isnan(x) and math.isnan(y))
-            if not same:
-                diffs.append((c, x, y))
-    if diffs:
-        return f"DIFF {len(diffs)}: {diffs[:3]}", took
+    only_l = sorted(set(map(key, left)) - set(map(key, right)))
+    only_r = sorted(set(map(key, right)) - set(map(key, left)))
+    if only_l or only_r or [key(r) for r in left] != [key(r) for r in right]:
+        return f"DIFF {len(only_l)}/{len(only_r)} {cols}: {only_l[:2]} | {only_r[:2]}", took
     return f"ok {len(left)}" + (" EMPTY" if not left else ""), took
 
 
