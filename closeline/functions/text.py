@@ -33,17 +33,35 @@ SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v")
 MAX_READINGS = 64
 
 
-def canonical_value(c: Column | str) -> Column:
-    """'1', 1.0 and ' 1 ' become '1'; null-like text becomes ''."""
-    text = F.trim(col(c).cast("string"))
-    as_number = F.when(text.rlike(_NUMERIC), text.try_cast("double"))
-    whole = (as_number == F.floor(as_number)) & (F.abs(as_number) < 9.0e18)
-    return (
-        F.when(text.isNull() | F.lower(text).isin(*_NULL_WORDS), F.lit(""))
-        .when(as_number.isNull(), text)
-        .when(whole, as_number.cast("long").cast("string"))
-        .otherwise(as_number.cast("string"))
-    )
+def _number_text(n: Column) -> Column:
+    """A double as text; whole numbers lose the point."""
+    whole = (n == F.floor(n)) & (F.abs(n) < 9.0e18)
+    return F.when(whole, n.cast("long").cast("string")).otherwise(n.cast("string"))
+
+
+def canonical_value(c: Column | str, kind: T.DataType | None = None) -> Column:
+    """'1', 1.0 and ' 1 ' become '1'; null-like text becomes ''.
+
+    ``kind`` is the column's type where it is known: whole numbers and doubles then
+    skip the text rules, which keeps the generated code small.
+    """
+    value = col(c)
+    if isinstance(kind, (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
+        return F.coalesce(value.cast("string"), F.lit(""))
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(value.isNull() | F.isnan(value), F.lit("")).otherwise(_number_text(value.cast("double")))
+    text = F.trim(value.cast("string"))
+    return canonical_text(text, numeric_text(text))
+
+
+def numeric_text(text: Column) -> Column:
+    """The number a text spells, or null. (Suffixes such as '1d' are not numbers.)"""
+    return F.when(text.rlike(_NUMERIC), text.try_cast("double"))
+
+
+def canonical_text(text: Column, parsed: Column) -> Column:
+    """Canonical form from a trimmed text and the number it spells."""
+    return F.when(text.isNull() | F.lower(text).isin(*_NULL_WORDS), F.lit("")).when(parsed.isNull(), text).otherwise(_number_text(parsed))
 
 
 def normalise_subject(c: Column | str) -> Column:

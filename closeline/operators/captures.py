@@ -113,41 +113,35 @@ def closing_consensus(store: DataFrame) -> DataFrame:
         "event_id", "closed_at", F.col("v.moneyline").alias("close_moneyline"), F.col("v.spread").alias("close_spread"), F.col("v.total_points").alias("close_total"))
 
 
-def close_probability() -> Column:
-    """Chance of a wager at the closing numbers (columns of ``closing_consensus``)."""
+def with_closing(rows: DataFrame, closing: DataFrame) -> DataFrame:
+    """Join the closing numbers of the event; add ``close_chance`` and ``clv``.
+
+    The chance is the normal tail at the closing line; its standardised argument is a
+    column of its own, so the distribution function is written once in the plan. The
+    closing value is in the market's own unit: points of line, or probability.
+    """
+    joined = rows.join(closing, "event_id", "left")
     market, selection, line = F.col("market"), F.col("selection"), P.number("line")
     ml, spread, total = F.col("close_moneyline"), F.col("close_spread"), F.col("close_total")
-    home = selection == "home"
-    side = F.when(home | (selection == "away"), True)
-    over_under = F.when(selection.isin("over", "under"), True)
+    home, away = selection == "home", selection == "away"
+    turned = F.when(selection.endswith("over"), 1.0).when(selection.endswith("under"), -1.0)
     centre = F.when(selection.startswith("home_"), (total - spread) / 2.0).when(selection.startswith("away_"), (total + spread) / 2.0)
-    over_total = P.normal_cdf((total - line) / TOTAL_SD)
-    over_team = P.normal_cdf((centre - line) / TEAM_TOTAL_SD)
-    return (
-        F.when((market == "moneyline") & side, F.when(home, ml).otherwise(1.0 - ml))
-        .when(market.isin("spread", "alternate_spread") & side,
-              F.when((spread + line).isNotNull(), P.normal_cdf(F.when(home, line - spread).otherwise(line + spread) / MARGIN_SD)))
-        .when(market.isin("total_points", "alternate_total_points") & over_under,
-              F.when((total + line).isNotNull(), F.when(selection == "over", over_total).otherwise(1.0 - over_total)))
-        .when((market == "team_total") & selection.rlike("^(home|away)_(over|under)$"),
-              F.when((centre + line).isNotNull(), F.when(selection.endswith("_over"), over_team).otherwise(1.0 - over_team)))
+    is_spread, is_total = market.isin("spread", "alternate_spread"), market.isin("total_points", "alternate_total_points")
+    z = (
+        F.when(is_spread & home, (line - spread) / MARGIN_SD).when(is_spread & away, (line + spread) / MARGIN_SD)
+        .when(is_total & selection.isin("over", "under"), turned * (total - line) / TOTAL_SD)
+        .when((market == "team_total") & selection.contains("_"), turned * (centre - line) / TEAM_TOTAL_SD)
     )
-
-
-def closing_value() -> Column:
-    """What the close says a price was worth, in the market's own unit."""
-    market, selection, line = F.col("market"), F.col("selection"), P.number("line")
-    ml, spread, total = F.col("close_moneyline"), F.col("close_spread"), F.col("close_total")
-    quoted = P.implied("american_odds")
-    return (
-        F.when(market.isin(*HIGH_HOLD), close_probability() - quoted)
-        .when((market == "moneyline") & (selection == "home"), ml - quoted)
-        .when((market == "moneyline") & (selection == "away"), 1.0 - ml - quoted)
-        .when((market == "spread") & (selection == "home"), line - spread)
-        .when((market == "spread") & (selection == "away"), line + spread)
-        .when((market == "total_points") & (selection == "over"), total - line)
-        .when((market == "total_points") & (selection == "under"), line - total)
+    staged = joined.withColumns({"__z": z, "__quoted": P.implied("american_odds")})
+    money = F.when(home, ml).when(away, 1.0 - ml)
+    staged = staged.withColumn("close_chance", F.when(market == "moneyline", money).when(F.col("__z").isNotNull(), P.normal_cdf("__z")))
+    value = (
+        F.when(market.isin(*HIGH_HOLD), F.col("close_chance") - F.col("__quoted"))
+        .when(market == "moneyline", money - F.col("__quoted"))
+        .when((market == "spread") & home, line - spread).when((market == "spread") & away, line + spread)
+        .when((market == "total_points") & selection.isin("over", "under"), turned * (total - line))
     )
+    return staged.withColumn("clv", value).drop("__z", "__quoted")
 
 
 def leans(ledger: DataFrame, threshold: float = P.EDGE_THRESHOLD) -> DataFrame:
@@ -158,8 +152,8 @@ def leans(ledger: DataFrame, threshold: float = P.EDGE_THRESHOLD) -> DataFrame:
 def closing_alarm(ledger: DataFrame, store: DataFrame, looks: int = 1) -> DataFrame:
     """Mean closing value per tier and market, with the alarm when it is surely negative."""
     rows = label_bets(leans(ledger), store)
-    close = closing_consensus(store).withColumn("event_id", T.canonical_value("event_id"))
-    rows = rows.join(close, "event_id", "left").withColumn("clv", closing_value())
+    close = closing_consensus(store).withColumn("event_id", F.col("event_id").cast("string"))
+    rows = with_closing(rows, close)
     hit = lambda v: F.count_if(F.col("reachability") == v).alias(v)
     counts = rows.groupBy("tier", "market").agg(
         F.count("*").alias("leans"), F.count("clv").alias("graded"), F.countDistinct(F.when(F.col("clv").isNotNull(), F.col("event_id"))).alias("games"),
