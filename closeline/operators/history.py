@@ -92,7 +92,7 @@ def prior_means(frame: DataFrame, keys: Sequence[str], columns: Sequence[str], m
     sums = {}
     for c in columns:
         sums[f"__s_{c}"], sums[f"__n_{c}"] = F.col(c).cast("double"), F.when(F.col(c).isNotNull(), 1)
-    run = G.running_before(frame, keys, order, sums, by_day(*order))
+    run = G.running_before(frame, keys, order, sums, by_day(*order[:2]))
     means = {f"prior_{c}": F.when(F.col(f"__n_{c}") >= minimum, F.col(f"__s_{c}") / F.col(f"__n_{c}")) for c in columns}
     return run.withColumns(means).drop(*sums)
 

@@ -153,13 +153,13 @@ def resolve_fixtures(events: DataFrame, schedule: DataFrame) -> DataFrame:
     return work.select(*events.columns, found["game_id"].alias("game_id"), F.when(found.isNotNull(), flipped).alias("flipped"), how.alias("how"))
 
 
-def lined_games(lines: DataFrame, schedule: DataFrame) -> DataFrame:
+def lined_games(lines: DataFrame, schedule: DataFrame, key: str = "event_id") -> DataFrame:
     """Closing lines on their games, signs turned when the sides differ."""
     placed = resolve_fixtures(lines, schedule).filter("game_id is not null")
     sign = F.when(F.col("flipped"), -1.0).otherwise(1.0)
     games = schedule.select("game_id", F.col("home_id").alias("game_home_id"), F.col("away_id").alias("game_away_id"))
     return placed.join(games, "game_id").select(
-        "game_id", "slate_date", "game_home_id", "game_away_id", (-sign * F.col("close_spread")).alias("market_margin"), F.col("close_total").alias("market_total"), "flipped")
+        key, "game_id", "slate_date", "game_home_id", "game_away_id", (-sign * F.col("close_spread")).alias("market_margin"), F.col("close_total").alias("market_total"), "flipped")
 
 
 def unique_fill(frame: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
@@ -182,7 +182,7 @@ def placement(board: DataFrame, schedule: DataFrame) -> DataFrame:
     games = schedule.select("game_id", "slate_date", "home_id", "away_id")
     joined = games.join(events.withColumn("__priced", F.lit(True)), ["slate_date", "home_id", "away_id"], "full_outer")
     state = F.when(F.col("game_id").isNull(), "event without game").when(F.col("__priced").isNull(), "game without price").otherwise("placed")
-    return joined.drop("__priced").withColumn("placement", state)
+    return joined.withColumn("placement", state).drop("__priced")
 
 
 def expected_runs(runs: DataFrame, crons: DataFrame, job: str = "job") -> DataFrame:
