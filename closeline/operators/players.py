@@ -101,7 +101,7 @@ def with_trailing(players: DataFrame, keys: Sequence[str] = ("season", "athlete_
     top = F.col("__sum") * decay(F.col("__at") - 1) + F.col("__carry") * decay(F.col("__at"))
     bottom = (1.0 - decay(p)) / (1.0 - decay(F.lit(1.0)))
     work = work.withColumn("projected_minutes", F.when(p > 0, top / bottom))
-    return work.withColumn("bucket", C.minutes_bucket("projected_minutes", BUCKET_EDGES)).drop("__block", "__at", "__sum", "__carry")
+    return work.withColumn("bucket", C.minutes_bucket(F.round("projected_minutes", 9), BUCKET_EDGES)).drop("__block", "__at", "__sum", "__carry")
 
 
 def priced(trailing: DataFrame) -> DataFrame:
@@ -196,14 +196,14 @@ def value_pmf(players: DataFrame) -> DataFrame:
 
 
 def value_mix_losses(trailing: DataFrame, pmf: DataFrame, ks: Sequence[float]) -> DataFrame:
-    """Multinomial deviance of the shrunk value mix for each prior size k."""
+    """Mean multinomial deviance of the shrunk value mix for each prior size k."""
     rows = trailing.crossJoin(F.broadcast(pmf.select(F.col("ones").alias("p1"), F.col("twos").alias("p2"), F.col("threes").alias("p3"))))
     bank = [F.col("bank_ones"), F.col("bank_twos"), F.col("bank_threes")]
     n = bank[0] + bank[1] + bank[2]
 
     def loss(k: float) -> Column:
         parts = [F.col(c) * F.ln(F.greatest((b + k * F.col(p)) / (n + k), F.lit(1e-12))) for c, b, p in zip(("ones", "twos", "threes"), bank, ("p1", "p2", "p3"))]
-        return -2.0 * F.sum(parts[0] + parts[1] + parts[2])
+        return -2.0 * F.avg(parts[0] + parts[1] + parts[2])
 
     return _grid(rows.agg(*[loss(float(k)).alias(f"l{i}") for i, k in enumerate(ks)]), ks)
 
