@@ -115,8 +115,13 @@ def load_season(spark: SparkSession, root: str, feed: str, season: int, columns:
     path = f"{root}/{feed}"
     if not exists(spark, f"{path}/season={season}"):
         raise FileNotFoundError(f"{path}/season={season}")
-    frame = spark.read.parquet(path).filter(F.col("season") == season)
-    return frame.select(*columns) if columns else frame
+    return season_rows(spark.read.parquet(path), season, columns)
+
+
+def season_rows(frame: DataFrame, season: int, columns: Sequence[str] | None = None) -> DataFrame:
+    """The season's partition and the named columns; both reach the scan."""
+    rows = frame.filter(F.col("season") == season)
+    return rows.select(*columns) if columns else rows
 
 
 def fingerprint(frame: DataFrame, by: Sequence[str] = ("season",)) -> DataFrame:
