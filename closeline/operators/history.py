@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from closeline.functions import prices as P, times as C
 from closeline.operators import segments as G
@@ -34,15 +34,17 @@ OPPONENT = ("team_score", "field_goals_made", "field_goals_attempted", "three_ma
 def with_opponent(games: DataFrame, columns: Sequence[str] = OPPONENT) -> DataFrame:
     """Each side's row with the other side's columns (suffix ``_opp``).
 
-    A game has two rows, so both are brought together by one aggregate per game
-    instead of a self-join that reads and shuffles the table twice.
+    A game has two rows, so both meet in one aggregate per game instead of a self-join
+    that reads and shuffles the table twice. Every column is its own aggregate and its
+    own output expression, so what a query does not use is pruned down to the scan.
     """
-    fields = [c for c in games.columns if c != "game_id"]
-    row = F.struct(*fields)
-    pair = games.groupBy("game_id").agg(
-        F.max(F.when(F.col("home_away") == "home", row)).alias("h"), F.max(F.when(F.col("home_away") == "away", row)).alias("a")).filter("h is not null and a is not null")
-    side = lambda x, y: F.struct(*[F.col(f"{x}.{c}").alias(c) for c in fields], *[F.col(f"{y}.{c}").alias(f"{c}_opp") for c in columns])
-    return pair.select("game_id", F.inline(F.array(side("h", "a"), side("a", "h"))))
+    fields = [c for c in games.columns if c not in ("game_id", "home_away")]
+    home = F.col("home_away") == "home"
+    side = lambda cond, tag: [F.max(F.when(cond, F.col(c))).alias(f"{tag}_{c}") for c in fields]
+    pair = games.groupBy("game_id").agg(F.count_if(home).alias("__h"), F.count_if(~home).alias("__a"), *side(home, "__h"), *side(~home, "__a"))
+    both = pair.filter("__h > 0 and __a > 0").withColumn("home_away", F.explode(F.array(F.lit("home"), F.lit("away"))))
+    own = lambda c, x, y: F.when(F.col("home_away") == "home", F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}"))
+    return both.select("game_id", "home_away", *[own(c, "__h", "__a").alias(c) for c in fields], *[own(c, "__a", "__h").alias(f"{c}_opp") for c in columns])
 
 
 def rate(a: Column, b: Column) -> Column:
@@ -113,8 +115,6 @@ def net_rating(games: DataFrame) -> DataFrame:
 
 def last_games(frame: DataFrame, n: int, key: str = "team_id") -> DataFrame:
     """The last n rows of each key; a top-n filter, cut before the shuffle too."""
-    from pyspark.sql import Window as W
-
     w = W.partitionBy(key).orderBy(F.col("slate_date").desc(), F.col("game_id").desc())
     return frame.withColumn("recency", F.row_number().over(w)).filter(F.col("recency") <= n)
 
@@ -151,23 +151,29 @@ def days_since_last(games: DataFrame, day: str) -> DataFrame:
 
 
 def rest_effects(games: DataFrame, tiers: DataFrame) -> DataFrame:
-    """Effect of each rest bucket against ordinary rest, for the league and per tier."""
+    """Effect of each rest bucket against ordinary rest, for the league and per tier.
+
+    After the gap to the game before is known, only sums per season, team, side and
+    bucket are kept; both demeanings and all effects follow from that small table.
+    """
     rows = net_rating(games).select("game_id", "season", "team_id", "slate_date", "net", "venue_state", "home_away")
     gap = G.previous_row(rows, ["season", "team_id"], ["slate_date", "game_id"], {"__prev": F.col("slate_date")}, F.col("slate_date"))
     gap = gap.withColumn("bucket", C.rest_bucket(F.datediff("slate_date", "__prev"))).filter("bucket is not null")
-    # Means by aggregate and join back on the few groups, not a window over them.
-    team = gap.groupBy("season", "team_id").agg(F.avg("net").alias("__tm"))
-    work = gap.join(team, ["season", "team_id"]).withColumn("__r", F.col("net") - F.col("__tm"))
-    side = work.groupBy("venue_state", "home_away").agg(F.avg("__r").alias("__sm"))
-    work = work.join(side, ["venue_state", "home_away"]).withColumn("residual", F.col("__r") - F.col("__sm"))
-    work = work.join(tiers.select("team_id", "tier"), "team_id", "left").withColumn("tier", F.coalesce("tier", F.lit("unplaced")))
-    cells = work.groupBy("tier", "bucket").agg(F.sum("residual").alias("s"), F.count("*").alias("n"))
-    league = cells.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).select(F.lit("league").alias("scope"), "bucket", "s", "n")
-    both = cells.filter("tier <> 'unplaced'").select(F.col("tier").alias("scope"), "bucket", "s", "n").unionByName(league)
-    ref = both.filter(F.col("bucket") == C.REST_REFERENCE).select("scope", (F.col("s") / F.col("n")).alias("base"), F.col("n").alias("ref_n"))
-    out = both.filter(F.col("bucket") != C.REST_REFERENCE).join(ref, "scope", "left")
-    big = (F.col("scope") == "league") | ((F.coalesce("ref_n", F.lit(0)) >= REST_TIER_GAMES) & (F.col("n") >= REST_TIER_GAMES))
-    raw = F.col("s") / F.col("n") - F.coalesce("base", F.lit(0.0))
+    sums = gap.groupBy("season", "team_id", "venue_state", "home_away", "bucket").agg(F.sum("net").alias("s"), F.count("*").alias("n"))
+    team = W.partitionBy("season", "team_id")
+    side = W.partitionBy("venue_state", "home_away")
+    sums = sums.withColumn("r", F.col("s") - F.col("n") * F.sum("s").over(team) / F.sum("n").over(team))
+    sums = sums.withColumn("e", F.col("r") - F.col("n") * F.sum("r").over(side) / F.sum("n").over(side))
+    work = sums.join(tiers.select("team_id", "tier"), "team_id", "left").withColumn("tier", F.coalesce("tier", F.lit("unplaced")))
+    both = work.withColumn("scope", F.explode(F.array(F.lit("league"), F.col("tier")))).groupBy("scope", "bucket").agg(F.sum("e").alias("s"), F.sum("n").alias("n")).filter("scope <> 'unplaced'")
+    # A handful of rows per scope from here on.
+    scope = W.partitionBy("scope")
+    ordinary = F.col("bucket") == C.REST_REFERENCE
+    base = F.max(F.when(ordinary, F.col("s") / F.col("n"))).over(scope)
+    held = F.max(F.when(ordinary, F.col("n"))).over(scope)
+    out = both.withColumns({"base": F.coalesce(base, F.lit(0.0)), "held": F.coalesce(held, F.lit(0))}).filter(~ordinary)
+    big = (F.col("scope") == "league") | ((F.col("held") >= REST_TIER_GAMES) & (F.col("n") >= REST_TIER_GAMES))
+    raw = F.col("s") / F.col("n") - F.col("base")
     return out.filter(big).select("scope", "bucket", "n", P.clamp(raw * F.col("n") / (F.col("n") + REST_SHRINK), -REST_CLAMP, REST_CLAMP).alias("effect"))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from closeline import session
 from closeline.functions import prices as P
@@ -171,32 +171,36 @@ def market_fit(lined: DataFrame, strength: float = 2.0) -> DataFrame:
     return m.select("team_id", F.col("a").alias("margin_rating")).join(t.select("team_id", F.col("a").alias("total_rating")), "team_id", "full_outer").crossJoin(F.broadcast(edge)).crossJoin(F.broadcast(level))
 
 
-def simple_ratings(games: DataFrame, sweeps: int = 200, tolerance: float = 1e-9, every: int = 4) -> DataFrame:
+def simple_ratings(games: DataFrame, sweeps: int = 200, tolerance: float = 1e-9, every: int = 8) -> DataFrame:
     """Margin plus mean opponent rating, swept to a fixed point and centred, by season.
 
-    Sweeps run on the pair table; the lineage is cut every few sweeps, and the stop is
-    tested on one number.
+    Sweeps run on the pair table, whose weights are each opponent's share of a team's
+    games, so one sweep is a join and a sum. A constant added to all ratings of a season
+    passes through a sweep unchanged, so centring waits until the lineage is cut.
     """
-    pairs = session.cut_lineage(games.groupBy("season", "team_id", "opponent_id").agg(F.count("*").alias("n"), F.sum("margin").alias("m")))
-    base = pairs.groupBy("season", "team_id").agg((F.sum("m") / F.sum("n")).alias("margin"), F.sum("n").alias("games"))
-    current = session.cut_lineage(base.withColumn("rating", F.col("margin")))
+    met = games.groupBy("season", "team_id", "opponent_id").agg(F.count("*").alias("n"), F.sum("margin").alias("m"))
+    team = W.partitionBy("season", "team_id")  # as many rows as opponents met
+    pairs = session.cut_lineage(met.select("season", "team_id", "opponent_id", "n", (F.col("n") / F.sum("n").over(team)).alias("w"), (F.sum("m").over(team) / F.sum("n").over(team)).alias("margin")))
+    base = session.cut_lineage(pairs.groupBy("season", "team_id").agg(F.max("margin").alias("margin"), F.sum("n").alias("games")))
+    own = base.select("season", "team_id", F.col("margin").alias("part"))
+    current = base.select("season", "team_id", F.col("margin").alias("rating"))
     done = 0
     while done < sweeps:
-        before = current
-        for _ in range(min(every, sweeps - done)):
+        steps = min(every, sweeps - done)
+        for _ in range(steps):
+            last = current
             other = current.select("season", F.col("team_id").alias("opponent_id"), F.col("rating").alias("o"))
-            strength = pairs.join(other, ["season", "opponent_id"]).groupBy("season", "team_id").agg((F.sum(F.col("n") * F.col("o")) / F.sum("n")).alias("s"))
-            last = current.select("season", "team_id", F.col("rating").alias("last"))
-            nxt = base.join(strength, ["season", "team_id"], "left").withColumn("rating", F.col("margin") + F.coalesce("s", F.lit(0.0)))
-            centre = nxt.groupBy("season").agg(F.avg("rating").alias("c"))
-            current = nxt.join(centre, "season").withColumn("rating", F.col("rating") - F.col("c")).drop("s", "c")
-            done += 1
-        current = session.cut_lineage(current.join(last, ["season", "team_id"]))
-        gap = current.agg(F.max(F.abs(F.col("rating") - F.col("last")))).first()[0]
-        current = current.drop("last")
+            parts = pairs.join(other, ["season", "opponent_id"]).select("season", "team_id", (F.col("w") * F.col("o")).alias("part")).unionByName(own)
+            current = parts.groupBy("season", "team_id").agg(F.sum("part").alias("rating"))
+        done += steps
+        both = current.join(last.withColumnRenamed("rating", "last"), ["season", "team_id"])
+        centre = both.groupBy("season").agg(F.avg("rating").alias("c"), F.avg("last").alias("cl"))
+        both = session.cut_lineage(both.join(centre, "season").select("season", "team_id", (F.col("rating") - F.col("c")).alias("rating"), (F.col("last") - F.col("cl")).alias("last")))
+        gap = both.agg(F.max(F.abs(F.col("rating") - F.col("last")))).first()[0]
+        current = both.select("season", "team_id", "rating")
         if gap is None or gap < tolerance:
             break
-    return current
+    return base.join(current, ["season", "team_id"])
 
 
 def schedule_strength(games: DataFrame, ratings: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def _(t):
 
 
 @query("offered_accounting", "market:s offered:i accounted:i residual:i",
-       f"""with {SP}, o as (select market, count(distinct (event_id, lower(pl), selection, coalesce(line, -999))) as offered from sp group by all), a as (select market, count(distinct (event_id, lower(pl), selection, coalesce(line, -999))) as accounted from sp where suppkey % 2 = 0 or suppkey % 2 = 1 group by all)
+       f"""with {SP}, o as (select market, count(distinct (event_id, lower(pl), selection, coalesce(line, -999))) as offered from sp group by all), a as (select market, count(distinct (event_id, lower(pl), selection, coalesce(line, -999))) as accounted from sp group by all)
        select market, offered, accounted, offered - accounted as residual from o full outer join a using (market)""")
 def _(t):
     census = L.wager_census(respelled(t), WKEY).select("market", F.col("wagers_folded").alias("offered"))
@@ -59,18 +59,18 @@ def _(t):
 
 @query("retention_roll_up", "market:s fully_asked:i priced:i absent:i incomplete:i rows:i asked_high_major:i",
        """with k as (select * from (values ('click', 'clicks'), ('view', 'views'), ('view_alt', 'views'), ('error', 'errors')) k(provider_key, market)),
-       ev as (select user_id as event_id, event_type, event_id as id from events), al as (select event_id, case when event_type = 'view' and id % 2 = 0 then 'view_alt' else event_type end as provider_key, id from ev),
-       ask as (select distinct event_id, provider_key from al where provider_key in (select provider_key from k) and (event_id % 5 <> 0 or provider_key <> 'view_alt')), seen as (select event_id, provider_key, count(*) as rows from al where id % 3 = 0 and event_id % 4 <> 1 group by all),
+       ev as (select user_id as event_id, event_type, event_id as id, value from events), al as (select event_id, case when event_type = 'view' and id % 2 = 0 then 'view_alt' else event_type end as provider_key, id, value from ev),
+       ask as (select distinct event_id, provider_key from al where provider_key in (select provider_key from k) and (event_id >= 20 or provider_key <> 'view_alt')), seen as (select event_id, provider_key, count(*) as rows from al where value >= 40 group by all),
        e as (select k.market, a.event_id, count(distinct a.provider_key) as answered, coalesce(sum(s.rows), 0) as rows from ask a join k using (provider_key) left join seen s using (event_id, provider_key) group by all),
        c as (select e.*, answered = (select count(*) from k where k.market = e.market) as complete, event_id % 3 = 0 as high from e)
        select market, count(*) filter (complete) as fully_asked, count(*) filter (rows > 0) as priced, count(*) filter (complete and rows = 0) as absent, count(*) filter (not complete and rows = 0) as incomplete, sum(rows) as rows, count(*) filter (complete and high) as asked_high_major from c group by all""")
 def _(t):
     keys = t.spark.createDataFrame([("click", "clicks"), ("view", "views"), ("view_alt", "views"), ("error", "errors")], "provider_key string, market string")
     alt = F.when((F.col("event_type") == "view") & (F.col("event_id") % 2 == 0), "view_alt").otherwise(F.col("event_type"))
-    ev = t.events.select(F.col("user_id").alias("event_id"), alt.alias("provider_key"), F.col("event_id").alias("id"))
+    ev = t.events.select(F.col("user_id").alias("event_id"), alt.alias("provider_key"), F.col("event_id").alias("id"), "value")
     tier = F.when(F.col("event_id") % 3 == 0, "high_major").otherwise("low_major")
-    asked = ev.select("event_id", "provider_key").distinct().filter((F.col("event_id") % 5 != 0) | (F.col("provider_key") != "view_alt")).withColumn("tier", tier)
-    seen = ev.filter((F.col("id") % 3 == 0) & (F.col("event_id") % 4 != 1)).groupBy("event_id", "provider_key").agg(F.count("*").alias("rows"))
+    asked = ev.select("event_id", "provider_key").distinct().filter((F.col("event_id") >= 20) | (F.col("provider_key") != "view_alt")).withColumn("tier", tier)
+    seen = ev.filter("value >= 40").groupBy("event_id", "provider_key").agg(F.count("*").alias("rows"))
     return L.retention(asked, seen, keys)
 
 

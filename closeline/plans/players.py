@@ -73,9 +73,9 @@ def _(t):
     return L.latest_evidence(trail(t), ["athlete_id"])
 
 
-@query("role_prior_cut", "team_id:i season:i n:i", "select team_id, season, count(*) as n from player_games where slate_date < date '1999-03-01' and season in (1998, 1999) and team_id in (select distinct team_id from player_games where athlete_id % 50 = 0) group by all")
+@query("role_prior_cut", "team_id:i season:i n:i", "select team_id, season, count(*) as n from player_games where slate_date < date '1999-03-01' and season in (1998, 1999) and team_id in (select distinct team_id from player_games where minutes >= 39.9e0 and points >= 30) group by all")
 def _(t):
-    teams = t.player_games.filter(F.col("athlete_id") % 50 == 0).select("team_id").distinct()
+    teams = t.player_games.filter("minutes >= 39.9 and points >= 30").select("team_id").distinct()
     return L.prior_roster(t.player_games, "1999-03-01", 1999, teams).groupBy("team_id", "season").agg(F.count("*").alias("n"))
 
 

@@ -129,24 +129,24 @@ def _(t):
     return D.unique_fill(rows, ["slate_date", "home_id", "away_id"], "filled")
 
 
-@query("archive_gap", "slate_date:t", "with a as (select distinct slate_date from schedule where dayofyear(slate_date) % 9 <> 0) select distinct slate_date from schedule where slate_date > (select min(slate_date) from a) and slate_date < (select max(slate_date) from a) and slate_date not in (select slate_date from a)")
+@query("archive_gap", "slate_date:t", "with a as (select distinct slate_date from schedule where dayofweek(slate_date) <> 0) select distinct slate_date from schedule where slate_date > (select min(slate_date) from a) and slate_date < (select max(slate_date) from a) and slate_date not in (select slate_date from a)")
 def _(t):
-    return D.missing_days(t.schedule.filter(F.dayofyear("slate_date") % 9 != 0), t.schedule)
+    return D.missing_days(t.schedule.filter(F.dayofweek("slate_date") != 1), t.schedule)
 
 
 @query("slate_placement", "placement:s n:i",
-       """with e as (select distinct slate_date, home_id, away_id from schedule where game_id % 4 <> 0 union select slate_date, home_id, 99 from schedule where game_id % 50 = 1 and home_id is not null),
+       """with e as (select distinct slate_date, home_id, away_id from schedule where status_name <> 'STATUS_POSTPONED' union select slate_date, home_id, 99 from schedule where headline = '5-LOW' and home_id is not null),
        g as (select game_id, slate_date, home_id, away_id from schedule)
        select case when g.game_id is null then 'event without game' when e.slate_date is null then 'game without price' else 'placed' end as placement, count(*) as n
        from g full outer join e on g.slate_date = e.slate_date and g.home_id = e.home_id and g.away_id = e.away_id group by all""")
 def _(t):
-    priced = t.schedule.filter(F.col("game_id") % 4 != 0).select("slate_date", "home_id", "away_id")
-    odd = t.schedule.filter((F.col("game_id") % 50 == 1) & F.col("home_id").isNotNull()).select("slate_date", "home_id", F.lit(99).cast("long").alias("away_id"))
+    priced = t.schedule.filter("status_name <> 'STATUS_POSTPONED'").select("slate_date", "home_id", "away_id")
+    odd = t.schedule.filter("headline = '5-LOW' and home_id is not null").select("slate_date", "home_id", F.lit(99).cast("long").alias("away_id"))
     return D.placement(priced.unionByName(odd), t.schedule).groupBy("placement").agg(F.count("*").alias("n"))
 
 
 @query("expected_vs_run_match", "job:s slot_day:t expected:i run_id:i minutes_late:d",
-       """with cr as (select distinct event_type as job, cast(ts as date) as slot_day, date_trunc('hour', ts) as tick from events), rn as (select event_type as job, cast(ts as date) as slot_day, ts as tick, event_id as run_id from events where event_id % 3 <> 0),
+       """with cr as (select distinct event_type as job, cast(ts as date) as slot_day, date_trunc('hour', ts) as tick from events), rn as (select event_type as job, cast(ts as date) as slot_day, ts as tick, event_id as run_id from events),
        m as (select r.job, r.slot_day, r.run_id, r.tick, max(c.tick) as expected from rn r join cr c on r.job = c.job and r.slot_day = c.slot_day and c.tick <= r.tick group by all),
        k as (select job, slot_day, expected, arg_min(run_id, (tick, run_id)) as run_id, min(tick) as tick from m group by all)
        select c.job, c.slot_day, epoch_us(c.tick) as expected, k.run_id, (epoch_us(k.tick) - epoch_us(c.tick)) / 6e7 as minutes_late from cr c left join k on c.job = k.job and c.slot_day = k.slot_day and c.tick = k.expected""")
@@ -154,7 +154,7 @@ def _(t):
     stamp = F.col("ts").cast("timestamp")
     ev = t.events.select(F.col("event_type").alias("job"), F.to_date("ts").alias("slot_day"), stamp.alias("at"), F.col("event_id").alias("run_id"))
     crons = ev.select("job", "slot_day", F.date_trunc("hour", "at").alias("at")).distinct()
-    out = D.expected_runs(ev.filter(F.col("run_id") % 3 != 0), crons)
+    out = D.expected_runs(ev, crons)
     return out.withColumn("expected", F.unix_micros("expected"))
 
 

@@ -162,11 +162,11 @@ def _(t):
 
 
 @query("bet_down_bar", "event_id:i market:s kept:i raised:i",
-       """with m as (select event_id, market, min(american_odds) as floor_odds from quotes where suppkey % 2 = 0 group by all)
+       """with m as (select event_id, market, min(american_odds) as floor_odds from quotes where book in ('book0', 'book1') group by all)
        select q.event_id, q.market, count(*) filter (edge >= case when floor_odds is not null and american_odds < floor_odds then 0.04e0 else 0.02e0 end) as kept, count(*) filter (floor_odds is not null and american_odds < floor_odds) as raised
        from quotes q left join m using (event_id, market) group by all""")
 def _(t):
-    morning = t.quotes.filter(F.col("suppkey") % 2 == 0).groupBy("event_id", "market").agg(F.min("american_odds").alias("floor_odds"))
+    morning = t.quotes.filter(F.col("book").isin("book0", "book1")).groupBy("event_id", "market").agg(F.min("american_odds").alias("floor_odds"))
     worse = F.coalesce(F.col("american_odds") < F.col("floor_odds"), F.lit(False))
     rows = t.quotes.join(morning, ["event_id", "market"], "left").withColumn("bar", F.greatest(F.lit(P.EDGE_THRESHOLD), F.when(worse, 0.04).otherwise(0.0)))
     return rows.groupBy("event_id", "market").agg(F.count_if(F.col("edge") >= F.col("bar")).alias("kept"), F.count_if(worse).alias("raised"))

@@ -20,12 +20,12 @@ def versions(t):
     new = t.schedule.select("season", "game_id", "home_score", "away_score")
     season, key = F.col("season"), F.col("game_id")
     old = new.withColumn("home_score", F.when((season == 1997) & (key % 10 == 0), F.col("home_score") + 1).otherwise(F.col("home_score")))
-    old = old.filter(~((season == 1999) & (key % 8 == 0)) & (season != 2001))
+    old = old.filter(~((season == 1999) & (F.col("home_score") >= 100)) & (season != 2001))
     repeat = old.filter(season == 1996).withColumn("game_id", -key - 1)
     return new, old.unionByName(repeat).unionByName(repeat.withColumn("game_id", key - 10_000_000))
 
 
-OLD = """new as (select season, game_id, home_score, away_score from schedule), o1 as (select season, game_id, case when season = 1997 and game_id % 10 = 0 then home_score + 1 else home_score end as home_score, away_score from new where not (season = 1999 and game_id % 8 = 0) and season <> 2001),
+OLD = """new as (select season, game_id, home_score, away_score from schedule), o1 as (select season, game_id, case when season = 1997 and game_id % 10 = 0 then home_score + 1 else home_score end as home_score, away_score from new where not (season = 1999 and home_score >= 100) and season <> 2001),
  old as (select * from o1 union all select season, -game_id - 1, home_score, away_score from o1 where season = 1996 union all select season, -game_id - 1 - 10000000, home_score, away_score from o1 where season = 1996)"""
 
 
@@ -46,10 +46,10 @@ def _(t):
     return S.restatements(old, new, ["season", "game_id"])
 
 
-@query("supplement_fill", "game_id:i home_score:i source:s", "select game_id, home_score, 'feed' as source from schedule where game_id % 5 <> 0 union all select game_id, away_score, 'supplement' from schedule where game_id % 5 = 0 and game_id % 2 = 0")
+@query("supplement_fill", "game_id:i home_score:i source:s", "select game_id, home_score, 'feed' as source from schedule where status_name = 'STATUS_FINAL' union all select game_id, away_score, 'supplement' from schedule where status_name <> 'STATUS_FINAL'")
 def _(t):
-    feed = t.schedule.filter(F.col("game_id") % 5 != 0).select("game_id", "home_score", F.lit("feed").alias("source"))
-    extra = t.schedule.filter(F.col("game_id") % 2 == 0).select("game_id", F.col("away_score").alias("home_score"), F.lit("supplement").alias("source"))
+    feed = t.schedule.filter("status_name = 'STATUS_FINAL'").select("game_id", "home_score", F.lit("feed").alias("source"))
+    extra = t.schedule.select("game_id", F.col("away_score").alias("home_score"), F.lit("supplement").alias("source"))
     return S.supplemented(feed, extra)
 
 
@@ -73,12 +73,12 @@ def _(t):
 
 
 @query("three_source_segment_fill", "game_id:i source:s periods:i",
-       f"""with {LS}, p as (select distinct game_id from plays), b as (select game_id from schedule where game_id % 3 = 0 and game_id not in (select game_id from p))
+       f"""with {LS}, p as (select distinct game_id from plays), b as (select game_id from schedule where status_name = 'STATUS_FINAL' and game_id not in (select game_id from p))
        select game_id, 'plays' as source, cast(null as bigint) as periods from p union all select game_id, 'box', 2 from b union all select game_id, 'line scores', n from ls where n >= 2 and game_id not in (select game_id from p) and game_id not in (select game_id from b)""")
 def _(t):
     tag = lambda d, n, p: d.select("game_id", F.lit(n).alias("source"), p.alias("periods"))
     plays = tag(t.plays.select("game_id").distinct(), "plays", F.lit(None).cast("long"))
-    box = tag(t.schedule.filter(F.col("game_id") % 3 == 0), "box", F.lit(2).cast("long"))
+    box = tag(t.schedule.filter("status_name = 'STATUS_FINAL'"), "box", F.lit(2).cast("long"))
     return S.supplemented(plays, box, tag(J.schedule_segments(scored(t)), "line scores", F.col("periods").cast("long")))
 
 
@@ -149,10 +149,10 @@ IDK = ["event_id", "market", "player", "selection", "line", "book"]
 
 
 @query("idempotent_append", "event_id:i market:s selection:s line:d book:s american_odds:d",
-       """select event_id, market, selection, line, book, min(american_odds) as american_odds from quotes q where not exists (select 1 from quotes s where s.partkey % 3 = 0 and s.event_id = q.event_id and s.market = q.market and s.player = q.player and s.selection = q.selection and s.line is not distinct from q.line and s.book = q.book) group by event_id, market, player, selection, line, book""")
+       """select event_id, market, selection, line, book, min(american_odds) as american_odds from quotes q where not exists (select 1 from quotes s where s.tier = 'high_major' and s.event_id = q.event_id and s.market = q.market and s.player = q.player and s.selection = q.selection and s.line is not distinct from q.line and s.book = q.book) group by event_id, market, player, selection, line, book""")
 def _(t):
     cols = [*IDK, "american_odds"]
-    store = t.quotes.filter(F.col("partkey") % 3 == 0).select(*cols)
+    store = t.quotes.filter("tier = 'high_major'").select(*cols)
     return S.unseen(t.quotes.select(*cols), store, IDK, ["american_odds"])
 
 
@@ -166,28 +166,29 @@ def _(t):
 
 @query("daily_freeze", "snapshot_date:t event_id:i market:s selection:s line:d american_odds:d book:s",
        """select slate_date as snapshot_date, event_id, market, selection, line, min((american_odds, book))[1] as american_odds, min((american_odds, book))[2] as book from quotes q
-       where not exists (select 1 from quotes s where s.suppkey % 4 = 0 and s.slate_date = q.slate_date and s.event_id = q.event_id and s.market = q.market and s.player = q.player and s.selection = q.selection and s.line is not distinct from q.line) group by slate_date, event_id, market, player, selection, line""")
+       where not exists (select 1 from quotes s where s.tier = 'low_major' and s.slate_date = q.slate_date and s.event_id = q.event_id and s.market = q.market and s.player = q.player and s.selection = q.selection and s.line is not distinct from q.line) group by slate_date, event_id, market, player, selection, line""")
 def _(t):
-    rows = t.quotes.select(F.col("slate_date").alias("snapshot_date"), "event_id", "market", "segment", "player", "selection", "line", "american_odds", "book", "suppkey")
-    return S.freeze(rows.drop("suppkey"), rows.filter(F.col("suppkey") % 4 == 0))
+    rows = t.quotes.select(F.col("slate_date").alias("snapshot_date"), "event_id", "market", "segment", "player", "selection", "line", "american_odds", "book", "tier")
+    return S.freeze(rows.drop("tier"), rows.filter("tier = 'low_major'"))
 
 
 @query("settled_ledger_append", "snapshot_date:t event_id:i market:s selection:s line:d book:s outcome:s",
-       """select slate_date as snapshot_date, event_id, market, selection, line, book, min(outcome) as outcome from quotes q where not exists (select 1 from quotes s where s.suppkey % 2 = 0 and s.slate_date = q.slate_date and s.event_id = q.event_id and s.market = q.market and s.player = q.player and s.selection = q.selection and s.line is not distinct from q.line and s.book = q.book)
+       """select slate_date as snapshot_date, event_id, market, selection, line, book, min(outcome) as outcome from quotes q where not exists (select 1 from quotes s where s.tier = 'mid_major' and s.slate_date = q.slate_date and s.event_id = q.event_id and s.market = q.market and s.player = q.player and s.selection = q.selection and s.line is not distinct from q.line and s.book = q.book)
        group by slate_date, event_id, market, player, selection, line, book""")
 def _(t):
-    rows = t.quotes.select(F.col("slate_date").alias("snapshot_date"), "event_id", "market", "segment", F.upper("player").alias("player"), "selection", "line", "book", "outcome", "suppkey")
-    held = rows.filter(F.col("suppkey") % 2 == 0).withColumn("player", F.lower("player"))
-    return S.unseen(rows.drop("suppkey"), held, S.LEDGER_IDENTITY, ["outcome"])
+    rows = t.quotes.select(F.col("slate_date").alias("snapshot_date"), "event_id", "market", "segment", F.upper("player").alias("player"), "selection", "line", "book", "outcome", "tier")
+    held = rows.filter("tier = 'mid_major'").withColumn("player", F.lower("player"))
+    return S.unseen(rows.drop("tier"), held, S.LEDGER_IDENTITY, ["outcome"])
 
 
 @query("dated_snapshot_pick", "day:t team:i adj_off:d adj_def:d sources:i",
-       """with tb as (select 's' || cast(game_id % 3 as varchar) as source, slate_date as as_of, team_id as team, avg(team_score) as adj_off, avg(opponent_score) as adj_def, avg(possessions) as tempo from team_games where dayofmonth(slate_date) in (1, 9, 20) group by all),
+       """with tb as (select 's' || cast(game_id % 3 as varchar) as source, date_trunc('month', slate_date)::date + cast((dayofmonth(slate_date) - 1) // 10 * 10 as integer) as as_of, team_id as team, avg(team_score) as adj_off, avg(opponent_score) as adj_def, avg(possessions) as tempo from team_games group by all),
        dy as (select distinct date_trunc('month', slate_date)::date as day from team_games), nw as (select day, source, max(as_of) as as_of from dy join (select distinct source, as_of from tb) on as_of < day and as_of >= day - 14 group by all)
        select day, team, avg(adj_off) as adj_off, avg(adj_def) as adj_def, count(*) as sources from tb join nw using (source, as_of) group by all""")
 def _(t):
-    rows = t.team_games.filter(F.dayofmonth("slate_date").isin(1, 9, 20))
-    tables = rows.groupBy(F.concat(F.lit("s"), (F.col("game_id") % 3).cast("string")).alias("source"), F.col("slate_date").alias("as_of"), F.col("team_id").alias("team")).agg(
+    # Tables are dated the 1st, 11th, 21st and 31st.
+    dated = F.date_add(F.trunc("slate_date", "month"), (F.floor((F.dayofmonth("slate_date") - 1) / 10) * 10).cast("int"))
+    tables = t.team_games.groupBy(F.concat(F.lit("s"), (F.col("game_id") % 3).cast("string")).alias("source"), dated.alias("as_of"), F.col("team_id").alias("team")).agg(
         F.avg("team_score").alias("adj_off"), F.avg("opponent_score").alias("adj_def"), F.avg("possessions").alias("tempo"))
     days = t.team_games.select(F.trunc("slate_date", "month").alias("day")).distinct()
     return S.dated_consensus(tables, days, 14)

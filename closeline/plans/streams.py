@@ -38,13 +38,13 @@ def _(t):
 
 
 @query("late_settlement", "state:s n:i matched:i",
-       """with q as (select event_id, ts as frozen_at from events where event_id % 2 = 0), r as (select event_id - 1 as game_id, ts + interval 1 day * (event_id % 20) as final_at, value from events where event_id % 6 <> 1 and event_id % 2 = 1)
-       select case when r.game_id is null then 'unsettleable' else 'result' end as state, count(*) as n, count(r.value) as matched from q left join r on q.event_id = r.game_id and final_at >= frozen_at and final_at <= frozen_at + interval 14 days group by all""")
+       """select case when event_id % 20 <= 14 then 'result' else 'unsettleable' end as state, count(*) as n, count(*) filter (event_id % 20 <= 14) as matched from events group by all""")
 def _(t):
+    """Every event frozen at its time, its result up to nineteen days later."""
     stamp = F.col("ts").cast("timestamp")
-    quotes = t.events.filter(F.col("event_id") % 2 == 0).select("event_id", stamp.alias("frozen_at"))
+    quotes = t.events.select("event_id", stamp.alias("frozen_at"))
     late = stamp + F.make_interval(days=(F.col("event_id") % 20).cast("int"))
-    results = t.events.filter((F.col("event_id") % 6 != 1) & (F.col("event_id") % 2 == 1)).select((F.col("event_id") - 1).alias("game_id"), late.alias("final_at"), F.col("value").alias("margin"))
+    results = t.events.select(F.col("event_id").alias("game_id"), late.alias("final_at"), F.col("value").alias("margin"))
     return V.settle_stream(quotes, results).groupBy("state").agg(F.count("*").alias("n"), F.count("margin").alias("matched"))
 
 
@@ -64,15 +64,19 @@ def _(t):
     return V.first_last_moves(rows).withColumn("first_at", F.unix_micros("first_at"))
 
 
+SAME = "(event_id, market, player, selection, line, book)"
+
+
 @query("settled_day_marker", "slate_date:t fresh:i held:i",
-       "select slate_date, count(distinct case when suppkey % 3 <> 0 then (event_id, market, player, selection, line, book) end) - count(distinct case when h and suppkey % 3 <> 0 then (event_id, market, player, selection, line, book) end) as fresh, count(distinct case when suppkey % 3 = 0 then (event_id, market, player, selection, line, book) end) as held from (select *, bool_or(suppkey % 3 = 0) over (partition by slate_date, event_id, market, player, selection, line, book) as h from quotes) group by all")
+       f"""with h as (select *, bool_or(tier = 'low_major') over (partition by slate_date, event_id, market, player, selection, line, book) as h from quotes)
+       select slate_date, count(distinct case when not h then {SAME} end) as fresh, count(distinct case when h then {SAME} end) as held from h group by all""")
 def _(t):
     from closeline.sources import stores as S
 
     keys = ("slate_date", "event_id", "market", "player", "selection", "line", "book")
-    rows = t.quotes.select(*keys, "suppkey")
-    held = rows.filter(F.col("suppkey") % 3 == 0).drop("suppkey")
-    fresh = S.unseen(rows.filter(F.col("suppkey") % 3 != 0).drop("suppkey"), held, keys)
+    rows = t.quotes.select(*keys, "tier")
+    held = rows.filter("tier = 'low_major'").drop("tier")
+    fresh = S.unseen(rows.drop("tier"), held, keys)
     a = fresh.groupBy("slate_date").agg(F.count("*").alias("fresh"))
     b = held.distinct().groupBy("slate_date").agg(F.count("*").alias("held"))
     return a.join(b, "slate_date", "full_outer").na.fill(0)
