@@ -216,7 +216,7 @@ def ols_clustered(frame: DataFrame, response: str, features: Sequence[str], clus
     for i, name in enumerate(names):
         unit = list(clusters)[0]
         for u in clusters:
-            if errors[u][i] > errors[unit][i]:
+            if errors[u][i] > errors[unit][i] * (1 + 1e-12):
                 unit = u
         b, se = float(beta[i]), float(errors[unit][i])
         low, high = b - z * se, b + z * se

@@ -102,11 +102,11 @@ def verdict(minimum: int = MINIMUM_BETS) -> Column:
 
 def widest(intervals: DataFrame, by: Sequence[str]) -> DataFrame:
     """Keep per group the widest of several units: game first, day if wider, athlete
-    only if finite and wider than both."""
+    only if finite and wider than both. Widths equal to nine places are ties."""
     half = (F.col("high") - F.col("low")) / 2.0
     order = F.when(F.col("unit") == "game", 0).when(F.col("unit") == "day", 1).otherwise(2)
     inf = F.lit(float("inf"))
-    ranked = intervals.filter((order < 2) | (half < inf)).withColumn("__k", F.struct(half.alias("h"), (-order).alias("o")))
+    ranked = intervals.filter((order < 2) | (half < inf)).withColumn("__k", F.struct(F.round(half, 9).alias("h"), (-order).alias("o")))
     fields = [c for c in intervals.columns if c not in by]
     return ranked.groupBy(*by).agg(F.max_by(F.struct(*fields), "__k").alias("__w")).select(*by, "__w.*")
 

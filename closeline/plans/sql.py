@@ -61,7 +61,7 @@ def interval(source: str, cells: str, units: dict[str, str], value: str = "profi
     return (f"select {keys}roi, bets, clusters, unit, se as standard_error, roi - half as low, roi + half as high, roi - wide as adjusted_low, roi + wide as adjusted_high, "
             f"case when bets < 200 then 'not enough evidence' when wide = 0 or (roi - wide <= 0 and roi + wide >= 0) then 'no demonstrated edge' "
             f"when roi - wide > 0 then 'demonstrated edge' else 'demonstrated deficit' end as verdict "
-            f"from (select *, row_number() over ({over}order by half desc, rk) as pick from ({pick})) where pick = 1")
+            f"from (select *, row_number() over ({over}order by round(half, 9) desc, rk) as pick from ({pick})) where pick = 1")
 
 
 INTERVAL = "roi:d bets:i clusters:i unit:s standard_error:d low:d high:d adjusted_low:d adjusted_high:d verdict:s"

@@ -259,7 +259,7 @@ def _ols_sql():
     joined as (select * from ({unit('game', 'event_id')} union all {unit('day', 'slate_date')}), beta),
     each as ({picks})
     select name, estimate, se as standard_error, unit as cluster_unit, n as rows, g as clusters, null_value, estimate - {Z12!r}e0 * se as low, estimate + {Z12!r}e0 * se as high,
-    not (estimate - {Z12!r}e0 * se <= null_value and estimate + {Z12!r}e0 * se >= null_value) as excludes_null from each qualify row_number() over (partition by name order by se desc, rk) = 1"""
+    not (estimate - {Z12!r}e0 * se <= null_value and estimate + {Z12!r}e0 * se >= null_value) as excludes_null from each qualify row_number() over (partition by name order by round(se, 12) desc, rk) = 1"""
 
 
 @query("cluster_robust_ols", "name:s estimate:d standard_error:d cluster_unit:s rows:i clusters:i null_value:d low:d high:d excludes_null:b", _ols_sql())

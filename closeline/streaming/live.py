@@ -61,7 +61,7 @@ def survival_sink(store_path: str, out_path: str, schema: T.StructType) -> Calla
         if batch.isEmpty():
             return
         store = S.read_store(batch.sparkSession, store_path, schema)
-        seen = batch.select(*schema.fieldNames()).persist()
+        seen = batch.select(*schema.fieldNames()).dropDuplicates(list(IDENTITY)).persist()
         counts = M.survival(_last_before(store, seen).unionByName(seen))
         counts.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
         S.append_capture(seen, store_path, schema)
@@ -77,7 +77,7 @@ def alert_sink(store_path: str, out_path: str, schema: T.StructType, edge: float
         if batch.isEmpty():
             return
         store = S.read_store(batch.sparkSession, store_path, schema)
-        seen = batch.select(*schema.fieldNames()).persist()
+        seen = batch.select(*schema.fieldNames()).dropDuplicates(list(IDENTITY)).persist()
         board = Q.fair_board(_last_before(store, seen).unionByName(seen))
         Q.alerts(board, Q.shops(board), edge).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
         S.append_capture(seen, store_path, schema)
