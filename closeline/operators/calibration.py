@@ -69,11 +69,13 @@ def brier(frame: DataFrame, looks: int = 1) -> DataFrame:
     means = frame.agg(
         F.count("*").alias("rows"), F.avg(won).alias("base_rate"), F.avg(sq(model)).alias("model"), F.avg(sq(fair)).alias("market_devigged"),
         F.avg(sq(raw)).alias("market_raw"), F.var_pop(won).alias("base_rate_reference"))
-    ahead = frame.withColumns({"__f": sq(fair) - sq(model), "__r": sq(raw) - sq(model)})
     units = {"game": "event_id", "day": "slate_date"}
-    pick = lambda c, n: I.interval(ahead, [[]], units, c, looks).select(
-        F.col("roi").alias(f"{n}_advantage"), F.col("adjusted_low").alias(f"{n}_low"), F.col("adjusted_high").alias(f"{n}_high"), F.col("verdict").alias(f"{n}_verdict"))
-    out = means.crossJoin(pick("__f", "fair")).crossJoin(pick("__r", "raw"))  # one row each
+    loss = lambda n, p: F.struct(F.lit(n).alias("against"), (sq(p) - sq(model)).alias("ahead"))
+    ahead = frame.select(*units.values(), F.inline(F.array(loss("fair", fair), loss("raw", raw))))
+    cells = I.interval(ahead, [["against"]], units, "ahead", looks)  # two rows
+    pick = lambda n, c, as_: F.max(F.when(F.col("against") == n, F.col(c))).alias(f"{n}_{as_}")
+    wide = cells.agg(*[pick(n, c, as_) for n in ("fair", "raw") for c, as_ in (("roi", "advantage"), ("adjusted_low", "low"), ("adjusted_high", "high"), ("verdict", "verdict"))])
+    out = means.crossJoin(F.broadcast(wide))  # one row each
     return out.withColumns({
         "skill_vs_devigged": 1.0 - F.try_divide(F.col("model"), F.col("market_devigged")),
         "skill_vs_raw": 1.0 - F.try_divide(F.col("model"), F.col("market_raw")),

@@ -49,13 +49,38 @@ def label_next(rows: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def survival(store: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Survived, gone and unknown quotes per consecutive capture pair and extra keys."""
+    """Survived, gone and unknown quotes per consecutive capture pair and extra keys.
+
+    Each distinct quote of a capture speaks twice: it is there at its own capture, and
+    it is looked for at the next one. Grouping both by identity and capture answers the
+    looking without a join; whether the event's market was covered at all is the same
+    question one level up.
+    """
     canonical = Q.normalise_identity(store)
     extra = [c for c in by if c not in Q.QUOTE_IDENTITY]
     counted = canonical.groupBy("captured_at", *Q.QUOTE_IDENTITY, *extra).agg(F.count("*").alias("n"))
-    labelled = label_next(counted, canonical).filter("next_capture is not null")
-    hit = lambda v: F.sum(F.when(F.col("label") == v, F.col("n")).otherwise(0)).alias(v)
-    out = labelled.groupBy("captured_at", "next_capture", *by).agg(hit("survived"), hit("gone"), hit("unknown"))
+    work = session.join_small(counted, next_stamps(store), "captured_at")
+    said = F.array(F.struct(F.col("captured_at").alias("slot"), F.lit(True).alias("here"), F.lit(None).cast(store.schema["captured_at"].dataType).alias("asked_at"), F.lit(0).cast("long").alias("asks")),
+                   F.struct(F.col("next_capture").alias("slot"), F.lit(False).alias("here"), F.col("captured_at").alias("asked_at"), F.col("n").alias("asks")))
+    rows = work.select(*Q.QUOTE_IDENTITY, *extra, F.inline(said)).filter("slot is not null")
+    # Presence is of the quote, whatever else (a tier) the asking row carries.
+    per = rows.groupBy(*Q.QUOTE_IDENTITY, "slot").agg(
+        F.max("here").alias("here"), F.max("asked_at").alias("asked_at"), *([F.sum("asks").alias("asks")] if not extra else
+        [F.collect_set(F.when(F.col("asks") > 0, F.struct(*extra, "asks"))).alias("said")]))
+    if extra:
+        # One element per value of the extra keys a quote was asked under.
+        per = per.select(*Q.QUOTE_IDENTITY, "slot", "here", "asked_at", F.inline_outer("said")).na.fill(0, ["asks"])
+    held, missed = F.when(F.col("here"), F.col("asks")).otherwise(0), F.when(F.col("here"), 0).otherwise(F.col("asks"))
+    keys = ["event_id", "market", *[c for c in by if c not in ("event_id", "market")]]
+    sums = per.groupBy(*keys, "slot").agg(F.max("here").alias("here"), F.max("asked_at").alias("captured_at"), F.sum(held).alias("held"), F.sum(missed).alias("missed"))
+    if len(keys) > 2:
+        covered = per.groupBy("event_id", "market", "slot").agg(F.max("here").alias("covered"))
+        sums = sums.join(covered, ["event_id", "market", "slot"])
+    else:
+        sums = sums.withColumn("covered", F.col("here"))
+    asked = sums.filter("held + missed > 0").withColumnRenamed("slot", "next_capture")
+    known = lambda c, name: F.sum(F.when(F.col("covered"), F.col(c)).otherwise(0)).alias(name)
+    out = asked.groupBy("captured_at", "next_capture", *by).agg(known("held", "survived"), known("missed", "gone"), F.sum(F.when(F.col("covered"), 0).otherwise(F.col("held") + F.col("missed"))).alias("unknown"))
     return out.withColumn("rate", F.try_divide(F.col("survived"), F.col("survived") + F.col("gone")))
 
 
