@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from closeline import plans
 from closeline.plans import views
 from scripts.check_queries import compare
 
@@ -13,7 +14,8 @@ SAMPLE = ("bet_down_to_price", "roi_by_market_and_tier", "backtest_verdict", "fa
 
 
 def test_registry():
-    queries, oracles = entry.queries(), entry.oracle_sql()
+    assert set(plans.queries()) <= set(entry.queries()) and set(plans.oracles()) <= set(entry.oracle_sql())
+    queries, oracles = plans.queries(), plans.oracles()
     assert set(oracles) <= set(queries) and len(queries) > 200
     assert set(queries) - set(oracles) == {"efficiency_ridge", "market_implied_ratings", "venue_effects", "venue_departures"}
 
