@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from closeline.llm import bpe
+from closeline.llm import bpe, rules, sharding
 from closeline.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,18 @@ def query(fn):
 @query
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"))
+
+
+@query
+def op6_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    judged = rules.judge(table(spark, folder, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLES["op6_rule_ledger"] = rules.SQL
+
+
+@query
+def op8_histogram_sort(spark: SparkSession, folder: str) -> DataFrame:
+    sharded = sharding.shard(table(spark, folder, "documents"))
+    return sharded.select("doc_id", *sharding.OUTPUT)
