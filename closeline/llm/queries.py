@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from closeline.llm import bpe, rules, sharding
+from closeline.llm import bpe, partenum, rules, sharding
 from closeline.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,8 @@ ORACLES["op6_rule_ledger"] = rules.SQL
 def op8_histogram_sort(spark: SparkSession, folder: str) -> DataFrame:
     sharded = sharding.shard(table(spark, folder, "documents"))
     return sharded.select("doc_id", *sharding.OUTPUT)
+
+
+@query
+def op4_partenum_join(spark: SparkSession, folder: str) -> DataFrame:
+    return partenum.classes(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
