@@ -85,7 +85,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, tokens: set[str]) -> None:
+    def _learn(self, tokens: list[str]) -> None:
         missing = []
         for t in tokens:
             ids = self.whole.get(t.encode())
@@ -93,18 +93,19 @@ class Codec:
                 self.known[t] = ids  # an entry as a whole needs no merges
             else:
                 missing.append(t)
-        for t, ids in zip(missing, self.model.encode([letters(t.encode()) for t in missing])):
+        for t, ids in zip(missing, self.model.encode([letters(t.encode()) for t in missing], num_threads=1)):
             self.known[t] = (np.array(ids, "<u4") - np.uint32(1)).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         tokens = self.split(text)
         if len(self.known) > CACHED:
-            self.known = {}
-        missing = set(tokens) - self.known.keys()
+            self.known.clear()
+        known = self.known
+        missing = [t for t in set(tokens) if t not in known]
         if missing:
             self._learn(missing)
-        return b"".join(map(self.known.__getitem__, tokens))
+        return b"".join(map(known.__getitem__, tokens))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
