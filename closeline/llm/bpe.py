@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CACHED = 400_000  # pre-tokens whose ids a task remembers before it starts afresh
-OUT_ROWS = 256
+OUT_ROWS = 128
 
 # Letters that stand for the 256 bytes: none is a space, all differ.
 LETTERS = [chr(0x100 + b) for b in range(256)]
@@ -76,36 +76,38 @@ def serialise(vocabulary: list[bytes]) -> bytes:
 
 
 class Codec:
-    """Encoder and decoder of one task."""
+    """Encoder and decoder of one task. Inside, ids are those of the pieces: rank + 1."""
 
     def __init__(self, content: bytes, pattern: str):
         self.vocabulary = read_ranks(content)
-        self.whole = {b: struct.pack("<I", r) for r, b in enumerate(self.vocabulary)}
+        self.whole = {b: struct.pack("<I", r + 1) for r, b in enumerate(self.vocabulary)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.vocabulary))
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, tokens: list[str]) -> None:
+    def _learn(self, tokens: set[str]) -> None:
         missing = []
         for t in tokens:
-            ids = self.whole.get(t.encode())
-            if ids is not None:
-                self.known[t] = ids  # an entry as a whole needs no merges
+            data = t.encode()
+            piece = self.whole.get(data)
+            if piece is not None:
+                self.known[t] = piece  # an entry as a whole needs no merges
             else:
-                missing.append(t)
-        for t, ids in zip(missing, self.model.encode([letters(t.encode()) for t in missing], num_threads=1)):
-            self.known[t] = (np.array(ids, "<u4") - np.uint32(1)).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        tokens = self.split(text)
+                missing.append((t, letters(data)))
+        pieces = self.model.encode([x for _, x in missing], num_threads=1)
+        for (t, _), ids in zip(missing, pieces):
+            self.known[t] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, several: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        tokens = [self.split(text) for text in several]
         if len(self.known) > CACHED:
             self.known.clear()
         known = self.known
-        missing = [t for t in set(tokens) if t not in known]
+        missing = {t for found in tokens for t in found if t not in known}
         if missing:
             self._learn(missing)
-        return b"".join(map(known.__getitem__, tokens))
+        return [(np.frombuffer(b"".join(map(known.__getitem__, found)), "<u4") - np.uint32(1)).tobytes() for found in tokens]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -119,8 +121,8 @@ def _mapped(frame: DataFrame, column: str, out: str, content: bytes, pattern: st
         for batch in batches:
             for at in range(0, batch.num_rows, OUT_ROWS):
                 part = batch.slice(at, OUT_ROWS)
-                values = (x.as_py() for x in part.column(part.schema.get_field_index(column)))
-                done = [codec.decode(x or b"") if decode else codec.encode(x or "") for x in values]
+                values = part.column(part.schema.get_field_index(column)).to_pylist()
+                done = [codec.decode(x or b"") for x in values] if decode else codec.encode([x or "" for x in values])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(done, pa.binary())], [*part.schema.names, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
