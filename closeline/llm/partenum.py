@@ -34,15 +34,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from closeline.llm import graph, texts
+from closeline.llm import candidates, graph, texts
 from closeline.session import cut_lineage
 
 WORDS = 5
 SUBSETS = 2  # partitions in a group; subsets hold one less than may differ
-FLUSH = 1 << 20  # signatures that a task thins out together
-BLOOM_BITS = 1 << 23
-SKETCH_BITS = 1024
-BLOCKS_PER_PARTITION = 4
 
 
 @lru_cache(maxsize=1)
@@ -124,75 +120,6 @@ def signatures(values: np.ndarray, rows: np.ndarray, size: np.ndarray) -> tuple[
     return np.concatenate(out), np.concatenate(of)
 
 
-def _thin(sig: np.ndarray, node: np.ndarray, blocks: int) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
-    """Entries of one task by block. Signatures that are shared already here go on as found; one node of each stands for them."""
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-    sig, node = sig[new], node[new]
-    first = np.ones(len(sig), bool)
-    first[1:] = sig[1:] != sig[:-1]
-    shared = ~first
-    shared[:-1] |= ~first[1:]
-    for found, pick in ((False, first), (True, shared)):
-        s, x = sig[pick], node[pick]
-        block = ((texts.mix(s ^ x.view(np.uint64)) if found else s) % np.uint64(blocks)).astype(np.int64)
-        order = np.argsort(block, kind="stable")
-        edges = np.searchsorted(block[order], np.arange(blocks + 1))
-        for b in np.flatnonzero(np.diff(edges)).tolist():
-            at = order[edges[b]:edges[b + 1]]
-            yield b, found, s[at], x[at]
-
-
-def shared_signatures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(sig, node): signatures that more than one node has."""
-    blocks = BLOCKS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def emit(sig: list[np.ndarray], node: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for b, found, s, x in _thin(np.concatenate(sig), np.concatenate(node), blocks):
-            yield pa.RecordBatch.from_pylist([{"block": b, "found": found, "sigs": s.tobytes(), "nodes": x.tobytes()}], packed)
-
-    packed = pa.schema([("block", pa.int32()), ("found", pa.bool_()), ("sigs", pa.binary()), ("nodes", pa.binary())])
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, node, n = [], [], 0
-        for batch in batches:
-            for s in texts.slices(batch.column(0)):
-                values, rows = sets(s)
-                ids, size = nodes(values, rows, s.rows)
-                got, of = signatures(values, rows, size)
-                sig.append(got)
-                node.append(ids[of])
-                n += len(got)
-                if n >= FLUSH:
-                    yield from emit(sig, node)
-                    sig, node, n = [], [], 0
-        if n:
-            yield from emit(sig, node)
-
-    def meet(block: pa.Table) -> pa.Table:
-        sigs, ids = [], []
-        pending: list[tuple[np.ndarray, np.ndarray]] = []
-        for found, s, x in zip(*(block.column(c).to_pylist() for c in ("found", "sigs", "nodes"))):
-            pair = np.frombuffer(s, np.uint64), np.frombuffer(x, np.int64)
-            if found:
-                sigs.append(pair[0])
-                ids.append(pair[1])
-            else:
-                pending.append(pair)
-        if pending:
-            for _, found, s, x in _thin(*(np.concatenate(p) for p in zip(*pending)), 1):
-                if found:
-                    sigs.append(s)
-                    ids.append(x)
-        empty = np.zeros(0, np.int64)
-        return pa.table({"sig": np.concatenate([empty, *(s.view(np.int64) for s in sigs)]), "node": np.concatenate([empty, *ids])})
-
-    entries = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(sign, "block int, found boolean, sigs binary, nodes binary")
-    return entries.groupBy("block").applyInArrow(meet, "sig long, node long").distinct()
-
-
 def shingle_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, node, n_shingles) per document; node is null for an empty set."""
     frame = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -206,92 +133,35 @@ def shingle_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, node long, n_shingles long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, text_col: str = "text") -> DataFrame:
-    """(node, n, items): sorted shingles of the wanted nodes, each once.
+def _keys(s: texts.Slice) -> tuple[np.ndarray, np.ndarray]:
+    values, rows = sets(s)
+    ids, size = nodes(values, rows, s.rows)
+    signs, of = signatures(values, rows, size)
+    return signs, ids[of]
 
-    A bit map of fixed size keeps most other sets from being shuffled; the join decides.
-    """
-    bits = wanted.selectExpr(f"pmod(node, {BLOOM_BITS}L) as bit").groupBy(F.expr("cast(bit div 64 as int) as at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int))) as bits")).toPandas()
-    bloom = np.zeros(BLOOM_BITS // 64, np.int64)
-    bloom[bits["at"].to_numpy(int)] = bits["bits"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(bloom.view(np.uint64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for s in texts.slices(batch.column(0)):
-                values, rows = sets(s)
-                ids, size = nodes(values, rows, s.rows)
-                at = ids % BLOOM_BITS
-                hit = (size > 0) & (shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) > 0)
-                edges = np.searchsorted(rows, np.arange(s.rows + 1))
-                out = []
-                for i in np.flatnonzero(hit).tolist():
-                    if int(ids[i]) not in seen:
-                        if len(seen) >= 200_000:
-                            seen.clear()
-                        seen.add(int(ids[i]))
-                        out.append({"node": int(ids[i]), "n": int(size[i]), "items": values[edges[i]:edges[i + 1]].tobytes()})
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema)
-
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("items", pa.binary())])
-    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "node long, n long, items binary")
-    return found.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("items").alias("items"))
-
-
-def verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= 80 * union."""
-    a = items.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("items").alias("ai"))
-    b = items.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("items").alias("bi"))
-    sized = pairs.join(a.drop("ai"), "a").join(b.drop("bi"), "b").where("5 * least(an, bn) >= 4 * greatest(an, bn)").select("a", "b")
+def _items(s: texts.Slice):
+    values, rows = sets(s)
+    ids, size = nodes(values, rows, s.rows)
+    edges = np.searchsorted(rows, np.arange(s.rows + 1))
+    full = np.flatnonzero(size)
+    return ids[full], lambda i: (int(size[full[i]]), values[edges[full[i]]:edges[full[i] + 1]].tobytes())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                common = int((y[at] == x).sum())
-                if 100 * common >= 80 * (len(x) + len(y) - common):
-                    out.append({"a": a, "b": b})
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema)
-
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    return sized.join(a.drop("an"), "a").join(b.drop("bn"), "b").select("a", "b", "ai", "bi").mapInArrow(run, "a long, b long")
-
-
-def _labelled(entries: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries of signatures that different components still share, and their centres."""
-    least = graph.components(links)
-    comp = F.coalesce("least", "node")
-    known = entries.join(least, "node", "left").select("sig", "node", comp.alias("comp"))
-    split = known.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("node", F.struct("comp", "node")).alias("center"),
-                                     F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")).where("low < high")
-    # Signatures of the same nodes say the same.
-    once = split.groupBy("mark", "low", "high", "center").agg(F.min("sig").alias("sig"))
-    return known, once
+
+def similar(x: bytes, y: bytes) -> bool:
+    """Of two sorted sets: 100 * intersection >= 80 * union."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    common = int((y[at] == x).sum())
+    return 100 * common >= 80 * (len(x) + len(y) - common)
 
 
 def links_between(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Links (a, b) between nodes whose components are those of all links."""
-    entries = cut_lineage(shared_signatures(docs, text_col))
-    items = cut_lineage(sets_of(docs, entries.select("node").distinct(), text_col))
-    # Each node with the node it shares most signatures with among the least of each.
-    centers = entries.groupBy("sig").agg(F.min("node").alias("center"))
-    near = entries.join(centers, "sig").where("node <> center").groupBy("node", "center").count()
-    first = near.groupBy("node").agg(F.max_by("center", F.struct("count", "center")).alias("center"))
-    links = cut_lineage(verified(first.select(F.col("node").alias("a"), F.col("center").alias("b")), items))
-    known, split = _labelled(entries, links)
-    again = known.join(split.select("sig", "low", "center"), "sig").where("comp <> low").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
-    links = cut_lineage(links.union(verified(again, items)))
-    known, split = _labelled(entries, links)
-    open_ = known.join(split.select("sig"), "sig").join(items.select("node", "n"), "node")
-    left = open_.select("sig", F.col("node").alias("a"), F.col("comp").alias("ac"), F.col("n").alias("an"))
-    right = open_.select("sig", F.col("node").alias("b"), F.col("comp").alias("bc"), F.col("n").alias("bn"))
-    rest = left.join(right, "sig").where("ac < bc and 5 * least(an, bn) >= 4 * greatest(an, bn)").select("a", "b").distinct()
-    return cut_lineage(links.union(verified(rest, items)))
+    column = docs.select(F.col(text_col).cast("string").alias("text"))
+    entries = cut_lineage(candidates.shared(column, _keys))
+    items = cut_lineage(candidates.items_of(column, entries.select("node").distinct(), _items))
+    return candidates.links(entries, items, similar)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

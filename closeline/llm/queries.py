@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from closeline.llm import bpe, partenum, rules, sharding
+from closeline.llm import bpe, lines, partenum, rules, sharding
 from closeline.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,8 @@ def op8_histogram_sort(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_partenum_join(spark: SparkSession, folder: str) -> DataFrame:
     return partenum.classes(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.dedup(table(spark, folder, "documents")).select("doc_id", "text", "n_lines", "n_removed")
