@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from closeline.llm import bpe, lines, partenum, rules, sharding
+from closeline.llm import bpe, decontamination, lines, partenum, rules, sharding
 from closeline.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,8 @@ def op4_partenum_join(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.dedup(table(spark, folder, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query
+def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
