@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from closeline.llm import bpe, decontamination, lines, partenum, rules, sharding, suffix_tree
+from closeline.llm import bpe, decontamination, licenses, lines, partenum, rules, sharding, suffix_tree
 from closeline.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def op5_suffix_tree_score(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scored = suffix_tree.score(docs, ~suffix_tree.held_out())
     return scored.select("doc_id", suffix_tree.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
