@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from closeline.llm import bpe, decontamination, licenses, lines, partenum, rules, sharding, suffix_tree, toxicity
+from closeline.llm import bpe, decontamination, language, licenses, lines, partenum, rules, sharding, suffix_tree, toxicity
 from closeline.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predict(table(spark, folder, "documents"))

@@ -36,6 +36,7 @@ WORD_SIZE, CHAR_SIZE = 6, 6
 CHAR_CELLS = 1 << 13
 LEAST_TEXTS = 3
 EPOCHS, BATCH, RATE = 5, 256, 0.01
+STEPS = 150  # at least, where a small sample has few batches
 CUT = 0.3
 
 
@@ -214,8 +215,9 @@ def fit(sample: list[tuple[str, int]], seed: int = 7):
 
     first_m = {k: np.zeros_like(v) for k, v in net.p.items()}
     second_m = {k: np.zeros_like(v) for k, v in net.p.items()}
+    net.p["out_b"][0] = np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3))
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, STEPS * BATCH // len(chosen))):
         shuffled = rng.permutation(len(chosen))
         for b in range(0, len(chosen), BATCH):
             pick = shuffled[b:b + BATCH]
