@@ -7,6 +7,10 @@ links becomes components. Whatever different components still share a key is ver
 next, first against one node of the key, then, by size, every pair of different
 components. So no link that shares a key is lost to the components, and the pairs of a
 component aren't listed.
+
+Where links are known to share several keys, each node comes with that number, its need:
+a node with fewer shared keys has no link and goes before anything else is read, and a
+pair with fewer is not verified.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ BLOOM_BITS = 1 << 23
 BLOCKS_PER_PARTITION = 4
 REMEMBERED = 200_000
 
+_KEY = np.uint64(1 << 63)  # marks keys; smaller numbers are needs
 _PACKED = pa.schema([("block", pa.int32()), ("found", pa.bool_()), ("sigs", pa.binary()), ("nodes", pa.binary())])
 _ITEMS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("items", pa.binary())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -51,8 +56,12 @@ def _thin(sig: np.ndarray, node: np.ndarray, blocks: int) -> Iterator[tuple[int,
             yield b, found, s[at], x[at]
 
 
-def shared(column: DataFrame, keys: Callable[[texts.Slice], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(sig, node): keys that more than one node has; ``keys`` gives keys and nodes of a slice of the one text column."""
+def shared(column: DataFrame, keys: Callable[[texts.Slice], tuple[np.ndarray, ...]]) -> DataFrame:
+    """(sig, node, need): keys that more than one node has.
+
+    ``keys`` gives keys and their nodes for a slice of the one text column, and, if links
+    share more than one key, nodes and their needs.
+    """
     blocks = BLOCKS_PER_PARTITION * int(column.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def emit(sig: list[np.ndarray], node: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -63,9 +72,12 @@ def shared(column: DataFrame, keys: Callable[[texts.Slice], tuple[np.ndarray, np
         sig, node, n = [], [], 0
         for batch in batches:
             for s in texts.slices(batch.column(0)):
-                got, of = keys(s)
-                sig.append(got)
+                got, of, *noted = keys(s)
+                sig.append(got | _KEY)
                 node.append(of)
+                if noted and len(noted[0]):  # small, and in any block
+                    block = int(noted[0].view(np.uint64)[0] % np.uint64(blocks))
+                    yield pa.RecordBatch.from_pylist([{"block": block, "found": True, "sigs": noted[1].astype(np.uint64).tobytes(), "nodes": noted[0].tobytes()}], _PACKED)
                 n += len(got)
                 if n >= FLUSH:
                     yield from emit(sig, node)
@@ -91,7 +103,12 @@ def shared(column: DataFrame, keys: Callable[[texts.Slice], tuple[np.ndarray, np
         return pa.table({"sig": np.concatenate(sigs), "node": np.concatenate(ids)})
 
     entries = column.mapInArrow(sign, "block int, found boolean, sigs binary, nodes binary")
-    return entries.groupBy("block").applyInArrow(meet, "sig long, node long").distinct()
+    met = cut_lineage(entries.groupBy("block").applyInArrow(meet, "sig long, node long").distinct())
+    needs = met.where("sig >= 0").groupBy("node").agg(F.max("sig").alias("need"))
+    keyed = met.where("sig < 0")
+    enough = keyed.groupBy("node").count().join(needs, "node", "left").select("node", "count", F.coalesce("need", F.lit(1)).alias("need")).where("count >= need")
+    left = cut_lineage(keyed.join(enough.select("node", "need"), "node"))
+    return left.join(left.groupBy("sig").count().where("count > 1").select("sig"), "sig", "left_semi")
 
 
 def items_of(column: DataFrame, wanted: DataFrame, items: Callable[[texts.Slice], tuple[np.ndarray, Callable[[int], tuple[int, bytes]]]]) -> DataFrame:
@@ -145,20 +162,20 @@ def verified(pairs: DataFrame, items: DataFrame, similar: Callable[[bytes, bytes
 
 
 def _labelled(entries: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries of signatures that different components still share, and their centres."""
+    """Entries with their components, and the keys that different components share, each with one node.
+
+    Keys of the same nodes are one key with a weight.
+    """
     least = graph.components(links)
-    comp = F.coalesce("least", "node")
-    known = entries.join(least, "node", "left").select("sig", "node", comp.alias("comp"))
+    known = entries.join(least, "node", "left").withColumn("comp", F.coalesce("least", "node")).drop("least")
     split = known.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("node", F.struct("comp", "node")).alias("center"),
                                      F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")).where("low < high")
-    # Signatures of the same nodes say the same.
-    once = split.groupBy("mark", "low", "high", "center").agg(F.min("sig").alias("sig"))
-    return known, once
+    return known, split.groupBy("mark", "low", "high", "center").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("weight"))
 
 
 def links(entries: DataFrame, items: DataFrame, similar: Callable[[bytes, bytes], bool]) -> DataFrame:
-    """Links (a, b) between nodes whose components are those of all links that share a key."""
-    # Each node with the node it shares most signatures with among the least of each.
+    """Links (a, b) between nodes whose components are those of all links that share enough keys."""
+    # Each node with the node it shares most keys with among the least of each.
     centers = entries.groupBy("sig").agg(F.min("node").alias("center"))
     near = entries.join(centers, "sig").where("node <> center").groupBy("node", "center").count()
     first = near.groupBy("node").agg(F.max_by("center", F.struct("count", "center")).alias("center"))
@@ -167,8 +184,10 @@ def links(entries: DataFrame, items: DataFrame, similar: Callable[[bytes, bytes]
     again = known.join(split.select("sig", "low", "center"), "sig").where("comp <> low").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     found = cut_lineage(found.union(verified(again, items, similar)))
     known, split = _labelled(entries, found)
-    open_ = known.join(split.select("sig"), "sig").join(items.select("node", "n"), "node")
-    left = open_.select("sig", F.col("node").alias("a"), F.col("comp").alias("ac"), F.col("n").alias("an"))
-    right = open_.select("sig", F.col("node").alias("b"), F.col("comp").alias("bc"), F.col("n").alias("bn"))
-    rest = left.join(right, "sig").where("ac < bc and 5 * least(an, bn) >= 4 * greatest(an, bn)").select("a", "b").distinct()
+    open_ = known.join(split.select("sig", "weight"), "sig").join(items.select("node", "n"), "node")
+    left = open_.select("sig", "weight", *[F.col(c).alias(f"a_{c}") for c in ("node", "comp", "n", "need")])
+    right = open_.select("sig", *[F.col(c).alias(f"b_{c}") for c in ("node", "comp", "n", "need")])
+    rest = (left.join(right, "sig").where("a_comp < b_comp and 5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)")
+            .groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.sum("weight").alias("keys"), F.max(F.greatest("a_need", "b_need")).alias("need"))
+            .where("keys >= need").select("a", "b"))
     return cut_lineage(found.union(verified(rest, items, similar)))

@@ -8,7 +8,8 @@ set takes part with its own band and the one below. In an instance the domain of
 is cut by hash into more than k partitions, in groups of two of which one may differ:
 the enumerated subsets are the single partitions, and the sets of a pair agree on at
 least one of them. Empty partitions say nothing and give no signature, unless so many of
-a set's partitions are empty that a pair might agree on empty ones only.
+a set's partitions are empty that a pair might agree on empty ones only. There are so many
+partitions that a pair agrees on several that aren't empty: fewer in common is no link.
 
 Equal sets are one node from the start. Signatures meet in blocks of arrays: equal ones
 of one task are thinned out there, so one signature's nodes never gather in one place.
@@ -38,6 +39,7 @@ from closeline.llm import candidates, graph, texts
 from closeline.session import cut_lineage
 
 WORDS = 5
+MOST_NEEDED = 1 << 40
 SUBSETS = 2  # partitions in a group; subsets hold one less than may differ
 
 
@@ -86,10 +88,11 @@ def nodes(values: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return texts.mix(sums + size.astype(np.uint64)).view(np.int64), size
 
 
-def signatures(values: np.ndarray, rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of each row's set in both of its instances, and their rows."""
+def signatures(values: np.ndarray, rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of each row's set in both of its instances, their rows, and how many of them a pair shares at least."""
     full = np.flatnonzero(size)
     out, of = [], []
+    need = np.full(len(size), MOST_NEEDED)
     own = np.searchsorted(bands(), size, "right") - 1
     for below in (0, 1):
         band = own - below
@@ -111,13 +114,14 @@ def signatures(values: np.ndarray, rows: np.ndarray, size: np.ndarray) -> tuple[
         cell_row = np.repeat(np.arange(len(size)), parts)
         empty = np.bincount(cell_row[~filled], minlength=len(size))
         keep = filled | (empty >= agree)[cell_row]
+        need[taking] = np.minimum(need, np.where(empty >= agree, 1, agree - empty))[taking]
         place = (np.arange(len(sums)) - first[cell_row]).astype(np.uint64)
         label = texts.mix(band[cell_row].astype(np.uint64) << np.uint64(40) | place)
         out.append(texts.mix(sums ^ label)[keep])
         of.append(cell_row[keep])
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out), np.concatenate(of)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), need
+    return np.concatenate(out), np.concatenate(of), need
 
 
 def shingle_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,8 +140,8 @@ def shingle_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def _keys(s: texts.Slice) -> tuple[np.ndarray, np.ndarray]:
     values, rows = sets(s)
     ids, size = nodes(values, rows, s.rows)
-    signs, of = signatures(values, rows, size)
-    return signs, ids[of]
+    signs, of, need = signatures(values, rows, size)
+    return signs, ids[of], ids[size > 0], need[size > 0]
 
 
 def _items(s: texts.Slice):
