@@ -33,20 +33,25 @@ def ensure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or the one set on the context.
 
-    The folder comes from ``spark.checkpoint.dir``. Only where neither that setting
-    nor a folder set on the context exists (tests on one machine) is one made here.
+    Only where neither exists, on one machine, is one made here.
     """
-    context = frame.sparkSession.sparkContext
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        shared = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
+        if named is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-        context.setCheckpointDir(shared)
+            named = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+        context.setCheckpointDir(named)
+    return named or context.getCheckpointDir()
+
+
+def cut_lineage(frame: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared folder the cluster names."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
 
 
