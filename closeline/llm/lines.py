@@ -151,3 +151,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         *[F.when(F.col("lines").isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c) for c in columns],
         F.when(F.length(text_col) > 0, F.size("_all")).otherwise(0).cast("long").alias("n_lines"),
         F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_removed"))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with their first lines only; one that loses all its lines goes; columns stay.
+
+    Where a document has ``n_chars`` and loses lines, it is counted anew.
+    """
+    done = dedup(docs).where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
