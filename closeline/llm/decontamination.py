@@ -30,10 +30,22 @@ BITS = 64
 BROADCAST_ROWS = 200_000
 
 _LOWERED = "lower(coalesce(cast({} as string), ''))"
-_SHINGLES = f"transform(sequence(0, greatest(size(words) - {WORDS}, 0)), i -> concat_ws(' ', slice(words, i + 1, {WORDS})))"
+
+
+def _bound(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` where ``name`` is ``value``, worked out once for a row."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _shingles(words: str) -> str:
+    return f"transform(sequence(0, greatest(size({words}) - {WORDS}, 0)), i -> concat_ws(' ', slice({words}, i + 1, {WORDS})))"
+
+
 _VOTES = "aggregate(hashes, 0, (s, h) -> s + if((shiftrightunsigned(h, b) & 1L) = 1L, 1, -1))"
-_FINGERPRINT = f"aggregate(sequence(0, {BITS - 1}), 0L, (f, b) -> f | if({_VOTES} > 0, shiftleft(1L, b), 0L))"
-_COMMON = "aggregate(array_distinct(shingles), 0, (s, d) -> s + least(size(filter(shingles, x -> x = d)), size(filter(item_shingles, x -> x = d))))"
+_FINGERPRINT = _bound("ws", "words", _bound("hashes", f"transform({_shingles('ws')}, x -> xxhash64(x))", f"aggregate(sequence(0, {BITS - 1}), 0L, (f, b) -> f | if({_VOTES} > 0, shiftleft(1L, b), 0L))"))
+_SIMILARITY = _bound("ws", "split(window, ' ')", _bound("own", _shingles("ws"), _bound(
+    "common", "aggregate(array_distinct(own), 0, (s, d) -> s + least(size(filter(own, x -> x = d)), size(filter(item_shingles, x -> x = d))))",
+    "common / (size(own) + size(item_shingles) - common)")))
 
 
 def _words(frame: DataFrame, text_col: str) -> DataFrame:
@@ -42,13 +54,6 @@ def _words(frame: DataFrame, text_col: str) -> DataFrame:
     return frame.withColumn("_trimmed", F.expr(trimmed)).withColumn("words", F.expr("if(_trimmed = '', cast(array() as array<string>), split(_trimmed, '[\\\\x20\\\\x09-\\\\x0D]+'))")).drop("_trimmed")
 
 
-def _signed(windows: DataFrame) -> DataFrame:
-    """Adds shingles and fingerprint to rows with words."""
-    return (windows.withColumn("shingles", F.expr(_SHINGLES))
-            .withColumn("hashes", F.expr("transform(shingles, x -> xxhash64(x))"))
-            .withColumn("fingerprint", F.expr(_FINGERPRINT)).drop("hashes"))
-
-
 def _blocks(frame: DataFrame) -> DataFrame:
     """One row for each block of the fingerprint: its place and value."""
     edges = [BITS * j // (RADIUS + 1) for j in range(RADIUS + 2)]
@@ -85,17 +90,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         part = _anchored(read, items, size, small, id_col)
         found = part if found is None else found.union(part)
     found = found.groupBy("doc_id", "n_item", "window").agg(F.lit(1).alias("_one")).drop("_one")
-    windows = _signed(found.select("n_item", "window").distinct().withColumn("words", F.split("window", " ")))
-    targets = _signed(items).select("item_id", F.size("words").alias("n_item"), F.col("shingles").alias("item_shingles"), "fingerprint")
+    windows = found.select("n_item", "window").distinct().withColumn("fingerprint", F.expr(_FINGERPRINT.replace("array(words)", "array(split(window, ' '))")))
+    targets = items.select("item_id", F.size("words").alias("n_item"), F.expr(_bound("ws", "words", _shingles("ws"))).alias("item_shingles"), F.expr(_FINGERPRINT).alias("fingerprint"))
     keys = _blocks(windows.select("n_item", "window", "fingerprint"))
     blocks = _blocks(targets.select("item_id", "n_item", "fingerprint")).withColumnRenamed("fingerprint", "item_fingerprint")
     near = (keys.join(blocks, ["n_item", "block", "value"])
             .where(f"bit_count(fingerprint ^ item_fingerprint) <= {RADIUS}")
             .select("n_item", "window", "item_id").distinct())
     judged = (near.join(targets.select("item_id", "item_shingles"), "item_id")
-              .withColumn("words", F.split("window", " ")).withColumn("shingles", F.expr(_SHINGLES))
-              .withColumn("common", F.expr(_COMMON))
-              .withColumn("similarity", F.expr("common / (size(shingles) + size(item_shingles) - common)"))
+              .withColumn("similarity", F.expr(_SIMILARITY))
               .where(F.col("similarity") >= SIMILARITY).select("n_item", "window", "item_id", "similarity"))
     return found.join(judged, ["n_item", "window"]).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
