@@ -18,14 +18,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from closeline.llm import graph, texts
 from closeline.session import cut_lineage
 
 FLUSH = 1 << 20  # keys that a task thins out together
-BLOOM_BITS = 1 << 23
+SIEVE_BITS = 1 << 23
 BLOCKS_PER_PARTITION = 4
 REMEMBERED = 200_000
 
@@ -111,6 +112,27 @@ def shared(column: DataFrame, keys: Callable[[texts.Slice], tuple[np.ndarray, ..
     return left.join(left.groupBy("sig").count().where("count > 1").select("sig"), "sig", "left_semi")
 
 
+class Sieve:
+    """Bit map of fixed size over the nodes of a table: what it rejects isn't in the table."""
+
+    def __init__(self, nodes: DataFrame):
+        bits = nodes.selectExpr(f"pmod(node, {SIEVE_BITS}L) as bit").groupBy(F.expr("cast(bit div 64 as int) as at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int))) as bits")).toPandas()
+        table = np.zeros(SIEVE_BITS // 64, np.int64)
+        table[bits["at"].to_numpy(int)] = bits["bits"].to_numpy(np.int64)
+        self.table = nodes.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    def holds(self, nodes: np.ndarray) -> np.ndarray:
+        at = nodes % SIEVE_BITS
+        return self.table.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) > 0
+
+    def may_hold(self, node: Column) -> Column:
+        @F.pandas_udf("boolean")
+        def test(nodes: pd.Series) -> pd.Series:
+            return pd.Series(self.holds(nodes.to_numpy()))
+
+        return test(node)
+
+
 def items_of(column: DataFrame, wanted: DataFrame, items: Callable[[texts.Slice], tuple[np.ndarray, Callable[[int], tuple[int, bytes]]]]) -> DataFrame:
     """(node, n, items): size and content of the wanted nodes, each once.
 
@@ -118,20 +140,15 @@ def items_of(column: DataFrame, wanted: DataFrame, items: Callable[[texts.Slice]
     size and content. A bit map of fixed size keeps most others from being shuffled; the
     join decides.
     """
-    bits = wanted.selectExpr(f"pmod(node, {BLOOM_BITS}L) as bit").groupBy(F.expr("cast(bit div 64 as int) as at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int))) as bits")).toPandas()
-    bloom = np.zeros(BLOOM_BITS // 64, np.int64)
-    bloom[bits["at"].to_numpy(int)] = bits["bits"].to_numpy(np.int64)
-    known = column.sparkSession.sparkContext.broadcast(bloom.view(np.uint64))
+    sieve = Sieve(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for s in texts.slices(batch.column(0)):
                 ids, content = items(s)
-                at = ids % BLOOM_BITS
-                hit = known.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) > 0
                 out = []
-                for i in np.flatnonzero(hit).tolist():
+                for i in np.flatnonzero(sieve.holds(ids)).tolist():
                     node = int(ids[i])
                     if node not in seen:
                         if len(seen) >= REMEMBERED:

@@ -29,7 +29,7 @@ from closeline.llm import candidates, graph, texts
 from closeline.session import cut_lineage
 
 CHARS = 10
-BANDS = 16
+BANDS = 12
 ROWS = 5
 LEAST = 10
 _PLACES = BANDS * ROWS
@@ -53,15 +53,11 @@ def stripped(s: texts.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def windows(folded: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scrambled windows of CHARS bytes of each line, and the line of each."""
+    """Hashes of the windows of CHARS bytes of each line, and the line of each."""
     n = np.maximum(z - a - CHARS + 1, 1)
     line = np.repeat(np.arange(len(a)), n)
     at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + a[line]
-    sums = np.zeros(len(folded), np.uint64)
-    wide = np.concatenate((folded, np.zeros(CHARS, np.uint8))).astype(np.uint64)
-    for j in range(CHARS):
-        sums = sums * np.uint64(0x100000001B3) + wide[j:j + len(folded)]
-    return texts.mix(sums[at]), line
+    return texts.hashes(folded, at, np.minimum(at + CHARS, z[line])), line
 
 
 def places(hashes: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
@@ -71,13 +67,15 @@ def places(hashes: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
     np.minimum.at(out, line * _PLACES + place.astype(np.int64), hashes)
     out = out.reshape(n, _PLACES)
     filled = out.copy()
-    draws = (texts.constants(21, _DRAWS * _PLACES).reshape(_DRAWS, _PLACES) >> np.uint64(8)) % np.uint64(_PLACES)
+    draws = ((texts.constants(21, _DRAWS * _PLACES).reshape(_DRAWS, _PLACES) >> np.uint64(8)) % np.uint64(_PLACES)).astype(np.int64)
+    r, p = np.nonzero(out == _NONE)
     for t in range(_DRAWS):
-        r, p = np.nonzero(filled == _NONE)
         if not len(r):
             return filled
-        filled[r, p] = out[r, draws[t][p].astype(np.int64)]
-    r, p = np.nonzero(filled == _NONE)
+        found = out[r, draws[t][p]]
+        filled[r, p] = found
+        left = found == _NONE
+        r, p = r[left], p[left]
     filled[r, p] = out.min(axis=1)[r]
     return filled
 
@@ -100,15 +98,21 @@ def _items(s: texts.Slice):
     folded = texts.FOLD[s.data]
 
     def content(i: int) -> tuple[int, bytes]:
-        found = np.unique(windows(folded[a[i]:z[i]], np.zeros(1, np.int64), z[i:i + 1] - a[i:i + 1])[0])
-        return len(found), found.tobytes()
+        line = folded[a[i]:z[i]].tobytes()
+        return len(_set(line)), line
 
     return texts.hashes(folded, a, z).view(np.int64), content
 
 
+def _set(line: bytes) -> np.ndarray:
+    """Sorted distinct windows of a folded line."""
+    data = np.frombuffer(line, np.uint8)
+    return np.unique(windows(data, np.zeros(1, np.int64), np.array([len(data)]))[0])
+
+
 def similar(x: bytes, y: bytes) -> bool:
-    """Of two sorted sets of windows: Jaccard similarity of at least 0.8."""
-    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    """Of two folded lines: Jaccard similarity of their windows of at least 0.8."""
+    x, y = _set(x), _set(y)
     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
     common = int((y[at] == x).sum())
     return 5 * common >= 4 * (len(x) + len(y) - common)
@@ -144,8 +148,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the lines that come earlier in the table, with n_lines and n_removed."""
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    again = repeats(docs, id_col, text_col).select(F.col("id").alias("_id"), "lines")
-    split = docs.select(*columns).join(again, F.col(id_col) == F.col("_id"), "left").withColumn("_all", F.split(F.col(text_col), "\n"))
+    again = cut_lineage(repeats(docs, id_col, text_col).select(F.col("id").alias("_id"), "lines"))
+    sieve = candidates.Sieve(again.select(F.xxhash64("_id").alias("node")))
+    docs = docs.select(*columns)
+    hit = sieve.may_hold(F.xxhash64(id_col)) & F.col(id_col).isNotNull()
+    # Only documents that may lose lines are shuffled.
+    split = docs.where(hit).join(again, F.col(id_col) == F.col("_id"), "left").drop("_id").union(docs.where(~hit).withColumn("lines", F.lit(None).cast("array<int>")))
+    split = split.withColumn("_all", F.split(F.col(text_col), "\n"))
     kept = F.expr("filter(_all, (x, i) -> not array_contains(lines, i))")
     return split.select(
         *[F.when(F.col("lines").isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c) for c in columns],
