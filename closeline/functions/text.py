@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from closeline.functions.prices import col
@@ -81,25 +80,35 @@ def letters_key(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), "[^a-z]", "")
 
 
-@F.pandas_udf(T.StringType())
-def _decompose(text: pd.Series) -> pd.Series:
-    """Accent folding of text outside ASCII (Unicode NFKD), one Arrow batch at a time."""
-    return text.map(
-        lambda s: s if s is None else "".join(
-            ch for ch in unicodedata.normalize("NFKD", s) if not unicodedata.combining(ch)
-        )
-    )
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Letters whose compatibility decomposition is one ASCII letter plus marks, and those that become several."""
+    one, several = {}, {}
+    for code in range(0x80, 0x10000):
+        ch = chr(code)
+        plain = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
+        folded = plain.casefold()
+        if plain == ch and folded in (ch, ch.lower()):
+            continue
+        if folded.isascii() and folded:
+            (one if len(folded) == 1 else several)[ch] = plain if len(plain) == 1 else folded
+    several["ß"], several["ẞ"] = "ss", "ss"
+    return "".join(one), "".join(one.values()), several
+
 
+_MARKED, _PLAIN, _SEVERAL = _folds()
 
-# Latin letters with marks, folded without leaving the JVM.
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-_PLAIN = "".join(unicodedata.normalize("NFKD", ch)[0] for ch in _MARKED)
 
+def fold_accents(c: Column | str) -> Column:
+    """Marks removed and letters folded to ASCII over all text, in the JVM.
 
-def fold_accents(c: Column | str, exact: bool = False) -> Column:
-    """Marks removed. ``exact`` covers all of Unicode at the price of an Arrow round trip."""
+    Text that is ASCII already, the usual case, is returned as it is.
+    """
     text = col(c)
-    return _decompose(text) if exact else F.translate(text, _MARKED, _PLAIN)
+    bare = F.regexp_replace(F.translate(text, _MARKED, _PLAIN), r"\p{M}+", "")
+    table = F.create_map(*[F.lit(x) for pair in sorted(_SEVERAL.items()) for x in pair])
+    wide = F.array_join(F.transform(F.split(bare, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
+    spelled = F.when(bare.rlike("[^\\x00-\\x7F]"), wide).otherwise(bare)
+    return F.when(text.rlike("[^\\x00-\\x7F]"), spelled).otherwise(text)
 
 
 def _words(c: Column) -> Column:

@@ -38,7 +38,7 @@ def label_next(rows: DataFrame, store: DataFrame) -> DataFrame:
     present = store.select("captured_at", *identity).distinct().withColumn("__there", F.lit(True))
     covered = store.select("captured_at", "event_id", "market").distinct().withColumn("__covered", F.lit(True))
     later = lambda d: d.withColumnRenamed("captured_at", "next_capture")
-    work = session.join_small(rows, next_stamps(store), "captured_at")
+    work = rows.join(next_stamps(store), "captured_at", "left")
     work = work.join(later(covered), ["next_capture", "event_id", "market"], "left")
     work = work.join(later(present), ["next_capture", *identity], "left")
     label = (
@@ -59,7 +59,7 @@ def survival(store: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     canonical = Q.normalise_identity(store)
     extra = [c for c in by if c not in Q.QUOTE_IDENTITY]
     counted = canonical.groupBy("captured_at", *Q.QUOTE_IDENTITY, *extra).agg(F.count("*").alias("n"))
-    work = session.join_small(counted, next_stamps(store), "captured_at")
+    work = counted.join(next_stamps(store), "captured_at", "left")
     said = F.array(F.struct(F.col("captured_at").alias("slot"), F.lit(True).alias("here"), F.lit(None).cast(store.schema["captured_at"].dataType).alias("asked_at"), F.lit(0).cast("long").alias("asks")),
                    F.struct(F.col("next_capture").alias("slot"), F.lit(False).alias("here"), F.col("captured_at").alias("asked_at"), F.col("n").alias("asks")))
     rows = work.select(*Q.QUOTE_IDENTITY, *extra, F.inline(said)).filter("slot is not null")
@@ -254,7 +254,7 @@ def first_capture_of_day(store: DataFrame) -> DataFrame:
 
 def opening_split(bets: DataFrame, store: DataFrame, looks: int = 1) -> DataFrame:
     """Return of bets taken at their day's first capture against later ones."""
-    joined = session.join_small(bets, first_capture_of_day(store), "slate_date")
+    joined = bets.join(first_capture_of_day(store), "slate_date", "left")
     tagged = joined.withColumn("taken", F.when(F.col("captured_at") == F.col("first_capture"), "at first capture").otherwise("later"))
     return I.interval(tagged, [["taken"]], {"game": "event_id", "day": "slate_date"}, "profit_units", looks)
 

@@ -14,7 +14,6 @@ REST_SHRINK, REST_CLAMP, REST_TIER_GAMES = 300.0, 2.0, 150
 ROTATION_WINDOW, ROTATION_APPEARANCES, ROTATION_MINUTES = 8, 3, 18.0
 AVAILABILITY_SHARE, AVAILABILITY_FLOOR = 0.5, 0.92
 LUCK_SHARE, LUCK_GAMES, LUCK_CLAMP = 0.5, 5, 3.0
-ID_RANGE = 1 << 16
 
 
 def before(frame: DataFrame, day: str, column: str = "slate_date") -> DataFrame:
@@ -22,9 +21,9 @@ def before(frame: DataFrame, day: str, column: str = "slate_date") -> DataFrame:
     return frame.filter(F.col(column) < F.lit(day).cast("date"))
 
 
-def by_day(day: str = "slate_date", ident: str = "game_id") -> list[Column]:
-    """Segments for ordered scans over games: the day, then a range of the id."""
-    return [F.col(day), F.floor(F.col(ident) / ID_RANGE)]
+def by_month(day: str = "slate_date") -> list[Column]:
+    """Segments for ordered scans over games: the month of the day."""
+    return [F.trunc(day, "month")]
 
 
 OPPONENT = ("team_score", "field_goals_made", "field_goals_attempted", "three_made", "three_attempted", "free_throws_attempted",
@@ -94,7 +93,7 @@ def prior_means(frame: DataFrame, keys: Sequence[str], columns: Sequence[str], m
     sums = {}
     for c in columns:
         sums[f"__s_{c}"], sums[f"__n_{c}"] = F.col(c).cast("double"), F.when(F.col(c).isNotNull(), 1)
-    run = G.running_before(frame, keys, order, sums, by_day(*order[:2]))
+    run = G.running_before(frame, keys, order, sums, by_month(order[0]))
     means = {f"prior_{c}": F.when(F.col(f"__n_{c}") >= minimum, F.col(f"__s_{c}") / F.col(f"__n_{c}")) for c in columns}
     return run.withColumns(means).drop(*sums)
 

@@ -66,24 +66,21 @@ def feature_calibration(features: DataFrame) -> DataFrame:
     return means.join(sums, "season")
 
 
-def _order(segment_range: int = H.ID_RANGE) -> list[Column]:
-    return H.by_day("slate_date", "row_key")
-
-
 def with_trailing(players: DataFrame, keys: Sequence[str] = ("season", "athlete_id"), half_lives: Sequence[float] = (HALF_LIFE,), banks: Sequence[str] = STATS) -> DataFrame:
     """Weighted trailing minutes and prior sums from earlier rows only.
 
-    Weights halve every ``half_life`` played games. The count of games played before a
-    row comes from a segmented scan; it then cuts the history into blocks of 128 half
-    lives, inside which growing weights stay in range, and the two blocks before
-    carry all that double precision can hold.
+    Keys are persons, or seasons of persons: a career is a few hundred rows, so plain
+    windows over the keys do, all on one shuffle. Weights halve every ``half_life``
+    played games. The count of games played before a row cuts the history into blocks
+    of 128 half lives, inside which growing weights stay in range, and the two blocks
+    before carry all that double precision can hold.
     """
     keys = list(keys)
     played = ~F.coalesce("did_not_play", F.lit(False)) & (F.col("minutes") > 0)
     sums = {"prior_games": F.when(played, 1), "prior_minutes": F.when(played, F.col("minutes"))}
     sums.update({f"bank_{b}": F.when(played, F.col(b)) for b in banks})
-    rows = players.withColumn("played", played)
-    counted = G.running_before(rows, keys, ["slate_date", "row_key"], sums, _order())
+    past = W.partitionBy(*keys).orderBy("slate_date", "row_key").rowsBetween(W.unboundedPreceding, -1)
+    counted = players.select("*", played.alias("played"), *[F.coalesce(F.sum(e).over(past), F.lit(0)).alias(n) for n, e in sums.items()])
     work = counted.withColumn("half_life", F.explode(F.array(*[F.lit(float(h)) for h in half_lives]))) if len(half_lives) > 1 else counted.withColumn("half_life", F.lit(float(half_lives[0])))
     size = _BLOCK_HALF_LIVES * F.col("half_life")
     p = F.col("prior_games").cast("double")
@@ -91,17 +88,15 @@ def with_trailing(players: DataFrame, keys: Sequence[str] = ("season", "athlete_
     grown = F.when(F.col("played"), F.col("minutes") * F.pow(F.lit(2.0), F.col("__at") / F.col("half_life")))
     key = [*keys, "half_life"]
     inside = W.partitionBy(*key, "__block").orderBy("slate_date", "row_key").rowsBetween(W.unboundedPreceding, -1)
-    work = work.withColumn("__sum", F.coalesce(F.sum(grown).over(inside), F.lit(0.0)))
-    # Value of a whole block as seen from its end.
-    total = work.groupBy(*key, "__block").agg((F.coalesce(F.sum(grown), F.lit(0.0)) * F.pow(F.lit(0.5), (F.max(size) - 1) / F.max("half_life"))).alias("__total"))
     blocks = W.partitionBy(*key).orderBy("__block")
-    carry = total.select(*key, "__block", (F.coalesce(F.lag("__total", 1).over(blocks), F.lit(0.0)) + F.coalesce(F.lag("__total", 2).over(blocks), F.lit(0.0)) * F.lit(2.0 ** -_BLOCK_HALF_LIVES)).alias("__carry"))
-    work = work.join(carry, [*key, "__block"])
+    work = work.withColumn("__grown", grown)
+    before = lambda w: F.coalesce(F.sum("__grown").over(w), F.lit(0.0))
+    block = F.lit(2.0 ** -_BLOCK_HALF_LIVES)
+    work = work.withColumn("__sum", before(inside) + before(blocks.rangeBetween(-1, -1)) * block + before(blocks.rangeBetween(-2, -2)) * block * block)
     decay = lambda n: F.pow(F.lit(0.5), n / F.col("half_life"))
-    top = F.col("__sum") * decay(F.col("__at") - 1) + F.col("__carry") * decay(F.col("__at"))
     bottom = (1.0 - decay(p)) / (1.0 - decay(F.lit(1.0)))
-    work = work.withColumn("projected_minutes", F.when(p > 0, top / bottom))
-    return work.withColumn("bucket", C.minutes_bucket(F.round("projected_minutes", 9), BUCKET_EDGES)).drop("__block", "__at", "__sum", "__carry")
+    work = work.withColumn("projected_minutes", F.when(p > 0, F.col("__sum") * decay(F.col("__at") - 1) / bottom))
+    return work.withColumn("bucket", C.minutes_bucket(F.round("projected_minutes", 9), BUCKET_EDGES)).drop("__block", "__at", "__sum", "__grown")
 
 
 def priced(trailing: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from closeline import session
 from closeline.functions import prices as P
 from closeline.operators import history as H, intervals as I
 
-DRIVER_TEAMS = 2_000
+DRIVER_TEAMS = 500
 MINIMUM_POSSESSIONS, REGULATION = 40.0, 2
 TIER_EFFECT_SHRINK = 50.0
 
@@ -64,7 +64,7 @@ def ridge(pairs: DataFrame, strength: tuple[float, float], signs: tuple[float, f
 
     ``shared`` uses one effect per team for both places (with ``signs``), otherwise an
     attack effect of i and a defence effect of j. Output: team_id, a, b (b null when
-    shared), weight_a, weight_b (share of the prior; small systems only).
+    shared), weight_a, weight_b (share of the prior), alike from either solver.
     """
     if _small(pairs) and not force_distributed:
         return _ridge_small(pairs, strength, signs, shared, priors)
@@ -72,9 +72,9 @@ def ridge(pairs: DataFrame, strength: tuple[float, float], signs: tuple[float, f
 
 
 def _ridge_small(pairs, strength, signs, shared, priors) -> DataFrame:
-    rows = pairs.select("i", "j", "n", "y").collect()  # bounded by DRIVER_TEAMS squared
-    teams = sorted({r["i"] for r in rows} | {r["j"] for r in rows})
-    at = {t: k for k, t in enumerate(teams)}
+    rows = pairs.select("i", "j", "n", "y").toPandas()  # at most DRIVER_TEAMS squared
+    teams = np.unique(np.concatenate([rows["i"], rows["j"]]))
+    at = {int(t): k for k, t in enumerate(teams)}
     size = len(teams)
     dim = size if shared else 2 * size
     lam = np.full(dim, float(strength[0]))
@@ -82,21 +82,20 @@ def _ridge_small(pairs, strength, signs, shared, priors) -> DataFrame:
         lam[size:] = strength[1]
     centre = np.zeros(dim)
     if priors is not None:
-        for r in priors.collect():
-            if r["team_id"] in at:
-                centre[at[r["team_id"]]] = r["a"]
-                if not shared:
-                    centre[size + at[r["team_id"]]] = r["b"]
+        known = pairs.select(F.col("i").alias("team_id")).union(pairs.select("j")).distinct()
+        for r in priors.join(known, "team_id", "left_semi").collect():  # at most DRIVER_TEAMS
+            centre[at[r["team_id"]]] = r["a"]
+            if not shared:
+                centre[size + at[r["team_id"]]] = r["b"]
     normal, right = np.diag(lam), lam * centre
-    for r in rows:
-        p, q = at[r["i"]], at[r["j"]] + (0 if shared else size)
-        s, t = signs
-        normal[p, p] += s * s * r["n"]
-        normal[q, q] += t * t * r["n"]
-        normal[p, q] += s * t * r["n"]
-        normal[q, p] += s * t * r["n"]
-        right[p] += s * r["y"]
-        right[q] += t * r["y"]
+    s, t = signs
+    n, y = rows["n"].to_numpy(float), rows["y"].to_numpy(float)
+    p = np.searchsorted(teams, rows["i"])
+    q = np.searchsorted(teams, rows["j"]) + (0 if shared else size)
+    for r, c, v in ((p, p, s * s), (q, q, t * t), (p, q, s * t), (q, p, s * t)):
+        np.add.at(normal, (r, c), v * n)
+    np.add.at(right, p, s * y)
+    np.add.at(right, q, t * y)
     theta = np.linalg.solve(normal, right)
     share = np.clip(np.linalg.solve(normal, lam), 0.0, 1.0)
     out = [(t, float(theta[k]), None if shared else float(theta[size + k]), float(share[k]), None if shared else float(share[size + k])) for t, k in at.items()]
@@ -130,12 +129,24 @@ def _ridge_cg(pairs, strength, signs, shared, priors, tolerance, rounds: int = 4
     state = base.select("slot", "team", F.col("m").alias("x"), lam.alias("lam"), "b")
     product = lambda v: matrix.join(v.select(F.col("slot").alias("cs"), F.col("team").alias("c"), F.col("p").alias("__p")), ["cs", "c"]).groupBy(F.col("rs").alias("slot"), F.col("r").alias("team")).agg(F.sum(F.col("v") * F.col("__p")).alias("q"))
     start = state.join(product(state.withColumn("p", F.col("x"))), ["slot", "team"], "left").na.fill(0.0, ["q"])
-    state = session.cut_lineage(start.select("slot", "team", "x", "lam", (F.col("b") - F.col("q")).alias("r"), (F.col("b") - F.col("q")).alias("p")))
+    effects = _solve(start.select("slot", "team", "x", "lam", (F.col("b") - F.col("q")).alias("r")), product, tolerance, rounds)
+    # Shares of the prior solve the same system with the penalties on the right.
+    shares = _solve(slots.select("slot", "team", F.lit(0.0).alias("x"), lam.alias("lam"), lam.alias("r")), product, tolerance, rounds)
+    state = effects.join(shares.select("slot", "team", F.col("x").alias("share")), ["slot", "team"])
+    at = lambda slot, c: F.max(F.when(F.col("slot") == slot, F.col(c)))
+    share = lambda slot: F.greatest(F.lit(0.0), F.least(F.lit(1.0), at(slot, "share")))
+    none = F.lit(None).cast("double")
+    return state.groupBy(F.col("team").alias("team_id")).agg(at("a", "x").alias("a"), at("b", "x").alias("b"), share("a").alias("weight_a"), (none if shared else share("b")).alias("weight_b"))
+
+
+def _solve(start: DataFrame, product, tolerance: float, rounds: int) -> DataFrame:
+    """Conjugate gradients from (slot, team, x, lam, r); raises if they don't converge."""
+    state = session.cut_lineage(start.withColumn("p", F.col("r")))
     rr = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
-    first = rr
+    goal = tolerance * tolerance * max(rr or 0.0, 1.0)
     for _ in range(rounds):
-        if not rr or rr <= tolerance * tolerance * max(first, 1.0):
-            break
+        if not rr or rr <= goal:
+            return state
         step = state.join(product(state), ["slot", "team"], "left").na.fill(0.0, ["q"]).withColumn("q", F.col("q") + F.col("lam") * F.col("p"))
         step = session.cut_lineage(step)
         alpha = rr / step.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
@@ -143,8 +154,9 @@ def _ridge_cg(pairs, strength, signs, shared, priors, tolerance, rounds: int = 4
         fresh = step.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
         state = session.cut_lineage(step.withColumn("p", F.col("r") + (fresh / rr) * F.col("p")).drop("q"))
         rr = fresh
-    wide = state.groupBy(F.col("team").alias("team_id")).agg(F.max(F.when(F.col("slot") == "a", F.col("x"))).alias("a"), F.max(F.when(F.col("slot") == "b", F.col("x"))).alias("b"))
-    return wide.withColumns({"weight_a": F.lit(None).cast("double"), "weight_b": F.lit(None).cast("double")})
+    if rr and rr > goal:
+        raise RuntimeError(f"no convergence in {rounds} rounds")
+    return state
 
 
 def fit(prepared: DataFrame, strength: tuple[float, float] = (8.0, 8.0), tempo_strength: float = 8.0, home_effect: float = 0.0, priors: DataFrame | None = None) -> DataFrame:
@@ -176,7 +188,8 @@ def simple_ratings(games: DataFrame, sweeps: int = 200, tolerance: float = 1e-9,
 
     Sweeps run on the pair table, whose weights are each opponent's share of a team's
     games, so one sweep is a join and a sum. A constant added to all ratings of a season
-    passes through a sweep unchanged, so centring waits until the lineage is cut.
+    passes through a sweep unchanged, so centring waits until the lineage is cut. The
+    number of sweeps is a rule; ``converged`` tells whether they were enough.
     """
     met = games.groupBy("season", "team_id", "opponent_id").agg(F.count("*").alias("n"), F.sum("margin").alias("m"))
     team = W.partitionBy("season", "team_id")  # as many rows as opponents met
@@ -184,8 +197,8 @@ def simple_ratings(games: DataFrame, sweeps: int = 200, tolerance: float = 1e-9,
     base = session.cut_lineage(pairs.groupBy("season", "team_id").agg(F.max("margin").alias("margin"), F.sum("n").alias("games")))
     own = base.select("season", "team_id", F.col("margin").alias("part"))
     current = base.select("season", "team_id", F.col("margin").alias("rating"))
-    done = 0
-    while done < sweeps:
+    done, settled = 0, False
+    while done < sweeps and not settled:
         steps = min(every, sweeps - done)
         for _ in range(steps):
             last = current
@@ -198,9 +211,8 @@ def simple_ratings(games: DataFrame, sweeps: int = 200, tolerance: float = 1e-9,
         both = session.cut_lineage(both.join(centre, "season").select("season", "team_id", (F.col("rating") - F.col("c")).alias("rating"), (F.col("last") - F.col("cl")).alias("last")))
         gap = both.agg(F.max(F.abs(F.col("rating") - F.col("last")))).first()[0]
         current = both.select("season", "team_id", "rating")
-        if gap is None or gap < tolerance:
-            break
-    return base.join(current, ["season", "team_id"])
+        settled = gap is None or gap < tolerance
+    return base.join(current, ["season", "team_id"]).withColumn("converged", F.lit(settled))
 
 
 def schedule_strength(games: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -224,6 +236,8 @@ def components(edges: DataFrame, left: str = "team_id", right: str = "opponent_i
         labels = fresh.select("node", "label")
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components not found in {limit} rounds")
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
     return labels.join(sizes, "label").select("node", F.col("label").alias("component"), "size")
 
@@ -233,7 +247,7 @@ def matchups(fixtures: DataFrame, ratings: DataFrame, parts: DataFrame | None =
     cols = ["offence", "defence", "tempo"]
     side = lambda s: ratings.select(F.col("team_id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in cols])
     league = ratings.agg(F.max("league_efficiency").alias("league_efficiency"), F.max("league_tempo").alias("league_tempo"))
-    rows = session.join_small(session.join_small(fixtures, side("home"), "home_id"), side("away"), "away_id").crossJoin(F.broadcast(league))
+    rows = fixtures.join(side("home"), "home_id", "left").join(side("away"), "away_id", "left").crossJoin(F.broadcast(league))
     effect = F.when(F.col("venue_state") == "home", home_effect).otherwise(0.0)
     home = F.col("league_efficiency") + F.col("home_offence") + F.col("away_defence") + effect
     away = F.col("league_efficiency") + F.col("away_offence") + F.col("home_defence") - effect
@@ -241,7 +255,7 @@ def matchups(fixtures: DataFrame, ratings: DataFrame, parts: DataFrame | None =
     reason = F.when(F.col("venue_state") == "unknown", "venue unknown").when(F.col("venue_state") == "quasi_neutral", "local side unknown")
     if parts is not None:
         p = lambda s: parts.select(F.col("node").alias(f"{s}_id"), F.col("component").alias(f"{s}_part"))
-        rows = session.join_small(session.join_small(rows, p("home"), "home_id"), p("away"), "away_id")
+        rows = rows.join(p("home"), "home_id", "left").join(p("away"), "away_id", "left")
         reason = reason.when(~F.coalesce(F.col("home_part") == F.col("away_part"), F.lit(False)), "not connected")
     reason = reason.when(F.col("home_offence").isNull() | F.col("away_offence").isNull(), "no rating")
     out = rows.withColumns({"home_per_100": home, "away_per_100": away, "possessions": tempo, "reason": reason})
@@ -284,7 +298,7 @@ def venue_effects(prepared: DataFrame, ratings: DataFrame, tiers: DataFrame) ->
     r = lambda c, a, n: ratings.select(F.col("team_id").alias(c), F.col(a).alias(n))
     rows = prepared.join(r("team_id", "offence", "__o"), "team_id", "left").join(r("opponent_id", "defence", "__d"), "opponent_id", "left").na.fill(0.0, ["__o", "__d"])
     rows = rows.crossJoin(F.broadcast(league_means(prepared)))
-    rows = session.join_small(rows, tiers.select(F.col("team_id").alias("local_team_id"), F.col("tier").alias("__tier")), "local_team_id")
+    rows = rows.join(tiers.select(F.col("team_id").alias("local_team_id"), F.col("tier").alias("__tier")), "local_team_id", "left")
     names = ("high_major", "mid_major", "low_major", "unplaced")
     home = (F.col("venue_state") == "home").cast("double")
     quasi = (F.col("venue_state") == "quasi_neutral").cast("double")
@@ -323,7 +337,7 @@ def reciprocal_home_edge(games: DataFrame, tiers: DataFrame, looks: int = 1) ->
         F.avg(F.when(F.col("team_id") == F.col("__lo"), F.col("margin"))).alias("m1"), F.avg(F.when(F.col("team_id") == F.col("__hi"), F.col("margin"))).alias("m2")).filter("m1 is not null and m2 is not null")
     per = per.withColumn("edge", (F.col("m1") + F.col("m2")) / 2.0)
     t = lambda c, n: tiers.select(F.col("team_id").alias(c), F.col("tier").alias(n))
-    per = session.join_small(session.join_small(per, t("__lo", "t1"), "__lo"), t("__hi", "t2"), "__hi")
+    per = per.join(t("__lo", "t1"), "__lo", "left").join(t("__hi", "t2"), "__hi", "left")
     from closeline.operators import schedules as S
 
     rows = per.withColumn("tier", S.game_tier("t1", "t2")).withColumn("pair", F.concat_ws("-", "__lo", "__hi"))

@@ -27,7 +27,7 @@ def division_ids(schedule: DataFrame) -> DataFrame:
 
 def _flag(frame: DataFrame, ids: DataFrame, column: str, flag: str) -> DataFrame:
     marked = ids.select(F.col("team_id").alias(column), F.lit(True).alias(flag))
-    return session.join_small(frame, marked, column).withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return frame.join(marked, column, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def usual_venues(schedule: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def classify(schedule: DataFrame, ids: DataFrame | None = None, venues: DataFram
     work = _flag(_flag(schedule, ids, "home_id", "__hd"), ids, "away_id", "__ad")
     for side in ("home", "away"):
         usual = venues.select(F.col("team_id").alias(f"{side}_id"), F.struct("usual_venue_id", "usual_venue_city", "usual_venue_state_code").alias(f"__{side}"))
-        work = session.join_small(work, usual, f"{side}_id")
+        work = work.join(usual, f"{side}_id", "left")
     table = F.create_map(*[F.lit(x) for kv in STATUS_STATES.items() for x in kv])
     state = (
         F.when(F.lower(F.coalesce("headline", F.lit(""))).rlike(EXHIBITION), "exhibition")
@@ -124,7 +124,7 @@ def game_tier(home: Column | str, away: Column | str) -> Column:
 def division_only(frame: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows with both teams in the set."""
     mark = lambda c: ids.select(F.col("team_id").alias(c))
-    return session.join_small(session.join_small(frame, mark("team_id"), "team_id", "left_semi"), mark("opponent_id"), "opponent_id", "left_semi")
+    return frame.join(mark("team_id"), "team_id", "left_semi").join(mark("opponent_id"), "opponent_id", "left_semi")
 
 
 def pair_key(day: str, a: str, b: str) -> list[Column]:

@@ -3,8 +3,9 @@
 A window partitioned by a key puts the whole key into one task. When one key may hold
 a third of all rows that task is the job. The scans here cut every group along its
 order into segments (a day, then a range of ids), scan inside the segments, and add
-what came before, taken from per-segment totals that were combined map-side. Only the
-totals, one row per segment, are ever ordered per key.
+what came before, taken from per-segment totals. Rows are shuffled once, by key and
+segment; only the totals, one row per segment, are ever ordered per key. A segment must
+hold many rows: a month, or a range of ids that is dense.
 """
 
 from __future__ import annotations
@@ -39,19 +40,14 @@ def running_before(
     levels = [f"__seg{i}" for i in range(len(segment))]
     work = frame.select("*", *[e.alias(n) for e, n in zip(segment, levels)],
                         *[F.coalesce(e, F.lit(0)).alias(f"__v_{n}") for n, e in sums.items()])
-    totals = work.groupBy(*keys, *levels).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
-    # Offsets level by level: what the key held before this segment of the level.
-    offsets = totals
-    for depth in range(len(levels), 0, -1):
-        upper, here = levels[: depth - 1], levels[depth - 1]
-        coarse = totals.groupBy(*keys, *upper, here).agg(*[F.sum(f"__t_{n}").alias(f"__c_{n}") for n in sums])
-        before = W.partitionBy(*keys, *upper).orderBy(here).rowsBetween(W.unboundedPreceding, -1)
-        coarse = coarse.select(*keys, *upper, here, *[F.coalesce(F.sum(f"__c_{n}").over(before), F.lit(0)).alias(f"__o{depth}_{n}") for n in sums])
-        offsets = _null_safe(offsets, coarse, [*keys, *upper, here], "inner")
-    offsets = offsets.select(*keys, *levels, *[
-        sum((F.col(f"__o{d}_{n}") for d in range(1, len(levels) + 1)), F.lit(0)).alias(f"__o_{n}") for n in sums])
-    inside = W.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    scanned = work.select("*", *[F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0)).alias(f"__i_{n}") for n in sums])
+    inside = W.partitionBy(*keys, *levels).orderBy(*order)
+    past, all_ = inside.rowsBetween(W.unboundedPreceding, -1), inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    scanned = work.select("*", F.row_number().over(inside).alias("__rn"),
+                          *[F.coalesce(F.sum(f"__v_{n}").over(past), F.lit(0)).alias(f"__i_{n}") for n in sums],
+                          *[F.sum(f"__v_{n}").over(all_).alias(f"__t_{n}") for n in sums])
+    # One row per segment has its totals; what the key held before is a window over these.
+    earlier = W.partitionBy(*keys).orderBy(*levels).rowsBetween(W.unboundedPreceding, -1)
+    offsets = scanned.filter("__rn = 1").select(*keys, *levels, *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__o_{n}") for n in sums])
     joined = _null_safe(scanned, offsets, [*keys, *levels], "inner")
     return joined.select(*[F.col(c) for c in frame.columns if c not in sums],
                          *[(F.col(f"__i_{n}") + F.col(f"__o_{n}")).alias(n) for n in sums])

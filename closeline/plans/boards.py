@@ -62,7 +62,7 @@ def _(t):
     cols = ["event_id", "market", "selection", "line", "book", "american_odds"]
     rows = t.board.select("captured_at", *cols).distinct()
     nxt = M.next_stamps(t.board).filter("next_capture is not null")
-    earlier = session.join_small(rows, nxt, "captured_at", "inner").select(F.col("next_capture").alias("captured_at"), *[F.col(c).alias(f"p_{c}") for c in cols])
+    earlier = rows.join(nxt, "captured_at", "inner").select(F.col("next_capture").alias("captured_at"), *[F.col(c).alias(f"p_{c}") for c in cols])
     first = t.board.agg(F.min("captured_at").alias("first"))
     later = rows.crossJoin(F.broadcast(first)).filter("captured_at > first").drop("first")
     on = [later.captured_at == earlier.captured_at, *[later[c].eqNullSafe(earlier[f"p_{c}"]) for c in cols]]

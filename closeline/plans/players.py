@@ -34,14 +34,7 @@ def _(t):
     return L.feature_calibration(L.game_features(t.player_games))
 
 
-def unique_rows(t):
-    """One row per key: repeats of a key are the same play recorded twice."""
-    fields = [c for c in t.player_games.columns if c not in ("row_key", "athlete_id")]
-    return t.player_games.groupBy("row_key", "athlete_id").agg(F.min(F.struct(*fields)).alias("r")).select("row_key", "athlete_id", "r.*")
-
-
-ORDERED = """pu as (select row_key, athlete_id, unnest(min({'game_id': game_id, 'seq': seq, 'season': season, 'slate_date': slate_date, 'athlete_name': athlete_name, 'team_id': team_id, 'did_not_play': did_not_play, 'starter': starter, 'minutes': minutes, 'points': points, 'rebounds': rebounds, 'assists': assists, 'steals': steals, 'blocks': blocks, 'turnovers': turnovers,
- 'field_goals_attempted': field_goals_attempted, 'field_goals_made': field_goals_made, 'three_made': three_made, 'free_throws_attempted': free_throws_attempted, 'free_throws_made': free_throws_made})) from player_games group by row_key, athlete_id),
+ORDERED = """pu as (select * from player_games),
  tr0 as (select *, not did_not_play and minutes > 0 as played, coalesce(count(*) filter (not did_not_play and minutes > 0) over w, 0) as prior_games, coalesce(sum(minutes) filter (not did_not_play and minutes > 0) over w, 0) as prior_minutes,
   coalesce(sum(points) filter (not did_not_play and minutes > 0) over w, 0) as bank_points, coalesce(sum(rebounds) filter (not did_not_play and minutes > 0) over w, 0) as bank_rebounds,
   coalesce(sum(free_throws_made) filter (not did_not_play and minutes > 0) over w, 0) as bank_ones, coalesce(sum(three_made) filter (not did_not_play and minutes > 0) over w, 0) as bank_threes, coalesce(sum(greatest(field_goals_made - three_made, 0)) filter (not did_not_play and minutes > 0) over w, 0) as bank_twos
@@ -60,7 +53,7 @@ PRICED = TR + ", priced as (select * from tr where played and prior_games >= 4 a
 
 
 def trail(t, **kw):
-    return L.with_trailing(unique_rows(t), keys=("athlete_id",), **kw)
+    return L.with_trailing(t.player_games, keys=("athlete_id",), **kw)
 
 
 @query("trailing_weighted_mean", "row_key:i athlete_id:i prior_games:i prior_minutes:d bank_points:d projected_minutes:d bucket:i", f"with {TR} select row_key, athlete_id, prior_games, prior_minutes, bank_points, projected_minutes, bucket from tr")
@@ -85,7 +78,7 @@ def _(t):
        select h as half_life, sqrt(avg(pow(minutes - pm, 2))) as rmse, count(*) as rows from e join tr0 using (row_key, athlete_id) group by all
        union all select null, sqrt(avg(pow(minutes - prior_minutes / prior_games, 2))), count(*) from tr0 where played and prior_games >= 4 and prior_minutes >= 60""")
 def _(t):
-    rows = unique_rows(t).withColumn("season", F.lit(0))
+    rows = t.player_games.withColumn("season", F.lit(0))
     return L.half_life_curve(rows)
 
 
@@ -134,7 +127,7 @@ def _(t):
        g as (select unnest({KS}) as k), n as (select *, bank_ones + bank_twos + bank_threes as n from priced)
        select k, -2 * avg(free_throws_made * ln((bank_ones + k * p1) / (n + k)) + greatest(field_goals_made - three_made, 0) * ln((bank_twos + k * p2) / (n + k)) + three_made * ln((bank_threes + k * p3) / (n + k))) as loss from n, p, g group by all""")
 def _(t):
-    rows = L.with_values(unique_rows(t))
+    rows = L.with_values(t.player_games)
     priced = L.priced(L.with_trailing(rows, keys=("athlete_id",), banks=("ones", "twos", "threes")))
     return L.value_mix_losses(priced, L.value_pmf(rows), KS)
 
@@ -193,7 +186,7 @@ def _(t):
        f"""with {PRICED}, pr as (select bucket, sum(points) / sum(minutes) as pr from priced group by all), s as (select sum(free_throws_made) as a, sum(greatest(field_goals_made - three_made, 0)) as b, sum(three_made) as c from pu where not did_not_play)
        select row_key, athlete_id, (bank_points + 50 * pr) / (prior_minutes + 50) as rate, case when bank_ones + bank_twos + bank_threes > 0 then (bank_ones + 20 * a / (a + b + c + 0e0)) / (bank_ones + bank_twos + bank_threes + 20) else a / (a + b + c + 0e0) end as one_share from priced join pr using (bucket), s""")
 def _(t):
-    rows = L.with_values(unique_rows(t))
+    rows = L.with_values(t.player_games)
     priced = L.priced(L.with_trailing(rows, keys=("athlete_id",), banks=("points", "ones", "twos", "threes")))
     priors = L.role_priors(priced, ["points"]).select("bucket", F.col("points").alias("prior"))
     out = priced.join(F.broadcast(priors), "bucket").crossJoin(F.broadcast(L.value_pmf(rows).select(F.col("ones").alias("league_ones"))))

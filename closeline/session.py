@@ -53,16 +53,3 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder the cluster names."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
-
-
-def join_small(left: DataFrame, right: DataFrame, on, how: str = "left", limit: int = 100_000) -> DataFrame:
-    """Join with a table expected to be small: broadcast only if its row count is.
-
-    The count stops one row past the limit. A larger table is joined by shuffle, where
-    adaptive execution splits hot keys.
-    """
-    if right.limit(limit + 1).count() <= limit:
-        from pyspark.sql import functions as F
-
-        right = F.broadcast(right)
-    return left.join(right, on, how)

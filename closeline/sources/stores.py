@@ -75,7 +75,7 @@ def append(incoming: DataFrame, path: str, schema: T.StructType, keys: Sequence[
     store = read_store(spark, path, schema)
     if partition is not None and exists(spark, path):
         # Only the partitions the batch touches are read.
-        store = store.join(F.broadcast(incoming.select(partition).distinct().limit(100_000)), partition, "left_semi")
+        store = store.join(incoming.select(partition).distinct(), partition, "left_semi")
     fresh = unseen(declared(incoming, schema), store, keys, order).persist()
     try:
         added = fresh.count()
