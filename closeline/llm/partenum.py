@@ -39,6 +39,7 @@ from closeline.llm import candidates, graph, texts
 from closeline.session import cut_lineage
 
 WORDS = 5
+SPARE = 130  # partitions in percent of those that one agreement takes
 MOST_NEEDED = 1 << 40
 SUBSETS = 2  # partitions in a group; subsets hold one less than may differ
 
@@ -63,13 +64,9 @@ def instance(band: int) -> tuple[int, int]:
     low, high = int(bands()[band]), int(bands()[band + 1]) - 1
     largest = high + high * 5 // 4
     k = max(most_apart(s) for s in range(max(2, largest - 10), largest + 1))
-    groups = -(-(k + 1) // SUBSETS)
-    for extra in range(groups // 4 + 1):
-        p = (groups + extra) * SUBSETS
-        empty = p * np.exp(-low / p)
-        if p - k > empty + 4 * np.sqrt(empty):
-            return k, p
-    return k, (k + 1 if k < 2 else groups * SUBSETS)
+    if k < SUBSETS:
+        return k, k + 1
+    return k, SUBSETS * -(-SPARE * (k + 1) // (100 * SUBSETS))
 
 
 def sets(s: texts.Slice) -> tuple[np.ndarray, np.ndarray]:
