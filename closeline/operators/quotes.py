@@ -232,6 +232,16 @@ def alerts(board: DataFrame, shop_rows: DataFrame, edge: float = ALERT_EDGE) ->
     return now.join(before.select(*SIDE, "best_book").distinct(), [*SIDE, "best_book"], "left_anti")
 
 
+def alerts_by_capture(shop_rows: DataFrame, stamps: DataFrame, edge: float = ALERT_EDGE) -> DataFrame:
+    """Large edges of every capture that the capture before it did not show.
+
+    ``stamps`` has each capture (captured_at) and the one after it (next_capture).
+    """
+    big = shop_rows.filter(F.col("shop_edge") >= edge)
+    shown = big.select("captured_at", *SIDE, "best_book").distinct().join(stamps.filter("next_capture is not null"), "captured_at")
+    return big.join(shown.drop("captured_at").withColumnRenamed("next_capture", "captured_at"), ["captured_at", *SIDE, "best_book"], "left_anti")
+
+
 def graded_shops(board: DataFrame, shop_rows: DataFrame, now: Column | None = None) -> DataFrame:
     """First sighting of each side against its last quote; a stale close stays null."""
     fields = [c for c in shop_rows.columns if c not in SIDE]

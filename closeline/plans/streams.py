@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from closeline.functions import prices as P
 from closeline.operators import captures as M, quotes as Q
+from closeline.sources import stores as S
 from closeline.streaming import live as V
 from closeline.plans.boards import ALERTS, CLOSE, COUNTS, SURV
 from closeline.plans.registry import query
@@ -11,7 +12,8 @@ from closeline.plans.registry import query
 
 @query("capture_stream", "captured_at:t event_id:i market:s selection:s line:d book:s american_odds:d", "select distinct captured_at, event_id, market, selection, line, book, american_odds from board")
 def _(t):
-    return t.board.dropDuplicates(list(V.IDENTITY))
+    rows = S.with_identity(t.board, V.IDENTITY)
+    return rows.dropDuplicates(S.identity_columns(rows))
 
 
 @query("survival_stream", "captured_at:t next_capture:t survived:i gone:i unknown:i",
@@ -49,7 +51,7 @@ def _(t):
 
 
 @query("daily_window_freeze", "snapshot_date:t event_id:i market:s american_odds:d quotes:i",
-       "select cast(ts as date) as snapshot_date, user_id as event_id, event_type as market, max(100 + floor(value)) as american_odds, count(*) as quotes from events group by all")
+       "select cast(ts as date) as snapshot_date, user_id as event_id, event_type as market, first(100 + floor(value) order by ts, value desc) as american_odds, count(*) as quotes from events group by all")
 def _(t):
     rows = t.events.select(F.col("ts").cast("timestamp").alias("captured_at"), F.col("user_id").alias("event_id"), F.col("event_type").alias("market"), (100 + F.floor("value")).cast("double").alias("american_odds"))
     return V.daily_freeze(rows.withColumn("payout", P.payout("american_odds")), ["event_id", "market"])
@@ -71,8 +73,6 @@ SAME = "(event_id, market, player, selection, line, book)"
        f"""with h as (select *, bool_or(tier = 'low_major') over (partition by slate_date, event_id, market, player, selection, line, book) as h from quotes)
        select slate_date, count(distinct case when not h then {SAME} end) as fresh, count(distinct case when h then {SAME} end) as held from h group by all""")
 def _(t):
-    from closeline.sources import stores as S
-
     keys = ("slate_date", "event_id", "market", "player", "selection", "line", "book")
     rows = t.quotes.select(*keys, "tier")
     held = rows.filter("tier = 'low_major'").drop("tier")

@@ -49,13 +49,17 @@ def read_captures(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.option("header", "true").schema(T.StructType(fields)).csv(path)
 
 
-def _identity(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+def with_identity(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add the canonical identity columns (prefix __id_)."""
     kinds = {f.name: f.dataType for f in frame.schema}
     canon = {f"__id_{k}": (F.lower(X.canonical_value(k)) if k == "player" else X.canonical_value(k, kinds[k])) for k in keys if k in kinds}
     return frame.withColumns(canon)
 
 
+def identity_columns(frame: DataFrame) -> list[str]:
+    return [c for c in frame.columns if c.startswith("__id_")]
+
+
 def unseen(incoming: DataFrame, store: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Incoming rows whose identity the store does not hold, one per identity.
 
@@ -63,8 +67,8 @@ def unseen(incoming: DataFrame, store: DataFrame, keys: Sequence[str], order: Se
     map-side, so repeats of one identity never gather in one place.
     """
     ids = [f"__id_{k}" for k in keys]
-    old = _identity(store.select(*[k for k in keys if k in store.columns]), keys).select(*ids).distinct()
-    fresh = _identity(incoming, keys).join(old, ids, "left_anti")
+    old = with_identity(store.select(*[k for k in keys if k in store.columns]), keys).select(*ids).distinct()
+    fresh = with_identity(incoming, keys).join(old, ids, "left_anti")
     row = F.struct(*(list(order) + [c for c in incoming.columns if c not in order]))
     return fresh.groupBy(*ids).agg(F.min(row).alias("__r")).select("__r.*").select(*incoming.columns)
 

@@ -19,9 +19,9 @@ IDENTITY = ("captured_at", *Q.QUOTE_IDENTITY)
 
 
 def capture_stream(spark: SparkSession, path: str, schema: T.StructType, delay: str = "2 days") -> DataFrame:
-    """Capture files as they arrive, each identity once within the watermark."""
-    rows = spark.readStream.schema(schema).parquet(path)
-    return rows.withWatermark("captured_at", delay).dropDuplicatesWithinWatermark(list(IDENTITY))
+    """Capture files as they arrive, each canonical identity once within the watermark."""
+    rows = S.with_identity(spark.readStream.schema(schema).parquet(path).withWatermark("captured_at", delay), IDENTITY)
+    return rows.dropDuplicatesWithinWatermark(S.identity_columns(rows)).select(*schema.fieldNames())
 
 
 def payload_stream(spark: SparkSession, path: str, delay: str = "2 days") -> DataFrame:
@@ -53,35 +53,58 @@ def _last_before(store: DataFrame, batch: DataFrame) -> DataFrame:
     return past.join(F.broadcast(newest), "captured_at", "left_semi")
 
 
+def _arrive(batch: DataFrame, store_path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame, list]:
+    """Add a batch to the store. What there is to judge: rows of the batch's captures and
+    of those next to them, all stored captures with their next one, and the batch's stamps.
+
+    A capture may come in several batches, late, or again: its rows are judged as the
+    store then has them.
+    """
+    spark = batch.sparkSession
+    touched = [r[0] for r in batch.select("captured_at").distinct().collect()]  # captures of one micro-batch
+    S.append_capture(batch.select(*schema.fieldNames()).dropDuplicates(list(IDENTITY)), store_path, schema)
+    store = S.read_store(spark, store_path, schema)
+    stamps = M.next_stamps(store)
+    near = stamps.filter(F.col("captured_at").isin(touched) | F.col("next_capture").isin(touched))
+    wanted = near.select(F.explode(F.array("captured_at", "next_capture")).alias("captured_at")).distinct()
+    return store.join(wanted, "captured_at", "left_semi"), stamps, touched
+
+
+def _replace(rows: DataFrame, captures: list, out_path: str) -> None:
+    """One folder per capture; judging a capture again replaces it, also by nothing."""
+    rows = rows.persist()
+    try:
+        for at in captures:
+            rows.filter(F.col("captured_at") == F.lit(at)).write.mode("overwrite").parquet(f"{out_path}/capture={at:%Y%m%dT%H%M%S.%f}")
+    finally:
+        rows.unpersist()
+
+
 def survival_sink(store_path: str, out_path: str, schema: T.StructType) -> Callable[[DataFrame, int], None]:
-    """Survival counts of each capture pair: pairs inside the batch and the pair that
-    joins it to the last stored capture. Results carry the batch, so a replay overwrites."""
+    """Survival counts of each capture and the next: a batch re-judges the pairs that its
+    captures begin, end or split, however the captures are dealt to batches."""
 
-    def each(batch: DataFrame, batch_id: int) -> None:
+    def each(batch: DataFrame, _batch_id: int) -> None:
         if batch.isEmpty():
             return
-        store = S.read_store(batch.sparkSession, store_path, schema)
-        seen = batch.select(*schema.fieldNames()).dropDuplicates(list(IDENTITY)).persist()
-        counts = M.survival(_last_before(store, seen).unionByName(seen))
-        counts.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        S.append_capture(seen, store_path, schema)
-        seen.unpersist()
+        rows, stamps, touched = _arrive(batch, store_path, schema)
+        pairs = stamps.filter("next_capture is not null").filter(F.col("captured_at").isin(touched) | F.col("next_capture").isin(touched))
+        begun = [r[0] for r in pairs.select("captured_at").collect()]
+        _replace(M.survival(rows), begun, out_path)
 
     return each
 
 
 def alert_sink(store_path: str, out_path: str, schema: T.StructType, edge: float = Q.ALERT_EDGE) -> Callable[[DataFrame, int], None]:
-    """New edges of each batch's newest capture against the capture before it."""
+    """New edges of every capture against the capture before it, however they arrive."""
 
-    def each(batch: DataFrame, batch_id: int) -> None:
+    def each(batch: DataFrame, _batch_id: int) -> None:
         if batch.isEmpty():
             return
-        store = S.read_store(batch.sparkSession, store_path, schema)
-        seen = batch.select(*schema.fieldNames()).dropDuplicates(list(IDENTITY)).persist()
-        board = Q.fair_board(_last_before(store, seen).unionByName(seen))
-        Q.alerts(board, Q.shops(board), edge).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        S.append_capture(seen, store_path, schema)
-        seen.unpersist()
+        rows, stamps, touched = _arrive(batch, store_path, schema)
+        after = [r[0] for r in stamps.filter(F.col("captured_at").isin(touched)).select("next_capture").collect() if r[0] is not None]
+        found = Q.alerts_by_capture(Q.shops(Q.fair_board(rows)), stamps, edge)
+        _replace(found, sorted({*touched, *after}), out_path)
 
     return each
 
@@ -150,11 +173,11 @@ def settle_stream(quotes: DataFrame, results: DataFrame, wait_days: int = 14) ->
     return joined.select("q.*", "r.margin", "r.final_at", state.alias("state"))
 
 
-def daily_freeze(captures: DataFrame, keys: Sequence[str] = ("event_id", "market", "selection", "book")) -> DataFrame:
-    """One board per day window: best price per wager, final after the watermark."""
-    top = F.struct(F.col("payout"), F.col("american_odds"))
-    return captures.groupBy(F.window("captured_at", "1 day"), *keys).agg(F.max(top).alias("best"), F.count("*").alias("quotes")).select(
-        F.to_date("window.start").alias("snapshot_date"), *keys, F.col("best.american_odds").alias("american_odds"), "quotes")
+def daily_freeze(captures: DataFrame, keys: Sequence[str] = S.FREEZE_IDENTITY) -> DataFrame:
+    """One board per day window: each wager at its first capture, at the best price there."""
+    first = F.struct(F.col("captured_at"), -F.col("payout"), F.col("american_odds"))
+    return captures.groupBy(F.window("captured_at", "1 day"), *keys).agg(F.min_by("american_odds", first).alias("american_odds"), F.count("*").alias("quotes")).select(
+        F.to_date("window.start").alias("snapshot_date"), *keys, "american_odds", "quotes")
 
 
 def first_last_moves(captures: DataFrame, gap: str = "3 days") -> DataFrame:

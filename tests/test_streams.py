@@ -3,9 +3,10 @@
 import tempfile
 from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F, types as T
 
-from closeline.operators import captures as M
+from closeline.operators import captures as M, quotes as Q
 from closeline.streaming import live as V
 from closeline.plans.views import Tables
 
@@ -33,6 +34,35 @@ def test_survival_stream_equals_the_batch(spark):
     assert key(spark.read.parquet(out)) == key(M.survival(board.distinct()))
 
 
+def batches(board, stamps, how):
+    """The same captures dealt to micro-batches in several ways."""
+    whole = [board.filter(F.col("captured_at") == at) for at in stamps]
+    if how == "one batch":
+        return [board]
+    if how == "late":
+        return [whole[i] for i in sorted(range(len(whole)), key=lambda i: (i % 2, i))]
+    return [board.filter((F.col("captured_at") == at) & (F.abs(F.hash("event_id", "selection", "book")) % 2 == k)) for at in stamps for k in (0, 1)]
+
+
+@pytest.mark.parametrize("how", ["one batch", "late", "halves"])
+def test_sinks_do_not_depend_on_the_batches(spark, how):
+    board = Tables(spark, SMALL).board
+    schema = T.StructType([*SCHEMA.fields, T.StructField("commence_time", board.schema["commence_time"].dataType)])
+    board = board.select(*schema.fieldNames()).distinct()
+    stamps = sorted(r[0] for r in board.select("captured_at").distinct().collect())[:4]
+    board = board.filter(F.col("captured_at").isin(stamps)).persist()
+    survival, alerts = tmp() + "/out", tmp() + "/out"
+    sinks = V.survival_sink(tmp() + "/store", survival, schema), V.alert_sink(tmp() + "/store", alerts, schema, 0.02)
+    for i, part in enumerate(batches(board, stamps, how)):
+        for sink in sinks:
+            sink(part, i)
+    key = lambda d: sorted(map(tuple, d.select("captured_at", "next_capture", "survived", "gone", "unknown").collect()))
+    assert key(spark.read.parquet(survival)) == key(M.survival(board))
+    side = lambda d: sorted(map(str, d.select("captured_at", *Q.SIDE, "best_book").collect()))
+    want = side(Q.alerts_by_capture(Q.shops(Q.fair_board(board)), M.next_stamps(board), 0.02))
+    assert want and side(spark.read.parquet(alerts)) == want
+
+
 def test_capture_stream_drops_repeats(spark):
     source = tmp()
     schema = T.StructType([T.StructField("captured_at", T.TimestampType())] + BOARD.fields)
