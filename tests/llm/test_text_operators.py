@@ -160,7 +160,7 @@ def test_suffix_tree_base_is_exact_and_scores_are_probabilities(docs, none):
 def test_suffix_tree_contexts_help_on_held_out_text(spark):
     rng = np.random.default_rng(4)
     syllables = ["tho", "ren", "ka", "mi", "sul"]
-    rows = [(i, " ".join("".join(rng.choice(syllables, 3)) for _ in range(60))) for i in range(300)]
+    rows = [(i, " ".join("".join(rng.choice(syllables, 6)) for _ in range(60))) for i in range(300)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = suffix_tree.score(frame, ~suffix_tree.held_out()).where(suffix_tree.held_out()).agg(F.sum("score"), F.sum("base_score"), F.count("*")).first()
     assert got[2] > 10 and got[0] > got[1]
