@@ -167,7 +167,6 @@ def verified(pairs: DataFrame, items: DataFrame, similar: Callable[[bytes, bytes
     """The pairs (a, b) whose contents are similar; sizes alone rule out those beyond 4 to 5."""
     a = items.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("items").alias("ai"))
     b = items.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("items").alias("bi"))
-    sized = pairs.join(a.drop("ai"), "a").join(b.drop("bi"), "b").where("5 * least(an, bn) >= 4 * greatest(an, bn)").select("a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +174,8 @@ def verified(pairs: DataFrame, items: DataFrame, similar: Callable[[bytes, bytes
             if out:
                 yield pa.RecordBatch.from_pylist(out, _PAIRS)
 
-    return sized.join(a.drop("an"), "a").join(b.drop("bn"), "b").select("a", "b", "ai", "bi").mapInArrow(run, "a long, b long")
+    met = pairs.join(a, "a").join(b, "b").where("5 * least(an, bn) >= 4 * greatest(an, bn)")
+    return met.select("a", "b", "ai", "bi").mapInArrow(run, "a long, b long")
 
 
 def _labelled(entries: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -24,7 +24,7 @@ def _stars(links: DataFrame, both: bool) -> DataFrame:
         out = moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     before = None
     for _ in range(ROUNDS):
-        links = cut_lineage(_stars(_stars(links, True), False))
+        links = cut_lineage(_stars(_stars(links, True), False).distinct())
         # In stars every node has one link and no least node has any.
         state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == before:

@@ -20,6 +20,7 @@ Columns besides id and text are carried.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +105,7 @@ def _items(s: texts.Slice):
     return texts.hashes(folded, a, z).view(np.int64), content
 
 
+@lru_cache(maxsize=4096)
 def _set(line: bytes) -> np.ndarray:
     """Sorted distinct windows of a folded line."""
     data = np.frombuffer(line, np.uint8)
