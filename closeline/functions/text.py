@@ -30,6 +30,7 @@ AMBIGUOUS = {
 MAX_AMBIGUOUS = 4
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v")
 MAX_READINGS = 64
+MAX_HYPHENATED = 2
 
 
 def _number_text(n: Column) -> Column:
@@ -124,6 +125,15 @@ def normalise_name(c: Column | str) -> Column:
     return F.when(joined == "nan", F.lit("")).otherwise(joined)
 
 
+def _ambiguous_words(words: Column) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(*AMBIGUOUS)))
+
+
+def excess_team_readings(c: Column | str) -> Column:
+    """True where a team name has more ambiguous words than are spelled out."""
+    return _ambiguous_words(_words(normalise_name(c))) > MAX_AMBIGUOUS
+
+
 def name_variants(c: Column | str) -> Column:
     """Every reading of a team name, as an array of text (at most 3**4 of them)."""
     base = normalise_name(c)
@@ -137,7 +147,7 @@ def name_variants(c: Column | str) -> Column:
         choices = F.concat(F.array(word), F.coalesce(F.try_element_at(table, word), F.array().cast("array<string>")))
         return F.flatten(F.transform(forms, lambda f: F.transform(choices, lambda x: F.trim(F.concat(f, F.lit(" "), x)))))
 
-    ambiguous = F.size(F.filter(words, lambda w: F.coalesce(F.map_contains_key(table, w), F.lit(False))))
+    ambiguous = _ambiguous_words(words)
     grown = F.aggregate(words, F.array(F.lit("")), grow)
     return (
         F.when(base == "", F.array().cast("array<string>"))
@@ -161,23 +171,26 @@ def normalise_player(c: Column | str) -> Column:
     return F.when(F.lower(F.trim(text)) == "nan", F.lit("")).otherwise(F.trim(_player_words(text, False)))
 
 
+def _hyphenated(parts: Column) -> Column:
+    return F.size(F.filter(parts, lambda w: F.regexp_replace(w, "^-+|-+$", "").contains("-")))
+
+
 def hyphen_forms(c: Column | str) -> Column:
     """A name with up to two hyphenated words, whole and by halves."""
     parts = _words(col(c))
-    hyphenated = F.size(F.filter(parts, lambda w: F.regexp_replace(w, "^-+|-+$", "").contains("-")))
+    hyphenated = _hyphenated(parts)
 
     def grow(forms: Column, word: Column) -> Column:
         halves = F.filter(F.split(word, "-"), lambda h: h != "")
         choices = F.when(F.regexp_replace(word, "^-+|-+$", "").contains("-"), F.concat(F.array(word), halves)).otherwise(F.array(word))
         return F.flatten(F.transform(forms, lambda f: F.transform(choices, lambda x: F.trim(F.concat(f, F.lit(" "), x)))))
 
-    return F.when((hyphenated == 0) | (hyphenated > 2), F.array(F.array_join(parts, " "))).otherwise(
+    return F.when((hyphenated == 0) | (hyphenated > MAX_HYPHENATED), F.array(F.array_join(parts, " "))).otherwise(
         F.aggregate(parts, F.array(F.lit("")), grow)
     )
 
 
-def player_variants(c: Column | str) -> Column:
-    """Readings of a player name: asides, hyphens, apostrophes, medial initials."""
+def _player_forms(c: Column | str) -> Column:
     raw = F.coalesce(col(c).cast("string"), F.lit(""))
     bare = F.regexp_replace(raw, r"\([^)]*\)|\"[^\"]*\"|“[^”]*”", " ")
     bases = F.filter(F.array(raw, bare), lambda b: F.trim(b) != "")
@@ -185,8 +198,19 @@ def player_variants(c: Column | str) -> Column:
     words = F.flatten(F.transform(spelled, lambda s: F.array(_player_words(s, False), _player_words(s, True))))
     # Drop a single letter that stands between two words.
     both = F.flatten(F.transform(words, lambda w: F.array(w, F.regexp_replace(w, r"(?<=\S) [a-z0-9](?= )", ""))))
-    forms = F.filter(F.array_distinct(F.transform(both, lambda w: F.trim(F.regexp_replace(w, r"\s+", " ")))), lambda w: w != "")
-    return F.when(F.lower(F.trim(raw)) == "nan", F.array().cast("array<string>")).otherwise(F.slice(forms, 1, MAX_READINGS))
+    return F.filter(F.array_distinct(F.transform(both, lambda w: F.trim(F.regexp_replace(w, r"\s+", " ")))), lambda w: w != "")
+
+
+def excess_player_readings(c: Column | str) -> Column:
+    """True where a player name has more readings, or hyphenated words, than are kept."""
+    raw = F.coalesce(col(c).cast("string"), F.lit(""))
+    return (_hyphenated(_words(raw)) > MAX_HYPHENATED) | (F.size(_player_forms(c)) > MAX_READINGS)
+
+
+def player_variants(c: Column | str) -> Column:
+    """Readings of a player name: asides, hyphens, apostrophes, medial initials."""
+    raw = F.coalesce(col(c).cast("string"), F.lit(""))
+    return F.when(F.lower(F.trim(raw)) == "nan", F.array().cast("array<string>")).otherwise(F.slice(_player_forms(c), 1, MAX_READINGS))
 
 
 def player_abbreviations(c: Column | str) -> Column:

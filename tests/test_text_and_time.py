@@ -54,3 +54,16 @@ def test_minutes_and_states(spark):
     states = one(spark, stamps, C.tip_state("x", now), "x timestamp_ntz")
     assert states == ["started", "imminent", "upcoming", "unconfirmed"]
     assert one(spark, states, C.can_be_played("x")) == [False, False, True, False]
+
+
+def test_names_with_too_many_readings_are_not_resolved(spark):
+    from closeline.operators import names as N
+
+    named = spark.createDataFrame([(1, "St N S E W"), (2, "Mt Union")], "id long, name string")
+    rows = spark.createDataFrame([(1, "St N S E W"), (2, "mount union"), (3, "nobody")], "k long, name string")
+    got = {r["k"]: (r["resolution"], r["resolved_id"]) for r in N.resolve(rows, "k", "name", N.alias_index(named, "name", "id")).collect()}
+    assert got == {1: ("too many readings", None), 2: ("one", 2), 3: ("none", None)}
+    people = spark.createDataFrame([(1, "A-B C-D E-F"), (2, "Ann Lee")], "id long, name string")
+    asked = people.withColumnRenamed("id", "k")
+    found = N.resolve(asked, "k", "name", N.alias_index(people, "name", "id", variants=T.player_variants), variants=T.player_variants)
+    assert {r["k"]: r["resolution"] for r in found.collect()} == {1: "too many readings", 2: "one"}
