@@ -135,10 +135,12 @@ def devig(frame: DataFrame, scope: str = "wager", power: bool = False) -> DataFr
     unknown = F.col("pair_kind").isNull() | F.col("pair_line").isNull()
     keys = ["event_id", "market", "segment", *pairs]
     usable = ~unknown & F.col("market_implied_raw").isNotNull()
+    # Numbers only, so that the sums are hashed on both sides of the shuffle.
+    first = F.col("selection").isin("home", "over") | F.col("selection").endswith("_over")
     groups = work.filter(usable).groupBy(*keys).agg(
-        F.count("*").alias("__n"), F.min("selection").alias("__s0"), F.max("selection").alias("__s1"),
-        F.min_by("market_implied_raw", "selection").alias("__a"), F.max_by("market_implied_raw", "selection").alias("__b"))
-    two_sided = (F.col("__n") == 2) & (F.col("__s0") != F.col("__s1"))
+        F.count("*").alias("__n"), F.count_if(first).alias("__n0"),
+        F.max(F.when(first, F.col("market_implied_raw"))).alias("__a"), F.max(F.when(~first, F.col("market_implied_raw"))).alias("__b"))
+    two_sided = (F.col("__n") == 2) & (F.col("__n0") == 1)
     total = F.col("__a") + F.col("__b")
     groups = groups.withColumn("__total", total)
     if power:

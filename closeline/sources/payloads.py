@@ -82,10 +82,12 @@ def parse_payloads(frame: DataFrame, column: str = "payload") -> DataFrame:
 def outcomes(payloads: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """One row per outcome of each market of each book."""
     e = T.clean_text
-    books = payloads.select(e("id").alias("event_id"), e("commence_time").alias("commence_time"), e("home_team").alias("home_team"), e("away_team").alias("away_team"), *carry, F.explode("bookmakers").alias("b"))
+    # Outer explodes with filters after them: else the optimizer parses the document again for each.
+    books = payloads.select(e("id").alias("event_id"), e("commence_time").alias("commence_time"), e("home_team").alias("home_team"), e("away_team").alias("away_team"), *carry, F.explode_outer("bookmakers").alias("b"))
     book = F.when(e("b.key") != "", e("b.key")).otherwise(e("b.title"))
-    blocks = books.select("event_id", "commence_time", "home_team", "away_team", *carry, book.alias("book"), F.explode("b.markets").alias("m"))
-    return blocks.select("event_id", "commence_time", "home_team", "away_team", *carry, "book", e("m.key").alias("provider_key"), F.inline("m.outcomes"))
+    blocks = books.select("event_id", "commence_time", "home_team", "away_team", *carry, book.alias("book"), F.explode_outer("b.markets").alias("m"))
+    rows = blocks.select("event_id", "commence_time", "home_team", "away_team", *carry, "book", e("m.key").alias("provider_key"), F.explode_outer("m.outcomes").alias("o"))
+    return rows.filter("o is not null").select(*[c for c in rows.columns if c != "o"], "o.*")
 
 
 def classify_outcomes(payloads: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
