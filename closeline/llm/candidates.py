@@ -58,7 +58,7 @@ def _thin(sig: np.ndarray, node: np.ndarray, blocks: int) -> Iterator[tuple[int,
 
 
 def shared(column: DataFrame, keys: Callable[[texts.Slice], tuple[np.ndarray, ...]]) -> DataFrame:
-    """(sig, node, need): keys that more than one node has.
+    """(sig, node, need, central): keys that more than one node has.
 
     ``keys`` gives keys and their nodes for a slice of the one text column, and, if links
     share more than one key, nodes and their needs.
@@ -109,7 +109,10 @@ def shared(column: DataFrame, keys: Callable[[texts.Slice], tuple[np.ndarray, ..
     keyed = met.where("sig < 0")
     enough = keyed.groupBy("node").count().join(needs, "node", "left").select("node", "count", F.coalesce("need", F.lit(1)).alias("need")).where("count >= need")
     left = cut_lineage(keyed.join(enough.select("node", "need"), "node"))
-    return left.join(left.groupBy("sig").count().where("count > 1").select("sig"), "sig", "left_semi")
+    held = left.join(left.groupBy("sig").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "sig")
+    # How often a node meets others: the text that copies were made from comes first.
+    central = held.groupBy("node").agg(F.sum("held").alias("central"))
+    return held.join(central, "node").select("sig", "node", "need", "central")
 
 
 class Sieve:
@@ -185,20 +188,21 @@ def _labelled(entries: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFram
     """
     least = graph.components(links)
     known = entries.join(least, "node", "left").withColumn("comp", F.coalesce("least", "node")).drop("least")
-    split = known.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("node", F.struct("comp", "node")).alias("center"),
-                                     F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")).where("low < high")
-    return known, split.groupBy("mark", "low", "high", "center").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("weight"))
+    top = F.max_by(F.struct("node", "comp"), F.struct("central", "node"))
+    split = known.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), top.alias("top"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")).where("low < high")
+    split = split.groupBy("mark", "low", "high", F.col("top.node").alias("center"), F.col("top.comp").alias("center_comp"))
+    return known, split.agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("weight"))
 
 
 def links(entries: DataFrame, items: DataFrame, similar: Callable[[bytes, bytes], bool]) -> DataFrame:
     """Links (a, b) between nodes whose components are those of all links that share enough keys."""
-    # Each node with the node it shares most keys with among the least of each.
-    centers = entries.groupBy("sig").agg(F.min("node").alias("center"))
+    # Each node with the node it shares most keys with among the most central of each key.
+    centers = entries.groupBy("sig").agg(F.max_by("node", F.struct("central", "node")).alias("center"))
     near = entries.join(centers, "sig").where("node <> center").groupBy("node", "center").count()
     first = near.groupBy("node").agg(F.max_by("center", F.struct("count", "center")).alias("center"))
     found = cut_lineage(verified(first.select(F.col("node").alias("a"), F.col("center").alias("b")), items, similar))
     known, split = _labelled(entries, found)
-    again = known.join(split.select("sig", "low", "center"), "sig").where("comp <> low").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
+    again = known.join(split.select("sig", "center", "center_comp"), "sig").where("comp <> center_comp").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     found = cut_lineage(found.union(verified(again, items, similar)))
     known, split = _labelled(entries, found)
     open_ = known.join(split.select("sig", "weight"), "sig").join(items.select("node", "n"), "node")
