@@ -23,6 +23,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from closeline.session import cut_lineage
+
 WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 20
@@ -104,6 +106,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that repeat no item; columns stay."""
-    leaking = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaking")).distinct()
+    """The documents that repeat no item; columns stay. Few leaking ids, counted first, are broadcast."""
+    leaking = cut_lineage(leaks(docs, benchmark).select(F.col("doc_id").alias("_leaking")).distinct())
+    if leaking.count() <= BROADCAST_ROWS:
+        leaking = F.broadcast(leaking)
     return docs.join(leaking, F.col("doc_id") == F.col("_leaking"), "left_anti")

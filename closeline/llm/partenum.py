@@ -175,6 +175,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those that link, directly or not, to one of a lesser id; columns stay."""
-    dropped = classes(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    """The documents without those that link, directly or not, to one of a lesser id; columns stay.
+
+    Rows that repeat the least id itself stay. Only documents that may go are shuffled.
+    """
+    dropped = cut_lineage(classes(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_dropped")).distinct())
+    sieve = candidates.Sieve(dropped.select(F.xxhash64("_dropped").alias("node")))
+    hit = sieve.may_hold(F.xxhash64("doc_id"))
+    return docs.where(hit).join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti").union(docs.where(~hit))
