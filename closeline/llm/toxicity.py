@@ -90,10 +90,14 @@ class Network:
         for d in ("f", "b"):
             self.p |= {f"{d}_in": draw(size, 3 * STATES), f"{d}_bias": np.zeros(3 * STATES, np.float32), f"{d}_state": draw(STATES, 3 * STATES)}
 
-    def inputs(self, words: np.ndarray, cells: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each word in the vocabulary (its length: unknown) and its input vector."""
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Place of each word in the vocabulary; its length where it is unknown."""
         at = np.minimum(np.searchsorted(self.vocabulary, words), max(len(self.vocabulary) - 1, 0))
-        at = np.where(self.vocabulary[at] == words, at, len(self.vocabulary)) if len(self.vocabulary) else at
+        return np.where(self.vocabulary[at] == words, at, len(self.vocabulary)) if len(self.vocabulary) else np.zeros(len(words), np.int64)
+
+    def inputs(self, words: np.ndarray, cells: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each word in the vocabulary and its input vector."""
+        at = self.places(words)
         chars = np.add.reduceat(self.p["char"][cells], first, axis=0) / n[:, None] if len(first) else np.zeros((0, CHAR_SIZE), np.float32)
         return at, np.concatenate((self.p["word"][at], np.append(self.odds, 0)[at][:, None], chars), axis=1).astype(np.float32)
 
@@ -188,9 +192,11 @@ def fit(sample: list[tuple[str, int]], seed: int = 7):
     labels = np.array([y for _, y in sample], np.int64)
     if not len(labels) or labels.min() == labels.max():
         return Constant(float(labels.mean()) if len(labels) else 0.0)
-    s = next(texts.slices(pa.array([t for t, _ in sample]), 1 << 40))
-    words, counts, cells, first, n = tokens(s)
-    row = np.repeat(np.arange(s.rows), counts)
+    # Slice by slice, so that only the compact arrays are as large as the sample.
+    parts = [(w, c, x.astype(np.uint16), k.astype(np.int32)) for w, c, x, _, k in (tokens(s) for s in texts.slices(pa.array([t for t, _ in sample]), 1 << 19))]
+    words, counts, cells, n = (np.concatenate(x) for x in zip(*parts))
+    first = np.cumsum(n) - n
+    row = np.repeat(np.arange(len(labels)), counts)
     seen, of = texts.distinct(words, row)
     vocabulary, inverse = np.unique(seen, return_inverse=True)
     hits = [np.bincount(inverse[labels[of] == y], minlength=len(vocabulary)) for y in (0, 1)]
@@ -202,12 +208,12 @@ def fit(sample: list[tuple[str, int]], seed: int = 7):
 
     rng = np.random.default_rng(seed)
     win_row, start, length = windows(counts)
-    at, _ = net.inputs(words, cells, first, n)
+    at = net.places(words)
     sums = np.concatenate(([0], np.cumsum(np.append(net.odds, 0)[at] ** 2)))
     worth = sums[start + length] - sums[start]
     order = np.lexsort((worth, win_row))
     best = order[np.append(win_row[order][1:] != win_row[order][:-1], True)]
-    per = np.bincount(win_row, minlength=s.rows)
+    per = np.bincount(win_row, minlength=len(labels))
     clean = np.flatnonzero((labels == 0) & (per > 0))
     chance = (np.cumsum(per) - per)[clean] + (rng.random(len(clean)) * per[clean]).astype(np.int64)
     chosen = np.concatenate((best, chance))
