@@ -10,8 +10,9 @@ A text is labelled in chains of ``CHAIN`` words, word by word, by forward-backwa
 language has the greatest sum of marginals over words with letters, and the score is its
 share of that sum.
 
-At most ``PER_LANGUAGE`` texts of a language, none over ``FIT_BYTES`` bytes, are learned
-from, chosen by a hash of the text: documented bounds of the sample alone. Scoring covers
+At most ``PER_LANGUAGE`` different texts of a language are learned from, chosen by a hash
+of the text; of a text over ``FIT_BYTES`` bytes one piece, chosen by its hash, stands for
+it. Copies count once. These are documented bounds of the sample alone. Scoring covers
 every text whole, by slices of a few MB.
 
 A null text, an empty one, or one without letters is ``und`` with score 0; so is every
@@ -237,10 +238,17 @@ class _Part:
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """At most PER_LANGUAGE texts of each language, none of them held out."""
-    text = F.col(text_col).cast("string")
-    rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col) & (F.octet_length(text) <= FIT_BYTES)).select(text.alias("text"), F.col(lang_col).alias("lang"))
-    chosen = rows.withColumn("at", F.expr("row_number() over (partition by lang order by xxhash64(text), text)")).where(F.col("at") <= PER_LANGUAGE)
+    """At most PER_LANGUAGE different texts of each language, none of them held out; of a long one a piece."""
+    space = "\\\\x20\\\\x09-\\\\x0D"
+    pieces = f"regexp_extract_all(text, '[^{space}](?s:.{{0,{FIT_BYTES // 4 - 101}}})[^{space}]{{0,100}}', 0)"
+    piece = f"if(octet_length(text) <= {FIT_BYTES}, text, array_min(transform({pieces}, x -> struct(xxhash64(x) as h, x))).x)"
+    rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
+    rows = rows.select(F.expr(piece).alias("text"), "lang").where("text is not null").withColumn("h", F.xxhash64("text"))
+    # Hashes are told apart first, so that copies take one place and only the chosen texts are shuffled.
+    at = "row_number() over (partition by lang order by {})"
+    keys = rows.select("lang", "h").distinct().withColumn("at", F.expr(at.format("h"))).where(F.col("at") <= PER_LANGUAGE).select("lang", "h")
+    chosen = rows.join(F.broadcast(keys), ["lang", "h"]).select("lang", "h", "text").distinct()
+    chosen = chosen.withColumn("at", F.expr(at.format("h, text"))).where(F.col("at") <= PER_LANGUAGE)
     return [(r["text"], r["lang"]) for r in chosen.orderBy("lang", "at").collect()]
 
 

@@ -215,6 +215,20 @@ def test_language_of_held_out_and_switched_texts(spark, docs, none):
     assert language.predict(none.withColumn("lang", F.lit("aa"))).count() == 0
 
 
+def test_language_sample_has_each_text_once_and_pieces_of_long_ones(spark):
+    copies = [(i, "the same words again", "aa") for i in range(400)]
+    others = [(1000 + i, f"kalo kami {i}", "aa") for i in range(400)]
+    one = next(i for i in range(3000, 3100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    long = [(one, "stren strol " * 2000, "bb"), (one + 1, " " * 9000, "bb"), (one + 2, None, "bb")]
+    frame = spark.createDataFrame(copies + others + long, "doc_id long, text string, lang string")
+    got = language.sample(frame)
+    aa, bb = [t for t, lang in got if lang == "aa"], [t for t, lang in got if lang == "bb"]
+    assert len(aa) == len(set(aa)) == language.PER_LANGUAGE
+    assert len(bb) == 1 and set(bb[0].split()) == {"stren", "strol"} and 1800 < len(bb[0].encode()) <= language.FIT_BYTES
+    found = language.predict(frame.where("lang = 'bb' or text like 'kalo%'")).where(F.col("doc_id") == one).first()
+    assert found["lang_pred"] == "bb"
+
+
 def test_gradients_of_the_network():
     net = toxicity.Network(np.arange(5, dtype=np.uint64), np.zeros(5))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
