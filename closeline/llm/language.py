@@ -272,15 +272,15 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose language is known with a share of at least ``least``; columns stay. Nothing is shuffled."""
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with a known language, whatever its share; columns stay. Nothing but the sample is shuffled."""
     model = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, id_col, text_col)))  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in texts.slices(batch.column(batch.schema.get_field_index(text_col)), 1 << 20):
                 if model.value is not None:
-                    best, share = model.value.judge(s)
-                    yield batch.slice(s.first, s.rows).filter(pa.array((best >= 0) & (share >= least)))
+                    best, _ = model.value.judge(s)
+                    yield batch.slice(s.first, s.rows).filter(pa.array(best >= 0))
 
     return docs.mapInArrow(run, docs.schema)

@@ -229,6 +229,17 @@ def test_language_sample_has_each_text_once_and_pieces_of_long_ones(spark):
     assert found["lang_pred"] == "bb"
 
 
+def test_mixed_texts_of_known_languages_stay(spark):
+    vocab = {"aa": ["kalo", "kami", "karu"], "bb": ["stren", "strol", "strip"], "cc": ["ovu", "ivu", "uvo"]}
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(vocab[lang], 30)), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 40)]
+    mixed = [(1000, "kalo " * 40 + "stren " * 30 + "ovu " * 30, None), (1001, "1 2", None)]
+    frame = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")
+    share = language.predict(frame).where("doc_id = 1000").first()
+    assert share["lang_pred"] == "aa" and share["score"] < 0.5
+    assert {r["doc_id"] for r in language.keep(frame).collect()} == {i for i, *_ in rows} | {1000}
+
+
 def test_gradients_of_the_network():
     net = toxicity.Network(np.arange(5, dtype=np.uint64), np.zeros(5))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
