@@ -8,8 +8,9 @@ a pair of similarity 0.8 with probability 1 - (1 - 0.8 ** ROWS) ** BANDS, over 0
 that share a band are verified by exact Jaccard similarity of at least 0.8; components of
 verified lines, over the whole table, keep their first line by id and place.
 
-Lines of fewer than ``LEAST`` bytes, stripped, take no part and stay as they are, as do
-blank lines. The other lines of a text keep their order and bytes. A null text stays null
+Every line that isn't blank takes part, however short: one of up to ``CHARS`` bytes is one
+window, so only equal lines are alike. Blank lines stay. The lines left of a text keep
+their order and bytes. A null text stays null
 and has no lines; an empty one has none either. Equal lines are one node, so ties and
 repeated rows come to one line. Of rows with equal ids the text is rebuilt as one, so ids
 should be unique: repeated ids raise no error and lose the lines of either. Rows of a
@@ -32,25 +33,22 @@ from closeline.session import cut_lineage
 CHARS = 10
 BANDS = 12
 ROWS = 5
-LEAST = 10
+LEAST = 1  # bytes of a stripped line that takes part: all but blank ones
 _PLACES = BANDS * ROWS
 _DRAWS = 24
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def stripped(s: texts.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, number in its text, start and stripped end of each line that takes part."""
+    """Row, number in its text, start and stripped end of each line that isn't blank."""
     starts, ends = texts.lines(s)
-    row = s.row_of(starts)
-    # Of an empty text's line the start is an edge of several rows; it takes no part anyway.
-    number = np.arange(len(starts)) - np.searchsorted(row, row)
     solid = np.flatnonzero(~texts.IS_SPACE[s.data]) if len(s.data) else np.zeros(0, np.int64)
     first, last = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
     some = last > first
-    row, number, first, last = row[some], number[some], first[some], last[some]
-    a, z = solid[first], solid[last - 1] + 1
-    long = z - a >= LEAST
-    return row[long], number[long], a[long], z[long]
+    a, z = solid[first[some]], solid[last[some] - 1] + 1
+    # By the place of the first byte: starts of empty lines are edges of several rows.
+    row, breaks = s.row_of(a), np.flatnonzero(s.data == 10)
+    return row, np.searchsorted(breaks, a) - np.searchsorted(breaks, s.edges[row]), a, z
 
 
 def windows(folded: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

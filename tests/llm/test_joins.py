@@ -3,10 +3,11 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from closeline.llm import candidates, decontamination, graph, lines, partenum
+from closeline.llm import candidates, decontamination, graph, lines, partenum, texts
 
 
 def grown(seed=0):
@@ -176,6 +177,18 @@ def test_documents_left_without_lines_go(spark):
     assert got == {1: ("one line of text here", 21), 3: ("and another one", 15), 4: ("", 0), 5: (None, 0)}
 
 
+def test_short_lines_repeat_as_long_ones_do(spark):
+    rows = [(1, "Home\nthe first article of all\n\nx"), (2, " HOME\n\nX\nHomes\n数字。"), (3, "Share\n数字。\nShare"), (4, "a"), (5, "b\na ")]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\nHomes\n数字。", 2), 3: ("Share", 2), 4: ("a", 0), 5: ("b", 1)}
+
+
+def test_lines_are_numbered_within_their_own_text():
+    rows = ["a\n", "", None, "b\n\n", "\nc\nd", " ", "e"]
+    row, number, *_ = lines.stripped(next(texts.slices(pa.array(rows))))
+    assert list(zip(row.tolist(), number.tolist())) == [(0, 0), (3, 0), (4, 1), (4, 2), (6, 0)]
+
+
 def leaks_by_hand(docs, items):
     def bag(w):
         return Counter(tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4)))
