@@ -1,10 +1,12 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact check.
 
 Words are lower-cased runs outside white space; shingles are five words (all, if fewer).
-A document's windows have as many words as an item (the whole text, if it is shorter). A
-window without any shingle of an item has similarity 0 to it, so windows are taken where
-a shingle of the document stands in an item, aligned with it. Each distinct window gets a
-64-bit SimHash, every occurrence of a shingle voting once. Fingerprints are cut into
+A document's windows have as many words as an item (the whole text, if it is shorter), at
+every start. Of a window of m shingles that is ``SIMILARITY`` alike to an item of its size
+at least m * 2 * SIMILARITY / (1 + SIMILARITY) stand in the item, whatever their order; so
+the first that does has at most the rest before it, and every window that starts so far
+before a shared shingle, or nearer, is taken: no other can be alike. Each distinct window
+gets a 64-bit SimHash, every occurrence of a shingle voting once. Fingerprints are cut into
 ``RADIUS + 1`` blocks: those within ``RADIUS`` bits agree on one block at least, so the
 join on (words in the item, block, value) finds all of them. Candidates within the radius
 are verified: the sum of least over the sum of greatest shingle counts, window against
@@ -12,7 +14,8 @@ item, is at least ``SIMILARITY``. At that similarity fingerprints differ in abou
 bits; the radius leaves room for more than three standard deviations.
 
 Built-in functions only. Item shingles are broadcast where their number, counted first,
-is at most ``BROADCAST_ROWS``; otherwise both sides are shuffled, with the same result.
+is at most ``BROADCAST_ROWS``; otherwise both sides are shuffled, with the same result. There
+windows meet their text by id, null or not, and the text's hash.
 
 Null or empty texts, and items without words, match nothing. Repeated documents, items
 and ids are each matched on their own; pairs are distinct. Empty tables give no pairs.
@@ -64,21 +67,27 @@ def _blocks(frame: DataFrame) -> DataFrame:
 
 
 def _anchored(docs: DataFrame, items: DataFrame, size: int, small: bool, id_col: str) -> DataFrame:
-    """(doc_id, n_item, words of a window) where a shingle of ``size`` words stands in an item."""
-    offsets = (items.where(F.least(F.lit(WORDS), F.size("words")) == size)
-               .select(F.size("words").alias("n_item"), F.expr(f"posexplode(transform(sequence(0, size(words) - {size}), i -> slice(words, i + 1, {size})))").alias("offset", "s"))
-               .select(F.xxhash64(*[F.col("s")[j] for j in range(size)]).alias("key"), "n_item", "offset")
-               .groupBy("key").agg(F.collect_set(F.struct("n_item", "offset")).alias("aligned")))
-    places = docs.where(F.size("words") >= size).select(F.col(id_col).alias("doc_id"), "words", F.expr(f"explode(sequence(0, size(words) - {size}))").alias("at"))
-    keyed = places.withColumn("key", F.xxhash64(*[F.expr(f"words[at + {j}]") for j in range(size)]))
+    """(doc_id, n_item, words of a window) of all windows that may hold enough shingles, of ``size`` words, of an item."""
+    sizes = (items.where(F.least(F.lit(WORDS), F.size("words")) == size)
+             .select(F.size("words").alias("n_item"), F.expr(f"explode(transform(sequence(0, size(words) - {size}), i -> slice(words, i + 1, {size})))").alias("s"))
+             .select(F.xxhash64(*[F.col("s")[j] for j in range(size)]).alias("key"), "n_item")
+             .groupBy("key").agg(F.collect_set("n_item").alias("sizes")))
+    texts = docs.where(F.size("words") >= size).select(F.col(id_col).alias("doc_id"), "words")
+    at = F.expr(f"explode(sequence(0, size(words) - {size}))").alias("at")
+    key = F.xxhash64(*[F.expr(f"words[at + {j}]") for j in range(size)])
+    # Starts of the windows of which the shingle at ``at`` may be the first shared one.
+    start = "greatest(0, least(at - before, size(words) - n_item))"
+    before = f"explode(sequence(0, cast(floor((n_item - {size - 1}) * {1 - 2 * SIMILARITY / (1 + SIMILARITY)!r}D + 1e-9) as int)))"
     if small:
-        met = keyed.join(F.broadcast(offsets), "key")
-        starts = met.select("doc_id", "words", "at", F.expr("inline(aligned)"))
+        met = texts.select("doc_id", "words", at).withColumn("key", key).join(F.broadcast(sizes), "key")
+        starts = met.select("doc_id", "words", "at", F.explode("sizes").alias("n_item"))
     else:
-        met = keyed.select("doc_id", "at", "key").join(offsets, "key").select("doc_id", "at", F.expr("inline(aligned)")).distinct()
-        starts = met.join(docs.select(F.col(id_col).alias("doc_id"), "words"), "doc_id")
-    start = "greatest(0, least(at - offset, size(words) - n_item))"
-    return starts.select("doc_id", "n_item", F.expr(f"concat_ws(' ', slice(words, {start} + 1, least(n_item, size(words))))").alias("window"))
+        texts = texts.withColumn("sign", F.xxhash64("words"))
+        keyed = texts.select("doc_id", "sign", "words", at).withColumn("key", key).drop("words")
+        met = keyed.join(sizes, "key").select(F.col("doc_id").alias("_doc"), F.col("sign").alias("_sign"), "at", F.explode("sizes").alias("n_item")).distinct()
+        starts = met.join(texts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("sign") == F.col("_sign"))).select("doc_id", "words", "at", "n_item")
+    placed = starts.select("doc_id", "words", "at", "n_item", F.expr(before).alias("before")).withColumn("start", F.expr(start))
+    return placed.select("doc_id", "n_item", F.expr("concat_ws(' ', slice(words, start + 1, least(n_item, size(words))))").alias("window"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -248,6 +248,22 @@ def test_decontamination_alike_beyond_the_broadcast_bound(spark, leaking, monkey
     assert key(decontamination.leaks(frame, bench)) == small
 
 
+@pytest.mark.parametrize("bound", [0, 200_000])
+def test_rotated_items_and_null_ids_are_found(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", bound)
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"w{i}" for i in rng.choice(9999, n, False)]
+    a, b, c = words(50), words(50), words(60)
+    items = [(1, " ".join(a + b)), (2, " ".join(c))]
+    docs = [(1, " ".join(words(20) + b + a + words(30))), (2, " ".join(b + a)), (3, " ".join(words(9) + c[20:] + c[:20] + words(9))),
+            (4, " ".join(a + words(50))), (None, " ".join(words(5) + c)), (None, " ".join(words(80))), (5, " ".join(c)), (5, " ".join(words(70)))]
+    want = leaks_by_hand(docs, items)
+    assert set(want) == {(1, 1), (2, 1), (3, 2), (None, 2), (5, 2)}
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontamination.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+
+
 def test_keys_of_hot_groups_are_thinned():
     sig, node = np.array([5] * 6 + [7, 8, 8], np.uint64), np.array([1, 2, 3, 3, 4, 5, 9, 6, 6])
     parts = list(candidates._thin(sig, node, 4))
