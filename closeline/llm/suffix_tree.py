@@ -1,4 +1,4 @@
-"""LM scoring by a probabilistic suffix tree over bytes.
+"""LM scoring by probabilistic suffix trees over words and, for single words, over bytes.
 
 A text is its words, A-Z folded, each followed by a space, and an end. The tree predicts
 byte after byte from the longest retained context. Contexts are the last 0 to ``DEPTH``
@@ -11,15 +11,23 @@ collected and broadcast. The counts it is drawn from are of all training texts.
 
 Next-byte distributions are interpolated with those of the shorter context, weighted by
 the number of different bytes seen after the context. Scoring walks all texts in step,
-in pieces that start ``DEPTH`` bytes early, through the automaton of the retained
-contexts. As in the unigram base, the symbols are the training tokens and one for all unknown
-words. That one's probability is the share of training tokens that stand once (Good-Turing);
-of the rest, a known token gets its count less ``DISCOUNT``, as a share of all tokens, plus
-the discounted mass times the tree's probability of its bytes where it stands.
-
-Counts of words and ends of training texts are exact, for the model and for the unigram
-base. Words with at least the share ``FREQUENT`` of the tokens, at most 1 / FREQUENT of
-them, are broadcast; the others meet their counts in a join by 64-bit hashes.
+in pieces that start ``DEPTH`` bytes early, through the automaton of the retained contexts.
+
+Above the bytes stands a tree of words: the states are the last one or two words of a
+text, its root the unigram. A state is retained if it stands ``LEAST`` times at least and
+if predicting its own training words, each left out in turn, gains ``EVIDENCE`` nats over
+the state one word shorter. Both bounds are absolute, so states only come in as the corpus
+grows. A retained state gives a word its count there less ``DISCOUNT``, as a share of the
+state's count, plus the discounted mass times what the shorter state gives; a state not
+retained gives what the shorter one does. As in the
+unigram base, all unknown words are one symbol; the root gives it the share of training
+tokens that stand once (Good-Turing); of the rest, a known word gets its count less ``DISCOUNT``, as a share of all tokens, plus the discounted
+mass times the byte tree's probability of it where it stands.
+
+Counts of words, of what follows states, and of ends of training texts are exact, for the
+model and for the unigram base. Words and states with at least the share ``FREQUENT`` of
+the tokens, at most 1 / FREQUENT of each length, are broadcast; the others meet their
+counts in a join by 64-bit hashes, which a bit map of fixed size keeps narrow.
 
 A null text is an empty one: a lone end. Repeated rows are scored alike, each counted in
 training as often as it stands there. A null id is never held out. An empty table gives
@@ -35,13 +43,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from closeline.llm import texts
+from closeline.llm import candidates, texts
 from closeline.session import cut_lineage
 
 DEPTH = 5
 GAIN = 1e-5
 DISCOUNT = 0.4
 FREQUENT = 4e-7
+LEAST, EVIDENCE = 4, 3.0
 PIECE = 512
 SPACE, END, START = 32, 10, 9  # the last two never stand in a word
 _NEVER = (9, 11, 12, 13)
@@ -212,6 +221,50 @@ class Automaton:
         return out
 
 
+def states(tokens: np.ndarray, row: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per depth 1 and 2: hash of the words before each token, and of these with the token."""
+    w = tokens.view(np.uint64)
+    place = np.arange(len(w)) - np.searchsorted(row, row)
+    out, before = [], np.zeros(len(w), np.uint64)
+    for depth in (1, 2):
+        last = np.concatenate((np.zeros(depth, np.uint64), w))[:len(w)]
+        before = texts.mix(texts.mix(before + np.uint64(depth)) ^ np.where(place >= depth, last, np.uint64(START)))
+        out.append((before.view(np.int64), texts.mix(before ^ texts.mix(w + np.uint64(7))).view(np.int64)))
+    return out
+
+
+def followed(training: DataFrame) -> DataFrame:
+    """(depth, state, key, shorter, n): tokens after states; ``shorter`` is the key one word shorter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in texts.slices(batch.column(0)):
+                _, _, _, row, tokens = stream(s)
+                shorter = tokens
+                for depth, (state, key) in enumerate(states(tokens, row), 1):
+                    found, at, n = np.unique(key, return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (np.full(len(found), depth, np.int8), state[at], found, shorter[at], n))], ["depth", "state", "key", "shorter", "n"])
+                    shorter = key
+
+    rows = training.mapInArrow(run, "depth byte, state long, key long, shorter long, n long")
+    return rows.groupBy("depth", "state", "key", "shorter").agg(F.sum("n").alias("n"))
+
+
+def kept_states(follow: DataFrame, words: DataFrame, n_all: int) -> DataFrame:
+    """(key, v, c): of retained states the share that stays for shorter ones, and of what follows the discounted shares."""
+    sums = follow.groupBy("depth", "state").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("k")).where(F.col("c") >= LEAST)
+    rows = cut_lineage(follow.join(sums, ["depth", "state"]))
+    parent = (words.select(F.lit(1).cast("byte").alias("depth"), F.col("key").alias("shorter"), F.expr(f"n / {max(n_all, 1)}D").alias("p"))
+              .union(rows.where("depth = 1").select(F.lit(2).cast("byte"), "key", F.expr("n / c"))))
+    # Each token left out of its state in turn: a token that stands once is left to the shorter state.
+    gain = f"sum(n * ln((greatest(n - 1 - {DISCOUNT}D, 0D) / p + {DISCOUNT}D * k) / (c - 1)))"
+    strong = rows.join(parent, ["depth", "shorter"]).groupBy("depth", "state").agg(F.expr(gain).alias("gain")).where(F.col("gain") >= EVIDENCE)
+    rows = rows.join(strong.select("depth", "state"), ["depth", "state"], "left_semi")
+    own = rows.groupBy("depth", "state").agg(F.max("c").alias("c"), F.max("k").alias("k"))
+    return (rows.select("key", F.expr(f"(n - {DISCOUNT}D) / c").alias("v"), F.col("n").alias("c"))
+            .union(own.select("state", F.expr(f"{DISCOUNT}D * k / c"), "c")))
+
+
 def fit(counts: DataFrame) -> Automaton:
     rows = retained(counts.where("kind = 1").select("key", "n")).collect()  # bounded by DEPTH and GAIN
     return Automaton([tuple(r) for r in rows])
@@ -230,48 +283,76 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     mass = DISCOUNT * kinds / n_all if n_all else 1.0
     least = max(1, int(np.ceil(FREQUENT * n_all)))
     common = words.where((F.col("n") >= least) | (F.col("key") == 0)).orderBy("key").toPandas()  # at most 1 / FREQUENT rows, and the end
-    model = spark.sparkContext.broadcast((fit(counts), common["key"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
+    kept = cut_lineage(kept_states(cut_lineage(followed(column)), words, n_all))
+    often = kept.where(F.col("c") >= least).orderBy("key").toPandas()  # at most 2 / FREQUENT rows of each length
+    others = kept.where(F.col("c") < least).select("key", "v")
+    sieve = candidates.Sieve(others.select(F.col("key").alias("node")))
+    model = spark.sparkContext.broadcast((fit(counts), common["key"].to_numpy(np.int64), common["n"].to_numpy(np.int64), often["key"].to_numpy(np.int64), often["v"].to_numpy(float)))
+
+    def met(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, none: float) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+        hit = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+        return np.where(hit, values[at], none) if len(keys) else np.full(len(wanted), none), hit
 
     def parts(s: texts.Slice):
-        tree, keys, n = model.value
+        """Per token: row, place, whether all is here, count (-1: not here), root, then value and key of each state and word after it."""
+        tree, keys, n, known, values = model.value
         symbols, lengths, first, row, tokens = stream(s)
         own = 10.0 ** np.add.reduceat(tree.logs(symbols, lengths), first) if len(first) else np.zeros(0)
-        at = np.minimum(np.searchsorted(keys, tokens), max(len(keys) - 1, 0))
-        hit = keys[at] == tokens if len(keys) else np.zeros(len(tokens), bool)
+        c, hit = met(keys, n, tokens, 0)
+        here = hit | (tokens == 0)
+        root = np.where(here, (1 - unknown) * (np.maximum(c - DISCOUNT, 0) / max(n_all, 1) + mass * own), 0)
+        looked, ready = [(tokens, ~here)], here.copy()
+        shares = []
+        for state, key in states(tokens, row):
+            for wanted, none in ((key, 0.0), (state, 1.0)):
+                v, there = met(known, values, wanted, none)
+                away = ~there & sieve.holds(wanted)
+                ready &= ~away
+                shares.append(v)
+                looked.append((wanted, away))
         edges = np.concatenate(([0], np.cumsum(lengths)))
         signs = texts.hashes(symbols, edges[:-1], edges[1:]).view(np.int64)
-        return row, tokens, own, hit | (tokens == 0), np.where(hit, n[at], 0) if len(n) else np.zeros(len(tokens), np.int64), signs
+        return row, ready, here, c, own, root, shares, looked, signs
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in texts.slices(batch.column(1)):
-                row, _, own, here, n, signs = parts(s)
-                r, c = row[here], n[here]
-                base = np.bincount(r, np.log10((c + 0.1) / below), s.rows)
-                score = np.bincount(r, np.log10((1 - unknown) * (np.maximum(c - DISCOUNT, 0) / max(n_all, 1) + mass * own[here])), s.rows)
-                columns = [np.bincount(row, minlength=s.rows), np.bincount(r[c > 0], minlength=s.rows), base, score, signs]
+                row, ready, here, c, _, root, (a1, b1, a2, b2), _, signs = parts(s)
+                base = np.bincount(row[here], np.log10((c[here] + 0.1) / below), s.rows).astype(float)
+                score = np.bincount(row[ready], np.log10((a2 + b2 * (a1 + b1 * root))[ready]), s.rows).astype(float)
+                columns = [np.bincount(row, minlength=s.rows), np.bincount(row[here & (c > 0)], minlength=s.rows), base, score, signs]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.rows), *map(pa.array, columns)], ["doc_id", "n_tokens", "known", "base", "score", "sign"])
 
+    names = ["sign", "n_tokens", "place", "part", "key", "own", "root", "a1", "b1", "a2", "b2"]
+
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in texts.slices(batch.column(0)):
-                row, tokens, own, here, _, signs = parts(s)
-                size, r = np.bincount(row, minlength=s.rows), row[~here]
-                # One row a text, with no probability, tells how often the text stands here.
-                columns = [np.concatenate((signs[r], signs)), np.concatenate((size[r], size)), np.concatenate((tokens[~here], signs))]
-                marks = pa.concat_arrays([pa.array(own[~here]), pa.nulls(s.rows, pa.float64())])
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), marks], ["sign", "n_tokens", "key", "own"])
+                row, ready, here, _, own, root, shares, looked, signs = parts(s)
+                size, place = np.bincount(row, minlength=s.rows), np.arange(len(row)) - np.searchsorted(row, row)
+                for part, (keys, away) in enumerate([*looked, (None, ~ready)]):
+                    i = np.flatnonzero(away)
+                    r = row[i]
+                    if part < 5:
+                        rest = [pa.nulls(len(i), pa.float64())] * 6
+                        k = keys[i]
+                    else:  # what is here of a token, under a key of its own
+                        rest = [pa.array(own[i]), pa.array(root[i], mask=~here[i]), *(pa.array(v[i]) for v in shares)]
+                        k = texts.mix(signs[r].view(np.uint64) + place[i].astype(np.uint64)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (signs[r], size[r], place[i], np.full(len(i), part, np.int8), k)), *rest], names)
 
     kind = frame.schema["doc_id"].dataType.simpleString()
     scored = frame.select("doc_id", "text").mapInArrow(walk, f"doc_id {kind}, n_tokens long, known long, base double, score double, sign long")
-    seldom = words.where((F.col("n") < least) & (F.col("key") != 0))
-    n = "coalesce(n, 0L)"
-    met = (frame.select("text").mapInArrow(rare, "sign long, n_tokens long, key long, own double").join(seldom, "key", "left")
-           .groupBy("sign", "n_tokens")
-           .agg(F.expr("count_if(own is null) as copies"), F.expr("count_if(own is not null and n is not null) as k"),
-                F.expr(f"sum(if(own is null, 0d, log10(({n} + 0.1d) / {below!r}d))) as b"),
-                F.expr(f"sum(case when own is null then 0d when n is null then log10({unknown!r}d) else log10({1 - unknown!r}d * (greatest(n - {DISCOUNT!r}d, 0d) / {max(n_all, 1)} + {mass!r}d * own)) end) as s"))
-           .select("sign", "n_tokens", F.expr("k div copies as rare_known"), F.expr("b / copies as rare_base"), F.expr("s / copies as rare_score")))
-    return (scored.join(met, ["sign", "n_tokens"], "left")
+    seldom = words.where((F.col("n") < least) & (F.col("key") != 0)).select("key", F.col("n").cast("double").alias("v"), F.lit(True).alias("word"))
+    asked = frame.select("text").mapInArrow(rare, "sign long, n_tokens long, place long, part byte, key long, " + ", ".join(f"{x} double" for x in names[5:])).withColumn("word", F.expr("part = 0"))
+    # Copies of a text ask the same for the same places, and count once.
+    tokens = (asked.join(seldom.union(others.select("key", "v", F.lit(False))), ["key", "word"], "left").groupBy("sign", "n_tokens", "place")
+              .agg(*[F.max(F.expr(f"if(part = {i}, v, null)")).alias(f"v{i}") for i in range(5)], *[F.max(x).alias(x) for x in names[5:]]))
+    root = f"coalesce(root, if(v0 is null, {unknown!r}D, {1 - unknown!r}D * (greatest(v0 - {DISCOUNT!r}D, 0D) / {max(n_all, 1)} + {mass!r}D * own)))"
+    found = (tokens.groupBy("sign", "n_tokens")
+             .agg(F.expr("count(v0) as rare_known"), F.expr(f"sum(if(root is null, log10((coalesce(v0, 0D) + 0.1D) / {below!r}D), 0D)) as rare_base"),
+                  F.expr(f"sum(log10(coalesce(v3, a2) + coalesce(v4, b2) * (coalesce(v1, a1) + coalesce(v2, b1) * {root}))) as rare_score")))
+    return (scored.join(found, ["sign", "n_tokens"], "left")
             .select("doc_id", "n_tokens", F.expr("known + coalesce(rare_known, 0L)").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
                     F.expr("base + coalesce(rare_base, 0d)").alias("base_score"), F.expr("score + coalesce(rare_score, 0d)").alias("score")))

@@ -166,6 +166,46 @@ def test_suffix_tree_contexts_help_on_held_out_text(spark):
     assert got[2] > 10 and got[0] > got[1]
 
 
+def chained(n, seed=4):
+    """Texts in which a word depends on the two before it."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in range(n):
+        w = [int(x) for x in rng.integers(0, 40, 2)]
+        for _ in range(60):
+            w.append((3 * w[-1] + 7 * w[-2] + int(rng.integers(0, 2))) % 40)
+        out.append((i, " ".join(f"w{x}" for x in w)))
+    return out
+
+
+def test_suffix_states_of_words_carry_the_score(spark, monkeypatch):
+    rows, rng = chained(300), np.random.default_rng(1)
+    mixed = [(i + 1000, " ".join(rng.permutation(t.split()))) for i, t in rows if zlib.crc32(str(i).encode()) % 10 == 0]
+    frame = spark.createDataFrame(rows + mixed + [(2000, rows[0][1] + " unseen words"), (2001, rows[0][1] + " unseen words")], "doc_id long, text string")
+    train = ~suffix_tree.held_out() & (F.col("doc_id") < 1000)
+    got = {r["doc_id"]: r for r in suffix_tree.score(frame, train).collect()}
+    for i, _ in mixed:
+        assert got[i - 1000]["base_score"] == pytest.approx(got[i]["base_score"])
+        assert got[i - 1000]["score"] > got[i]["score"] + 10
+    # The same where counts meet in the join instead.
+    monkeypatch.setattr(suffix_tree, "FREQUENT", 1.0)
+    joined = {r["doc_id"]: r for r in suffix_tree.score(frame, train).collect()}
+    for i, r in got.items():
+        assert tuple(joined[i]) == pytest.approx(tuple(r))
+
+
+def test_retained_states_grow_with_the_corpus(spark):
+    def kept(rows):
+        column = spark.createDataFrame(rows, "doc_id long, text string").select("text")
+        words = suffix_tree.counted(column).where("kind = 0").select("key", "n")
+        return {r["key"] for r in suffix_tree.kept_states(suffix_tree.followed(column), words, int(words.agg(F.sum("n")).first()[0])).collect()}
+
+    small = chained(20)
+    strangers = [(i, " ".join(f"s{i}x{j} s{i}y{j}" for j in range(30))) for i in range(2000)]
+    few, many = kept(small), kept(small + strangers)
+    assert few and few <= many and len(kept(chained(100))) > len(few)
+
+
 def test_automaton_finds_the_longest_context():
     rows = [(0, 0, b, n) for b, n in ((97, 50), (98, 30), (32, 20))] + [(1, 97, 98, 40), (1, 97, 97, 10), (1, 98, 97, 30), (2, 97 << 8 | 98, 32, 25), (2, 97 << 8 | 98, 97, 5)]
     tree = suffix_tree.Automaton(rows)
