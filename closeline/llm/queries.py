@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from closeline.llm import bpe, decontamination, language, licenses, lines, partenum, rules, sharding, suffix_tree, toxicity
+from closeline.llm import bpe, decontamination, language, licenses, lines, negatives, partenum, rules, sharding, simhash, suffix_tree, toxicity, variants
 from closeline.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,22 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(table(spark, folder, "documents"))
+
+
+@query
+def op11_simhash_planes(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.classes(table(spark, folder, "documents"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.group(table(spark, folder, "documents"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    noisy = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    return negatives.mine(table(spark, folder, "embeddings"), F.expr("vec_id % 50 = 0"), label=noisy)
+
+
+ORACLES["op13_hard_negatives"] = negatives.SQL
