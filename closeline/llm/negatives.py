@@ -172,22 +172,18 @@ def _search(anchors: pa.Table, rows: pa.Table) -> pa.Table:
     return pa.table({c.split()[0]: pa.array(v, pa.int32() if c.endswith("int") else pa.int64()) for c, v in zip(_FOUND.split(", "), out)})
 
 
-def _cells(anchors: DataFrame, rows: DataFrame, block: int, seed: bool) -> DataFrame:
+def _cells(anchors: DataFrame, rows: DataFrame, blocks: DataFrame, seed: bool) -> DataFrame:
     """What each cell finds; ``side`` says which anchors and rows meet. A seed is one block of the longest vectors a side."""
-    buckets = rows.groupBy("side", "bucket").agg(F.count(F.lit(1)).alias("held"), F.max("length").alias("longest"))
-    buckets = buckets.withColumn("pieces", F.ceil(F.col("held") / block).cast("int"))
     if seed:
-        top = buckets.groupBy("side").agg(F.max("bucket").alias("bucket"))
-        buckets = buckets.join(top, ["side", "bucket"])
-    chunks = anchors.groupBy("side").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    dealt = rows.join(buckets.select("side", "bucket", "pieces"), ["side", "bucket"]).withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int"))
-    sent = (anchors.join(buckets.select("side", "bucket", "longest", "pieces"), "side").where(F.col("length") * F.col("longest") * (1 + SLACK) >= F.array_min("lows"))
-            .join(chunks, "side").withColumn("chunk", F.pmod(F.xxhash64("vec_id", "mark"), F.col("chunks")).cast("int")))
+        blocks = blocks.where("top")
+    dealt = rows.join(blocks.select("side", "bucket", "pieces", "chunks"), ["side", "bucket"]).withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int"))
+    sent = anchors.join(blocks.select("side", "bucket", "longest", "pieces", "chunks"), "side").where(F.col("length") * F.col("longest") * (1 + SLACK) >= F.array_min("lows"))
+    sent = sent.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "mark"), F.col("chunks")).cast("int"))
     if seed:
         dealt, sent = dealt.where("piece = 0"), sent.withColumn("piece", F.lit(0))
     else:
         sent = sent.withColumn("piece", F.explode(F.expr("sequence(0, pieces - 1)")))
-    dealt = dealt.join(chunks, "side").withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
+    dealt = dealt.withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
     # Both sides come from the same rows; new names tell their columns apart.
     dealt = dealt.select(*[F.col(c).alias(c) for c in (*_CELL, "vec_id", "label", "vector", "dims")])
     sent = sent.select(*[F.col(c).alias(c) for c in (*_CELL, "vec_id", "mark", "label", "same", "keep", "lows", "highs", "vector", "dims")])
@@ -202,20 +198,25 @@ def _best(found: DataFrame, keep: int) -> DataFrame:
 
 def _searched(anchors: DataFrame, rows: DataFrame, keep: int, block: int) -> DataFrame:
     """First ``keep`` rows for each anchor and band: a seed block raises the bounds, all blocks are searched within them."""
-    seed = _best(_cells(anchors, rows, block, True), keep).where(F.col("rank") == keep)
+    buckets = rows.groupBy("side", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("pieces"), F.max("length").alias("longest"))
+    chunks = anchors.groupBy("side").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    top = buckets.groupBy("side").agg(F.max("bucket").alias("most"))
+    blocks = cut_lineage(buckets.join(chunks, "side").join(top, "side").withColumn("top", F.col("bucket") == F.col("most")).drop("most"))
+    seed = _best(_cells(anchors, rows, blocks, True), keep).where(F.col("rank") == keep)
     raised = seed.groupBy("anchor_id", "mark").agg(F.map_from_entries(F.collect_list(F.struct("place", "score"))).alias("raised"))
     bounded = anchors.join(raised.withColumnRenamed("anchor_id", "vec_id"), ["vec_id", "mark"], "left")
     lows = F.transform("lows", lambda low, i: F.greatest(low, F.coalesce(F.element_at("raised", i.cast("int")), low)))
-    return _best(_cells(cut_lineage(bounded.withColumn("lows", lows).drop("raised")), rows, block, False), keep)
+    return _best(_cells(cut_lineage(bounded.withColumn("lows", lows).drop("raised")), rows, blocks, False), keep)
 
 
 def mine(vectors: DataFrame, anchors: Column, id_col: str = "vec_id", vector_col: str = "embedding", label: Column | None = None, block: int | None = None) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) for the rows where ``anchors`` holds."""
-    rows = cut_lineage(whole(vectors, id_col, vector_col, label).withColumn("mark", F.xxhash64("label", "vector")))
+    step = float(np.log(STEP))
+    rows = whole(vectors, id_col, vector_col, label).select(
+        "*", F.xxhash64("label", "vector").alias("mark"), F.lit(0).cast("long").alias("everyone"), F.when(F.col("length") > 0, F.ceil(F.log("length") / step)).otherwise(-1).cast("int").alias("bucket"))
+    rows = cut_lineage(rows)
     widest = rows.agg(F.max("dims")).first()[0] or 1
     block = block or int(min(BLOCK, max(LEAST_BLOCK, NUMBERS // max(widest, 1))))
-    step = float(np.log(STEP))
-    rows = rows.withColumn("bucket", F.when(F.col("length") > 0, F.ceil(F.log("length") / step)).otherwise(-1).cast("int"))
     least, most = F.lit(-(1 << 62)).cast("long"), F.lit(1 << 62).cast("long")
     chosen = cut_lineage(rows.where(anchors).drop("bucket").dropDuplicates(["vec_id", "label", "vector"]))
     positives = _searched(
@@ -225,9 +226,9 @@ def mine(vectors: DataFrame, anchors: Column, id_col: str = "vec_id", vector_col
     bands = positives.groupBy("anchor_id", "mark").agg(F.array_sort(F.collect_list(F.struct("place", "positive_score"))).alias("p"))  # POSITIVES at most
     # 50 p <= 100 n <= 95 p in whole numbers
     wanted = chosen.join(bands.withColumnRenamed("anchor_id", "vec_id"), ["vec_id", "mark"]).select(
-        "*", F.lit(0).cast("long").alias("side"), F.lit(False).alias("same"), F.lit(NEGATIVES).alias("keep"),
+        "*", F.col("everyone").alias("side"), F.lit(False).alias("same"), F.lit(NEGATIVES).alias("keep"),
         F.expr("transform(p, x -> (x.positive_score + 1) div 2)").alias("lows"), F.expr("transform(p, x -> x.positive_score - (x.positive_score + 19) div 20)").alias("highs")).drop("p")
-    negatives = _searched(cut_lineage(wanted), rows.withColumn("side", F.lit(0).cast("long")), NEGATIVES, block)
+    negatives = _searched(cut_lineage(wanted), rows.withColumn("side", F.col("everyone")), NEGATIVES, block)
     negatives = negatives.select("anchor_id", "mark", (F.col("place") + 1).alias("place"), "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
     return negatives.join(positives, ["anchor_id", "mark", "place"]).select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
 
