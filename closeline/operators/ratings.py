@@ -19,30 +19,43 @@ from closeline.operators import history as H, intervals as I
 
 DRIVER_TEAMS = 500
 MINIMUM_POSSESSIONS, REGULATION = 40.0, 2
-TIER_EFFECT_SHRINK = 50.0
+TIER_EFFECT_SHRINK, VENUE_RIDGE = 50.0, 1.0
+VENUE_TIERS = ("high_major", "mid_major", "low_major", "unplaced")
+# Names of the venue effects, in the order of their columns.
+VENUE_COLUMNS = ("league offence", "league defence", *[f"{t} offence" for t in VENUE_TIERS], *[f"{t} defence" for t in VENUE_TIERS], "quasi offence", "quasi defence")
 
 
-def prepare(classified: DataFrame) -> DataFrame:
-    """Regulation games with enough shared possessions; adds efficiency and local side."""
+def _prepared(classified: DataFrame, local: DataFrame | None) -> DataFrame:
+    """Rows with ``game_possessions``, the team at home in the place, and ``left_out`` with the first reason that applies."""
     rows = H.with_opponent(classified, ["possessions"])
-    poss = (F.col("possessions") + F.col("possessions_opp")) / 2.0
-    rows = rows.withColumn("game_possessions", poss)
-    keep = (F.col("venue_state") != "unknown") & (F.col("periods") == REGULATION) & (F.col("game_possessions") >= MINIMUM_POSSESSIONS)
-    at_home = F.col("venue_state") == "home"
     home = F.col("home_away") == "home"
-    local = F.when(at_home, F.when(home, F.col("team_id")).otherwise(F.col("opponent_id")))
-    return rows.filter(keep).withColumns({
-        "efficiency": 100.0 * F.col("team_score") / F.col("game_possessions"), "local_team_id": local,
-        "is_local": F.coalesce(local == F.col("team_id"), F.lit(False)), "opponent_is_local": F.coalesce(local == F.col("opponent_id"), F.lit(False))})
+    local_id = F.when(F.col("venue_state") == "home", F.when(home, F.col("team_id")).otherwise(F.col("opponent_id")))
+    if local is not None:
+        rows = rows.join(local.select("game_id", F.col("local_team_id").alias("__local")), "game_id", "left")
+        local_id = F.when(F.col("venue_state") == "quasi_neutral", F.col("__local")).otherwise(local_id)
+    countable = F.coalesce(F.col("game_state") == "countable", F.lit(False)) if "game_state" in classified.columns else F.lit(True)
+    poss = (F.col("possessions") + F.col("possessions_opp")) / 2.0
+    reason = (F.when(~countable, "not countable").when(F.col("venue_state") == "unknown", "venue unknown").when(F.col("periods").isNull(), "periods unknown")
+              .when(F.col("periods") != REGULATION, "overtime").when(F.coalesce(poss < MINIMUM_POSSESSIONS, F.lit(True)), "too few possessions"))
+    return rows.withColumns({"game_possessions": poss, "local_team_id": local_id, "left_out": reason}).drop("__local")
 
 
-def preparation_counts(classified: DataFrame) -> DataFrame:
-    """Rows left out of the fit, each under the first reason that applies."""
-    rows = H.with_opponent(classified, ["possessions"])
-    poss = (F.col("possessions") + F.col("possessions_opp")) / 2.0
-    reason = (F.when(F.col("venue_state") == "unknown", "venue unknown").when(F.col("periods").isNull(), "periods unknown")
-              .when(F.col("periods") > REGULATION, "overtime").when(poss < MINIMUM_POSSESSIONS, "too few possessions").otherwise("kept"))
-    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("rows"))
+def prepare(classified: DataFrame, local: DataFrame | None = None) -> DataFrame:
+    """Countable regulation games with enough shared possessions; adds efficiency and the local side.
+
+    ``local`` (game_id, local_team_id: ``schedules.local_sides``) names the team at home on
+    quasi-neutral ground, where the label is wrong a third of the time. Without it, and
+    where it names none, such a game has no local side.
+    """
+    rows = _prepared(classified, local).filter("left_out is null").drop("left_out")
+    is_local = lambda c: F.coalesce(F.col("local_team_id") == F.col(c), F.lit(False))
+    return rows.withColumns({"efficiency": 100.0 * F.col("team_score") / F.col("game_possessions"), "is_local": is_local("team_id"), "opponent_is_local": is_local("opponent_id")})
+
+
+def preparation_counts(classified: DataFrame, local: DataFrame | None = None) -> DataFrame:
+    """Rows left out of the fit, each under the first reason that applies, and rows kept; of these, quasi-neutral ones without a local side apart."""
+    kept = F.when((F.col("venue_state") == "quasi_neutral") & F.col("local_team_id").isNull(), "kept, local side unknown").otherwise("kept")
+    return _prepared(classified, local).groupBy(F.coalesce("left_out", kept).alias("reason")).agg(F.count("*").alias("rows"))
 
 
 def league_means(prepared: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -50,8 +63,8 @@ def league_means(prepared: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def pair_sums(rows: DataFrame, response: Column, by: Sequence[str] = ()) -> DataFrame:
-    """Games and summed response per ordered pair of teams (map-side combined)."""
-    return rows.groupBy(*by, F.col("team_id").alias("i"), F.col("opponent_id").alias("j")).agg(F.count("*").alias("n"), F.sum(response).alias("y"))
+    """Games, summed response and its squares per ordered pair of teams (map-side combined)."""
+    return rows.groupBy(*by, F.col("team_id").alias("i"), F.col("opponent_id").alias("j")).agg(F.count("*").alias("n"), F.sum(response).alias("y"), F.sum(response * response).alias("yy"))
 
 
 def _small(pairs: DataFrame) -> bool:
@@ -159,17 +172,119 @@ def _solve(start: DataFrame, product, tolerance: float, rounds: int) -> DataFram
     return state
 
 
-def fit(prepared: DataFrame, strength: tuple[float, float] = (8.0, 8.0), tempo_strength: float = 8.0, home_effect: float = 0.0, priors: DataFrame | None = None) -> DataFrame:
-    """Attack, defence and tempo per team, with the league means on every row."""
+def _both(pairs: DataFrame, effects: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Pairs with the sum of the attack effect of i and the defence effect of j, for each (a, b) of names."""
+    side = lambda k, cols: effects.select(F.col("team_id").alias(k), *[F.col(c).alias(f"__{k}_{n}") for n, c in enumerate(cols)])
+    met = pairs.join(side("i", names), "i").join(side("j", names.values()), "j")
+    return met.select(*pairs.columns, *[(F.col(f"__i_{n}") + F.col(f"__j_{n}")).alias(f"m{n}") for n in range(len(names))])
+
+
+def _spread(total: Column, square: Column, n: Column) -> Column:
+    """Sample deviation from sums."""
+    return F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), square - total * total / n) / (n - 1))).otherwise(0.0)
+
+
+def residual_spread(pairs: DataFrame, effects: DataFrame) -> DataFrame:
+    """One row: deviation of what is left of the response, from the sums per pair alone."""
+    r = _both(pairs, effects, {"a": "b"})
+    m, n, y = F.col("m0"), F.col("n"), F.col("y")
+    sums = r.agg(F.sum(n).alias("n"), F.sum(y - n * m).alias("t"), F.sum(F.col("yy") - 2.0 * m * y + n * m * m).alias("s"))
+    return sums.select(_spread(F.col("t"), F.col("s"), F.col("n")).alias("residual_sd"))
+
+
+def _placed(rows: DataFrame, effects: DataFrame, tiers: DataFrame, departures: DataFrame | None) -> DataFrame:
+    """Adds the venue effects, the tier of ``local_team_id`` and the departure of ``venue_id`` (columns with two underscores)."""
+    one = effects.agg(*[F.coalesce(F.max(F.when(F.col("effect") == n, F.col("value"))), F.lit(0.0)).alias(f"__{n}") for n in VENUE_COLUMNS])
+    rows = rows.crossJoin(F.broadcast(one)).join(tiers.select(F.col("team_id").alias("local_team_id"), F.col("tier").alias("__tier")), "local_team_id", "left")
+    if departures is None:
+        return rows.withColumn("__own", F.lit(0.0))
+    return rows.join(departures.select("venue_id", F.col("departure").alias("__own")), "venue_id", "left").na.fill(0.0, ["__own"])
+
+
+def _venue_term(own: Column, other: Column) -> Column:
+    """What the place adds to the side that is local (``own``) or meets the local side (``other``)."""
+    tier = F.coalesce("__tier", F.lit(VENUE_TIERS[-1]))
+    of = lambda side: F.col(f"__league {side}") + sum((F.when(tier == t, F.col(f"__{t} {side}")).otherwise(0.0) for t in VENUE_TIERS), F.lit(0.0))
+    at_home, quasi = F.col("venue_state") == "home", F.col("venue_state") == "quasi_neutral"
+    half = F.col("__own") / 2.0
+    return (F.when(at_home & own, of("offence") + half).when(at_home & other, of("defence") - half)
+            .when(quasi & own, F.col("__quasi offence")).when(quasi & other, F.col("__quasi defence")).otherwise(0.0))
+
+
+def with_venue_term(prepared: DataFrame, effects: DataFrame, tiers: DataFrame, departures: DataFrame | None = None) -> DataFrame:
+    """Adds ``venue_term``: what the place adds to a side's efficiency.
+
+    ``effects`` are those of ``venue_effects``: at home the league's and the local tier's
+    effect on the local side's offence, or on its opponent's (the defence effect); on
+    quasi-neutral ground one pair of effects for all. ``departures`` add half a venue's own
+    to the local side and take half from the other.
+    """
+    return _placed(prepared, effects, tiers, departures).select(*prepared.columns, _venue_term(F.col("is_local"), F.col("opponent_is_local")).alias("venue_term"))
+
+
+def fit(prepared: DataFrame, strength: tuple[float, float] = (8.0, 8.0), tempo_strength: float = 8.0, priors: DataFrame | None = None) -> DataFrame:
+    """Attack, defence and tempo per team, with the league means and the residual spread on every row.
+
+    A ``venue_term`` of the rows is taken out of the response before the fit.
+    """
     league = league_means(prepared)
     rows = prepared.crossJoin(F.broadcast(league))
-    venue = home_effect * (F.col("is_local").cast("double") - F.col("opponent_is_local").cast("double"))
-    efficiency = ridge(pair_sums(rows, F.col("efficiency") - F.col("league_efficiency") - venue), strength, priors=priors)
+    venue = F.col("venue_term") if "venue_term" in prepared.columns else F.lit(0.0)
+    pairs = session.cut_lineage(pair_sums(rows, F.col("efficiency") - F.col("league_efficiency") - venue))
+    efficiency = ridge(pairs, strength, priors=priors)
     one_side = rows.filter(F.col("home_away") == "home")
     tempo = ridge(pair_sums(one_side, F.col("game_possessions") - F.col("league_tempo")), (tempo_strength, tempo_strength), shared=True)
     out = efficiency.select("team_id", F.col("a").alias("offence"), F.col("b").alias("defence"), F.col("weight_a").alias("offence_weight"), F.col("weight_b").alias("defence_weight"))
     out = out.join(tempo.select("team_id", F.col("a").alias("tempo"), F.col("weight_a").alias("tempo_weight")), "team_id", "left")
-    return out.crossJoin(F.broadcast(league))
+    return out.crossJoin(F.broadcast(league)).crossJoin(F.broadcast(residual_spread(pairs, efficiency)))
+
+
+def season_fit(prepared: DataFrame, strength: tuple[float, float] = (1.0, 1.0), penalty: float = VENUE_RIDGE, force_distributed: bool = False) -> DataFrame:
+    """Attack and defence of a completed season beside its venue effects, fitted together.
+
+    The normal equations are an arrow: a block of teams, and a few columns that all rows
+    share. The team block is eliminated by solving it once for the response and once for
+    each shared column, which are further sums per pair; what is left is a system of the
+    size of the shared columns. The residual spread comes from the same sums. A place
+    that no game was played in gets an effect of zero.
+    """
+    at_home, quasi = F.col("venue_state") == "home", F.col("venue_state") == "quasi_neutral"
+    shared = {"home_offence": at_home & F.col("is_local"), "home_defence": at_home & F.col("opponent_is_local"),
+              "quasi_offence": quasi & F.col("is_local"), "quasi_defence": quasi & F.col("opponent_is_local")}
+    names = list(shared)
+    k = len(names)
+    rows = prepared.crossJoin(F.broadcast(league_means(prepared)))
+    rows = rows.select("team_id", "opponent_id", (F.col("efficiency") - F.col("league_efficiency")).alias("y"), *[c.cast("double").alias(n) for n, c in shared.items()])
+    y = F.col("y")
+    per = rows.groupBy(F.col("team_id").alias("i"), F.col("opponent_id").alias("j")).agg(
+        F.count("*").alias("n"), F.sum(y).alias("y"), F.sum(y * y).alias("yy"), *[F.sum(n).alias(n) for n in names], *[F.sum(F.col(n) * y).alias(f"{n}_y") for n in names],
+        *[F.sum(F.col(names[p]) * F.col(names[q])).alias(f"d{p}{q}") for p in range(k) for q in range(p, k)])
+    pairs = session.cut_lineage(per)
+    effects = ridge(pairs, strength, force_distributed=force_distributed).select("team_id", F.col("a").alias("a0"), F.col("b").alias("b0"))
+    for m, name in enumerate(names, 1):
+        one = ridge(pairs.withColumn("y", F.col(name)), strength, force_distributed=force_distributed)
+        effects = effects.join(one.select("team_id", F.col("a").alias(f"a{m}"), F.col("b").alias(f"b{m}")), "team_id")
+    effects = session.cut_lineage(effects)
+    met = _both(pairs, effects, {f"a{m}": f"b{m}" for m in range(k + 1)})
+    sums = met.agg(
+        *[F.sum(F.col(n) * F.col(f"m{m}")).alias(f"x{p}{m}") for p, n in enumerate(names) for m in range(k + 1)],
+        *[F.sum(f"{n}_y").alias(f"s{p}") for p, n in enumerate(names)], *[F.sum(f"d{p}{q}").alias(f"d{p}{q}") for p in range(k) for q in range(p, k)]).first()
+    d = np.array([[sums[f"d{min(p, q)}{max(p, q)}"] or 0.0 for q in range(k)] for p in range(k)])
+    x = np.array([[sums[f"x{p}{m}"] or 0.0 for m in range(k + 1)] for p in range(k)])
+    s = np.array([sums[f"s{p}"] or 0.0 for p in range(k)])
+    gamma = np.linalg.solve(d + penalty * np.eye(k) - x[:, 1:], s - x[:, 0])
+    take = lambda c: F.col(f"{c}0") - sum((float(g) * F.col(f"{c}{m}") for m, g in enumerate(gamma, 1)), F.lit(0.0))
+    teams = effects.select("team_id", take("a").alias("a"), take("b").alias("b"))
+    # Squares of what is left: response, minus team effects, minus shared columns.
+    left = _both(pairs, teams, {"a": "b"})
+    m, n = F.col("m0"), F.col("n")
+    g = [float(v) for v in gamma]
+    shift = sum((g[p] * F.col(names[p]) for p in range(k)), F.lit(0.0))
+    cross = sum((g[p] * F.col(f"{names[p]}_y") for p in range(k)), F.lit(0.0))
+    square = sum((g[p] * g[q] * (1.0 if p == q else 2.0) * F.col(f"d{p}{q}") for p in range(k) for q in range(p, k)), F.lit(0.0))
+    rest = left.agg(F.sum(n).alias("n"), F.sum(F.col("y") - n * m - shift).alias("t"), F.sum(F.col("yy") - 2.0 * m * F.col("y") + n * m * m - 2.0 * cross + 2.0 * m * shift + square).alias("s"))
+    spread = rest.select(_spread(F.col("t"), F.col("s"), F.col("n")).alias("residual_sd"))
+    return teams.select("team_id", F.col("a").alias("offence"), F.col("b").alias("defence"), *[F.lit(v).alias(name) for name, v in zip(names, g)]).crossJoin(F.broadcast(spread))
 
 
 def market_fit(lined: DataFrame, strength: float = 2.0) -> DataFrame:
@@ -242,17 +357,28 @@ def components(edges: DataFrame, left: str = "team_id", right: str = "opponent_i
     return labels.join(sizes, "label").select("node", F.col("label").alias("component"), "size")
 
 
-def matchups(fixtures: DataFrame, ratings: DataFrame, parts: DataFrame | None = None, home_effect: float = 0.0) -> DataFrame:
-    """Expected score of each side, margin, total, tempo and whether it may be priced."""
+def matchups(fixtures: DataFrame, ratings: DataFrame, parts: DataFrame | None = None, effects: DataFrame | None = None, tiers: DataFrame | None = None, departures: DataFrame | None = None) -> DataFrame:
+    """Expected score of each side, margin, total, tempo and whether it may be priced.
+
+    With ``effects`` and ``tiers`` the place adds what it adds to the rows of a fit: a host
+    is local; on quasi-neutral ground the fixture's ``local_team_id`` says who is, and
+    without one the game is refused.
+    """
     cols = ["offence", "defence", "tempo"]
     side = lambda s: ratings.select(F.col("team_id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in cols])
     league = ratings.agg(F.max("league_efficiency").alias("league_efficiency"), F.max("league_tempo").alias("league_tempo"))
-    rows = fixtures.join(side("home"), "home_id", "left").join(side("away"), "away_id", "left").crossJoin(F.broadcast(league))
-    effect = F.when(F.col("venue_state") == "home", home_effect).otherwise(0.0)
-    home = F.col("league_efficiency") + F.col("home_offence") + F.col("away_defence") + effect
-    away = F.col("league_efficiency") + F.col("away_offence") + F.col("home_defence") - effect
+    named = F.col("local_team_id") if "local_team_id" in fixtures.columns else F.lit(None).cast("long")
+    local = F.when(F.col("venue_state") == "home", F.coalesce(named, F.col("home_id"))).when(F.col("venue_state") == "quasi_neutral", named)
+    rows = fixtures.withColumn("local_team_id", local).join(side("home"), "home_id", "left").join(side("away"), "away_id", "left").crossJoin(F.broadcast(league))
+    terms = {"home": F.lit(0.0), "away": F.lit(0.0)}
+    if effects is not None:
+        rows = _placed(rows, effects, tiers, departures)
+        at = {s: F.coalesce(F.col("local_team_id") == F.col(f"{s}_id"), F.lit(False)) for s in terms}
+        terms = {"home": _venue_term(at["home"], at["away"]), "away": _venue_term(at["away"], at["home"])}
+    home = F.col("league_efficiency") + F.col("home_offence") + F.col("away_defence") + terms["home"]
+    away = F.col("league_efficiency") + F.col("away_offence") + F.col("home_defence") + terms["away"]
     tempo = F.col("league_tempo") + F.col("home_tempo") + F.col("away_tempo")
-    reason = F.when(F.col("venue_state") == "unknown", "venue unknown").when(F.col("venue_state") == "quasi_neutral", "local side unknown")
+    reason = F.when(F.col("venue_state") == "unknown", "venue unknown").when((F.col("venue_state") == "quasi_neutral") & F.col("local_team_id").isNull(), "local side unknown")
     if parts is not None:
         p = lambda s: parts.select(F.col("node").alias(f"{s}_id"), F.col("component").alias(f"{s}_part"))
         rows = rows.join(p("home"), "home_id", "left").join(p("away"), "away_id", "left")
@@ -299,13 +425,13 @@ def venue_effects(prepared: DataFrame, ratings: DataFrame, tiers: DataFrame) ->
     rows = prepared.join(r("team_id", "offence", "__o"), "team_id", "left").join(r("opponent_id", "defence", "__d"), "opponent_id", "left").na.fill(0.0, ["__o", "__d"])
     rows = rows.crossJoin(F.broadcast(league_means(prepared)))
     rows = rows.join(tiers.select(F.col("team_id").alias("local_team_id"), F.col("tier").alias("__tier")), "local_team_id", "left")
-    names = ("high_major", "mid_major", "low_major", "unplaced")
+    names = VENUE_TIERS
     home = (F.col("venue_state") == "home").cast("double")
     quasi = (F.col("venue_state") == "quasi_neutral").cast("double")
     own, other = home * F.col("is_local").cast("double"), home * F.col("opponent_is_local").cast("double")
     tier = F.coalesce("__tier", F.lit("unplaced"))
     cols = [own, other, *[own * (tier == t).cast("double") for t in names], *[other * (tier == t).cast("double") for t in names], quasi * F.col("is_local").cast("double"), quasi * F.col("opponent_is_local").cast("double")]
-    labels = ["league offence", "league defence", *[f"{t} offence" for t in names], *[f"{t} defence" for t in names], "quasi offence", "quasi defence"]
+    labels = VENUE_COLUMNS
     k = len(cols)
     y = F.col("efficiency") - F.col("league_efficiency") - F.col("__o") - F.col("__d")
     rows = rows.select("game_id", "home_away", "is_local", "venue_id", home.alias("__home"), y.alias("__y"), *[c.alias(f"x{i}") for i, c in enumerate(cols)])

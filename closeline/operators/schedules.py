@@ -30,21 +30,40 @@ def _flag(frame: DataFrame, ids: DataFrame, column: str, flag: str) -> DataFrame
     return frame.join(marked, column, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def usual_venues(schedule: DataFrame) -> DataFrame:
+def usual_venues(schedule: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Modal venue, city and state of each team's home games; lowest value on ties."""
     at_home = schedule.filter(~F.coalesce(F.col("neutral_site"), F.lit(True)))
-    return at_home.filter("home_id is not null").groupBy(F.col("home_id").alias("team_id")).agg(
+    return at_home.filter("home_id is not null").groupBy(*by, F.col("home_id").alias("team_id")).agg(
         *[F.mode(c, True).alias(f"usual_{c}") for c in ("venue_id", "venue_city", "venue_state_code")])
 
 
+def _with_usual(frame: DataFrame, venues: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Adds each side's usual venue as a struct."""
+    for side in ("home", "away"):
+        usual = venues.select(*by, F.col("team_id").alias(f"{side}_id"), F.struct("usual_venue_id", "usual_venue_city", "usual_venue_state_code").alias(f"__{side}"))
+        frame = frame.join(usual, [*by, f"{side}_id"], "left")
+    return frame
+
+
+def _near(side: str) -> Column:
+    """Whether a side plays in its usual venue or city."""
+    return F.coalesce(F.col(f"__{side}.usual_venue_id") == F.col("venue_id"), F.lit(False)) | F.coalesce(
+        (F.col(f"__{side}.usual_venue_city") == F.col("venue_city")) & F.col(f"__{side}.usual_venue_state_code").eqNullSafe(F.col("venue_state_code")), F.lit(False))
+
+
+def _venue_state() -> Column:
+    return (
+        F.when(F.col("neutral_site").isNull(), "unknown").when(~F.col("neutral_site"), "home")
+        .when(F.col("venue_id").isNull() & F.col("venue_city").isNull(), "unknown")
+        .when(_near("home") | _near("away"), "quasi_neutral").otherwise("neutral")
+    )
+
+
 def classify(schedule: DataFrame, ids: DataFrame | None = None, venues: DataFrame | None = None) -> DataFrame:
     """Add ``game_state`` and ``venue_state``."""
     ids = division_ids(schedule) if ids is None else ids
     venues = usual_venues(schedule) if venues is None else venues
-    work = _flag(_flag(schedule, ids, "home_id", "__hd"), ids, "away_id", "__ad")
-    for side in ("home", "away"):
-        usual = venues.select(F.col("team_id").alias(f"{side}_id"), F.struct("usual_venue_id", "usual_venue_city", "usual_venue_state_code").alias(f"__{side}"))
-        work = work.join(usual, f"{side}_id", "left")
+    work = _with_usual(_flag(_flag(schedule, ids, "home_id", "__hd"), ids, "away_id", "__ad"), venues)
     table = F.create_map(*[F.lit(x) for kv in STATUS_STATES.items() for x in kv])
     state = (
         F.when(F.lower(F.coalesce("headline", F.lit(""))).rlike(EXHIBITION), "exhibition")
@@ -52,14 +71,24 @@ def classify(schedule: DataFrame, ids: DataFrame | None = None, venues: DataFram
         .when(~F.col("__hd") | ~F.col("__ad"), "non_di_opponent")
         .otherwise(F.coalesce(F.try_element_at(table, F.col("status_name")), F.lit("unknown")))
     )
-    near = lambda s: F.coalesce(F.col(f"__{s}.usual_venue_id") == F.col("venue_id"), F.lit(False)) | F.coalesce(
-        (F.col(f"__{s}.usual_venue_city") == F.col("venue_city")) & F.col(f"__{s}.usual_venue_state_code").eqNullSafe(F.col("venue_state_code")), F.lit(False))
-    venue = (
-        F.when(F.col("neutral_site").isNull(), "unknown").when(~F.col("neutral_site"), "home")
-        .when(F.col("venue_id").isNull() & F.col("venue_city").isNull(), "unknown")
-        .when(near("home") | near("away"), "quasi_neutral").otherwise("neutral")
-    )
-    return work.select(*schedule.columns, state.alias("game_state"), venue.alias("venue_state"))
+    return work.select(*schedule.columns, state.alias("game_state"), _venue_state().alias("venue_state"))
+
+
+def local_sides(schedule: DataFrame, by: Sequence[str] = ("season",)) -> DataFrame:
+    """Which team of each game is at home in its place, with the reason where none is.
+
+    A host is at home. On neutral ground the label says nothing: the side whose usual
+    venue or city it is (of the games of its season) is local, if it is the only one; in
+    the city of both nobody is. Columns: game_id, venue_state, venue_id, local_team_id,
+    local_side.
+    """
+    work = _with_usual(schedule, usual_venues(schedule, by), by)
+    state, home, away = _venue_state(), _near("home"), _near("away")
+    at_home, quasi = state == "home", state == "quasi_neutral"
+    local = F.when(at_home | (quasi & home & ~away), F.col("home_id")).when(quasi & away & ~home, F.col("away_id"))
+    side = (F.when(at_home & F.col("home_id").isNull(), "host unknown").when(at_home, "host").when(quasi & home & away, "both local")
+            .when(quasi & home, "home side local").when(quasi, "away side local").when(state == "unknown", "venue unknown").otherwise("nobody local"))
+    return work.select("game_id", state.alias("venue_state"), "venue_id", local.alias("local_team_id"), side.alias("local_side"))
 
 
 def state_counts(classified: DataFrame) -> DataFrame:

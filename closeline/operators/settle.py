@@ -77,11 +77,30 @@ def _direction() -> Column:
     return F.when(s.endswith("over"), 1.0).when(s.endswith("under"), -1.0)
 
 
+def _own_row(cols: set[str]) -> Column:
+    """Why the joined row isn't that of the side the selection names; null if it is.
+
+    The price provider's home and the schedule's are two vocabularies: on neutral ground
+    they often differ. So a known ``expected_team_id`` (the provider's team on the named
+    side) decides alone; only where it is missing does the label, turned round for an event
+    that the schedule files the other way (``flipped``).
+    """
+    side = _side()
+    if "flipped" in cols:
+        side = F.when(F.col("flipped"), F.when(side == "home", "away").when(side == "away", "home")).otherwise(side)
+    by_label = F.when(~F.coalesce(F.col("home_away") == side, F.lit(False)), "row is not the named side")
+    if "expected_team_id" not in cols:
+        return by_label
+    by_team = F.when(F.col("team_id").isNull(), "row names no team").when(F.col("team_id") != F.col("expected_team_id"), "row is another team's")
+    return F.when(F.col("expected_team_id").isNotNull(), by_team).otherwise(by_label)
+
+
 def settle_team(asks: DataFrame) -> DataFrame:
     """Grade team wagers joined to a side's row of the game.
 
     Needs market, segment, selection, line and home_away, team_score, opponent_score,
-    team_score_h1, opponent_score_h1. Adds outcome, actual and note.
+    team_score_h1, opponent_score_h1; optional are expected_team_id with team_id, flipped,
+    and orientation (``orient``). Adds outcome, actual and note.
     """
     table = asks.join(F.broadcast(markets(asks.sparkSession).filter(~F.col("market").startswith("player_"))), "market", "left")
     q, line = F.col("quantity"), P.number("line")
@@ -92,13 +111,15 @@ def settle_team(asks: DataFrame) -> DataFrame:
     actual = F.when(kind == "margin", team - other).when(kind == "total", team + other).when(kind == "score", team).cast("double")
     handicap = F.when(F.col("market").isin(*NO_LINE_MARKETS), F.lit(0.0)).otherwise(line)
     adjusted = F.when(kind == "margin", actual + handicap).otherwise((actual - line) * _direction())
-    named_side = F.col("home_away") == _side()
+    own_row = _own_row(set(asks.columns))
+    refused = F.col("orientation") == "refused" if "orientation" in asks.columns else F.lit(False)
     note = (
         F.when(q.isNull(), "not a wired market")
         .when(F.coalesce(F.col("segment"), F.lit("")) != F.col("market_segment"), "wrong segment")
         .when((kind != "total") & _side().isNull(), "selection names no side")
         .when((kind != "margin") & _direction().isNull(), "selection names no direction")
-        .when((kind != "total") & ~F.coalesce(named_side, F.lit(False)), "row is not the named side")
+        .when(refused, "event not placed")
+        .when((kind != "total") & own_row.isNotNull(), own_row)
         .when(F.when(kind == "margin", handicap).otherwise(line).isNull(), "no line")
         .when(actual.isNull(), "no score")
         .when((adjusted == 0) & ~F.col("push"), "level where level cannot be")
@@ -147,15 +168,37 @@ def settle_player(asks: DataFrame) -> DataFrame:
     return asks.select("*", graded.alias("settled"), F.when(~graded.isin("unsettleable", "void"), stat).alias("actual_value"), note.alias("note"))
 
 
-def grade_against_games(quotes: DataFrame, games: DataFrame, profit: bool = True) -> DataFrame:
+def orient(quotes: DataFrame, events: DataFrame) -> DataFrame:
+    """Quotes with their event's place on the schedule.
+
+    ``events`` (event_id, game_id, flipped, home_id, away_id: ``schedules.resolve_fixtures``
+    with the provider's teams) adds game_id, flipped, expected_team_id (the provider's team
+    on the side the selection names, null for totals and unknown teams) and orientation:
+    as filed, flipped, or refused where no one game fits.
+    """
+    placed = events.select("event_id", "game_id", "flipped", F.col("home_id").alias("__home"), F.col("away_id").alias("__away"))
+    orientation = F.when(F.col("game_id").isNull() | F.col("flipped").isNull(), "refused").when(F.col("flipped"), "flipped").otherwise("as filed")
+    expected = F.when(_side() == "home", F.col("__home")).when(_side() == "away", F.col("__away"))
+    return quotes.join(placed, "event_id", "left").withColumns({"expected_team_id": expected, "orientation": orientation}).drop("__home", "__away")
+
+
+def grade_against_games(quotes: DataFrame, games: DataFrame, profit: bool = True, events: DataFrame | None = None) -> DataFrame:
     """Join team wagers to the row of their side (home row for totals), grade, price.
 
-    The quotes meet only the columns grading needs, on the game and the side.
+    The quotes meet only the columns grading needs, on the game and the side. With
+    ``events`` each quote goes to the game its event was placed on, to the side that the
+    schedule gives the provider's team; orientation and expected_team_id stay in the result.
     """
-    side = F.coalesce(F.when(F.col("selection").rlike("^(home|away)"), F.regexp_extract("selection", "^(home|away)", 1)), F.lit("home"))
-    need = games.select(F.col("game_id").alias("event_id"), "home_away", "team_score", "opponent_score", "team_score_h1", "opponent_score_h1")
-    joined = quotes.withColumn("home_away", side).join(need, ["event_id", "home_away"], "left")
-    graded = settle_team(joined).drop("home_away", "team_score", "opponent_score", "team_score_h1", "opponent_score_h1")
+    side = F.coalesce(_side(), F.lit("home"))
+    scores = ["team_score", "opponent_score", "team_score_h1", "opponent_score_h1"]
+    if events is None:
+        need = games.select(F.col("game_id").alias("event_id"), "home_away", *scores)
+        joined = quotes.withColumn("home_away", side).join(need, ["event_id", "home_away"], "left")
+        graded = settle_team(joined).drop("home_away", *scores)
+    else:
+        oriented = orient(quotes, events).withColumn("home_away", F.when(F.col("flipped"), F.when(side == "home", "away").otherwise("home")).otherwise(side))
+        joined = oriented.join(games.select("game_id", "home_away", "team_id", *scores), ["game_id", "home_away"], "left")
+        graded = settle_team(joined).drop("home_away", "team_id", "flipped", *scores)
     return graded.withColumn("settled_profit", P.profit_units("settled", "american_odds")) if profit else graded
 
 

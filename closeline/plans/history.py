@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from closeline.functions import prices as P
-from closeline.operators import history as H, ledger as L, plays as Y, ratings as R, segments as G
+from closeline.operators import history as H, ledger as L, plays as Y, ratings as R, schedules as D, segments as G
 from closeline.plans import sql as S
 from closeline.plans.registry import query
+from closeline.plans.schedules import CLASS, LOCAL, schedule
 
 OPP = "opp as (select a.*, b.possessions as possessions_opp, b.field_goals_made as fgm_o, b.field_goals_attempted as fga_o, b.three_made as tm_o, b.three_attempted as ta_o, b.free_throws_attempted as fta_o, b.offensive_rebounds as or_o, b.defensive_rebounds as dr_o, b.turnovers as to_o, b.steals as st_o, b.team_score as sc_o from team_games a join team_games b on a.game_id = b.game_id and a.opponent_id = b.team_id and a.home_away <> b.home_away)"
 NET = OPP + ", net as (select *, (possessions + possessions_opp) / 2 as gp, 100e0 * margin / ((possessions + possessions_opp) / 2) as net from opp)"
@@ -333,13 +334,27 @@ def _(t):
     return X.settle_player(asks).groupBy("game_id", "athlete_id", F.col("home_away").alias("side")).agg(pick(X.FIRST_BASKET[0]).alias("game_first"), pick(X.FIRST_BASKET[1]).alias("team_first"))
 
 
-@query("rating_input", "game_id:i team_id:i efficiency:d game_possessions:d is_local:b",
-       f"with {NET} select game_id, team_id, 100 * team_score / gp as efficiency, gp as game_possessions, venue_state = 'home' and home_away = 'home' as is_local from net where venue_state <> 'unknown' and periods = 2 and gp >= 40")
+PLACED = f"""{CLASS}, {LOCAL}, {NET}, placed as (select n.* exclude (venue_state), 100 * team_score / gp as eff, loc.venue_state, loc.venue_id,
+  case loc.venue_state when 'home' then case when home_away = 'home' then team_id else opponent_id end when 'quasi_neutral' then local_team_id end as lt,
+  case when game_state <> 'countable' then 'not countable' when loc.venue_state = 'unknown' then 'venue unknown' when periods is null then 'periods unknown' when periods <> 2 then 'overtime' when gp < 40 then 'too few possessions' end as left_out
+  from net n join loc using (game_id) join (select game_id, game_state from classified) using (game_id)),
+ prep as (select *, coalesce(lt = team_id, false) as own, coalesce(lt = opponent_id, false) as other from placed where left_out is null)"""
+
+
+def placed_games(t):
+    """Team games with the states of their schedule row, and the side that is local."""
+    sides = D.local_sides(t.schedule)
+    states = D.classify(schedule(t)).select("game_id", "game_state")
+    return t.team_games.drop("venue_state").join(sides.select("game_id", "venue_state", "venue_id"), "game_id").join(states, "game_id"), sides
+
+
+@query("rating_input", "game_id:i team_id:i efficiency:d game_possessions:d local_team_id:i is_local:b opponent_is_local:b",
+       f"with {PLACED} select game_id, team_id, eff as efficiency, gp as game_possessions, lt as local_team_id, own as is_local, other as opponent_is_local from prep")
 def _(t):
-    return R.prepare(t.team_games)
+    return R.prepare(*placed_games(t))
 
 
 @query("rating_input_counts", "reason:s rows:i",
-       f"with {NET} select case when venue_state = 'unknown' then 'venue unknown' when periods is null then 'periods unknown' when periods > 2 then 'overtime' when gp < 40 then 'too few possessions' else 'kept' end as reason, count(*) as rows from net group by all")
+       f"with {PLACED} select coalesce(left_out, case when venue_state = 'quasi_neutral' and lt is null then 'kept, local side unknown' else 'kept' end) as reason, count(*) as rows from placed group by all")
 def _(t):
-    return R.preparation_counts(t.team_games)
+    return R.preparation_counts(*placed_games(t))

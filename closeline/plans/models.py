@@ -2,29 +2,107 @@
 
 from pyspark.sql import functions as F
 
-from closeline import pricers
+from closeline import pricers, session
 
 from closeline.operators import history as H, intervals as I, ledger as L, ratings as R, schedules as D
 from closeline.plans import sql as S
 from closeline.plans.registry import query
-from closeline.plans.schedules import EVENTS, lines
-from closeline.plans.history import NET, RATED, rated
+from closeline.plans.schedules import EVENTS, LOCAL, lines
+from closeline.plans.history import PLACED, RATED, placed_games, rated
+
+
+TIER_OF = "case {0} % 4 when 0 then 'high_major' when 1 then 'mid_major' when 2 then 'low_major' end"
+
+
+def tier_table(t):
+    """A tier for most teams; the rest are unplaced."""
+    tier = F.when(F.col("team_id") % 4 == 0, "high_major").when(F.col("team_id") % 4 == 1, "mid_major").when(F.col("team_id") % 4 == 2, "low_major").otherwise("unplaced")
+    return t.team_games.select("team_id").distinct().withColumn("tier", tier)
+
+
+def _solved(system: str, size: int, name: str = "solved") -> str:
+    """Gauss-Jordan over a system of (r, c, v): unknown r, right-hand sides from c = ``size`` on. Gives (r, c, v) of the solutions.
+
+    Entries that aren't there are zero; the systems are positive definite, so no row is exchanged.
+    """
+    return f"""{name}_0 as (select r, c, cast(coalesce(sum(v), 0) as double) as v from (select unnest(range(0, {size})) as r) cross join (select distinct c from {system} union select unnest(range(0, {size}))) left join {system} using (r, c) group by all),
+ {name}_s(step, r, c, v) as (select 0, r, c, v from {name}_0 union all
+  select m.step + 1, m.r, m.c, case when m.r = m.step then m.v / p.v else m.v - f.v * q.v / p.v end from {name}_s m join {name}_s p on p.r = m.step and p.c = m.step join {name}_s q on q.r = m.step and q.c = m.c join {name}_s f on f.r = m.r and f.c = m.step where m.step < {size}),
+ {name} as (select r, c, v from {name}_s where step = {size} and c >= {size})"""
+
+
+# Venue effects: normal equations of the twelve columns, those of tiers with their penalty.
+_PLACE = [f"venue_state = 'home' and {side}" for side in ("own", "other")]
+_PLACE = [*_PLACE, *[f"{p} and tier = '{tier}'" for p in _PLACE for tier in R.VENUE_TIERS], *[f"venue_state = 'quasi_neutral' and {side}" for side in ("own", "other")]]
+_X = ", ".join(f"case when {p} then 1e0 else 0e0 end" for p in _PLACE)
+VENUE_FIT = f"""{PLACED}, {RATED}, lg as (select avg(eff) as le, avg(gp) as lp from prep),
+ vx as (select p.*, coalesce({TIER_OF.format('lt')}, 'unplaced') as tier, eff - le - coalesce(o.offence, 0) - coalesce(d.defence, 0) as y, [{_X}] as x from prep p cross join lg left join rated o on o.team_id = p.team_id left join rated d on d.team_id = p.opponent_id),
+ vm as (select i as r, j as c, sum(x[i + 1] * case when j = 12 then y else x[j + 1] end) + max(case when i = j and i between 2 and 9 then 50e0 else 0 end) as v from vx, range(0, 12) a(i), range(0, 13) b(j) group by i, j),
+ {_solved('vm', 12, 'beta')}"""
+_LABELS = ", ".join(f"'{c}'" for c in R.VENUE_COLUMNS)
+_FITTED = " + ".join(f"x[{k + 1}] * (select v from beta where r = {k})" for k in range(12))
+# Ridge systems of the 25 teams: offence of k is unknown k, defence 25 + k.
+_PAIRS = """pr as (select team_id as i, opponent_id as j, count(*) as n, sum(y) as y from fr group by all),
+ tn as (select t, row_number() over (order by t) - 1 as k from (select i as t from pr union select j from pr)),
+ pk as (select a.k as i, 25 + b.k as j, n, y from pr join tn a on a.t = i join tn b on b.t = j)"""
+_ENTRIES = "select i as r, j as c, n as v from pk union all select j, i, n from pk union all select i, i, n from pk union all select j, j, n from pk"
+RIDGE = f"""{VENUE_FIT}, fr as (select p.*, eff - le - ({_FITTED}) as y from (select * exclude (y) from vx) p cross join lg), {_PAIRS},
+ mx as ({_ENTRIES} union all select k, k, 8e0 from range(0, 50) a(k) union all select i, 50, y from pk union all select j, 50, y from pk union all select k, 51, 8e0 from range(0, 50) a(k)), {_solved('mx', 50)},
+ tp as (select a.k as i, b.k as j, gp - lp as y from prep cross join lg join tn a on a.t = team_id join tn b on b.t = opponent_id where home_away = 'home'),
+ tm as (select i as r, j as c, 1 as v from tp union all select j, i, 1 from tp union all select i, i, 1 from tp union all select j, j, 1 from tp union all select k, k, 8e0 from range(0, 25) a(k) union all select i, 25, y from tp union all select j, 25, y from tp), {_solved('tm', 25, 'pace')},
+ ab as (select t, o.v as offence, d.v as defence, w.v as weight, p.v as tempo from tn join solved o on o.r = k and o.c = 50 join solved d on d.r = 25 + k and d.c = 50 join solved w on w.r = k and w.c = 51 join pace p on p.r = k and p.c = 25)"""
+
+
+@query("efficiency_ridge", "team_id:i offence:d defence:d tempo:d offence_weight:d league_efficiency:d league_tempo:d residual_sd:d",
+       f"""with recursive {RIDGE} select t as team_id, offence, defence, tempo, weight as offence_weight, le as league_efficiency, lp as league_tempo,
+       (select stddev_samp(y - a.offence - b.defence) from fr join ab a on a.t = team_id join ab b on b.t = opponent_id) as residual_sd from ab cross join lg""")
+def _(t):
+    return R.fit(venue_termed(t))
+
 
+def venue_termed(t):
+    prepared = session.cut_lineage(R.prepare(*placed_games(t)))
+    effects, _ = R.venue_effects(prepared, rated(t), tier_table(t))
+    return R.with_venue_term(prepared, effects, tier_table(t))
 
-@query("efficiency_ridge", "team_id:i offence:d defence:d tempo:d offence_weight:d league_efficiency:d league_tempo:d")
+
+@query("venue_terms", "game_id:i team_id:i venue_term:d", f"with recursive {VENUE_FIT} select game_id, team_id, {_FITTED} as venue_term from vx")
 def _(t):
-    return R.fit(R.prepare(t.team_games), home_effect=1.5)
+    return venue_termed(t)
 
 
-PREP = f"{NET}, prep as (select *, 100 * team_score / gp as eff from net where venue_state <> 'unknown' and periods = 2 and gp >= 40)"
+_SHARED = ("venue_state = 'home' and own", "venue_state = 'home' and other", "venue_state = 'quasi_neutral' and own", "venue_state = 'quasi_neutral' and other")
+SEASON = f"""{PLACED}, fr as (select *, eff - avg(eff) over () as y, [{', '.join(f'case when {p} then 1e0 else 0e0 end' for p in _SHARED)}] as x from prep), {_PAIRS},
+ sx as (select a.k as i, 25 + b.k as j, 50 + m as c, x[m + 1] as v, y from fr join tn a on a.t = team_id join tn b on b.t = opponent_id, range(0, 4) z(m)),
+ sm as ({_ENTRIES} union all select k, k, 1e0 from range(0, 54) a(k) union all select i, 54, y from pk union all select j, 54, y from pk
+  union all select i, c, v from sx union all select c, i, v from sx union all select j, c, v from sx union all select c, j, v from sx union all select c, 54, v * y from sx
+  union all select 50 + a, 50 + b, x[a + 1] * x[b + 1] from fr, range(0, 4) p(a), range(0, 4) q(b)), {_solved('sm', 54)}"""
 
 
-@query("normal_equation_sums", "i:i j:i n:i y:d", f"with {PREP} select team_id as i, opponent_id as j, count(*) as n, sum(eff - 100) as y from prep group by all")
+@query("season_fit", "team_id:i offence:d defence:d home_offence:d home_defence:d quasi_offence:d quasi_defence:d residual_sd:d",
+       f"""with recursive {SEASON}, g as (select max(v) filter (r = 50) as g0, max(v) filter (r = 51) as g1, max(v) filter (r = 52) as g2, max(v) filter (r = 53) as g3 from solved),
+       ab as (select t, o.v as offence, d.v as defence from tn join solved o on o.r = k join solved d on d.r = 25 + k)
+       select t as team_id, offence, defence, g0 as home_offence, g1 as home_defence, g2 as quasi_offence, g3 as quasi_defence,
+       (select stddev_samp(y - a.offence - b.defence - g0 * x[1] - g1 * x[2] - g2 * x[3] - g3 * x[4]) from fr join ab a on a.t = team_id join ab b on b.t = opponent_id, g) as residual_sd from ab, g""")
 def _(t):
-    return R.pair_sums(R.prepare(t.team_games), F.col("efficiency") - 100.0)
+    return R.season_fit(R.prepare(*placed_games(t)))
+
+
+@query("normal_equation_sums", "i:i j:i n:i y:d yy:d", f"with {PLACED} select team_id as i, opponent_id as j, count(*) as n, sum(eff - 100) as y, sum(pow(eff - 100, 2)) as yy from prep group by all")
+def _(t):
+    return R.pair_sums(R.prepare(*placed_games(t)), F.col("efficiency") - 100.0)
+
 
+_LINED = f"""{EVENTS}, l as (select s.home_id as i, s.away_id as j, case when flipped then 1 else -1 end * ((ask % 21 - 10) * 0.5e0) as m, 130e0 + ask % 40 as t from fx join schedule s on s.game_id = fx.game_id),
+ lv as (select avg(m) as edge, count(*) as games, avg(t) as level from l), tn as (select t, row_number() over (order by t) - 1 as k from (select i as t from l union select j from l)),
+ lk as (select a.k as i, b.k as j, m - edge as m, l.t - level as y from l cross join lv join tn a on a.t = i join tn b on b.t = j),
+ own as (select i as r, i as c, 1e0 as v from lk union all select j, j, 1e0 from lk union all select k, k, 2e0 from range(0, 25) a(k)),
+ mm as (select * from own union all select i, j, -1e0 from lk union all select j, i, -1e0 from lk union all select i, 25, m from lk union all select j, 25, -m from lk), {_solved('mm', 25, 'margins')},
+ mt as (select * from own union all select i, j, 1e0 from lk union all select j, i, 1e0 from lk union all select i, 25, y from lk union all select j, 25, y from lk), {_solved('mt', 25, 'totals')}"""
 
-@query("market_implied_ratings", "team_id:i margin_rating:d total_rating:d edge:d games:i level:d")
+
+@query("market_implied_ratings", "team_id:i margin_rating:d total_rating:d edge:d games:i level:d",
+       f"with recursive {_LINED} select t as team_id, a.v as margin_rating, b.v as total_rating, edge, games, level from tn join margins a on a.r = k join totals b on b.r = k cross join lv")
 def _(t):
     return R.market_fit(D.lined_games(lines(t), t.schedule, key="ask"))
 
@@ -66,16 +144,28 @@ def _(t):
     return R.components(edges, "a", "b")
 
 
+# What the place adds: league's and tier's effect at home, one pair of effects on quasi-neutral ground.
+EFFECTS = {"league offence": 1.5, "league defence": -1.25, "high_major offence": 0.5, "mid_major offence": 0.25, "low_major offence": -0.25, "unplaced offence": 0.0,
+           "high_major defence": -0.5, "mid_major defence": 0.0, "low_major defence": 0.125, "unplaced defence": 0.0, "quasi offence": 0.75, "quasi defence": -0.5}
+
+
+def _added(own: str, other: str) -> str:
+    of = lambda side: f"{EFFECTS[f'league {side}']}e0 + case tier " + " ".join(f"when '{x}' then {EFFECTS[f'{x} {side}']}e0" for x in R.VENUE_TIERS) + " end"
+    return (f"case when vs = 'home' and lt = {own} then {of('offence')} when vs = 'home' and lt = {other} then {of('defence')} "
+            f"when vs = 'quasi_neutral' and lt = {own} then {EFFECTS['quasi offence']}e0 when vs = 'quasi_neutral' and lt = {other} then {EFFECTS['quasi defence']}e0 else 0 end")
+
+
 @query("matchup_projection", "game_id:i margin:d total:d possessions:d priceable:b reason:s",
-       f"""with {RATED}, f as (select game_id, home_id, away_id, case when neutral_site is null then 'unknown' when neutral_site then 'neutral' else 'home' end as vs from schedule),
-       x as (select f.*, 79 + a.offence + b.defence + case when vs = 'home' then 1.5e0 else 0 end as h, 79 + b.offence + a.defence - case when vs = 'home' then 1.5e0 else 0 end as w, 60 + a.tempo + b.tempo as po, case when vs = 'unknown' then 'venue unknown' when a.team_id is null or b.team_id is null then 'no rating' end as reason
+       f"""with {LOCAL}, {RATED}, f as (select game_id, home_id, away_id, loc.venue_state as vs, local_team_id as lt, coalesce({TIER_OF.format('local_team_id')}, 'unplaced') as tier from schedule join loc using (game_id)),
+       x as (select f.*, 79 + a.offence + b.defence + {_added('home_id', 'away_id')} as h, 79 + b.offence + a.defence + {_added('away_id', 'home_id')} as w, 60 + a.tempo + b.tempo as po,
+        case when vs = 'unknown' then 'venue unknown' when vs = 'quasi_neutral' and lt is null then 'local side unknown' when a.team_id is null or b.team_id is null then 'no rating' end as reason
         from f left join rated a on a.team_id = home_id left join rated b on b.team_id = away_id)
        select game_id, h * po / 100 - w * po / 100 as margin, h * po / 100 + w * po / 100 as total, po as possessions, reason is null as priceable, reason from x""")
 def _(t):
-    state = F.when(F.col("neutral_site").isNull(), "unknown").when(F.col("neutral_site"), "neutral").otherwise("home")
-    fixtures = t.schedule.select("game_id", "home_id", "away_id", state.alias("venue_state"))
+    fixtures = t.schedule.select("game_id", "home_id", "away_id").join(D.local_sides(t.schedule), "game_id")
     ratings = rated(t).withColumns({"league_efficiency": F.lit(79.0), "league_tempo": F.lit(60.0)})
-    return R.matchups(fixtures, ratings, home_effect=1.5)
+    effects = t.spark.createDataFrame(list(EFFECTS.items()), "effect string, value double")
+    return R.matchups(fixtures, ratings, effects=effects, tiers=tier_table(t))
 
 
 @query("prior_season_pairs", "season:i team_id:i previous:d current:d",
@@ -97,23 +187,19 @@ def _(t):
     return R.carryover(R.season_pairs(season_ratings(t), "rating"))
 
 
-@query("venue_effects", "effect:s value:d")
+@query("venue_effects", "effect:s value:d", f"with recursive {VENUE_FIT} select [{_LABELS}][r + 1] as effect, v as value from beta")
 def _(t):
-    prepared = with_venue(t)
-    tiers = prepared.select("team_id").distinct().withColumn("tier", F.when(F.col("team_id") % 3 == 0, "high_major").when(F.col("team_id") % 3 == 1, "mid_major").otherwise("low_major"))
-    return R.venue_effects(prepared, rated(t), tiers)[0]
+    return R.venue_effects(R.prepare(*placed_games(t)), rated(t), tier_table(t))[0]
 
 
-@query("venue_departures", "venue_id:i games:i departure:d")
+@query("venue_departures", "venue_id:i games:i departure:d",
+       f"""with recursive {VENUE_FIT}, e as (select game_id, venue_id, own, y - ({_FITTED}) as e from vx where venue_state = 'home' and venue_id is not null),
+       g as (select game_id, venue_id, (avg(e) filter (own) - avg(e) filter (not own)) / 2 as h from e group by all having h is not null),
+       per as (select venue_id, count(*) as games, avg(h) as mean, var_samp(h) as var from g group by all),
+       u as (select sum(coalesce(var, 0) * games) / sum(games) as within, count(*) / sum(1e0 / games) as harmonic, var_samp(mean) as observed from per where games >= 5), w as (select within, greatest(0, observed - within / harmonic) as between_ from u)
+       select venue_id, games, case when between_ > 0 then games / (games + within / between_) * mean else 0 end as departure from per, w""")
 def _(t):
-    prepared = with_venue(t)
-    tiers = prepared.select("team_id").distinct().withColumn("tier", F.lit("unplaced"))
-    return R.venue_effects(prepared, rated(t), tiers)[1]
-
-
-def with_venue(t):
-    venues = t.schedule.select("game_id", "venue_id")
-    return R.prepare(t.team_games.join(venues, "game_id", "left"))
+    return R.venue_effects(R.prepare(*placed_games(t)), rated(t), tier_table(t))[1]
 
 
 @query("reciprocal_home_edge", "tier:s " + S.INTERVAL,

@@ -19,6 +19,18 @@ CLASS = f"""{IDS}, {VENUES}, classified as (select g.*, case when lower(headline
   case when neutral_site is null then 'unknown' when not neutral_site then 'home' when h.v = g.venue_id or a.v = g.venue_id or (h.c = venue_city and h.s = venue_state_code) or (a.c = venue_city and a.s = venue_state_code) then 'quasi_neutral' else 'neutral' end as venue_state
   from schedule g left join usual h on h.id = home_id left join usual a on a.id = away_id)"""
 
+# The same by season, and which side is local.
+LOCAL = """sh as (select * from schedule where not coalesce(neutral_site, true) and home_id is not null),
+ sv as (select season, home_id as id, venue_id as v from (select season, home_id, venue_id, count(*) as n from sh group by all) qualify row_number() over (partition by season, home_id order by n desc, venue_id) = 1),
+ sc as (select season, home_id as id, venue_city as c from (select season, home_id, venue_city, count(*) as n from sh group by all) qualify row_number() over (partition by season, home_id order by n desc, venue_city) = 1),
+ ss as (select season, home_id as id, venue_state_code as s from (select season, home_id, venue_state_code, count(*) as n from sh group by all) qualify row_number() over (partition by season, home_id order by n desc, venue_state_code) = 1),
+ su as (select season, id, v, c, s from sv join sc using (season, id) join ss using (season, id)),
+ near as (select g.*, coalesce(h.v = g.venue_id or (h.c = venue_city and h.s = venue_state_code), false) as hn, coalesce(a.v = g.venue_id or (a.c = venue_city and a.s = venue_state_code), false) as an
+  from schedule g left join su h on h.id = home_id and h.season = g.season left join su a on a.id = away_id and a.season = g.season),
+ loc as (select game_id, venue_id, case when neutral_site is null then 'unknown' when not neutral_site then 'home' when hn or an then 'quasi_neutral' else 'neutral' end as venue_state,
+  case when neutral_site is null then null when not neutral_site then home_id when hn and not an then home_id when an and not hn then away_id end as local_team_id,
+  case when neutral_site is null then 'venue unknown' when not neutral_site then case when home_id is null then 'host unknown' else 'host' end when hn and an then 'both local' when hn then 'home side local' when an then 'away side local' else 'nobody local' end as local_side from near)"""
+
 
 def schedule(t):
     drop4 = lambda c: F.when(F.col(c) != 4, F.col(c))
@@ -45,6 +57,11 @@ def _(t):
     return D.classify(schedule(t))
 
 
+@query("local_sides", "game_id:i venue_state:s venue_id:i local_team_id:i local_side:s", f"with {LOCAL} select game_id, venue_state, venue_id, local_team_id, local_side from loc")
+def _(t):
+    return D.local_sides(t.schedule)
+
+
 @query("classify_and_count", "game_state:s venue_state:s games:i total:i", f"with {CLASS} select game_state, venue_state, count(*) as games, (select count(*) from schedule) as total from classified group by all")
 def _(t):
     return D.state_counts(D.classify(schedule(t)))
@@ -233,6 +250,33 @@ def _(t):
     return X.grade_against_games(team_asks(t), t.team_games).groupBy("market", "tier", "settled").agg(F.count("*").alias("n"), F.sum("settled_profit").alias("profit"))
 
 
+PLACED_ASKS = f"""{EVENTS}, {TEAM_ASKS.split(' joined as')[0]}
+ placed as (select a.*, fx.game_id, fx.flipped, case side when 'home' then fx.home_id else fx.away_id end as provider, case when fx.game_id is null or flipped is null then 'refused' when flipped then 'flipped' else 'as filed' end as orientation,
+   case when selection not in ('home', 'away') then null when selection = 'home' then fx.home_id else fx.away_id end as expected_team_id from asks a left join fx on fx.ask = a.event_id),
+ pj as (select p.*, g.team_id, g.team_score, g.opponent_score from placed p left join team_games g on g.game_id = p.game_id and g.home_away = case when flipped then case side when 'home' then 'away' else 'home' end else side end),
+ pg as (select *, case when market = 'player_points' then 'not a wired market' when seg = 'h1' then 'wrong segment' when orientation = 'refused' then 'event not placed' when expected_team_id is not null and team_id is null then 'row names no team' when team_id <> expected_team_id then 'row is another team''s' when expected_team_id is null and market <> 'total_points' and team_id is null then 'row is not the named side' when team_score is null then 'no score' end as why,
+   case when market = 'moneyline' then team_score - opponent_score when market = 'spread' then team_score - opponent_score + line when selection = 'over' then team_score + opponent_score - line else line - team_score - opponent_score end as adj from pj),
+ ps as (select *, case when why is not null then 'unsettleable' when adj > 0 then 'won' when adj < 0 then 'lost' when market = 'moneyline' then 'unsettleable' else 'push' end as res, coalesce(why, case when adj = 0 and market = 'moneyline' then 'level where level cannot be' end) as note from pg)"""
+
+
+def placed_events(t):
+    """Events under the provider's home and away, some turned round, some with a team unknown."""
+    return D.resolve_fixtures(asked(t), t.schedule).withColumnRenamed("ask", "event_id")
+
+
+@query("settlement_by_team", "event_id:i partkey:i suppkey:i market:s selection:s orientation:s expected_team_id:i settled:s settled_profit:d note:s",
+       f"with {PLACED_ASKS} select event_id, partkey, suppkey, market, selection, orientation, expected_team_id, res as settled, case res when 'won' then payout when 'lost' then -1 when 'push' then 0 end as settled_profit, note from ps")
+def _(t):
+    return X.grade_against_games(team_asks(t), t.team_games, events=placed_events(t))
+
+
+@query("backtest_by_orientation", "market:s tier:s orientation:s settled:s n:i profit:d",
+       f"with {PLACED_ASKS} select market, tier, orientation, res as settled, count(*) as n, sum(case res when 'won' then payout when 'lost' then -1 when 'push' then 0 end) as profit from ps group by all")
+def _(t):
+    graded = X.grade_against_games(team_asks(t), t.team_games, events=placed_events(t))
+    return graded.groupBy("market", "tier", "orientation", "settled").agg(F.count("*").alias("n"), F.sum("settled_profit").alias("profit"))
+
+
 @query("half_settlement", "game_id:i home_away:s spread_h1:s total_h2:s team_h2:s",
        """with a as (select *, team_score_h1 - opponent_score_h1 + (game_id % 7 - 3) as s1, (team_score - team_score_h1) + (opponent_score - opponent_score_h1) - (70 + game_id % 20) as t2, (35 + game_id % 10) - (team_score - team_score_h1) as u2 from team_games)
        select game_id, home_away, case when s1 > 0 then 'won' when s1 < 0 then 'lost' else 'push' end as spread_h1, case when t2 > 0 then 'won' when t2 < 0 then 'lost' else 'push' end as total_h2, case when u2 > 0 then 'won' when u2 < 0 then 'lost' else 'push' end as team_h2 from a""")
