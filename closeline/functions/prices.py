@@ -182,3 +182,29 @@ def shrink(observed: Column, n: Column, prior: Column | float, k: Column | float
 
 def clamp(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
+
+
+# Rational approximations of the normal quantile's tail (algorithm AS 241), by powers of r.
+_NEAR = ((1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0, 1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+         (1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1, 1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9))
+_FAR = ((6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1, 2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+        (1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2, 7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15))
+
+
+def upper_quantile(tail: Column) -> Column:
+    """Normal quantile that leaves ``tail`` (up to 0.075) above it, to about 1e-15."""
+    r = F.sqrt(-F.ln(tail))
+
+    def ratio(x: Column, parts) -> Column:
+        above, below = (sum_by_powers(x, c) for c in parts)
+        return above / below
+
+    return F.when(r <= 5.0, ratio(r - 1.6, _NEAR)).otherwise(ratio(r - 5.0, _FAR))
+
+
+def sum_by_powers(x: Column, factors) -> Column:
+    """Polynomial with the given factors, constant first."""
+    out = F.lit(float(factors[-1]))
+    for f in reversed(factors[:-1]):
+        out = out * x + F.lit(float(f))
+    return out

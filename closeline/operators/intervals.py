@@ -100,6 +100,24 @@ def verdict(minimum: int = MINIMUM_BETS) -> Column:
     )
 
 
+def record(intervals: DataFrame, looks: int = 1, power: float = 0.8, minimum: int = MINIMUM_BETS) -> DataFrame:
+    """What each interval could have shown, beside what it shows.
+
+    ``detectable_effect``: the least estimate whose adjusted interval leaves out zero (null
+    without a standard error: such a cell can detect nothing). ``powered_effect``: the least
+    true effect that would do so with the given power. ``enough_evidence``,
+    ``survives_correction`` (the adjusted bounds are an interval, on one side of zero) and
+    ``inside_bounds`` (the return lies between the bounds printed beside it).
+    """
+    se, low, high = F.col("standard_error"), F.col("adjusted_low"), F.col("adjusted_high")
+    measured = F.when(se > 0, se)
+    enough = F.col("bets") >= minimum
+    survives = enough & F.coalesce(~F.isnan(low) & ~F.isnan(high) & (high > low) & ((low > 0) | (high < 0)), F.lit(False))
+    return intervals.select(
+        "*", (adjusted_z(looks) * measured).alias("detectable_effect"), ((adjusted_z(looks) + NormalDist().inv_cdf(power)) * measured).alias("powered_effect"),
+        enough.alias("enough_evidence"), survives.alias("survives_correction"), F.col("roi").between(low, high).alias("inside_bounds"))
+
+
 def widest(intervals: DataFrame, by: Sequence[str]) -> DataFrame:
     """Keep per group the widest of several units: game first, day if wider, athlete
     only if finite and wider than both. Widths equal to nine places are ties."""

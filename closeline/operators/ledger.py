@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from statistics import NormalDist
 
@@ -14,6 +15,8 @@ from closeline.operators import intervals as I
 PROMOTION_BETS, PROMOTION_POINTS = 2000, 1.5
 DEMOTION_BETS, DEMOTION_FLOOR = 500, -0.02
 FLOOR_OPINIONS, FLOOR_GAMES = 10_000, 2_000
+PLAUSIBLE_EDGE = 0.05
+_LOOK_PLACES = 60
 KEY_COVERAGE, CONVENTION_RATE, SIDE_BIAS = 0.5, 0.99, 0.75
 
 
@@ -207,6 +210,34 @@ def demotion(cells: DataFrame, declarations: DataFrame) -> DataFrame:
     return joined.withColumn("finding", state)
 
 
+def search_budget(tests: DataFrame, supply: DataFrame, edge: float = PLAUSIBLE_EDGE, floor: int = FLOOR_OPINIONS) -> DataFrame:
+    """Whether a market's search has spent so much that an edge worth having could not clear it.
+
+    ``tests`` (market, looks) says how often each market was looked at, ``supply`` (market,
+    supply) how many bets a season brings. A correction for the looks widens the interval by
+    a factor, and the bets that show the edge grow by its square; more than the supply is
+    exhausted. ``bites_at`` is the number of looks at which that happens first (of the
+    supply, and of the least sample that counts at all). Bets are taken as independent, so
+    the need is a lower bound.
+    """
+    needed_once = math.ceil((I.Z95 / edge) ** 2)
+    factor = lambda looks: F.when(looks <= 1, 1.0).otherwise(P.upper_quantile(F.lit(0.025) / looks) / I.Z95)
+    needed = lambda looks: F.ceil(needed_once * F.pow(factor(looks), 2))
+
+    def bites(limit: Column) -> Column:
+        # The most looks that still fit, one binary place after the other.
+        places = F.array(*[F.lit(1 << b).cast("long") for b in range(_LOOK_PLACES - 1, -1, -1)])
+        most = F.aggregate(places, F.lit(0).cast("long"), lambda held, more: F.when(needed((held + more).cast("double")) <= limit, held + more).otherwise(held))
+        return F.greatest(most + 1, F.lit(2))
+
+    looks = F.greatest(F.coalesce("looks", F.lit(0)), F.lit(1))
+    rows = tests.join(supply, "market", "full_outer").select("market", looks.cast("long").alias("looks"), F.coalesce("supply", F.lit(0)).cast("long").alias("supply"))
+    many = F.col("looks").cast("double")
+    return rows.select(
+        "market", "looks", "supply", factor(many).alias("correction_factor"), F.lit(needed_once).cast("long").alias("needed_uncorrected"), needed(many).alias("needed"),
+        (needed(many) > F.col("supply")).alias("exhausted"), (needed(many) > floor).alias("exhausted_at_floor"), bites(F.col("supply")).alias("bites_at"), bites(F.lit(floor)).alias("bites_at_floor"))
+
+
 def decision(cells: DataFrame, opinions: int = FLOOR_OPINIONS, games: int = FLOOR_GAMES) -> DataFrame:
     """Ordered verdict from floors, interval and the surviving return."""
     out = (

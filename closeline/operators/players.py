@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from closeline import session
 from closeline.functions import prices as P, times as C
 from closeline.operators import history as H, segments as G
 
@@ -152,21 +153,39 @@ def credibility_losses(rows: DataFrame, priors: DataFrame, stat: str, ks: Sequen
     return _grid(work.agg(*[loss(float(k)).alias(f"l{i}") for i, k in enumerate(ks)]), ks)
 
 
-def credibility(rows: DataFrame, priors: DataFrame, stat: str, rounds: int = 3, points: int = 25) -> tuple[float, float]:
-    """k with the least loss: a log grid, narrowed around its best point each round.
-    Each round brings one row of sums to the driver."""
-    low, high = 0.1, 10_000.0
-    best = (float("nan"), float("nan"))
-    for _ in range(rounds):
+def credibility_sums(rows: DataFrame, priors: DataFrame, stat: str) -> DataFrame:
+    """What the loss of any k is made of: sums per value of prior minutes (to nine places).
+
+    The weight that k gives a row depends on its prior minutes alone, so with
+    w = p / (p + k) the loss is (sum rr - 2 sum w rg + sum w w gg) / sum m over these.
+    """
+    work = rows.join(F.broadcast(priors.select("bucket", F.col(stat).alias("__prior"))), "bucket")
+    m, pm = F.col("minutes"), F.col("prior_minutes")
+    gap, r0 = F.col(f"bank_{stat}") / pm - F.col("__prior"), F.col(stat) / m - F.col("__prior")
+    use = work.filter((pm > 0) & (m > 0)).select(F.round(pm, 9).alias("p"), m.alias("m"), r0.alias("r"), gap.alias("g")).filter("r is not null and g is not null")
+    return use.groupBy("p").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("m") * F.col("r") * F.col("g")).alias("rg"), F.sum(F.col("m") * F.col("g") * F.col("g")).alias("gg"))
+
+
+def credibility(rows: DataFrame, priors: DataFrame, stat: str, tolerance: float = 1e-4, points: int = 25, low: float = 0.1, high: float = 10_000.0) -> tuple[float, float]:
+    """(k, loss) of the least loss, k to the given part of itself.
+
+    The rows are read once, into their sums; each round tries a log grid of k on these and
+    narrows it around the best. A round brings one row to the driver. Null where there are no rows.
+    """
+    sums = session.cut_lineage(credibility_sums(rows, priors, stat))
+    w = lambda k: F.col("p") / (F.col("p") + float(k))
+    least, most = low, high
+    while True:
         step = (high / low) ** (1.0 / (points - 1))
         ks = [low * step**i for i in range(points)]
-        found = [r for r in credibility_losses(rows, priors, stat, ks).collect() if r["loss"] is not None]
-        if not found:
-            return best
-        top = min(found, key=lambda r: r["loss"])
-        best = (top["k"], top["loss"])
-        low, high = max(0.1, top["k"] / step), min(10_000.0, top["k"] * step)
-    return best
+        losses = [(F.sum(F.col("rr") - 2.0 * w(k) * F.col("rg") + w(k) * w(k) * F.col("gg")) / F.sum("m")).alias(f"l{i}") for i, k in enumerate(ks)]
+        found = sums.agg(*losses).first()
+        if found[0] is None:
+            return float("nan"), float("nan")
+        best = min(range(points), key=lambda i: found[i])
+        if step <= 1.0 + tolerance:
+            return ks[best], found[best]
+        low, high = max(least, ks[best] / step), min(most, ks[best] * step)
 
 
 def credibility_by_band(rows: DataFrame, priors: DataFrame, stat: str, ks: Sequence[float], bands: Sequence[float]) -> DataFrame:

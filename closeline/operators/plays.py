@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from closeline.functions import text as T
 from closeline.operators import segments as G
@@ -129,10 +129,8 @@ def zone_profile(shots: DataFrame, side: str = "offense", minimum: int = RANK_AT
     total = shots.groupBy(team).agg(F.count("*").alias("total"))
     ppa = F.col("points") / F.col("attempts")
     rows = per.join(total, team).withColumns({"share": F.col("attempts") / F.col("total"), "points_per_attempt": ppa, "ranked": F.when(F.col("attempts") >= minimum, ppa)})
-    order = F.col("ranked").desc_nulls_last() if side == "offense" else F.col("ranked").asc_nulls_last()
-    # One row per team and zone here: the window is over teams, not over shots.
-    return rows.withColumn("rank", F.when(F.col("ranked").isNotNull(), F.rank().over(W.partitionBy("floor_zone").orderBy(order)))).withColumn(
-        "field", F.count("ranked").over(W.partitionBy("floor_zone"))).select(F.col(team).alias("team_id"), "floor_zone", "attempts", "share", "points_per_attempt", "rank", "field")
+    out = G.ranked(rows, ["floor_zone"], "ranked", descending=side == "offense")
+    return out.select(F.col(team).alias("team_id"), "floor_zone", "attempts", "share", "points_per_attempt", "rank", "field")
 
 
 def charted_share(plays: DataFrame, schedule: DataFrame, by: Sequence[str] = ("season",)) -> DataFrame:
@@ -170,7 +168,8 @@ def game_segments(plays: DataFrame) -> DataFrame:
 def possession_validation(estimated: DataFrame, plays: DataFrame) -> DataFrame:
     """Estimated possessions against counted ends, per game and team."""
     counted = with_possession_ends(plays).groupBy("game_id").agg(F.count_if("ends").alias("counted"))
-    gap = F.col("estimated") - F.col("counted")
-    return estimated.join(counted, "game_id").agg(
-        F.count("*").alias("games"), F.avg(gap).alias("mean_gap"), F.percentile(F.round(gap, 6), F.lit(0.5)).alias("median_gap"), F.stddev_samp(gap).alias("sd_gap"),
-        F.corr("estimated", F.col("counted").cast("double")).alias("correlation"))
+    rows = estimated.join(counted, "game_id").withColumn("gap", F.col("estimated") - F.col("counted"))
+    median = G.exact_quantiles(rows.select(F.round("gap", 6).alias("gap")), [], "gap", [0.5], "median_gap")
+    return rows.agg(
+        F.count("*").alias("games"), F.avg("gap").alias("mean_gap"), F.stddev_samp("gap").alias("sd_gap"),
+        F.corr("estimated", F.col("counted").cast("double")).alias("correlation")).crossJoin(F.broadcast(median))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from closeline import session
 from closeline.functions import text as T
+from closeline.operators import segments as G
 
 # Status words, exhibition markers, tier margins.
 STATUS_STATES = {
@@ -216,18 +216,15 @@ def placement(board: DataFrame, schedule: DataFrame) -> DataFrame:
 
 def expected_runs(runs: DataFrame, crons: DataFrame, job: str = "job") -> DataFrame:
     """Each expected instant and the run that claims it: a run takes the latest
-    expected instant at or before it, the earliest such run keeps the claim.
+    expected instant of its day at or before it, the earliest such run keeps the claim.
 
-    As-of by union and a running last value; both sides are small per job and day, and
-    the day is part of the partition.
+    The as-of scan is cut by the minute, so a day of a busy job is many segments.
     """
-    both = crons.select(job, "slot_day", F.col("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("run_id")).unionByName(
-        runs.select(job, "slot_day", F.col("at"), F.lit(1).alias("kind"), F.col("run_id").cast("long").alias("run_id")))
-    w = W.partitionBy(job, "slot_day").orderBy("at", "kind", "run_id").rowsBetween(W.unboundedPreceding, 0)
-    asof = both.withColumn("expected", F.last(F.when(F.col("kind") == 0, F.col("at")), True).over(w)).filter("kind = 1 and expected is not null")
-    claimed = asof.groupBy(job, "slot_day", "expected").agg(F.min_by(F.struct("run_id", "at"), F.struct("at", "run_id")).alias("r"))
-    out = crons.select(job, "slot_day", F.col("at").alias("expected")).distinct().join(claimed, [job, "slot_day", "expected"], "left")
-    return out.select(job, "slot_day", "expected", F.col("r.run_id").alias("run_id"),
+    keys = [job, "slot_day"]
+    found = G.as_of(runs.select(*keys, "at", F.col("run_id").cast("long").alias("run_id")), crons.select(*keys, "at").distinct(), keys, "at", [], [F.date_trunc("minute", "at")], right_at="expected")
+    claimed = found.filter("expected is not null").groupBy(*keys, "expected").agg(F.min_by(F.struct("run_id", "at"), F.struct("at", "run_id")).alias("r"))
+    out = crons.select(*keys, F.col("at").alias("expected")).distinct().join(claimed, [*keys, "expected"], "left")
+    return out.select(*keys, "expected", F.col("r.run_id").alias("run_id"),
                       ((F.unix_micros(F.col("r.at").cast("timestamp")) - F.unix_micros(F.col("expected").cast("timestamp"))) / 6e7).alias("minutes_late"))
 
 

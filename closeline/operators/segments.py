@@ -88,6 +88,60 @@ def next_row(frame: DataFrame, keys: Sequence[str], order: Sequence[str], values
     return joined.select(*frame.columns, *[following[n].alias(n) for n in values])
 
 
+def last_known(frame: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, value: Column, segment: Sequence[Column]) -> DataFrame:
+    """Add, per row, the last value that isn't null at or before it in its key.
+
+    A segment hands on its last known value; a segment without one hands on what it got.
+    Rows that are equal in ``order`` must not hold different values.
+    """
+    levels = [f"__seg{i}" for i in range(len(segment))]
+    work = frame.select("*", *[e.alias(n) for e, n in zip(segment, levels)], value.alias("__cur"))
+    known = work.filter(F.col("__cur").isNotNull()).groupBy(*keys, *levels).agg(F.max_by("__cur", F.struct(*order)).alias("__last"))
+    # One row per segment of any row; those without a known value pass on the one before.
+    all_ = _null_safe(work.select(*keys, *levels).distinct(), known, [*keys, *levels], "left")
+    before = W.partitionBy(*keys).orderBy(*levels).rowsBetween(W.unboundedPreceding, -1)
+    carried = all_.select(*keys, *levels, F.last("__last", True).over(before).alias("__carry"))
+    inside = W.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    scanned = work.withColumn("__own", F.last("__cur", True).over(inside))
+    joined = _null_safe(scanned, carried, [*keys, *levels], "inner")
+    return joined.select(*frame.columns, F.coalesce("__own", "__carry").alias(name))
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, values: Sequence[str], segment: Sequence[Column], strict: bool = False, right_at: str | None = None) -> DataFrame:
+    """Left rows with the values of the newest right row of their key at or before them (before them, if ``strict``).
+
+    Both sides are scanned as one sequence per key, in segments: no range join, and no
+    window over a key. ``segment`` are expressions over ``at`` that rise with it. Of right
+    rows of one key and time the one with the greatest values counts. Null keys meet null
+    keys; a null time meets nothing. ``right_at`` keeps the time of the row that was found.
+    """
+    fields = F.struct(*[F.col(v) for v in values], F.col(at).alias(right_at or "__at"))
+    newest = right.filter(F.col(at).isNotNull()).groupBy(*keys, at).agg(F.max(fields).alias("__value"))
+    seen, asked = (1, 0) if strict else (0, 1)
+    rows = newest.select(*keys, at, F.lit(seen).alias("__turn"), "__value").unionByName(
+        left.select(*keys, at, F.lit(asked).alias("__turn"), F.struct(*left.columns).alias("__row")), allowMissingColumns=True)
+    scanned = last_known(rows, keys, [at, "__turn"], "__found", F.when(F.col(at).isNotNull(), F.col("__value")), segment).filter(F.col("__row").isNotNull())
+    found = F.when(F.col(at).isNotNull(), F.col("__found"))
+    return scanned.select("__row.*", *[found[v].alias(v) for v in [*values, *([right_at] if right_at else [])]])
+
+
+def ranked(frame: DataFrame, keys: Sequence[str], value: str, descending: bool = False, cuts: int = 64) -> DataFrame:
+    """Add ``rank`` (ties share the least) of each value that isn't null within its key, and ``field``, their number.
+
+    Equal values are counted map-side. Approximate quantiles propose ranges, exact counts
+    of ranges give each its offset, and ranks are counted on inside a range: tasks follow
+    the values, not the keys.
+    """
+    v = (-F.col(value) if descending else F.col(value)).alias("__v")
+    counts = session.cut_lineage(frame.filter(F.col(value).isNotNull()).groupBy(*keys, v).agg(F.count("*").alias("__n")))
+    proposed = counts.groupBy(*keys).agg(F.percentile_approx("__v", [i / cuts for i in range(1, cuts)], 2048).alias("__cuts"), F.sum("__n").alias("field"))
+    placed = _null_safe(counts, proposed, keys, "inner").withColumn("__range", F.size(F.filter("__cuts", lambda c: c <= F.col("__v")))).drop("__cuts")
+    before = running_before(placed, keys, ["__v"], {"__before": F.col("__n")}, [F.col("__range")])
+    ranks = before.select(*keys, F.col("__v").alias("__rank_of"), (F.col("__before") + 1).alias("rank"))
+    rows = _null_safe(frame.withColumn("__rank_of", v), ranks, [*keys, "__rank_of"], "left").drop("__rank_of")
+    return _null_safe(rows, proposed.select(*keys, "field"), keys, "left").withColumn("field", F.coalesce("field", F.lit(0)))
+
+
 def exact_quantiles(frame: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], name: str = "q", levels: int = 2, cuts: int = 64) -> DataFrame:
     """Exact interpolated quantiles per group, for continuous values and groups of any size.
 

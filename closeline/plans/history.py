@@ -334,6 +334,16 @@ def _(t):
     return X.settle_player(asks).groupBy("game_id", "athlete_id", F.col("home_away").alias("side")).agg(pick(X.FIRST_BASKET[0]).alias("game_first"), pick(X.FIRST_BASKET[1]).alias("team_first"))
 
 
+@query("as_of_join", "event_id:i last_value:d last_at:i",
+       """with p as (select user_id, ts, max(value) as value from events where event_type = 'purchase' group by all)
+       select e.event_id, p.value as last_value, epoch_us(p.ts) as last_at from events e asof left join p on e.user_id = p.user_id and e.ts >= p.ts""")
+def _(t):
+    rows = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    bought = rows.filter("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("last_value"))
+    found = G.as_of(rows.select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", ["last_value"], [F.date_trunc("day", "ts")], right_at="last_at")
+    return found.withColumn("last_at", F.unix_micros("last_at"))
+
+
 PLACED = f"""{CLASS}, {LOCAL}, {NET}, placed as (select n.* exclude (venue_state), 100 * team_score / gp as eff, loc.venue_state, loc.venue_id,
   case loc.venue_state when 'home' then case when home_away = 'home' then team_id else opponent_id end when 'quasi_neutral' then local_team_id end as lt,
   case when game_state <> 'countable' then 'not countable' when loc.venue_state = 'unknown' then 'venue unknown' when periods is null then 'periods unknown' when periods <> 2 then 'overtime' when gp < 40 then 'too few possessions' end as left_out

@@ -166,6 +166,22 @@ def _(t):
     return L.demotion(I.interval(t.bets, [["market"]], BOTH), declared)
 
 
+BUDGET_Z = f"""list_reduce(list_concat([0e0], list_transform(range(0, 50), lambda i: 8e0 / pow(2, i))), lambda z, s: case when looks > 1 and 1 - {S.normal_cdf('(z + s)')} >= 0.025e0 / looks then z + s else z end)"""
+_Z_LIMIT = f"({S.Z} * sqrt(supply / 1537e0))"
+_Z_FLOOR = f"({S.Z} * sqrt(10000 / 1537e0))"
+
+
+@query("search_budget", "market:s looks:i supply:i correction_factor:d needed:i exhausted:b exhausted_at_floor:b bites_at:i bites_at_floor:i",
+       f"""with l as (select market, count(distinct subject) as looks from bets group by all), s as (select market, count(*) // count(distinct year(slate_date)) as supply from bets group by all),
+       z as (select *, case when looks <= 1 then 1 else {BUDGET_Z} / {S.Z} end as f from l join s using (market)), n as (select *, cast(ceil(1537 * f * f) as bigint) as needed from z)
+       select market, looks, supply, f as correction_factor, needed, needed > supply as exhausted, needed > 10000 as exhausted_at_floor, greatest(2, cast(floor(0.025e0 / (1 - {S.normal_cdf(_Z_LIMIT)})) as bigint) + 1) as bites_at,
+        greatest(2, cast(floor(0.025e0 / (1 - {S.normal_cdf(_Z_FLOOR)})) as bigint) + 1) as bites_at_floor from n""")
+def _(t):
+    tests = t.bets.groupBy("market").agg(F.countDistinct("subject").alias("looks"))
+    supply = t.bets.groupBy("market").agg(F.floor(F.count("*") / F.countDistinct(F.year("slate_date"))).alias("supply"))
+    return L.search_budget(tests, supply)
+
+
 @query("decision_rule", "market:s roi:d opinions:i games:i decision:s",
        f"""with c as ({S.interval('bets', 'market', BOTH, z=Z9)}), n as (select market, count(*) as opinions, count(distinct event_id) as games from bets group by all)
        select market, roi, opinions, games, case when opinions < 10000 or games < 2000 then 'did not run' when adjusted_high < 0 then 'stop: loses' when adjusted_low <= 0 then 'stop: no edge' when roi - 0.01 <= 0 then 'not reachable' else 'candidate' end as decision from c join n using (market)""")

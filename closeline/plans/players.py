@@ -106,6 +106,20 @@ def _(t):
     return losses.crossJoin(F.broadcast(least)).withColumn("best", F.col("loss") == F.col("least"))
 
 
+@query("credibility_refined", "k:d loss:d",
+       f"""with recursive {PRICED}, pr as (select bucket, sum(points) / sum(minutes) as pr from priced group by all),
+       b as (select prior_minutes as p, minutes as m, points / minutes - pr as r, bank_points / prior_minutes - pr as g from priced join pr using (bucket)),
+       c as (select round(p, 9) as p, sum(m * r * g) as rg, sum(m * g * g) as gg from b group by 1), tot as (select sum(m) as m, sum(m * r * r) as rr from b),
+       rec(round_, low, high, k, loss, last_step) as (select 0, 0.1e0, 10000e0, 0e0, 0e0, 0e0 union all
+        select round_ + 1, greatest(0.1e0, arg_min(k, loss) / step), least(10000e0, arg_min(k, loss) * step), arg_min(k, loss), min(loss), step from (select round_, step, k, (any_value(rr) - 2 * sum(p / (p + k) * rg) + sum(pow(p / (p + k), 2) * gg)) / any_value(tot.m) as loss
+         from (select round_, pow(high / low, 1e0 / 24) as step, low * pow(pow(high / low, 1e0 / 24), i) as k from rec, range(0, 25) x(i) where round_ < 30 and (round_ = 0 or last_step > 1.0001e0)) z, c, tot group by round_, step, k) group by round_, step)
+       select round(k, 3) as k, loss from rec qualify round_ = max(round_) over ()""")
+def _(t):
+    rows = L.priced(trail(t))
+    k, loss = L.credibility(rows, L.role_priors(rows), "points")
+    return t.spark.createDataFrame([(round(k, 3), loss)], "k double, loss double")
+
+
 @query("credibility_by_band", "band:i rows:i k:d loss:d enough:b",
        f"""with {PRICED}, pr as (select bucket, sum(points) / sum(minutes) as pr from priced group by all), g as (select unnest({KS}) as k),
        l as (select case when prior_minutes >= 400.3e0 then 2 when prior_minutes >= 150.3e0 then 1 else 0 end as band, k, count(*) as rows, sum(minutes * pow(points / minutes - pr - prior_minutes / (prior_minutes + k) * (bank_points / prior_minutes - pr), 2)) / sum(minutes) as loss from priced join pr using (bucket), g group by all)

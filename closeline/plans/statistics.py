@@ -35,6 +35,16 @@ def _(t):
     return I.interval(t.bets, [["subject"]], {"game": "slate_date"}, looks=LOOKS)
 
 
+_HELD = "(bets >= 200 and adjusted_high > adjusted_low and not (adjusted_low <= 0 and adjusted_high >= 0))"
+
+
+@query("interval_record", "subject:i roi:d bets:i detectable_effect:d powered_effect:d enough_evidence:b survives_correction:b inside_bounds:b verdict:s",
+       f"""select subject, roi, bets, case when standard_error > 0 then {Z12!r}e0 * standard_error end as detectable_effect, case when standard_error > 0 then ({Z12!r}e0 + 0.8416212335729143e0) * standard_error end as powered_effect,
+       bets >= 200 as enough_evidence, {_HELD} as survives_correction, roi >= adjusted_low and roi <= adjusted_high as inside_bounds, verdict from ({S.interval("bets", "subject", {"game": "slate_date"}, z=Z12)})""")
+def _(t):
+    return I.record(I.interval(t.bets, [["subject"]], {"game": "slate_date"}, looks=LOOKS), LOOKS)
+
+
 @query("cluster_mean_by_column", "season:i " + IV, S.interval("team_games", "season", {"game": "game_id"}, "margin"))
 def _(t):
     return I.interval(t.team_games, [["season"]], {"game": "game_id"}, "margin")

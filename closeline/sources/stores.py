@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from closeline.functions import text as X
-from closeline.operators import quotes as Q
+from closeline.operators import quotes as Q, segments as G
 
 LEDGER_IDENTITY = ("snapshot_date", "event_id", "market", "segment", "player", "selection", "line", "book")
 FREEZE_IDENTITY = ("event_id", "market", "segment", "player", "selection", "line")
@@ -168,12 +168,14 @@ def dated_consensus(tables: DataFrame, days: DataFrame, max_age: int) -> DataFra
     """For each asked day: the newest table per source strictly before it and not too
     old, averaged over sources.
 
-    The newest day per source is found on the distinct table days (few), by interval;
-    only the chosen tables are then joined to their rows.
+    The days that a source can answer are those within ``max_age`` of one of its tables;
+    an as-of scan over the distinct table days finds the newest one for each, and only the
+    chosen tables are then joined to their rows.
     """
-    stamps = tables.select("source", "as_of").distinct()
-    picked = days.select("day").distinct().join(stamps, (F.col("as_of") < F.col("day")) & (F.col("as_of") >= F.date_sub("day", max_age)))
-    newest = picked.groupBy("day", "source").agg(F.max("as_of").alias("as_of"))
+    stamps = tables.select("source", F.col("as_of").alias("day")).distinct()
+    near = stamps.select("source", F.explode(F.sequence(F.date_add("day", 1), F.date_add("day", max_age))).alias("day")).distinct()
+    asked = near.join(days.select("day").distinct(), "day", "left_semi")
+    newest = G.as_of(asked, stamps, ["source"], "day", [], [F.trunc("day", "month")], strict=True, right_at="as_of")
     rows = tables.join(newest, ["source", "as_of"])
     return rows.groupBy("day", "team").agg(F.avg("adj_off").alias("adj_off"), F.avg("adj_def").alias("adj_def"), F.avg("tempo").alias("tempo"), F.count("*").alias("sources"))
 

@@ -71,3 +71,43 @@ def test_trailing_mean_over_many_blocks(spark):
     ewm = pdf["minutes"].where(played)[played].ewm(halflife=half).mean().reindex(pdf.index).shift(1).ffill()
     np.testing.assert_allclose(out["projected_minutes"].iloc[50:], ewm.iloc[50:], rtol=1e-12)
     assert (out["prior_games"] == played.cumsum().shift(1).fillna(0)).all()
+
+
+def test_as_of_equals_the_search(spark):
+    """Newest right row at or before each left row, by key; ties, null keys, null times, strict or not."""
+    rng = np.random.default_rng(12)
+    key = lambda n: [None if k == 4 else int(k) if k else 1 for k in np.where(rng.random(n) < 0.6, 0, rng.integers(2, 9, n))]
+    stamp = lambda n: [None if t == 77 else int(t) for t in rng.integers(0, 400, n)]
+    left = [(i, k, t) for i, (k, t) in enumerate(zip(key(800), stamp(800)))]
+    right = [(k, t, int(v), None if v % 5 == 0 else f"v{v}") for k, t, v in zip(key(300), stamp(300), rng.integers(0, 1000, 300))] + [(30, 5, 1, "a")]
+    a = spark.createDataFrame(left, "id long, k long, at long")
+    b = spark.createDataFrame(right, "k long, at long, v long, w string")
+    for strict in (False, True):
+        for width in (1, 7, 1000):
+            got = {r["id"]: (r["v"], r["w"], r["found"]) for r in G.as_of(a, b, ["k"], "at", ["v", "w"], [F.floor(F.col("at") / width)], strict, "found").collect()}
+            assert len(got) == 800
+            for i, k, t in left:
+                seen = [] if t is None else [(s, v, w or "", w) for q, s, v, w in right if q == k and s is not None and (s < t or (s == t and not strict))]
+                best = max(seen, default=None)
+                assert got[i] == ((None, None, None) if best is None else (best[1], best[3], best[0]))
+
+
+def test_as_of_of_empty_sides(spark):
+    a, b = spark.createDataFrame([(1, 1, 5)], "id long, k long, at long"), spark.createDataFrame([], "k long, at long, v long")
+    assert [tuple(r) for r in G.as_of(a, b, ["k"], "at", ["v"], [F.col("at")]).collect()] == [(1, 1, 5, None)]
+    assert G.as_of(a.filter("false"), a.select("k", "at", F.col("id").alias("v")), ["k"], "at", ["v"], [F.col("at")]).count() == 0
+
+
+def test_as_of_has_no_range_join_and_no_window_over_a_key(spark, skewed):
+    plan = G.as_of(skewed, skewed.select("k", "day", F.col("id").alias("v")), ["k"], "day", ["v"], [F.trunc("day", "month")])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "<=" not in plan.replace("<=>", "")
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_ranks_equal_the_window(spark, skewed, descending):
+    rows = skewed.withColumn("y", F.round("x", 1)).filter("k is null or k < 12")
+    w = W.partitionBy("k").orderBy(F.col("y").desc_nulls_last() if descending else F.col("y").asc_nulls_last())
+    plain = rows.withColumn("rank", F.when(F.col("y").isNotNull(), F.rank().over(w))).withColumn("field", F.count("y").over(W.partitionBy("k")))
+    pick = lambda d: sorted((r["id"], r["rank"] or 0, r["field"]) for r in d.collect())
+    assert pick(G.ranked(rows, ["k"], "y", descending, cuts=5)) == pick(plain)
+    assert G.ranked(rows.filter("false"), ["k"], "y").count() == 0

@@ -108,3 +108,63 @@ def test_brier_prefers_the_truth(spark):
     row = K.brier(spark.createDataFrame(pdf)).first()
     assert row["skill_vs_devigged"] > 0 and row["fair_verdict"] == "demonstrated edge" and not row["loses_to_market"]
     assert row["base_rate_reference"] == pytest.approx(pdf["won"].var(ddof=0))
+
+
+def test_an_interval_says_what_it_could_have_shown(spark):
+    from statistics import NormalDist
+
+    from closeline.operators import intervals as I
+
+    rows = [(0.1, 0.02, 500, 0.05, 0.15), (0.1, 0.02, 100, 0.05, 0.15), (0.1, 0.0, 500, 0.1, 0.1), (-0.1, 0.01, 500, -0.12, -0.08), (0.0, 0.01, 500, -0.1, 0.1), (0.5, 0.01, 500, -0.1, 0.1), (0.1, 0.0, 500, float("nan"), float("nan"))]
+    got = I.record(spark.createDataFrame(rows, "roi double, standard_error double, bets long, adjusted_low double, adjusted_high double").coalesce(1), looks=10).collect()
+    z = NormalDist().inv_cdf(1 - 0.0025)
+    assert [r["survives_correction"] for r in got] == [True, False, False, True, False, False, False]
+    assert [r["enough_evidence"] for r in got] == [True, False, True, True, True, True, True]
+    assert [r["inside_bounds"] for r in got][:6] == [True, True, True, True, True, False]
+    assert got[0]["detectable_effect"] == pytest.approx(z * 0.02) and got[2]["detectable_effect"] is None
+    assert got[0]["powered_effect"] == pytest.approx((z + NormalDist().inv_cdf(0.8)) * 0.02)
+
+
+def test_upper_quantile_and_search_budget(spark):
+    import math
+    from statistics import NormalDist
+
+    from closeline.functions import prices as P
+    from closeline.operators import ledger as L
+
+    tails = [10.0**-e for e in range(2, 19)] + [0.07, 0.025, 0.0005]
+    got = spark.createDataFrame([(t,) for t in tails], "t double").select("t", P.upper_quantile(F.col("t")).alias("z")).collect()
+    for r in got:
+        assert r["z"] == pytest.approx(-NormalDist().inv_cdf(r["t"]), abs=1e-12)
+    tests = spark.createDataFrame([("a", 1), ("b", 98), ("c", 10**6), ("d", None)], "market string, looks long")
+    supply = spark.createDataFrame([("a", 1000), ("b", 5000), ("c", 23_000), ("e", 2000)], "market string, supply long")
+    out = {r["market"]: r for r in L.search_budget(tests, supply).collect()}
+    z = lambda n: NormalDist().inv_cdf(1 - 0.025 / n) if n < 10**12 else -NormalDist().inv_cdf(0.025 / n)
+    need = lambda n: math.ceil(1537 * (z(n) / z(1)) ** 2) if n > 1 else 1537
+    assert out["a"]["exhausted"] and out["a"]["bites_at"] == 2 and out["a"]["needed"] == 1537
+    assert out["b"]["needed"] == need(98) and out["b"]["exhausted"] == (need(98) > 5000)
+    assert not out["c"]["exhausted"] and out["c"]["correction_factor"] == pytest.approx(z(10**6) / z(1))
+    bite = out["b"]["bites_at"]
+    assert need(bite) > 5000 >= need(bite - 1)
+    floor = out["b"]["bites_at_floor"]
+    assert need(floor) > 10_000 >= need(floor - 1)
+    assert out["d"]["looks"] == 1 and out["d"]["exhausted"] and out["e"]["looks"] == 1 and not out["e"]["exhausted"]
+
+
+def test_refined_credibility_is_the_least_loss(spark):
+    from closeline.operators import players as L
+
+    rng = np.random.default_rng(2)
+    n = 3000
+    pm, m = rng.integers(60, 900, n).astype(float), rng.integers(5, 40, n).astype(float)
+    skill = rng.normal(0.5, 0.1, n)
+    bank, stat = (skill + rng.normal(0, 1, n) / np.sqrt(pm)) * pm, (skill + rng.normal(0, 0.3, n)) * m
+    rows = spark.createDataFrame([(int(i % 2), float(a), float(b), float(c), float(d)) for i, (a, b, c, d) in enumerate(zip(pm, m, bank, stat))] + [(0, 0.0, 5.0, 0.0, 1.0)], "bucket long, prior_minutes double, minutes double, bank_points double, points double")
+    priors = spark.createDataFrame([(0, 0.5), (1, 0.48)], "bucket long, points double")
+    k, loss = L.credibility(rows, priors, "points")
+    prior = np.where(np.arange(n) % 2 == 0, 0.5, 0.48)
+    of = lambda k: float(np.sum(m * (stat / m - prior - pm / (pm + k) * (bank / pm - prior)) ** 2) / m.sum())
+    grid = np.exp(np.linspace(np.log(0.1), np.log(10_000), 200_001))
+    best = min(grid, key=of)
+    assert k == pytest.approx(best, rel=1e-3) and loss == pytest.approx(of(k), rel=1e-9)
+    assert L.credibility(rows.filter("false"), priors, "points")[0] != L.credibility(rows.filter("false"), priors, "points")[0]
