@@ -127,6 +127,40 @@ def consensus(rows: DataFrame) -> DataFrame:
     return lines.join(money, keys)
 
 
+def capture_consensus(rows: DataFrame) -> DataFrame:
+    """The consensus of each capture of an event in one aggregate, so that a stream can take it too.
+
+    Same values as ``consensus``; a capture without main markets has nulls. The pairs of
+    a capture's moneyline (books times sides) are the only rows gathered. Carries the
+    latest commence_time that the capture names.
+    """
+    market, selection = F.col("market"), F.col("selection")
+    line = lambda m, s: F.percentile(F.when((market == m) & (selection == s), P.number("line")), F.lit(0.5))
+    money = F.when((market == "moneyline") & selection.isin("home", "away"), F.struct("book", "selection", P.payout("american_odds").alias("payout"), P.implied("american_odds").alias("chance")))
+    per = _full_game(rows).groupBy("event_id", "captured_at").agg(
+        F.max("commence_time").alias("commence_time"), line("spread", "home").alias("spread"), line("total_points", "over").alias("total_points"), F.collect_set(money).alias("__money"))
+    best = lambda book, s: F.array_max(F.transform(F.filter("__money", lambda m: (m["book"] == book) & (m["selection"] == s)), lambda m: F.struct(m["payout"].alias("p"), m["chance"].alias("c"))))["c"]
+    shares = F.transform(F.array_distinct(F.transform("__money", lambda m: m["book"])), lambda book: best(book, "home") / (best(book, "home") + best(book, "away")))
+    ordered = F.sort_array(F.filter(shares, lambda x: x.isNotNull()))
+    n = F.size(ordered)
+    at = lambda i: F.try_element_at(ordered, i.cast("int"))
+    median = F.when(n > 0, (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2.0)
+    return per.select("event_id", "captured_at", "commence_time", median.alias("moneyline"), "spread", "total_points")
+
+
+def moves_by_capture(store: DataFrame) -> DataFrame:
+    """Consensus of every capture up to the start against that of the event's first one, per market.
+
+    Rows where both are known. The stream's rows are these, whatever the batches.
+    """
+    every = capture_consensus(store.filter("captured_at <= commence_time"))
+    first = every.groupBy("event_id").agg(F.min_by(F.struct(F.col("captured_at").alias("at"), *Q.MAIN_MARKETS), "captured_at").alias("f"))
+    later = every.join(first, "event_id").filter("captured_at > f.at")
+    rows = later.select("event_id", "captured_at", F.col("f.at").alias("first_at"), F.inline(F.array(*[
+        F.struct(F.lit(m).alias("market"), F.col(f"f.{m}").alias("opened"), F.col(m).alias("now")) for m in Q.MAIN_MARKETS])))
+    return rows.filter("opened is not null and now is not null")
+
+
 def closing_consensus(store: DataFrame) -> DataFrame:
     """Consensus at the last capture at or before the start, one row per event."""
     before = store.filter(F.col("captured_at") <= F.col("commence_time"))

@@ -57,7 +57,16 @@ def _(t):
     return V.daily_freeze(rows.withColumn("payout", P.payout("american_odds")), ["event_id", "market"])
 
 
-@query("move_since_first_capture", "event_id:i market:s first_at:i opened:d now:d captures:i",
+@query("move_since_first_capture", "event_id:i captured_at:t first_at:t market:s opened:d now:d",
+       f"""with {CLOSE}, f as (select event_id, min(captured_at) as first_at from board where captured_at <= commence_time group by all),
+       m as (select c.event_id, c.captured_at, first_at, unnest([{{'m': 'moneyline', 'a': o.moneyline, 'b': c.moneyline}}, {{'m': 'spread', 'a': o.spread, 'b': c.spread}}, {{'m': 'total_points', 'a': o.total_points, 'b': c.total_points}}]) as x
+        from cons c join f on f.event_id = c.event_id and c.captured_at > first_at join cons o on o.event_id = c.event_id and o.captured_at = first_at)
+       select event_id, captured_at, first_at, x.m as market, x.a as opened, x.b as now from m where x.a is not null and x.b is not null""")
+def _(t):
+    return M.moves_by_capture(t.board)
+
+
+@query("session_moves", "event_id:i market:s first_at:i opened:d now:d captures:i",
        """with g as (select *, case when ts - lag(ts) over w >= interval 3 days or lag(ts) over w is null then 1 else 0 end as new from events window w as (partition by user_id, event_type order by ts)),
        s as (select *, sum(new) over (partition by user_id, event_type order by ts) as sess from g)
        select user_id as event_id, event_type as market, epoch_us(min(ts)) as first_at, arg_min(floor(value / 10), ts) as opened, arg_max(floor(value / 10), ts) as now, count(*) as captures from s group by user_id, event_type, sess""")

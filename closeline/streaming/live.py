@@ -160,6 +160,62 @@ def closing_stream(consensus: DataFrame) -> DataFrame:
         outputMode="Append", timeMode="EventTime")
 
 
+class MoveState(StatefulProcessor):
+    """Keeps the consensus of an event's first capture; says every later one against it.
+
+    State is one row per event. The event-time timer at the start clears it; a start that
+    is moved back moves the timer.
+    """
+
+    COLUMNS = ("event_id", "captured_us", "first_us", "market", "opened", "now")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", "captured_us long, moneyline double, spread double, total_points double, timer_ms long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        # The aggregate before lets captures go in the order of the watermark; within a batch they are sorted here.
+        seen = pd.concat(list(rows)).sort_values("captured_us")
+        held, said = (self.first.get() if self.first.exists() else None), []
+        clean = lambda v: None if pd.isna(v) else float(v)
+        for row in seen[seen["captured_us"] <= seen["start_us"]].to_dict("records"):
+            values = [clean(row[m]) for m in Q.MAIN_MARKETS]
+            if held is None:
+                held = (int(row["captured_us"]), *values, -1)
+            else:
+                said += [(key[0], int(row["captured_us"]), int(held[0]), m, a, b) for m, a, b in zip(Q.MAIN_MARKETS, held[1:4], values) if a is not None and b is not None]
+            timer = max(int(row["start_us"]) // 1000, timerValues.getCurrentWatermarkInMs()) + 1
+            if timer > held[4]:
+                if held[4] >= 0:
+                    self.handle.deleteTimer(held[4])
+                self.handle.registerTimer(timer)
+                held = (*held[:4], timer)
+        if held is not None:
+            self.first.update(held)
+        yield pd.DataFrame(said, columns=self.COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.first.clear()
+        yield pd.DataFrame(columns=self.COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def move_stream(captures: DataFrame) -> DataFrame:
+    """Consensus of each capture against the event's first one, as a capture is complete.
+
+    Two stateful operators in one query: the consensus of a capture is an aggregate that
+    ends when the watermark of ``captured_at`` passes it, and behind it stands the state of
+    the event. Input: quotes with a watermark on captured_at, and commence_time.
+    """
+    every = M.capture_consensus(captures)
+    rows = every.withColumns({"captured_us": F.unix_micros(F.col("captured_at").cast("timestamp")), "start_us": F.unix_micros(F.col("commence_time").cast("timestamp"))})
+    return rows.groupBy("event_id").transformWithStateInPandas(
+        statefulProcessor=MoveState(), outputStructType="event_id long, captured_us long, first_us long, market string, opened double, now double",
+        outputMode="Append", timeMode="EventTime")
+
+
 def settle_stream(quotes: DataFrame, results: DataFrame, wait_days: int = 14) -> DataFrame:
     """Quotes joined to their result within the wait; a quote whose result never comes
     leaves with nulls when the watermark passes, and is then unsettleable.

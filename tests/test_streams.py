@@ -63,6 +63,47 @@ def test_sinks_do_not_depend_on_the_batches(spark, how):
     assert want and side(spark.read.parquet(alerts)) == want
 
 
+@pytest.mark.parametrize("how", ["one batch", "each capture", "halves"])
+def test_move_stream_equals_the_batch(spark, how):
+    """Consensus, then the state of the event, in one streaming query."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    board = Tables(spark, SMALL).board.filter("event_id <= 6")
+    board = board.select("captured_at", "commence_time", *[f.name for f in BOARD.fields]).withColumns({c: F.col(c).cast("timestamp") for c in ("captured_at", "commence_time")}).distinct()
+    stamps = sorted(r[0] for r in board.select("captured_at").distinct().collect())[:5]
+    board = board.filter(F.col("captured_at").isin(stamps)).persist()
+    source = tmp()
+    parts = [board] if how == "one batch" else [board.filter(F.col("captured_at") == at) for at in stamps] if how == "each capture" else batches(board, stamps, how)
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{source}/p{i:03}")
+    # Far captures of other events let the watermark pass all others.
+    after = board.limit(1).withColumns({"event_id": F.lit(99).cast("long"), "captured_at": F.lit(datetime(2030, 1, 1)), "commence_time": F.lit(datetime(2031, 1, 1))})
+    for i in range(2):
+        after.withColumn("captured_at", F.lit(datetime(2030 + i, 1, 1))).coalesce(1).write.parquet(f"{source}/q{i}")
+    stream = spark.readStream.schema(board.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(source).withWatermark("captured_at", "1 day")
+    got = []
+    V.start(V.move_stream(stream), tmp(), lambda b, i: got.extend(map(tuple, b.collect()))).awaitTermination()
+    micros = lambda c: F.unix_micros(c)
+    want = M.moves_by_capture(board).select("event_id", micros("captured_at"), micros("first_at"), "market", "opened", "now").collect()
+    close = lambda rows: sorted((*r[:4], round(r[4], 9), round(r[5], 9)) for r in rows)
+    assert want and close(got) == close(map(tuple, want))
+
+
+def test_move_state_ends_with_the_start(spark):
+    """Captures after the start say nothing, and the state is gone then; ties of a capture's books count once each."""
+    schema = T.StructType([T.StructField("captured_at", T.TimestampType()), T.StructField("commence_time", T.TimestampType())] + BOARD.fields)
+    hour = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    quote = lambda at, start, event, line, book: (hour(at), hour(start), event, "spread", "game", "", "home", line, book, 110.0)
+    parts = [[quote(0, 10, 1, 2.0, "a"), quote(0, 10, 1, 3.0, "b"), quote(0, 10, 1, 3.0, "c")], [quote(5, 12, 1, 4.0, "a"), quote(5, 12, 1, 5.0, "b")],
+             [quote(11, 12, 1, 6.0, "a")], [quote(13, 12, 1, 9.0, "a")], [quote(40, 99, 2, 1.0, "a")], [quote(60, 99, 2, 2.5, "a")], [quote(90, 99, 3, 0.0, "a")], [quote(95, 99, 3, 0.0, "a")]]
+    source = tmp()
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{source}/p{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(source).withWatermark("captured_at", "1 hour")
+    got = []
+    V.start(V.move_stream(stream), tmp(), lambda b, i: got.extend(b.collect())).awaitTermination()
+    assert sorted((r["event_id"], r["opened"], r["now"]) for r in got if r["event_id"] < 3) == [(1, 3.0, 4.5), (1, 3.0, 6.0), (2, 1.0, 2.5)]
+
+
 def test_capture_stream_drops_repeats(spark):
     source = tmp()
     schema = T.StructType([T.StructField("captured_at", T.TimestampType())] + BOARD.fields)
