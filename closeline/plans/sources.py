@@ -1,12 +1,16 @@
 """Scans, staging and store operators over the given tables.
 
-What writes (appends, freezes, builds) is registered by the rows it would write, so
-that a query leaves nothing behind; the tests run the writes themselves.
+What writes (appends, freezes) is registered by the rows it would write; the tests run the
+writes themselves. Only the store rebuild writes, into the shared folder of checkpoints.
 """
 
+import functools
+import uuid
+
 from pyspark.sql import functions as F, types as T
 
-from closeline.sources import payloads as J, stores as S
+from closeline import session
+from closeline.sources import payloads as J, rebuild as B, stores as S
 from closeline.plans.registry import query
 
 
@@ -82,7 +86,7 @@ def _(t):
     return S.supplemented(plays, box, tag(J.schedule_segments(scored(t)), "line scores", F.col("periods").cast("long")))
 
 
-def payload_rows(t):
+def payload_rows(t, where="true"):
     """One payload per event row: a book with three markets, written as JSON text."""
     e = F.col("event_id")
     home, away = F.concat(F.lit("Home "), (F.col("user_id") % 50).cast("string")), F.concat(F.lit("Away "), (F.col("user_id") % 41).cast("string"))
@@ -97,7 +101,7 @@ def payload_rows(t):
         market(F.when(e % 5 == 0, F.lit("player_points")).otherwise(F.lit("corner_kicks")), out(F.lit("Over"), "A. Player", up, F.lit(12.5)), out(F.lit("Under"), "A. Player", down, F.lit(12.5))))
     books = F.array(F.struct(F.concat(F.lit("book"), (e % 4).cast("string")).alias("key"), F.lit("Book").alias("title"), markets.alias("markets")))
     doc = F.struct(F.when(e % 23 == 0, F.lit("")).otherwise(e.cast("string")).alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("commence_time"), home.alias("home_team"), away.alias("away_team"), books.alias("bookmakers"))
-    return J.parse_payloads(t.events.select(F.to_json(doc).alias("payload")))
+    return J.parse_payloads(t.events.filter(where).select(F.to_json(doc).alias("payload")))
 
 
 OUTS = """ev as (select event_id as e, user_id as u, ts, 'Home ' || cast(user_id % 50 as varchar) as home, 'Away ' || cast(user_id % 41 as varchar) as away, 110 + event_id % 90 as up, -(110 + event_id % 70) as dn, (event_id % 15 - 7) * 0.5e0 as ln from events),
@@ -125,13 +129,20 @@ def _(t):
     return J.key_census(payload_rows(t))
 
 
-@query("store_rebuild_from_payloads", "market:s slate_date:t quotes:i",
-       f"with {OUTS} select market, cast((ts at time zone 'UTC') at time zone 'America/New_York' as date) as slate_date, count(*) as quotes from ref where refusal = '' group by all")
+@query("store_rebuild_from_payloads", "season:i market:s slate_date:t quotes:i",
+       f"with {OUTS} select year(ts) as season, market, cast((ts at time zone 'UTC') at time zone 'America/New_York' as date) as slate_date, count(*) as quotes from ref where refusal = '' group by all")
 def _(t):
-    staged = J.stage(payload_rows(t))
-    again = staged.unionByName(staged.filter("market = 'spread'"))
+    """A store is built, season by season, in the shared folder, and read back."""
     keys = ["slate_date", "event_id", "market", "segment", "player", "selection", "line", "book"]
-    return again.dropDuplicates(keys).groupBy("market", "slate_date").agg(F.count("*").alias("quotes"))
+    years = [r[0] for r in t.events.select(F.year("ts")).distinct().collect()]  # seasons of the archive
+
+    def staged(year):
+        rows = J.stage(payload_rows(t, F.year("ts") == year))
+        return rows.unionByName(rows.filter("market = 'spread'"))  # a payload that was polled twice
+
+    root = f"{session.shared_folder(t.spark)}/store-{uuid.uuid4().hex}"
+    B.rebuild(t.spark, root, "1", {str(y): functools.partial(staged, y) for y in sorted(years)}, keys)
+    return B.read(t.spark, root).groupBy(F.col("part").alias("season"), "market", "slate_date").agg(F.count("*").alias("quotes"))
 
 
 STORE = T.StructType([
@@ -200,11 +211,20 @@ def _(t):
     return mark(t.team_games, "team_games").unionByName(mark(t.player_games, "player_games"))
 
 
-@query("capture_csv_read", "event_id:s market:s american_odds:d n:i", "select cast(event_id as varchar) as event_id, market, american_odds, count(*) as n from board group by all")
-def _(t):
-    line = F.to_csv(F.struct("event_id", "market", "american_odds"))
-    rows = t.board.select(F.from_csv(line, "event_id string, market string, american_odds double").alias("r")).select("r.*")
-    return rows.groupBy("event_id", "market", "american_odds").agg(F.count("*").alias("n"))
+@query("capture_csv_read", "file:s rows:i bad:i events:i odds:d",
+       """select 'part' || (event_id % 3) as file, count(*) filter (linenumber <> 7) as rows, count(*) filter (linenumber = 7) as bad, count(distinct case when linenumber <> 7 then event_id end) as events, sum(case when linenumber <> 7 then american_odds end) as odds from board group by all""")
+def _(t):
+    """Files of three column orders; every seventh line of an order has a price that is none, or a field too many."""
+    part = F.col("event_id") % 3
+    price = F.when((F.col("linenumber") == 7) & (part != 2), "EVEN").otherwise(F.col("american_odds").cast("string"))
+    more = F.when((F.col("linenumber") == 7) & (part == 2), ",stray").otherwise("")
+    event = F.concat(F.lit("00"), F.col("event_id").cast("string"))
+    line = F.when(part == 0, F.concat_ws(",", event, "market", price)).when(part == 1, F.concat_ws(",", price, F.lit('"a, b"'), "market", event)).otherwise(F.concat(F.concat_ws(",", "market", price, event), more))
+    headers = t.spark.createDataFrame([("part0", "event_id,market,american_odds"), ("part1", '"american_odds",note,market,EVENT_ID'), ("part2", "market,american_odds,event_id")], "file string, value string")
+    lines = t.board.select(F.concat(F.lit("part"), part.cast("string")).alias("file"), line.alias("value")).unionByName(headers)
+    rows = S.capture_lines(lines, T.StructType([f for f in STORE.fields if f.name in ("event_id", "market", "american_odds", "note")]))
+    good = F.col("bad_record").isNull() & F.col("event_id").startswith("00")
+    return rows.groupBy("file").agg(F.count_if(good).alias("rows"), F.count("bad_record").alias("bad"), F.countDistinct("event_id").alias("events"), F.sum("american_odds").alias("odds"))
 
 
 @query("box_score_json_staging", "game_id:i team_id:i athlete_id:i minutes:d points:d field_goals_made:i field_goals_attempted:i did_not_play:b n:i",

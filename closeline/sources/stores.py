@@ -17,6 +17,7 @@ from closeline.operators import quotes as Q, segments as G
 LEDGER_IDENTITY = ("snapshot_date", "event_id", "market", "segment", "player", "selection", "line", "book")
 FREEZE_IDENTITY = ("event_id", "market", "segment", "player", "selection", "line")
 FIRST_SEASON = 2003
+MOST_HEADERS = 100
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -43,10 +44,46 @@ def read_store(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return declared(reader.format(fmt).load(path), schema)
 
 
+def capture_lines(lines: DataFrame, schema: T.StructType, must: Sequence[str] = ("event_id", "market")) -> DataFrame:
+    """Rows of capture files in CSV, from (file, value): a line each, in any order.
+
+    A file's header is its line that names the ``must`` columns; columns are matched by name,
+    file by file, a missing one is null and an unknown one is left out. Ids stay text.
+    ``bad_record`` holds a line that doesn't fit: too few or too many fields, a value that
+    isn't of its type, or a file without a header. Lines are records: quoted line breaks are
+    not read. The headers told apart (formats of the file over time) come to the driver.
+    """
+    names = F.transform(F.split("value", ","), lambda c: F.lower(F.trim(F.translate(c, '"\ufeff\r', ""))))
+    named = lines.filter(F.length(F.trim("value")) > 0).withColumn("__names", names)
+    heads = named.filter(F.forall(F.array(*[F.lit(m) for m in must]), lambda m: F.array_contains("__names", m)))
+    first = heads.groupBy("file").agg(F.min("__names").alias("__header"))
+    kinds = first.select("__header").distinct().limit(MOST_HEADERS + 1).collect()
+    if len(kinds) > MOST_HEADERS:
+        raise ValueError(f"more than {MOST_HEADERS} different headers")
+    rows = named.join(first, "file", "left").filter(F.col("__header").isNull() | (F.col("__names") != F.col("__header")))
+    typed = {f.name: "string" if f.name == "event_id" else f.dataType.simpleString() for f in schema.fields}
+    out = [rows.filter("__header is null").select("file", *[F.lit(None).cast(k).alias(c) for c, k in typed.items()], F.col("value").alias("bad_record"))]
+    for kind in kinds:
+        header = list(kind["__header"])
+        fields = ", ".join(f"`__{i}` {typed.get(c, 'string') if header.index(c) == i else 'string'}" for i, c in enumerate(header))
+        parsed = rows.filter(F.col("__header") == F.array(*[F.lit(c) for c in header])).select("file", F.from_csv(F.regexp_replace("value", "\r$", ""), f"{fields}, __bad string", {"columnNameOfCorruptRecord": "__bad"}).alias("r"))
+        values = [(F.col(f"r.__{header.index(c)}") if c in header else F.lit(None)).cast(k) for c, k in typed.items()]
+        good = F.col("r.__bad").isNull()
+        out.append(parsed.select("file", *[F.when(good, v).alias(c) for c, v in zip(typed, values)], F.col("r.__bad").alias("bad_record")))
+    table = out[0]
+    for part in out[1:]:
+        table = table.unionByName(part)
+    return table
+
+
 def read_captures(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Capture files in CSV, event ids kept as text."""
-    fields = [T.StructField(f.name, T.StringType() if f.name == "event_id" else f.dataType) for f in schema.fields]
-    return spark.read.option("header", "true").schema(T.StructType(fields)).csv(path)
+    """Capture files in CSV under a path, with the line of each bad row (see ``capture_lines``)."""
+    return capture_lines(spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value"), schema)
+
+
+def capture_counts(rows: DataFrame) -> DataFrame:
+    """Rows read and rows that don't fit, per file."""
+    return rows.groupBy("file").agg(F.count_if(F.col("bad_record").isNull()).alias("rows"), F.count("bad_record").alias("bad"))
 
 
 def with_identity(frame: DataFrame, keys: Sequence[str]) -> DataFrame:

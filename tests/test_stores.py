@@ -6,7 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from closeline.sources import payloads as J, stores as S
+from closeline.sources import payloads as J, rebuild as B, stores as S
 
 SCHEMA = T.StructType([
     T.StructField("slate_date", T.DateType()), T.StructField("captured_at", T.DateType()), T.StructField("event_id", T.LongType()), T.StructField("market", T.StringType()),
@@ -89,3 +89,92 @@ def test_box_teams_split_made_and_attempted(spark):
     doc = '{"teams": [{"team": {"id": "7"}, "homeAway": "home", "statistics": [{"name": "fieldGoalsMade-fieldGoalsAttempted", "displayValue": "21-70"}, {"name": "turnovers", "displayValue": "9"}]}]}'
     row = J.box_teams(spark.createDataFrame([(1, doc)], "game_id long, boxscore string")).first()
     assert (row["team_id"], row["field_goals_made"], row["field_goals_attempted"], row["turnovers"], row["rebounds"]) == (7, 21, 70, 9, None)
+
+
+KEYS = ("event_id", "market", "player", "selection", "line", "book")
+
+
+def wave(spark, *rows):
+    return lambda: spark.createDataFrame([quote(event=e, odds=o) for e, o in rows], SCHEMA)
+
+
+def held(spark, root):
+    return sorted((r["part"], r["event_id"], r["american_odds"]) for r in B.read(spark, root).collect())
+
+
+def test_a_rebuild_goes_on_where_it_stopped(spark, folder):
+    """Killed in its second segment and started again it gives the store of a run that was not."""
+    import glob
+    import os
+
+    stop = f"{folder}/stop"
+    open(stop, "w").close()
+
+    def second():
+        @F.udf("double")
+        def fails(x):
+            if x > 100 and os.path.exists(stop):
+                raise RuntimeError("executor lost")
+            return x
+
+        rows = wave(spark, (3, 120.0), (4, 130.0))()
+        return rows.withColumn("american_odds", fails("american_odds"))
+
+    segments = {"a": wave(spark, (1, 110.0), (1, 105.0), (2, 110.0)), "b": second, "c": wave(spark, (5, 110.0))}
+    with pytest.raises(Exception, match="executor lost"):
+        B.rebuild(spark, f"{folder}/s", "v1", segments, KEYS, ["american_odds"])
+    with pytest.raises(FileNotFoundError):
+        B.read(spark, f"{folder}/s")
+    before = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{folder}/s/versions/v1/a/*")}
+    os.remove(stop)
+    calls = []
+    counted = {n: (lambda n=n, f=f: (calls.append(n), f())[1]) for n, f in segments.items()}
+    made = B.rebuild(spark, f"{folder}/s", "v1", counted, KEYS, ["american_odds"])
+    assert calls == ["b", "c"] and before == {f: os.stat(f).st_mtime_ns for f in before}
+    whole = B.rebuild(spark, f"{folder}/t", "v1", segments, KEYS, ["american_odds"])
+    assert made == whole and held(spark, f"{folder}/s") == held(spark, f"{folder}/t")
+    assert held(spark, f"{folder}/s") == [("a", 1, 105.0), ("a", 2, 110.0), ("b", 3, 120.0), ("b", 4, 130.0), ("c", 5, 110.0)]
+    assert B.rebuild(spark, f"{folder}/s", "v1", counted, KEYS, ["american_odds"]) == made and calls == ["b", "c"]
+
+
+def test_a_rebuild_that_shrinks_or_is_empty_changes_nothing(spark, folder):
+    first = {"a": wave(spark, (1, 110.0), (2, 110.0)), "b": wave(spark, (3, 110.0))}
+    B.rebuild(spark, folder, "v1", first, KEYS)
+    was = held(spark, folder)
+    less = {"a": wave(spark, (1, 110.0))}
+    with pytest.raises(B.RebuildRefused, match="2 fewer"):
+        B.rebuild(spark, folder, "v2", less, KEYS)
+    with pytest.raises(B.RebuildRefused, match="no rows"):
+        B.rebuild(spark, folder, "v3", {"a": lambda: first["a"]().filter("false")}, KEYS, allow_shrink="wanted")
+    with pytest.raises(B.RebuildRefused):
+        B.rebuild(spark, folder, "v2", less, KEYS, allow_unreadable="that is another guard")
+    assert held(spark, folder) == was and B.manifest(spark, folder)["version"] == "v1"
+    made = B.rebuild(spark, folder, "v2", less, KEYS, allow_shrink="the source withdrew two events")
+    assert made["reasons"] == {"shrink": "the source withdrew two events"} and held(spark, folder) == [("a", 1, 110.0)]
+
+
+def test_a_store_that_cannot_be_read_is_not_replaced_in_silence(spark, folder):
+    B.rebuild(spark, folder, "v1", {"a": wave(spark, (1, 110.0))}, KEYS)
+    with open(f"{folder}/_manifests/00000002.json", "w") as f:
+        f.write("{ torn")
+    two = {"a": wave(spark, (1, 110.0), (2, 110.0))}
+    for reason in ({}, {"allow_shrink": "another guard"}):
+        with pytest.raises(B.RebuildRefused, match="can't be read"):
+            B.rebuild(spark, folder, "v2", two, KEYS, **reason)
+    assert B.rebuild(spark, folder, "v2", two, KEYS, allow_unreadable="manifest torn")["rows"] == 2
+    assert len(held(spark, folder)) == 2
+
+
+def test_capture_files_by_name(spark, folder):
+    files = {"a": "event_id,market,american_odds,line\n007,spread,110,2.5\n008,spread,abc,1\n009,spread,120\n\n010,spread,-105,3,9\n",
+             "b": "\ufeffAmerican_Odds,note,MARKET,event_id\r\n-110,\"x, y\",moneyline,0011\r\n115,,moneyline,12\r\n", "c": "13,spread,110\n"}
+    for name, text in files.items():
+        with open(f"{folder}/{name}.csv", "w", newline="") as f:
+            f.write(text)
+    schema = T.StructType([SCHEMA["event_id"], SCHEMA["market"], SCHEMA["american_odds"], SCHEMA["line"], SCHEMA["captured_at"]])
+    rows = S.read_captures(spark, folder, schema).collect()
+    good = sorted(tuple(r[c] for c in ("event_id", "market", "american_odds", "line", "captured_at")) for r in rows if r["bad_record"] is None)
+    assert good == [("0011", "moneyline", -110.0, None, None), ("007", "spread", 110.0, 2.5, None), ("12", "moneyline", 115.0, None, None)]
+    assert sorted(r["bad_record"] for r in rows if r["bad_record"] is not None) == ["008,spread,abc,1", "009,spread,120", "010,spread,-105,3,9", "13,spread,110"]
+    counts = {r["file"][-5:]: (r["rows"], r["bad"]) for r in S.capture_counts(S.read_captures(spark, folder, schema)).collect()}
+    assert counts == {"a.csv": (1, 3), "b.csv": (2, 0), "c.csv": (0, 1)}
