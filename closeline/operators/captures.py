@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from closeline import session
 from closeline.functions import prices as P, text as T
-from closeline.operators import intervals as I, quotes as Q
+from closeline.operators import intervals as I, quotes as Q, segments as G
 
 MARGIN_SD, TOTAL_SD, TEAM_TOTAL_SD = 11.0, 16.0, 9.7
 HIGH_HOLD = ("alternate_spread", "alternate_total_points", "team_total")
@@ -22,9 +22,9 @@ MIN_CAPTURES, MIN_JUDGED = 2, 1000
 
 
 def next_stamps(store: DataFrame) -> DataFrame:
-    """Each capture stamp and the one after it. Stamps are as many as polls, not quotes."""
+    """Each capture stamp and the one after it, found month by month. Stamps are as many as polls, not quotes."""
     stamps = store.select("captured_at").filter("captured_at is not null").distinct()
-    return stamps.withColumn("next_capture", F.lead("captured_at").over(W.orderBy("captured_at")))
+    return G.next_row(stamps, [], ["captured_at"], {"next_capture": F.col("captured_at")}, F.trunc("captured_at", "month"))
 
 
 def label_next(rows: DataFrame, store: DataFrame) -> DataFrame:

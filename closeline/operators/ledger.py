@@ -326,9 +326,14 @@ def half_points(bets: DataFrame, numbers: DataFrame, looks: int = 1) -> DataFram
     return I.interval(tagged, [["part"]], {"game": "event_id", "day": "slate_date"}, "profit_units", looks).crossJoin(F.broadcast(ok))
 
 
+def _shuffled(ident: str, seed: int) -> Column:
+    """A seeded order that any engine can repeat."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(ident).cast("string")))
+
+
 def stratified_sample(frame: DataFrame, strata: Sequence[str], ident: str, n: int, seed: int = 7) -> DataFrame:
     """n rows per stratum in a seeded hash order; a top-n cut before the shuffle."""
-    order = F.xxhash64(F.lit(seed), F.col(ident))
+    order = _shuffled(ident, seed)
     w = W.partitionBy(*strata).orderBy(order, F.col(ident))
     return frame.withColumn("pick", F.row_number().over(w)).filter(F.col("pick") <= n)
 
@@ -341,8 +346,8 @@ def stratified_order(frame: DataFrame, strata: Sequence[str], ident: str, seed:
     """
     from closeline.operators import segments as G
 
-    hashed = frame.withColumn("__h", F.xxhash64(F.lit(seed), F.col(ident)))
-    ranked = G.running_before(hashed, list(strata), ["__h", ident], {"__r": F.lit(1)}, [F.shiftright("__h", 54)])
+    hashed = frame.withColumn("__h", _shuffled(ident, seed))
+    ranked = G.running_before(hashed, list(strata), ["__h", ident], {"__r": F.lit(1)}, [F.substring("__h", 1, 2)])
     sizes = frame.groupBy(*strata).agg(F.count("*").alias("__size"))
     return ranked.join(sizes, list(strata)).withColumn("position", (F.col("__r") + 0.5) / F.col("__size")).drop("__h", "__r", "__size")
 

@@ -127,11 +127,11 @@ def _tier(margin: Column) -> Column:
 def tier_table(schedule: DataFrame) -> DataFrame:
     """Tier of each team from the median of team margins in its conference.
 
-    Only played games between conferences and inside the division count. A conference
+    Only played games between conferences and inside the division count, both teams known. A conference
     has as many values as teams, so its median is small.
     """
     done = played(schedule)
-    long = both_sides(done).filter("conference_id is not null and opponent_conference_id is not null and points_for is not null and points_against is not null")
+    long = both_sides(done).filter("team_id is not null and opponent_id is not null and conference_id is not null and opponent_conference_id is not null and points_for is not null and points_against is not null")
     long = long.filter(F.col("conference_id") != F.col("opponent_conference_id"))
     # Both sides of such a row carry a conference, so both are division teams.
     per_team = long.groupBy("team_id").agg(F.count("*").alias("games"), F.avg(F.col("points_for") - F.col("points_against")).alias("margin"), F.max("conference_id").alias("conference_id"))

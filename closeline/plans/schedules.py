@@ -92,7 +92,7 @@ TIERS = """long as (select home_id as team_id, home_conference_id as c, home_sco
 
 @query("tier_table", "team_id:i games:i margin:d conference_margin:d tier:s", f"with {TIERS} select team_id, games, margin, cmargin as conference_margin, tier from tiers")
 def _(t):
-    return D.tier_table(t.schedule.filter("home_id is not null"))
+    return D.tier_table(t.schedule)
 
 
 @query("division_filter", "team_id:i n:i", f"with {IDS} select team_id, count(*) as n from sides where team_id in (select id from ids) and opponent_id in (select id from ids) group by all")

@@ -178,16 +178,18 @@ def _(t):
     return L.closed_cells(t.quotes, gate).groupBy("tier", "market").agg(F.count("*").alias("n"))
 
 
-@query("stratified_sample", "market:s tier:s n:i", "select market, tier, least(25, count(*)) as n from (select distinct market, tier, store_order from quotes) group by all")
+@query("stratified_sample", "market:s tier:s store_order:i pick:i",
+       "select market, tier, store_order, row_number() over (partition by market, tier order by md5('7:' || store_order), store_order) as pick from (select distinct market, tier, store_order from quotes) qualify pick <= 25")
 def _(t):
     rows = t.quotes.select("market", "tier", "store_order").distinct()
-    return L.stratified_sample(rows, ["market", "tier"], "store_order", 25).groupBy("market", "tier").agg(F.count("*").alias("n"))
+    return L.stratified_sample(rows, ["market", "tier"], "store_order", 25)
 
 
-@query("stratified_order", "market:s n:i first_position:d last_position:d", "select market, count(*) as n, 0.5e0 / count(*) as first_position, (count(*) - 0.5e0) / count(*) as last_position from (select distinct market, store_order from quotes) group by all")
+@query("stratified_order", "market:s store_order:i position:d",
+       "select market, store_order, (row_number() over (partition by market order by md5('7:' || store_order), store_order) - 0.5e0) / count(*) over (partition by market) as position from (select distinct market, store_order from quotes)")
 def _(t):
     rows = t.quotes.select("market", "store_order").distinct()
-    return L.stratified_order(rows, ["market"], "store_order").groupBy("market").agg(F.count("*").alias("n"), F.min("position").alias("first_position"), F.max("position").alias("last_position"))
+    return L.stratified_order(rows, ["market"], "store_order")
 
 
 @query("earliest_card_wins", "event_id:i market:s selection:s slate_date:t american_odds:d",

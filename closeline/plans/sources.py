@@ -1,7 +1,8 @@
 """Scans, staging and store operators over the given tables.
 
 What writes (appends, freezes) is registered by the rows it would write; the tests run the
-writes themselves. Only the store rebuild writes, into the shared folder of checkpoints.
+writes themselves. Only the store rebuild and the processed tables write, into the shared folder of
+checkpoints.
 """
 
 import functools
@@ -168,11 +169,11 @@ def _(t):
 
 
 @query("capture_append", "captured_at:t event_id:i market:s selection:s line:d book:s american_odds:d",
-       "select distinct captured_at, event_id, market, selection, line, book, american_odds from board where captured_at > date '2000-06-01'")
+       "select distinct captured_at, event_id, market, selection, line, book, american_odds from board where event_id % 3 <> 0")
 def _(t):
+    """Every capture is offered whole; a third of its events is in the store already."""
     keys = ("captured_at", "event_id", "market", "segment", "player", "selection", "line", "book", "american_odds")
-    store = t.board.filter("captured_at <= '2000-06-01'").select(*keys)
-    return S.unseen(t.board.select(*keys), store, keys)
+    return S.unseen(t.board.select(*keys), t.board.filter("event_id % 3 = 0").select(*keys), keys)
 
 
 @query("daily_freeze", "snapshot_date:t event_id:i market:s selection:s line:d american_odds:d book:s",
@@ -205,10 +206,14 @@ def _(t):
     return S.dated_consensus(tables, days, 14)
 
 
-@query("processed_table_build", "name:s season:i rows:i", "select 'team_games' as name, season, count(*) as rows from team_games group by all union all select 'player_games', season, count(*) from player_games group by all")
+@query("processed_table_build", "name:s season:i game_id:i key:i value:d",
+       "select 'team_games' as name, season, game_id, team_id as key, margin as value from team_games union all select 'player_games', season, game_id, row_key, minutes from player_games")
 def _(t):
-    mark = lambda d, n: S.fingerprint(d.select("season", "game_id")).select(F.lit(n).alias("name"), "season", "rows")
-    return mark(t.team_games, "team_games").unionByName(mark(t.player_games, "player_games"))
+    """Both tables are written by season in the shared folder, and read back."""
+    root = f"{session.shared_folder(t.spark)}/processed-{uuid.uuid4().hex}"
+    S.build_processed({"team_games": t.team_games, "player_games": t.player_games}, root)
+    part = lambda n, k, v: t.spark.read.parquet(f"{root}/{n}").select(F.lit(n).alias("name"), "season", "game_id", F.col(k).alias("key"), F.col(v).alias("value"))
+    return part("team_games", "team_id", "margin").unionByName(part("player_games", "row_key", "minutes"))
 
 
 @query("capture_csv_read", "file:s rows:i bad:i events:i odds:d",
@@ -239,6 +244,51 @@ def _(t):
     return out.groupBy("game_id", "team_id", "athlete_id", "minutes", "points", "field_goals_made", "field_goals_attempted", "did_not_play").agg(F.count("*").alias("n"))
 
 
+BOX_TEAMS = ("field_goals_made field_goals_attempted three_made three_attempted free_throws_made free_throws_attempted offensive_rebounds defensive_rebounds assists steals blocks turnovers").split()
+
+
+@query("box_team_json_staging", "game_id:i team_id:i opponent_id:i home_away:s rebounds:i " + " ".join(f"{c}:i" for c in BOX_TEAMS),
+       f"select game_id, team_id, opponent_id, home_away, offensive_rebounds + defensive_rebounds as rebounds, {', '.join(BOX_TEAMS)} from team_games")
+def _(t):
+    text = lambda c: F.col(c).cast("string")
+    split = lambda s: F.concat(text(f"{s}_made"), F.lit("-"), text(f"{s}_attempted"))
+    named = [*[(k, split(v)) for k, v in J.TEAM_SPLITS.items()], ("totalRebounds", (F.col("offensive_rebounds") + F.col("defensive_rebounds")).cast("string")),
+             *[(k, text(v)) for k, v in J.TEAM_LABELS.items() if v in BOX_TEAMS]]
+    stats = F.array(*[F.struct(F.lit(k).alias("name"), v.alias("displayValue")) for k, v in named])
+    team = F.struct(F.struct(text("team_id").alias("id")).alias("team"), F.col("home_away").alias("homeAway"), stats.alias("statistics"))
+    docs = t.team_games.groupBy("game_id").agg(F.collect_list(team).alias("teams")).select("game_id", F.to_json(F.struct("teams")).alias("boxscore"))
+    return J.box_teams(docs)
+
+
+def scoreboards(t):
+    """One scoreboard document a day; games that are not over, and games in overtime or without line scores, too."""
+    over = F.col("game_id") % 13 == 0
+    half = lambda c: F.floor(F.col(c) / 2)
+    lines = lambda c: F.when(F.col("game_id") % 11 == 0, F.array().cast(J.SCORED_PERIODS)).otherwise(F.transform(F.slice(F.array(half(c), F.col(c) - half(c), F.lit(7)), 1, F.when(over, 3).otherwise(2)),
+        lambda v: F.struct(F.when(F.col("game_id") % 2 == 0, v).cast("double").alias("value"), v.cast("string").alias("displayValue"), F.lit(None).cast("int").alias("period"))))
+    side = lambda s: F.struct(F.lit(s).alias("homeAway"), F.struct(F.col(f"{s}_id").cast("string").alias("id")).alias("team"), lines(f"{s}_score").alias("linescores"))
+    state = F.struct(F.struct((F.col("status_name") == "STATUS_FINAL").alias("completed")).alias("type"))
+    game = F.struct(F.col("game_id").cast("string").alias("id"), F.array(F.struct(state.alias("status"), F.array(side("away"), side("home")).alias("competitors"))).alias("competitions"))
+    return t.schedule.groupBy("slate_date").agg(F.collect_list(game).alias("events")).select(F.to_json(F.struct("events")).alias("payload"))
+
+
+BOARD_SCORES = "sc as (select *, game_id % 11 <> 0 as known, game_id % 13 = 0 as ot from schedule where status_name = 'STATUS_FINAL')"
+
+
+@query("scoreboard_segments", "game_id:i periods:i overtime:b home_score_h1:d away_score_h1:d",
+       f"with {BOARD_SCORES} select game_id, case when known then case when ot then 3 else 2 end end as periods, case when known then ot end as overtime, case when known then home_score // 2 end as home_score_h1, case when known then away_score // 2 end as away_score_h1 from sc")
+def _(t):
+    return J.scoreboard_segments(J.completed_games(scoreboards(t)))
+
+
+@query("scoreboard_periods", "game_id:i home_away:s team_id:i period:i score:d score_so_far:d",
+       f"""with {BOARD_SCORES}, s as (select game_id, 'home' as home_away, home_id as team_id, home_score as s, ot from sc where known union all select game_id, 'away', away_id, away_score, ot from sc where known),
+       p as (select *, unnest(case when ot then [1, 2, 3] else [1, 2] end) as period from s)
+       select game_id, home_away, team_id, period, case period when 1 then s // 2 when 2 then s - s // 2 else 7 end as score, case period when 1 then s // 2 when 2 then s else s + 7 end as score_so_far from p""")
+def _(t):
+    return J.scoreboard_periods(J.completed_games(scoreboards(t)))
+
+
 @query("rating_site_tables", "team:s adj_off:d adj_def:d tempo:d", "select c_name as team, 95 + c_custkey % 25 as adj_off, 92 + c_custkey % 27 as adj_def, 62 + c_custkey % 12 as tempo from customer")
 def _(t):
     key = F.col("c_custkey")

@@ -335,6 +335,6 @@ def _(t):
 
 
 @query("trust_posterior", "settled:i weight:d",
-       f"with {SCORED} select count(*) as settled, greatest(0, least(1, (20 * 0.3e0 + sum(disagreement * (won - fair))) / (20 + sum(disagreement * disagreement)))) as weight from scored where player = ''")
+       f"with {SCORED} select count(*) as settled, greatest(0, least(1, (20 * 0.3e0 + sum(disagreement * (won - fair))) / (20 + sum(disagreement * disagreement)))) as weight from scored")
 def _(t):
-    return M.trust_posterior(0.3, scored(t).filter("player = ''"))
+    return M.trust_posterior(0.3, scored(t))

@@ -6,7 +6,7 @@ from closeline.functions import prices as P
 from closeline.operators import captures as M, quotes as Q
 from closeline.sources import stores as S
 from closeline.streaming import live as V
-from closeline.plans.boards import ALERTS, CLOSE, COUNTS, SURV
+from closeline.plans.boards import CLOSE, COUNTS, FAIR, SURV
 from closeline.plans.registry import query
 
 
@@ -17,12 +17,11 @@ def _(t):
 
 
 @query("survival_stream", "captured_at:t next_capture:t survived:i gone:i unknown:i",
-       f"with {SURV} select captured_at, nxt as next_capture, {COUNTS} from lab where nxt is not null and captured_at >= date '2000-01-01' group by all")
+       f"with {SURV.replace('from board b join st', 'from (select distinct captured_at, event_id, market, selection, line, book, american_odds from board) b join st')} select captured_at, nxt as next_capture, {COUNTS} from lab where nxt is not null group by all")
 def _(t):
-    """What a batch of the captures from 2000 on adds: its pairs and the one before it."""
-    batch = t.board.filter("captured_at > '2000-01-01'")
-    store = t.board.filter("captured_at <= '2000-01-01'")
-    return M.survival(V._last_before(store, batch).unionByName(batch))
+    """What the sink has written when every capture has come, each identity once."""
+    rows = S.with_identity(t.board, V.IDENTITY)
+    return M.survival(rows.dropDuplicates(S.identity_columns(rows)).select(*t.board.columns))
 
 
 @query("closing_stream", "event_id:i closed_at:t close_moneyline:d close_spread:d close_total:d", f"with {CLOSE} select * from closing")
@@ -30,24 +29,24 @@ def _(t):
     return M.closing_consensus(t.board)
 
 
-@query("alert_stream", "event_id:i market:s selection:s pair_line:d best_book:s shop_edge:d", f"select event_id, market, selection, pair_line, best_book, shop_edge from ({ALERTS})")
+@query("alert_stream", "captured_at:t event_id:i market:s selection:s pair_line:d best_book:s shop_edge:d",
+       f"""with {FAIR}, st as (select captured_at, lag(captured_at) over (order by captured_at) as prev from (select distinct captured_at from board))
+       select s.captured_at, event_id, market, selection, pair_line, best_book, shop_edge from shop s join st using (captured_at) where shop_edge >= 0.03 and not exists (select 1 from shop p where p.shop_edge >= 0.03 and p.captured_at = st.prev
+        and (p.event_id, p.market, p.pair_line, p.selection, p.best_book) = (s.event_id, s.market, s.pair_line, s.selection, s.best_book))""")
 def _(t):
-    last = t.board.filter(F.col("captured_at") < F.col("commence_time")).agg(F.max("captured_at").alias("top"))
-    marked = t.board.crossJoin(F.broadcast(last)).filter("captured_at <= top")
-    batch, store = marked.filter("captured_at = top").drop("top"), marked.filter("captured_at < top").drop("top")
-    board = Q.fair_board(V._last_before(store, batch).unionByName(batch))
-    return Q.alerts(board, Q.shops(board))
+    """What the sink has written when every capture has come: new edges of each against the one before."""
+    return Q.alerts_by_capture(Q.shops(Q.fair_board(t.board)), M.next_stamps(t.board))
 
 
-@query("late_settlement", "state:s n:i matched:i",
-       """select case when event_id % 20 <= 14 then 'result' else 'unsettleable' end as state, count(*) as n, count(*) filter (event_id % 20 <= 14) as matched from events group by all""")
+@query("late_settlement", "event_id:i state:s margin:d final_at:i",
+       """select event_id, case when event_id % 20 <= 14 then 'result' else 'unsettleable' end as state, case when event_id % 20 <= 14 then value end as margin, case when event_id % 20 <= 14 then epoch_us(ts) + (event_id % 20) * 86400000000 end as final_at from events""")
 def _(t):
     """Every event frozen at its time, its result up to nineteen days later."""
     stamp = F.col("ts").cast("timestamp")
     quotes = t.events.select("event_id", stamp.alias("frozen_at"))
     late = stamp + F.make_interval(days=(F.col("event_id") % 20).cast("int"))
     results = t.events.select(F.col("event_id").alias("game_id"), late.alias("final_at"), F.col("value").alias("margin"))
-    return V.settle_stream(quotes, results).groupBy("state").agg(F.count("*").alias("n"), F.count("margin").alias("matched"))
+    return V.settle_stream(quotes, results).withColumn("final_at", F.unix_micros("final_at"))
 
 
 @query("daily_window_freeze", "snapshot_date:t event_id:i market:s american_odds:d quotes:i",

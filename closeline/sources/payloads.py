@@ -23,6 +23,12 @@ BOX_SCHEMA = (
     "players: array<struct<team: struct<id: string>, statistics: array<struct<names: array<string>, labels: array<string>, "
     "athletes: array<struct<athlete: struct<id: string, displayName: string>, starter: boolean, didNotPlay: boolean, stats: array<string>>>>>>>>"
 )
+SCORED_PERIODS = "array<struct<value: double, displayValue: string, period: int>>"
+_STATE = "struct<type: struct<name: string, completed: boolean>>"
+SCOREBOARD_SCHEMA = (
+    f"struct<events: array<struct<id: string, date: string, status: {_STATE}, competitions: array<struct<neutralSite: boolean, status: {_STATE}, competitors: array<struct<"
+    f"homeAway: string, score: string, winner: boolean, team: struct<id: string, displayName: string>, linescores: {SCORED_PERIODS}>>>>>>>"
+)
 POWER_SCHEMA = (
     "struct<categories: array<struct<name: string, names: array<string>>>, teams: array<struct<team: struct<id: string, displayName: string>, "
     "categories: array<struct<name: string, values: array<double>>>>>>"
@@ -154,6 +160,9 @@ def made_attempted(text: Column) -> tuple[Column, Column]:
 
 # Statistic labels of a box score.
 PLAYER_LABELS = {"MIN": "minutes", "PTS": "points", "REB": "rebounds", "AST": "assists", "STL": "steals", "BLK": "blocks", "TO": "turnovers"}
+TEAM_LABELS = {"totalRebounds": "rebounds", "offensiveRebounds": "offensive_rebounds", "defensiveRebounds": "defensive_rebounds", "assists": "assists", "steals": "steals", "blocks": "blocks",
+               "turnovers": "turnovers", "fouls": "fouls"}
+TEAM_SPLITS = {"fieldGoalsMade-fieldGoalsAttempted": "field_goals", "threePointFieldGoalsMade-threePointFieldGoalsAttempted": "three", "freeThrowsMade-freeThrowsAttempted": "free_throws"}
 SPLIT_LABELS = {"FG": "field_goals", "3PT": "three", "FT": "free_throws"}
 
 
@@ -177,14 +186,53 @@ def box_players(frame: DataFrame, column: str = "boxscore") -> DataFrame:
 
 
 def box_teams(frame: DataFrame, column: str = "boxscore") -> DataFrame:
-    """Team rows of box-score JSON, statistics by name."""
+    """Team rows of box-score JSON, statistics by name; each beside its opponent's id."""
     box = frame.select("game_id", F.from_json(column, BOX_SCHEMA).alias("b"))
-    teams = box.select("game_id", F.explode("b.teams").alias("t"))
+    ids = F.transform("b.teams", lambda t: t["team"]["id"].try_cast("long"))
+    teams = box.select("game_id", ids.alias("ids"), F.explode("b.teams").alias("t"))
     named = F.map_from_entries(F.transform("t.statistics", lambda s: F.struct(s["name"], s["displayValue"])))
-    rows = teams.select("game_id", F.col("t.team.id").try_cast("long").alias("team_id"), F.col("t.homeAway").alias("home_away"), named.alias("s"))
-    made, tried = made_attempted(F.try_element_at("s", F.lit("fieldGoalsMade-fieldGoalsAttempted")))
-    return rows.select("game_id", "team_id", "home_away", made.alias("field_goals_made"), tried.alias("field_goals_attempted"),
-                       F.try_element_at("s", F.lit("totalRebounds")).try_cast("long").alias("rebounds"), F.try_element_at("s", F.lit("turnovers")).try_cast("long").alias("turnovers"))
+    team = F.col("t.team.id").try_cast("long")
+    rows = teams.select("game_id", team.alias("team_id"), F.filter("ids", lambda i: i != team).alias("others"), F.col("t.homeAway").alias("home_away"), named.alias("s"))
+    cols = []
+    for label, stem in TEAM_SPLITS.items():
+        made, tried = made_attempted(F.try_element_at("s", F.lit(label)))
+        cols += [made.alias(f"{stem}_made"), tried.alias(f"{stem}_attempted")]
+    cols += [F.try_element_at("s", F.lit(k)).try_cast("long").alias(v) for k, v in TEAM_LABELS.items()]
+    return rows.select("game_id", "team_id", F.when(F.size("others") == 1, F.col("others")[0]).alias("opponent_id"), "home_away", *cols)
+
+
+def completed_games(frame: DataFrame, column: str = "payload") -> DataFrame:
+    """Finished games of scoreboard JSON, one document a day: game_id, home and away.
+
+    The state of the competition counts, or else that of the event; a game needs exactly
+    one home and one away side.
+    """
+    events = frame.select(F.explode(F.from_json(column, SCOREBOARD_SCHEMA)["events"]).alias("e"))
+    rows = events.select(F.col("e.id").try_cast("long").alias("game_id"), F.try_element_at("e.competitions", F.lit(1)).alias("c"), F.col("e.status").alias("s"))
+    done = F.coalesce("c.status.type.completed", "s.type.completed", F.lit(False))
+    side = lambda name: F.filter("c.competitors", lambda x: x["homeAway"] == name)
+    both = rows.filter(done & (F.size("c.competitors") == 2)).select("game_id", side("home").alias("h"), side("away").alias("a"))
+    return both.filter((F.size("h") == 1) & (F.size("a") == 1)).select("game_id", F.col("h")[0].alias("home"), F.col("a")[0].alias("away"))
+
+
+def _scores(side: str) -> Column:
+    return F.transform(F.coalesce(f"{side}.linescores", F.array().cast(SCORED_PERIODS)), lambda x: F.coalesce(x["value"], x["displayValue"].try_cast("double")))
+
+
+def scoreboard_segments(games: DataFrame) -> DataFrame:
+    """Periods played and first-half scores; null where a side has no line score."""
+    n = F.least(F.size(_scores("home")), F.size(_scores("away")))
+    known = n > 0
+    return games.select("game_id", F.when(known, n).alias("periods"), F.when(known, n > 2).alias("overtime"),
+                        *[F.when(known, F.try_element_at(_scores(s), F.lit(1))).alias(f"{s}_score_h1") for s in ("home", "away")])
+
+
+def scoreboard_periods(games: DataFrame) -> DataFrame:
+    """One row per game, side and period: the score in it, and the running score up to its end."""
+    sides = games.select("game_id", F.explode(F.array(*[F.struct(F.lit(s).alias("home_away"), F.col(f"{s}.team.id").try_cast("long").alias("team_id"), _scores(s).alias("scores")) for s in ("home", "away")])).alias("x"))
+    rows = sides.select("game_id", "x.home_away", "x.team_id", "x.scores", F.posexplode("x.scores").alias("at", "score"))
+    upto = F.aggregate(F.slice("scores", 1, F.col("at") + 1), F.lit(0.0), lambda a, v: a + v)
+    return rows.select("game_id", "home_away", "team_id", (F.col("at") + 1).alias("period"), "score", upto.alias("score_so_far"))
 
 
 def recognise_columns(table: DataFrame, columns: Sequence[str]) -> dict[str, str]:

@@ -45,14 +45,6 @@ def append_sink(path: str, schema: T.StructType) -> Callable[[DataFrame, int], N
     return each
 
 
-def _last_before(store: DataFrame, batch: DataFrame) -> DataFrame:
-    """The newest stored capture older than the batch."""
-    first = batch.agg(F.min("captured_at").alias("first"))
-    past = store.crossJoin(F.broadcast(first)).filter("captured_at < first").drop("first")
-    newest = past.agg(F.max("captured_at").alias("captured_at"))
-    return past.join(F.broadcast(newest), "captured_at", "left_semi")
-
-
 def _arrive(batch: DataFrame, store_path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame, list]:
     """Add a batch to the store. What there is to judge: rows of the batch's captures and
     of those next to them, all stored captures with their next one, and the batch's stamps.

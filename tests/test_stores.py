@@ -85,6 +85,21 @@ def test_staging_accounts_for_every_outcome(spark):
     assert len(J.stage(rows).columns) == 13
 
 
+def test_scoreboard_games_need_two_sides_and_an_end(spark):
+    side = lambda where, team, *v: '{"homeAway": "%s", "team": {"id": "%s"}, "linescores": [%s]}' % (where, team, ", ".join(v))
+    game = lambda i, sides, inner='"status": {"type": {"completed": true}}, ', outer="": '{"id": "%s", %s"competitions": [{%s"competitors": [%s]}]}' % (i, outer, inner, ", ".join(sides))
+    two = [side("away", 8, '{"value": 31.0, "period": 1}', '{"displayValue": "40"}', '{"value": 9}'), side("home", 7, '{"value": 30.0}', '{"value": 41.0}', '{"value": 5}')]
+    games = [game(1, two), game(2, two, inner='"status": {"type": {"completed": false}}, '), game(3, two[:1]), game(4, [two[0], two[0]]), game(5, two, inner="", outer='"status": {"type": {"completed": true}}, '),
+             game(6, [side("home", 1), side("away", 2, '{"value": 3}')]), game(7, two, inner="")]
+    day = '{"events": [%s]}' % ", ".join(games)
+    rows = J.completed_games(spark.createDataFrame([(day,), ("not json",), (None,), ('{"events": []}',)], "payload string"))
+    seg = {r["game_id"]: tuple(r)[1:] for r in J.scoreboard_segments(rows).collect()}
+    assert seg == {1: (3, True, 30.0, 31.0), 5: (3, True, 30.0, 31.0), 6: (None, None, None, None)}
+    per = sorted(tuple(r) for r in J.scoreboard_periods(rows).filter("game_id = 1").collect())
+    assert per == [(1, "away", 8, 1, 31.0, 31.0), (1, "away", 8, 2, 40.0, 71.0), (1, "away", 8, 3, 9.0, 80.0), (1, "home", 7, 1, 30.0, 30.0), (1, "home", 7, 2, 41.0, 71.0), (1, "home", 7, 3, 5.0, 76.0)]
+    assert J.scoreboard_periods(rows).filter("game_id = 6").count() == 1
+
+
 def test_box_teams_split_made_and_attempted(spark):
     doc = '{"teams": [{"team": {"id": "7"}, "homeAway": "home", "statistics": [{"name": "fieldGoalsMade-fieldGoalsAttempted", "displayValue": "21-70"}, {"name": "turnovers", "displayValue": "9"}]}]}'
     row = J.box_teams(spark.createDataFrame([(1, doc)], "game_id long, boxscore string")).first()
