@@ -85,34 +85,46 @@ def parse_payloads(frame: DataFrame, column: str = "payload") -> DataFrame:
     return frame.select(F.from_json(column, QUOTE_SCHEMA).alias("p")).select("p.*")
 
 
-def outcomes(payloads: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """One row per outcome of each market of each book."""
+def _markets(payloads: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per market of each book; what an event or a book says is cleaned before its rows are made."""
     e = T.clean_text
+    event = ["event_id", "commence_time", "home_team", "away_team", "slate_date", "__placeable", *carry]
     # Outer explodes with filters after them: else the optimizer parses the document again for each.
-    books = payloads.select(e("id").alias("event_id"), e("commence_time").alias("commence_time"), e("home_team").alias("home_team"), e("away_team").alias("away_team"), *carry, F.explode_outer("bookmakers").alias("b"))
+    cleaned = payloads.select(e("id").alias("event_id"), e("commence_time").alias("commence_time"), e("home_team").alias("home_team"), e("away_team").alias("away_team"), *carry, "bookmakers")
+    placeable = (F.col("event_id") != "") & (F.col("commence_time") != "") & (F.col("home_team") != "") & (F.col("away_team") != "")
+    cleaned = cleaned.withColumns({"slate_date": C.slate_date(F.col("commence_time").try_cast("timestamp")), "__placeable": placeable})
+    books = cleaned.select(*event, F.explode_outer("bookmakers").alias("b"))
     book = F.when(e("b.key") != "", e("b.key")).otherwise(e("b.title"))
-    blocks = books.select("event_id", "commence_time", "home_team", "away_team", *carry, book.alias("book"), F.explode_outer("b.markets").alias("m"))
-    rows = blocks.select("event_id", "commence_time", "home_team", "away_team", *carry, "book", e("m.key").alias("provider_key"), F.explode_outer("m.outcomes").alias("o"))
-    return rows.filter("o is not null").select(*[c for c in rows.columns if c != "o"], "o.*")
+    blocks = books.select(*event, book.alias("book"), F.explode_outer("b.markets").alias("m"))
+    return blocks.select(*event, "book", e("m.key").alias("provider_key"), F.col("m.outcomes").alias("outcomes"))
+
+
+def outcomes(payloads: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per outcome of each market of each book."""
+    rows = _markets(payloads, carry).withColumn("o", F.explode_outer("outcomes"))
+    return rows.filter("o is not null").select("event_id", "commence_time", "home_team", "away_team", *carry, "book", "provider_key", "o.*")
 
 
 def classify_outcomes(payloads: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Outcomes with market, selection, line, price and the first refusal ('' = staged)."""
-    rows = outcomes(payloads, carry).join(F.broadcast(provider_keys(payloads.sparkSession)), "provider_key", "left")
-    name, described = F.col("name"), T.clean_text("description")
+    markets = _markets(payloads, carry).join(F.broadcast(provider_keys(payloads.sparkSession)), "provider_key", "left")
+    rows = markets.withColumn("o", F.explode_outer("outcomes")).filter("o is not null")
+    rows = rows.withColumns({"__name": T.clean_text("o.name"), "__of": T.clean_text("o.description")})
+    word = F.lower("__name")
+    over = F.when(word.isin("over", "o"), "over").when(word.isin("under", "u"), "under")
+    side = lambda c: F.when(F.col(c) == F.col("home_team"), "home").when(F.col(c) == F.col("away_team"), "away")
+    rule = F.col("rule")
     selection = (
-        F.when(F.col("rule") == "yes_no", T.yes_no_selection(name))
-        .when(F.col("rule").isin("player", "total"), T.over_under_selection(name))
-        .when(F.col("rule") == "team_total", T.team_total_selection(name, "description", "home_team", "away_team"))
-        .when(F.col("rule") == "side", T.team_selection(name, "home_team", "away_team"))
+        F.when(rule == "side", F.when(F.col("__name") != "", side("__name")))
+        .when(rule.isin("player", "total"), over)
+        .when(rule == "team_total", F.concat(side("__of"), F.lit("_"), over))
+        .when(rule == "yes_no", F.when(word == "yes", "over").when(word == "no", "under"))
     )
-    point = F.when(F.col("rule") == "yes_no", F.lit(0.5)).otherwise(P.number("point"))
-    price = P.number("price")
-    placeable = (F.col("event_id") != "") & (F.col("commence_time") != "") & (F.col("home_team") != "") & (F.col("away_team") != "")
-    staged = rows.select(
-        *carry, "event_id", F.col("commence_time"), C.slate_date(F.col("commence_time").try_cast("timestamp")).alias("slate_date"), "home_team", "away_team", "market", "segment",
-        F.when(F.col("rule").isin("player", "yes_no"), described).otherwise("").alias("player"), selection.alias("selection"), point.alias("line"), price.alias("american_odds"), "book", "provider_key",
-        placeable.alias("__placeable"))
+    point = F.when(rule == "yes_no", F.lit(0.5)).otherwise(P.number("o.point"))
+    # Generated, not projected: a filter on the refusal would else work all of it out a second time.
+    said = F.struct(F.when(rule.isin("player", "yes_no"), F.col("__of")).otherwise("").alias("player"), selection.alias("selection"), point.alias("line"), P.number("o.price").alias("american_odds"))
+    staged = rows.withColumn("s", F.explode(F.array(said))).select(
+        *carry, "event_id", "commence_time", "slate_date", "home_team", "away_team", "market", "segment", "s.player", "s.selection", "s.line", "s.american_odds", "book", "provider_key", "__placeable")
     refusal = (
         F.when(~F.col("__placeable"), "unplaceable event").when(F.col("market").isNull(), "unwired market").when(F.col("selection").isNull(), "unknown selection")
         .when(F.col("american_odds").isNull() | (F.abs("american_odds") < 100), "unreadable price").otherwise("")
