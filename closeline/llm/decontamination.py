@@ -119,4 +119,6 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     leaking = cut_lineage(leaks(docs, benchmark).select(F.col("doc_id").alias("_leaking")).distinct())
     if leaking.count() <= BROADCAST_ROWS:
         leaking = F.broadcast(leaking)
-    return docs.join(leaking, F.col("doc_id") == F.col("_leaking"), "left_anti")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # meet no other name
+    ident = names[docs.columns.index("doc_id")]
+    return docs.toDF(*names).join(leaking, F.col(ident) == F.col("_leaking"), "left_anti").toDF(*docs.columns)

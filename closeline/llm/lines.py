@@ -12,10 +12,11 @@ Every line that isn't blank takes part, however short: one of up to ``CHARS`` by
 window, so only equal lines are alike. Blank lines stay. The lines left of a text keep
 their order and bytes. A null text stays null
 and has no lines; an empty one has none either. Equal lines are one node, so ties and
-repeated rows come to one line. Of rows with equal ids the text is rebuilt as one, so ids
-should be unique: repeated ids raise no error and lose the lines of either. Rows of a
-null id are never changed and keep no line from others. An empty table gives no rows.
-Columns besides id and text are carried.
+repeated rows come to one line. Rows with equal id and text are one document, and all of
+them keep its lines; rows that share an id only are documents of their own, in the order of
+a hash of their texts. Rows of a null id are never changed and keep no line from others. An
+empty table gives no rows. Columns besides id and text are carried, whatever their names;
+those named n_lines or n_removed are replaced.
 """
 
 from __future__ import annotations
@@ -119,47 +120,50 @@ def similar(x: bytes, y: bytes) -> bool:
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, line, node) of every line that takes part."""
-    frame = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """(id, mark, line, node) of every line that takes part; ``mark`` is a hash of the whole text."""
+    text = F.col(f"`{text_col}`").cast("string")
+    frame = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in texts.slices(batch.column(1)):
                 row, number, a, z = stripped(s)
                 nodes = texts.hashes(texts.FOLD[s.data], a, z).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + s.first)), pa.array(number.astype(np.int32)), pa.array(nodes)], ["id", "line", "node"])
+                of = pa.array(row + s.first)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(2).take(of), pa.array(number.astype(np.int32)), pa.array(nodes)], ["id", "mark", "line", "node"])
 
-    return frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, line int, node long")
+    return frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, mark long, line int, node long")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lines): numbers of the lines that a component of the whole table has earlier."""
-    column = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"))
+    """(id, mark, lines): numbers of the lines that a component of the whole table has earlier."""
+    column = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{text_col}`").cast("string").alias("text"))
     entries = cut_lineage(candidates.shared(column, _keys))
     items = cut_lineage(candidates.items_of(column, entries.select("node").distinct(), _items))
     least = graph.components(candidates.links(entries, items, similar))
-    lines = occurrences(docs, id_col, text_col).join(least, "node", "left").select("id", "line", F.coalesce("least", "node").alias("component"))
+    lines = occurrences(docs, id_col, text_col).join(least, "node", "left").select("id", "mark", "line", F.coalesce("least", "node").alias("component"))
     lines = cut_lineage(lines)
-    first = lines.groupBy("component").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", "first")
-    later = lines.join(first, "component").where("struct(id, line) <> first")
-    return later.groupBy("id").agg(F.collect_set("line").alias("lines"))
+    first = lines.groupBy("component").agg(F.min(F.struct("id", "mark", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", "first")
+    later = lines.join(first, "component").where("struct(id, mark, line) <> first")
+    return later.groupBy("id", "mark").agg(F.collect_set("line").alias("lines"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the lines that come earlier in the table, with n_lines and n_removed."""
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    again = cut_lineage(repeats(docs, id_col, text_col).select(F.col("id").alias("_id"), "lines"))
-    sieve = candidates.Sieve(again.select(F.xxhash64("_id").alias("node")))
-    docs = docs.select(*columns)
-    hit = sieve.may_hold(F.xxhash64(id_col)) & F.col(id_col).isNotNull()
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    docs, (ident, text, *columns) = texts.plain(docs, id_col, text_col, *names)
+    again = cut_lineage(repeats(docs, ident, text).select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "lines"))
+    sieve = candidates.Sieve(again.select(F.xxhash64("_id", "_mark").alias("node")))
+    docs = docs.select(*columns).withColumn("mark", F.xxhash64(F.col(text).cast("string")))
+    hit = sieve.may_hold(F.xxhash64(ident, "mark")) & F.col(ident).isNotNull()
     # Only documents that may lose lines are shuffled.
-    split = docs.where(hit).join(again, F.col(id_col) == F.col("_id"), "left").drop("_id").union(docs.where(~hit).withColumn("lines", F.lit(None).cast("array<int>")))
-    split = split.withColumn("_all", F.split(F.col(text_col), "\n"))
+    split = docs.where(hit).join(again, (F.col(ident) == F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").drop("_id", "_mark").union(docs.where(~hit).withColumn("lines", F.lit(None).cast("array<int>")))
+    split = split.withColumn("_all", F.split(F.col(text), "\n"))
     kept = F.expr("filter(_all, (x, i) -> not array_contains(lines, i))")
     return split.select(
-        *[F.when(F.col("lines").isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c) for c in columns],
-        F.when(F.length(text_col) > 0, F.size("_all")).otherwise(0).cast("long").alias("n_lines"),
-        F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_removed"))
+        *[F.when(F.col("lines").isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")) if c == text else F.col(c) for c in columns],
+        F.when(F.length(text) > 0, F.size("_all")).otherwise(0).cast("long"),
+        F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long")).toDF(*names, "n_lines", "n_removed")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -170,4 +174,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     done = dedup(docs).where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns])

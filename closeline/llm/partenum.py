@@ -181,5 +181,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     dropped = cut_lineage(classes(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_dropped")).distinct())
     sieve = candidates.Sieve(dropped.select(F.xxhash64("_dropped").alias("node")))
-    hit = sieve.may_hold(F.xxhash64("doc_id"))
-    return docs.where(hit).join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti").union(docs.where(~hit))
+    names = docs.columns
+    docs, (ident,) = texts.plain(docs, "doc_id")
+    hit = sieve.may_hold(F.xxhash64(ident))
+    return docs.where(hit).join(dropped, F.col(ident) == F.col("_dropped"), "left_anti").union(docs.where(~hit)).toDF(*names)

@@ -14,9 +14,10 @@ rows. Besides shards, finer boundaries cut even pieces, which are dealt out in t
 exchange; a row's slot is the exact number of rows before its piece plus its place in it.
 
 A null text has size 1, as an empty one, and stands with empty texts. A null id comes
-first. Repeated rows (equal text and id) have equal keys: they share a shard and have
-neighbouring slots in any order. An empty table gives no rows. Extra columns are carried;
-one named as an output column is replaced.
+first. Ids that aren't whole numbers are ordered by their hash. Repeated rows (equal text and
+id) have equal keys: they share a shard and have neighbouring slots in any order. An empty
+table gives no rows. Extra columns are carried, whatever their names; one named as an
+output column, in any case of letters, is replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from closeline import session
+from closeline.llm import texts
 
 SHARD_TOLERANCE = 0.001  # of a shard's bytes
 TEXT_TOLERANCE = 0.01  # a cut this near may go to an edge between texts
@@ -128,10 +130,14 @@ def boundaries(keys: DataFrame, shards: int, pieces: int) -> list[tuple[int, int
 
 def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents with size, text_crc32, law ``bytes``, shard, slot (gapless from 0 in a shard) and a null grown_shard."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    whole = docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    names = [c for c in docs.columns if c.lower() not in OUTPUT]
+    docs, (ident, body, *carried) = texts.plain(docs, id_col, text_col, *names)
+    text = F.coalesce(F.col(body).cast("string"), F.lit(""))
+    low = F.col(ident).cast("long") if whole else F.when(F.col(ident).isNotNull(), F.xxhash64(ident))
     rows = docs.select(
-        *[c for c in docs.columns if c not in OUTPUT], (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("_high"), F.coalesce(F.col(id_col).cast("long"), F.lit(-_SIGN).cast("long")).alias("_low"))
+        *carried, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("_high"), F.coalesce(low, F.lit(-_SIGN).cast("long")).alias("_low"))
     keys = session.cut_lineage(rows.select("_high", "_low", "size"))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = shards * max(1, -(-PIECES_PER_PARTITION * partitions // shards))
@@ -153,4 +159,4 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
             .withColumn("law", F.lit("bytes"))
             .withColumn("shard", F.floor(F.col("_piece") / per).cast("int"))
             .withColumn("grown_shard", F.lit(None).cast("int"))
-            .drop("_high", "_low", "_piece"))
+            .select(*carried, *OUTPUT).toDF(*names, *OUTPUT))

@@ -26,6 +26,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def plain(docs: DataFrame, *named: str) -> tuple[DataFrame, list[str]]:
+    """The table under column names that meet no other (c0, c1, ...), then those of the named columns."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), [names[docs.columns.index(n)] for n in named]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit numbers."""
     x = x.astype(np.uint64)

@@ -147,7 +147,8 @@ def test_lines_equal_brute_force(spark):
         first.setdefault(root[b], (i, k))
     drop = {(i, k) for i, k, b in seen if first[root[b]] != (i, k)}
     frame = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, lines int")
-    got = lines.dedup(frame.drop("lines").withColumn("component", F.lit("x"))).collect()
+    got = lines.dedup(frame.withColumn("component", F.lit("x")).withColumn("_id", F.lit(1)).withColumn("a.b", F.lit(2))).collect()
+    assert {(r["lines"], r["_id"], r["a.b"], r["component"]) for r in got} == {(7, 1, 2, "x")}
     assert len(got) == len(rows) and len(drop) > 50
     found = 0
     for r in got:
@@ -177,6 +178,22 @@ def test_documents_left_without_lines_go(spark):
     assert got == {1: ("one line of text here", 21), 3: ("and another one", 15), 4: ("", 0), 5: (None, 0)}
 
 
+def test_rows_of_one_id_lose_no_line(spark):
+    """Rows that share an id only are documents of their own; equal rows are one and keep all its lines."""
+    rows = [(1, "alpha one\nbeta two"), (1, "beta two\ngamma three"), (2, "delta four\ndelta four\nbeta two"), (2, "delta four\ndelta four\nbeta two")]
+    got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    ones = sorted(r["text"] for r in got if r["doc_id"] == 1)
+    assert ones in (["alpha one", "beta two\ngamma three"], ["alpha one\nbeta two", "gamma three"])
+    assert [r["text"] for r in got if r["doc_id"] == 2] == ["delta four"] * 2
+
+
+def test_columns_of_any_name_are_carried(spark):
+    frame = spark.createDataFrame([(1, "one line of text", 1, 2, 3, 4, 5), (2, "another line of text", 1, 2, 3, 4, 5)], "doc_id long, text string, _dropped int, _leaking int, `a.b` int, c0 int, node int")
+    bench = spark.createDataFrame([(1, "another line of text")], "item_id long, text string")
+    for out, left in ((partenum.keep_one(frame), 2), (decontamination.clean(frame, bench), 1), (lines.without_repeats(frame), 2)):
+        assert out.columns == frame.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, frame.collect()))[:left]
+
+
 def test_short_lines_repeat_as_long_ones_do(spark):
     rows = [(1, "Home\nthe first article of all\n\nx"), (2, " HOME\n\nX\nHomes\n数字。"), (3, "Share\n数字。\nShare"), (4, "a"), (5, "b\na ")]
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -105,6 +105,13 @@ def test_ablations_follow_from_the_bits(docs, none):
     assert {r["failing"] for r in rules.ablations(rules.ledger(none), "base").collect()} == {0}
 
 
+def test_shards_of_text_ids_and_odd_columns(spark):
+    rows = [(f"id{i}", "word " * (i % 7), i, i, i) for i in range(50)] + [(None, None, 0, 0, 0)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id string, text string, _low int, Size int, `a.b` int"), 3)
+    assert got.columns == ["doc_id", "text", "_low", "a.b", *sharding.OUTPUT]
+    check_shards(got.collect(), [(r[0], r[1]) for r in rows], 3)
+
+
 def check_shards(rows, originals, shards):
     assert len(rows) == len(originals)
     for k in range(shards):
