@@ -16,6 +16,7 @@ from closeline.operators import captures as M, quotes as Q
 from closeline.sources import payloads as J, stores as S
 
 IDENTITY = ("captured_at", *Q.QUOTE_IDENTITY)
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def capture_stream(spark: SparkSession, path: str, schema: T.StructType, delay: str = "2 days") -> DataFrame:
@@ -101,6 +102,12 @@ def alert_sink(store_path: str, out_path: str, schema: T.StructType, edge: float
     return each
 
 
+def _with_state(frame: DataFrame) -> DataFrame:
+    """State of own operators with timers needs the RocksDB store: it is set on the session before the query starts."""
+    frame.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return frame
+
+
 class ClosingState(StatefulProcessor):
     """Keeps an event's consensus at its last capture before the start; says it once.
 
@@ -147,7 +154,7 @@ def closing_stream(consensus: DataFrame) -> DataFrame:
     spread, total_points: the consensus of a capture, one row per event and capture.
     """
     rows = consensus.withColumns({"captured_us": F.unix_micros(F.col("captured_at").cast("timestamp")), "start_us": F.unix_micros(F.col("commence_time").cast("timestamp"))})
-    return rows.groupBy("event_id").transformWithStateInPandas(
+    return _with_state(rows).groupBy("event_id").transformWithStateInPandas(
         statefulProcessor=ClosingState(), outputStructType="event_id long, captured_us long, close_moneyline double, close_spread double, close_total double",
         outputMode="Append", timeMode="EventTime")
 
@@ -203,7 +210,7 @@ def move_stream(captures: DataFrame) -> DataFrame:
     """
     every = M.capture_consensus(captures)
     rows = every.withColumns({"captured_us": F.unix_micros(F.col("captured_at").cast("timestamp")), "start_us": F.unix_micros(F.col("commence_time").cast("timestamp"))})
-    return rows.groupBy("event_id").transformWithStateInPandas(
+    return _with_state(rows).groupBy("event_id").transformWithStateInPandas(
         statefulProcessor=MoveState(), outputStructType="event_id long, captured_us long, first_us long, market string, opened double, now double",
         outputMode="Append", timeMode="EventTime")
 
