@@ -13,11 +13,12 @@ Next-byte distributions are interpolated with those of the shorter context, weig
 the number of different bytes seen after the context. Scoring walks all texts in step,
 in pieces that start ``DEPTH`` bytes early, through the automaton of the retained contexts.
 
-Above the bytes stands a tree of words: the states are the last one or two words of a
+Above the bytes stands a tree of words: the states are the last one to ``BACK`` words of a
 text, its root the unigram. A state is retained if it stands ``LEAST`` times at least and
 if predicting its own training words, each left out in turn, gains ``EVIDENCE`` nats over
 the state one word shorter. Both bounds are absolute, so states only come in as the corpus
-grows. A retained state gives a word its count there less ``DISCOUNT``, as a share of the
+grows. Depth follows depth: what a state is followed by is its longer states' counts, so
+only states that stand often enough are ever looked at, until there are none. A retained state gives a word its count there less ``DISCOUNT``, as a share of the
 state's count, plus the discounted mass times what the shorter state gives; a state not
 retained gives what the shorter one does. As in the
 unigram base, all unknown words are one symbol; the root gives it the share of training
@@ -49,6 +50,7 @@ from closeline.session import cut_lineage
 DEPTH = 5
 GAIN = 1e-5
 DISCOUNT = 0.4
+BACK = 3
 FREQUENT = 4e-7
 LEAST, EVIDENCE = 4, 3.0
 PIECE = 512
@@ -221,48 +223,87 @@ class Automaton:
         return out
 
 
-def states(tokens: np.ndarray, row: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per depth 1 and 2: hash of the words before each token, and of these with the token."""
+def states(tokens: np.ndarray, row: np.ndarray, depths: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per depth from 1: hash of the words before each token, and of these with the token."""
     w = tokens.view(np.uint64)
     place = np.arange(len(w)) - np.searchsorted(row, row)
     out, before = [], np.zeros(len(w), np.uint64)
-    for depth in (1, 2):
+    for depth in range(1, depths + 1):
         last = np.concatenate((np.zeros(depth, np.uint64), w))[:len(w)]
         before = texts.mix(texts.mix(before + np.uint64(depth)) ^ np.where(place >= depth, last, np.uint64(START)))
         out.append((before.view(np.int64), texts.mix(before ^ texts.mix(w + np.uint64(7))).view(np.int64)))
     return out
 
 
-def followed(training: DataFrame) -> DataFrame:
-    """(depth, state, key, shorter, n): tokens after states; ``shorter`` is the key one word shorter."""
+def followed(training: DataFrame, depth: int, able: candidates.Sieve) -> DataFrame:
+    """(state, key, shorter, longer, n): tokens after the states of one depth that may stand ``LEAST`` times.
+
+    ``able`` holds the words that do at depth 1, beyond it the states. ``shorter`` is the key one
+    word shorter, ``longer`` the state of the next depth that ends in the token (0: the text ends).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in texts.slices(batch.column(0)):
                 _, _, _, row, tokens = stream(s)
-                shorter = tokens
-                for depth, (state, key) in enumerate(states(tokens, row), 1):
-                    found, at, n = np.unique(key, return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, (np.full(len(found), depth, np.int8), state[at], found, shorter[at], n))], ["depth", "state", "key", "shorter", "n"])
-                    shorter = key
-
-    rows = training.mapInArrow(run, "depth byte, state long, key long, shorter long, n long")
-    return rows.groupBy("depth", "state", "key", "shorter").agg(F.sum("n").alias("n"))
-
-
-def kept_states(follow: DataFrame, words: DataFrame, n_all: int) -> DataFrame:
-    """(key, v, c): of retained states the share that stays for shorter ones, and of what follows the discounted shares."""
-    sums = follow.groupBy("depth", "state").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("k")).where(F.col("c") >= LEAST)
-    rows = cut_lineage(follow.join(sums, ["depth", "state"]))
-    parent = (words.select(F.lit(1).cast("byte").alias("depth"), F.col("key").alias("shorter"), F.expr(f"n / {max(n_all, 1)}D").alias("p"))
-              .union(rows.where("depth = 1").select(F.lit(2).cast("byte"), "key", F.expr("n / c"))))
-    # Each token left out of its state in turn: a token that stands once is left to the shorter state.
-    gain = f"sum(n * ln((greatest(n - 1 - {DISCOUNT}D, 0D) / p + {DISCOUNT}D * k) / (c - 1)))"
-    strong = rows.join(parent, ["depth", "shorter"]).groupBy("depth", "state").agg(F.expr(gain).alias("gain")).where(F.col("gain") >= EVIDENCE)
-    rows = rows.join(strong.select("depth", "state"), ["depth", "state"], "left_semi")
-    own = rows.groupBy("depth", "state").agg(F.max("c").alias("c"), F.max("k").alias("k"))
-    return (rows.select("key", F.expr(f"(n - {DISCOUNT}D) / c").alias("v"), F.col("n").alias("c"))
-            .union(own.select("state", F.expr(f"{DISCOUNT}D * k / c"), "c")))
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                all_states = states(tokens, row, depth + 1)
+                state, key = all_states[depth - 1]
+                shorter = all_states[depth - 2][1] if depth > 1 else tokens
+                longer = np.append(all_states[depth][0][1:], 0)[:len(row)]
+                longer[np.append(row[1:] != row[:-1], True)[:len(row)]] = 0
+                if depth == 1:
+                    take = (place == 0) | able.holds(np.append(np.zeros(1, np.int64), tokens)[:len(row)])
+                else:  # a text's first token is predicted at depth 1
+                    take = (place >= depth - 1) & able.holds(state)
+                i = np.flatnonzero(take)
+                found, at, n = np.unique(key[i], return_index=True, return_counts=True)
+                at = i[at]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (state[at], found, shorter[at], longer[at], n))], ["state", "key", "shorter", "longer", "n"])
+
+    rows = training.mapInArrow(run, "state long, key long, shorter long, longer long, n long")
+    return rows.groupBy("state", "key", "shorter", "longer").agg(F.sum("n").alias("n"))
+
+
+def tested(follow: DataFrame, parent: DataFrame) -> DataFrame:
+    """(state, key, longer, n, c, k, kept): what follows retained states, and what does so twice at least after others.
+
+    A token left out of its state in turn is predicted by what is left. One that stands
+    there once is left to the shorter state, whatever its share there: only tokens that
+    stand twice meet their ``parent`` (shorter, p).
+    """
+    sums = follow.groupBy("state").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("k"), F.expr("count_if(n = 1)").alias("once")).where(F.col("c") >= LEAST)
+    often = follow.where("n > 1").join(sums, "state").join(parent, "shorter")
+    gain = often.groupBy("state").agg(F.expr(f"sum(n * ln(((n - 1 - {DISCOUNT}D) / p + {DISCOUNT}D * k) / (c - 1)))").alias("gain"))
+    alone = f"if(once > 0, once * ln({DISCOUNT}D * k / (c - 1)), 0D)"
+    judged = sums.join(gain, "state", "left").select("state", "c", "k", F.expr(f"coalesce(gain, 0D) + {alone} >= {EVIDENCE}").alias("kept"))
+    return cut_lineage(follow.join(judged, "state").where("kept or n > 1").select("state", "key", "longer", "n", "c", "k", "kept"))
+
+
+def kept_states(training: DataFrame, words: DataFrame, n_all: int) -> tuple[DataFrame, int]:
+    """(key, v, c): of retained states the share that stays for shorter ones, and of what follows the discounted shares; and the greatest depth.
+
+    Depths are worked through one by one, each over the states that the one before has seen
+    ``LEAST`` times, until there are none or ``BACK`` is reached: words may depend on two
+    before them that say nothing one by one.
+    """
+    able = candidates.Sieve(words.where((F.col("n") >= LEAST) & (F.col("key") != 0)).select(F.col("key").alias("node")))
+    parent = words.select(F.col("key").alias("shorter"), F.expr(f"n / {max(n_all, 1)}D").alias("p"))
+    out, depth = None, 0
+    while True:
+        depth += 1
+        rows = tested(followed(training, depth, able), parent)
+        kept = rows.where("kept")
+        own = kept.groupBy("state").agg(F.max("c").alias("c"), F.max("k").alias("k"))
+        both = (kept.select("key", F.expr(f"(n - {DISCOUNT}D) / c").alias("v"), F.col("n").alias("c"))
+                .union(own.select("state", F.expr(f"{DISCOUNT}D * k / c"), "c")))
+        out = both if out is None else out.union(both)
+        later = rows.where(f"longer <> 0 and n >= {LEAST}").select(F.col("longer").alias("node"))
+        if depth == BACK or later.isEmpty():
+            break
+        able = candidates.Sieve(later)
+        parent = rows.where("n > 1").select(F.col("key").alias("shorter"), F.expr("n / c").alias("p"))
+    return out, depth
 
 
 def fit(counts: DataFrame) -> Automaton:
@@ -283,7 +324,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     mass = DISCOUNT * kinds / n_all if n_all else 1.0
     least = max(1, int(np.ceil(FREQUENT * n_all)))
     common = words.where((F.col("n") >= least) | (F.col("key") == 0)).orderBy("key").toPandas()  # at most 1 / FREQUENT rows, and the end
-    kept = cut_lineage(kept_states(cut_lineage(followed(column)), words, n_all))
+    kept, depths = kept_states(column, words, n_all)
     often = kept.where(F.col("c") >= least).orderBy("key").toPandas()  # at most 2 / FREQUENT rows of each length
     others = kept.where(F.col("c") < least).select("key", "v")
     sieve = candidates.Sieve(others.select(F.col("key").alias("node")))
@@ -304,7 +345,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         root = np.where(here, (1 - unknown) * (np.maximum(c - DISCOUNT, 0) / max(n_all, 1) + mass * own), 0)
         looked, ready = [(tokens, ~here)], here.copy()
         shares = []
-        for state, key in states(tokens, row):
+        for state, key in states(tokens, row, depths):
             for wanted, none in ((key, 0.0), (state, 1.0)):
                 v, there = met(known, values, wanted, none)
                 away = ~there & sieve.holds(wanted)
@@ -318,13 +359,18 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in texts.slices(batch.column(1)):
-                row, ready, here, c, _, root, (a1, b1, a2, b2), _, signs = parts(s)
+                row, ready, here, c, _, root, shares, _, signs = parts(s)
+                p = root
+                for a, b in zip(shares[::2], shares[1::2]):
+                    p = a + b * p
                 base = np.bincount(row[here], np.log10((c[here] + 0.1) / below), s.rows).astype(float)
-                score = np.bincount(row[ready], np.log10((a2 + b2 * (a1 + b1 * root))[ready]), s.rows).astype(float)
+                score = np.bincount(row[ready], np.log10(p[ready]), s.rows).astype(float)
                 columns = [np.bincount(row, minlength=s.rows), np.bincount(row[here & (c > 0)], minlength=s.rows), base, score, signs]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.rows), *map(pa.array, columns)], ["doc_id", "n_tokens", "known", "base", "score", "sign"])
 
-    names = ["sign", "n_tokens", "place", "part", "key", "own", "root", "a1", "b1", "a2", "b2"]
+    known_shares = [f"{x}{d}" for d in range(1, depths + 1) for x in "ab"]
+    names = ["sign", "n_tokens", "place", "part", "key", "own", "root", *known_shares]
+    lists = 2 * depths + 1  # parts of a token: its count, then value and key of each state; last what is here
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,8 +380,8 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
                 for part, (keys, away) in enumerate([*looked, (None, ~ready)]):
                     i = np.flatnonzero(away)
                     r = row[i]
-                    if part < 5:
-                        rest = [pa.nulls(len(i), pa.float64())] * 6
+                    if part < lists:
+                        rest = [pa.nulls(len(i), pa.float64())] * (2 + len(shares))
                         k = keys[i]
                     else:  # what is here of a token, under a key of its own
                         rest = [pa.array(own[i]), pa.array(root[i], mask=~here[i]), *(pa.array(v[i]) for v in shares)]
@@ -348,11 +394,14 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     asked = frame.select("text").mapInArrow(rare, "sign long, n_tokens long, place long, part byte, key long, " + ", ".join(f"{x} double" for x in names[5:])).withColumn("word", F.expr("part = 0"))
     # Copies of a text ask the same for the same places, and count once.
     tokens = (asked.join(seldom.union(others.select("key", "v", F.lit(False))), ["key", "word"], "left").groupBy("sign", "n_tokens", "place")
-              .agg(*[F.max(F.expr(f"if(part = {i}, v, null)")).alias(f"v{i}") for i in range(5)], *[F.max(x).alias(x) for x in names[5:]]))
+              .agg(*[F.max(F.expr(f"if(part = {i}, v, null)")).alias(f"v{i}") for i in range(lists)], *[F.max(x).alias(x) for x in names[5:]]))
     root = f"coalesce(root, if(v0 is null, {unknown!r}D, {1 - unknown!r}D * (greatest(v0 - {DISCOUNT!r}D, 0D) / {max(n_all, 1)} + {mass!r}D * own)))"
+    p = root
+    for i, (a, b) in enumerate(zip(known_shares[::2], known_shares[1::2])):
+        p = f"(coalesce(v{2 * i + 1}, {a}) + coalesce(v{2 * i + 2}, {b}) * {p})"
     found = (tokens.groupBy("sign", "n_tokens")
              .agg(F.expr("count(v0) as rare_known"), F.expr(f"sum(if(root is null, log10((coalesce(v0, 0D) + 0.1D) / {below!r}D), 0D)) as rare_base"),
-                  F.expr(f"sum(log10(coalesce(v3, a2) + coalesce(v4, b2) * (coalesce(v1, a1) + coalesce(v2, b1) * {root}))) as rare_score")))
+                  F.expr(f"sum(log10({p})) as rare_score")))
     return (scored.join(found, ["sign", "n_tokens"], "left")
             .select("doc_id", "n_tokens", F.expr("known + coalesce(rare_known, 0L)").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
                     F.expr("base + coalesce(rare_base, 0d)").alias("base_score"), F.expr("score + coalesce(rare_score, 0d)").alias("score")))

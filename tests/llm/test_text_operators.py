@@ -205,7 +205,7 @@ def test_retained_states_grow_with_the_corpus(spark):
     def kept(rows):
         column = spark.createDataFrame(rows, "doc_id long, text string").select("text")
         words = suffix_tree.counted(column).where("kind = 0").select("key", "n")
-        return {r["key"] for r in suffix_tree.kept_states(suffix_tree.followed(column), words, int(words.agg(F.sum("n")).first()[0])).collect()}
+        return {r["key"] for r in suffix_tree.kept_states(column, words, int(words.agg(F.sum("n")).first()[0]))[0].collect()}
 
     small = chained(20)
     strangers = [(i, " ".join(f"s{i}x{j} s{i}y{j}" for j in range(30))) for i in range(2000)]
