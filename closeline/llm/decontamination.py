@@ -14,8 +14,9 @@ item, is at least ``SIMILARITY``. At that similarity fingerprints differ in abou
 bits; the radius leaves room for more than three standard deviations.
 
 Built-in functions only. Item shingles are broadcast where their number, counted first,
-is at most ``BROADCAST_ROWS``; otherwise both sides are shuffled, with the same result. There
-windows meet their text by id, null or not, and the text's hash.
+is at most ``BROADCAST_ROWS``; otherwise both sides are shuffled, with the same result. Places
+of shared shingles are gathered per text and turned into starts, each once; these meet their
+text by id, null or not, and the text's hash.
 
 Null or empty texts, and items without words, match nothing. Repeated documents, items
 and ids are each matched on their own; pairs are distinct. Empty tables give no pairs.
@@ -66,28 +67,40 @@ def _blocks(frame: DataFrame) -> DataFrame:
     return frame.select("*", F.expr(f"inline(array({values}))"))
 
 
-def _anchored(docs: DataFrame, items: DataFrame, size: int, small: bool, id_col: str) -> DataFrame:
-    """(doc_id, n_item, words of a window) of all windows that may hold enough shingles, of ``size`` words, of an item."""
+def _hits(docs: DataFrame, items: DataFrame, size: int, small: bool, id_col: str) -> DataFrame:
+    """(doc_id, sign, n_item, at) of the shingles, of ``size`` words, that stand in items of ``n_item`` words."""
     sizes = (items.where(F.least(F.lit(WORDS), F.size("words")) == size)
              .select(F.size("words").alias("n_item"), F.expr(f"explode(transform(sequence(0, size(words) - {size}), i -> slice(words, i + 1, {size})))").alias("s"))
              .select(F.xxhash64(*[F.col("s")[j] for j in range(size)]).alias("key"), "n_item")
              .groupBy("key").agg(F.collect_set("n_item").alias("sizes")))
-    texts = docs.where(F.size("words") >= size).select(F.col(id_col).alias("doc_id"), "words")
     at = F.expr(f"explode(sequence(0, size(words) - {size}))").alias("at")
     key = F.xxhash64(*[F.expr(f"words[at + {j}]") for j in range(size)])
-    # Starts of the windows of which the shingle at ``at`` may be the first shared one.
-    start = "greatest(0, least(at - before, size(words) - n_item))"
-    before = f"explode(sequence(0, cast(floor((n_item - {size - 1}) * {1 - 2 * SIMILARITY / (1 + SIMILARITY)!r}D + 1e-9) as int)))"
-    if small:
-        met = texts.select("doc_id", "words", at).withColumn("key", key).join(F.broadcast(sizes), "key")
-        starts = met.select("doc_id", "words", "at", F.explode("sizes").alias("n_item"))
-    else:
-        texts = texts.withColumn("sign", F.xxhash64("words"))
-        keyed = texts.select("doc_id", "sign", "words", at).withColumn("key", key).drop("words")
-        met = keyed.join(sizes, "key").select(F.col("doc_id").alias("_doc"), F.col("sign").alias("_sign"), "at", F.explode("sizes").alias("n_item")).distinct()
-        starts = met.join(texts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("sign") == F.col("_sign"))).select("doc_id", "words", "at", "n_item")
-    placed = starts.select("doc_id", "words", "at", "n_item", F.expr(before).alias("before")).withColumn("start", F.expr(start))
-    return placed.select("doc_id", "n_item", F.expr("concat_ws(' ', slice(words, start + 1, least(n_item, size(words))))").alias("window"))
+    placed = docs.where(F.size("words") >= size).select(F.col(id_col).alias("doc_id"), "sign", "words", at)
+    keyed = placed.select("doc_id", "sign", "at", key.alias("key"))
+    return keyed.join(F.broadcast(sizes) if small else sizes, "key").select("doc_id", "sign", F.explode("sizes").alias("n_item"), "at", F.lit(size).alias("shingle"))
+
+
+def _starts(hits: DataFrame) -> DataFrame:
+    """(doc_id, sign, n_item, starts): every start of which a hit may be the first shared shingle, once.
+
+    Before its first hit a window has no other: its start lies behind the hit before, and
+    no more shingles back than may be missing.
+    """
+    back = f"cast(floor((n_item - shingle + 1) * {1 - 2 * SIMILARITY / (1 + SIMILARITY)!r}D + 1e-9) as int)"
+    spread = f"transform(ats, (x, i) -> sequence(greatest(x - {back}, if(i = 0, 0, ats[i - 1] + 1), 0), x))"
+    return (hits.groupBy("doc_id", "sign", "n_item", "shingle").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+            .select("doc_id", "sign", "n_item", F.expr(f"flatten({spread})").alias("starts")))
+
+
+def _windows(docs: DataFrame, starts: DataFrame, id_col: str) -> DataFrame:
+    """(doc_id, n_item, window): the words of the windows, each distinct one once."""
+    starts = starts.select(F.col("doc_id").alias("_doc"), F.col("sign").alias("_sign"), "n_item", "starts")
+    met = _words(docs.join(starts, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("sign") == F.col("_sign"))), "text")
+    # A window that would pass the end is the text's last one.
+    at = "explode(array_distinct(transform(starts, x -> greatest(0, least(x, size(words) - n_item)))))"
+    return (met.select("_doc", "n_item", "words", F.expr(at).alias("start"))
+            .select(F.col("_doc").alias("doc_id"), "n_item", F.expr("concat_ws(' ', slice(words, start + 1, least(n_item, size(words))))").alias("window"))
+            .groupBy("doc_id", "n_item", "window").agg(F.lit(1).alias("_one")).drop("_one"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,12 +108,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = _words(benchmark.select("item_id", "text"), "text").where(F.size("words") > 0).drop("text")
     shape = items.agg(F.sum(F.greatest(F.size("words") - WORDS + 1, F.lit(1))), F.collect_set(F.least(F.size("words"), F.lit(WORDS)))).first()
     small = (shape[0] or 0) <= BROADCAST_ROWS
-    read = _words(docs.select(F.col(id_col), F.col(text_col)), text_col)
-    found = None
+    text = F.col(f"`{text_col}`").cast("string")
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).withColumn("sign", F.xxhash64("text"))
+    hits = None
     for size in sorted(shape[1]) or [WORDS]:
-        part = _anchored(read, items, size, small, id_col)
-        found = part if found is None else found.union(part)
-    found = found.groupBy("doc_id", "n_item", "window").agg(F.lit(1).alias("_one")).drop("_one")
+        part = _hits(_words(docs, "text"), items, size, small, "id")
+        hits = part if hits is None else hits.union(part)
+    starts = cut_lineage(_starts(hits))
+    # Only the texts with hits are cut into words again; the join is chosen by the size of the starts.
+    found = cut_lineage(_windows(docs, starts, "id"))
     windows = found.select("n_item", "window").distinct().withColumn("fingerprint", F.expr(_FINGERPRINT.replace("array(words)", "array(split(window, ' '))")))
     targets = items.select("item_id", F.size("words").alias("n_item"), F.expr(_bound("ws", "words", _shingles("ws"))).alias("item_shingles"), F.expr(_FINGERPRINT).alias("fingerprint"))
     keys = _blocks(windows.select("n_item", "window", "fingerprint"))
