@@ -151,6 +151,37 @@ def test_licenses_are_found_where_they_stand(spark, docs, none):
     assert licenses.scan(docs).count() == 0 == licenses.scan(none).count()
 
 
+def licenses_by_hand(text, name):
+    """Whether any window on the scan's grid holds 0.8 of the template's shingles."""
+    split = lambda x: re.findall(rb"[a-z0-9\x80-\xff]+", x.encode().lower())
+    template, text = split(licenses.TEMPLATES[name]), split(text)
+    size = licenses.FEW if len(template) < licenses.SHORT else licenses.WORDS
+    cut = lambda w: [tuple(w[i:i + size]) for i in range(max(len(w) - size + 1, min(len(w), 1)))]
+    wanted, found = set(cut(template)), cut(text)
+    stride = len(wanted) // 4 + 1
+    return any(len(wanted & set(found[i:i + len(wanted) + stride - 1])) >= 0.8 * len(wanted) for i in range(0, len(found), stride))
+
+
+def test_notices_are_found_whatever_the_marks(spark):
+    rng = np.random.default_rng(8)
+    notices = licenses.TEMPLATES
+    rows = [
+        (1, "x Released under the MIT License, y"), (2, "Licensed under CC BY-NC 4.0 terms"), (3, 'Licensed under the Apache License, Version 2.0 (the "License")'),
+        (4, notices["GPL notice"]), (5, "a b " + notices["BSD conditions"] + " " + notices["BSD conditions"] + " " + notices["BSD conditions"]),
+        (6, "Licensed under CC BY-NC-ND 4.0"), (7, "Released under the MIT License. " * 2), (8, "The BSD notice and the MIT License differ"),
+    ]
+    for i, text in enumerate(notices.values()):
+        for j, rate in enumerate((0.0, 0.02, 0.05)):
+            w = [x if rng.random() > rate else "edited" for x in text.split()]
+            rows.append((100 + 3 * i + j, "filler words " * int(rng.integers(0, 30)) + " ".join(w) + " tail" * int(rng.integers(0, 30))))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["license"]) for r in got} == {(i, name) for i, text in rows for name in notices if licenses_by_hand(text, name)}
+    of = lambda i: {(r["license"], r["first_word"]) for r in got if r["doc_id"] == i}
+    assert of(1) == {("MIT", 1)} and of(2) == {("CC-BY-NC-4.0", 0)} and of(3) == {("Apache-2.0", 0)} and ("GPL notice", 0) in of(4)
+    assert sorted(at for name, at in of(5) if name == "BSD conditions") == [2 + k * len(re.findall("[A-Za-z0-9]+", notices["BSD conditions"])) for k in range(3)]
+    assert of(6) == of(8) == set() and of(7) == {("MIT", 0), ("MIT", 5)}
+
+
 def test_suffix_tree_base_is_exact_and_scores_are_probabilities(docs, none):
     rows = rows_of(suffix_tree.score(docs, ~suffix_tree.held_out()))
     held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in expected_order()]
