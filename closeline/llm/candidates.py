@@ -3,14 +3,18 @@
 Keys of nodes (texts, lines, sets: 64-bit numbers) meet in blocks of arrays; equal keys of
 one task are thinned out there, so one key's nodes never gather in one place. Of the
 nodes that share keys, each is verified against the node it shares most keys with; what
-links becomes components. Whatever different components still share a key is verified
-next, first against one node of the key, then, by size, every pair of different
-components. So no link that shares a key is lost to the components, and the pairs of a
-component aren't listed.
+links becomes components. Whatever different components still share a key is compared
+next: first with one node of the key, then, in tiles inside a task, with the others of the
+keys whose most central node is the same. A pair leaves its tile only if sketches of both
+sets allow the similarity: parities of the elements that fall on a bit, so that the bits in
+which two sketches differ are never more than the elements in which the sets do. Those that
+leave are verified. So no link that shares a key is lost to the components, and neither the
+pairs of a component nor those of a key are listed.
 
 Where links are known to share several keys, each node comes with that number, its need:
-a node with fewer shared keys has no link and goes before anything else is read, and a
-pair with fewer is not verified.
+a node with fewer shared keys has no link and goes before anything else is read. Of keys
+that different components share, a node may leave out the most held ones, in one order for
+all nodes, as long as they are fewer than its need: a pair that links meets in a rarer one.
 """
 
 from __future__ import annotations
@@ -20,19 +24,25 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from closeline.llm import graph, texts
+from closeline.llm import graph, texts, tiles
 from closeline.session import cut_lineage
 
 FLUSH = 1 << 20  # keys that a task thins out together
 SIEVE_BITS = 1 << 23
 BLOCKS_PER_PARTITION = 4
 REMEMBERED = 200_000
+SKETCH_BITS = 8, 16  # least and largest width as powers of two; between them, four bits or more an element
+PIECE = 1024  # nodes of one key in a piece of tiles
+BUFFER = 1 << 12
+TOGETHER = 1 << 20  # bytes of contents, pairs times 8, or bytes of sketches compared in one step
+
+Elements = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]  # contents to distinct elements and the content of each
 
 _KEY = np.uint64(1 << 63)  # marks keys; smaller numbers are needs
 _PACKED = pa.schema([("block", pa.int32()), ("found", pa.bool_()), ("sigs", pa.binary()), ("nodes", pa.binary())])
-_ITEMS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("items", pa.binary())])
+_ITEMS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("items", pa.binary())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -136,12 +146,23 @@ class Sieve:
         return test(node)
 
 
-def items_of(column: DataFrame, wanted: DataFrame, items: Callable[[texts.Slice], tuple[np.ndarray, Callable[[int], tuple[int, bytes]]]]) -> DataFrame:
-    """(node, n, items): size and content of the wanted nodes, each once.
+def sketches(values: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, list[bytes]]:
+    """Size of each of n sets of distinct elements, and the parities of its elements by bit."""
+    size = np.bincount(rows, minlength=n)
+    width = 1 << np.clip(np.ceil(np.log2(np.maximum(4 * size, 1))).astype(np.int64), *SKETCH_BITS)
+    edges = np.concatenate(([0], np.cumsum(width)))
+    bit = (texts.mix(values + np.uint64(0x632BE59BD9B4E019)) & (width[rows] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(edges[rows] + bit, minlength=int(edges[-1])) & 1
+    data = np.packbits(odd.astype(bool), bitorder="little").tobytes()
+    return size, [data[x:y] for x, y in zip((edges[:-1] >> 3).tolist(), (edges[1:] >> 3).tolist())]
+
+
+def items_of(column: DataFrame, wanted: DataFrame, items: Callable[[texts.Slice], tuple[np.ndarray, Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, list[bytes]]]]]) -> DataFrame:
+    """(node, n, sketch, items): size, sketch and content of the wanted nodes, each once.
 
-    ``items`` gives the nodes of a slice and a function from a place among them to its
-    size and content. A bit map of fixed size keeps most others from being shuffled; the
-    join decides.
+    ``items`` gives the nodes of a slice and a function from places among them to their
+    distinct elements, the place of each, and their contents. A bit map of fixed size keeps
+    most others from being shuffled; the join decides.
     """
     sieve = Sieve(wanted)
 
@@ -150,37 +171,109 @@ def items_of(column: DataFrame, wanted: DataFrame, items: Callable[[texts.Slice]
         for batch in batches:
             for s in texts.slices(batch.column(0)):
                 ids, content = items(s)
-                out = []
+                chosen = []
                 for i in np.flatnonzero(sieve.holds(ids)).tolist():
                     node = int(ids[i])
                     if node not in seen:
                         if len(seen) >= REMEMBERED:
                             seen.clear()
                         seen.add(node)
-                        n, data = content(i)
-                        out.append({"node": node, "n": n, "items": data})
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, _ITEMS)
-
-    found = column.mapInArrow(run, "node long, n long, items binary")
-    return found.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("items").alias("items"))
-
-
-def verified(pairs: DataFrame, items: DataFrame, similar: Callable[[bytes, bytes], bool]) -> DataFrame:
+                        chosen.append(i)
+                if chosen:
+                    values, rows, contents = content(np.array(chosen))
+                    size, bits = sketches(values, rows, len(chosen))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[chosen]), pa.array(size), pa.array(bits, pa.binary()), pa.array(contents, pa.binary())], schema=_ITEMS)
+
+    found = column.mapInArrow(run, "node long, n long, sketch binary, items binary")
+    return found.join(wanted, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in _ITEMS.names[1:]])
+
+
+def alike(x: list[bytes], y: list[bytes], elements: Elements) -> np.ndarray:
+    """Whether 100 * intersection >= 80 * union, for each x and y."""
+    n = len(x)
+    values, rows = elements(x + y)
+    size = np.bincount(rows, minlength=2 * n)
+    pair = rows % max(n, 1)
+    marked = values ^ texts.mix(pair + 1)
+    order = np.argsort(marked)
+    marked = marked[order]
+    common = np.bincount(pair[order[1:]][marked[1:] == marked[:-1]], minlength=n)
+    return 100 * common >= 80 * (size[:n] + size[n:] - common)
+
+
+def _portions(sizes: np.ndarray, limit: int) -> Iterator[slice]:
+    """Runs of places whose sizes sum to the limit or less, or of one place."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield slice(at, to)
+        at = to
+
+
+def verified(pairs: DataFrame, items: DataFrame, elements: Elements) -> DataFrame:
     """The pairs (a, b) whose contents are similar; sizes alone rule out those beyond 4 to 5."""
     a = items.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("items").alias("ai"))
     b = items.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("items").alias("bi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [{"a": a, "b": b} for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))) if similar(x, y)]
-            if out:
-                yield pa.RecordBatch.from_pylist(out, _PAIRS)
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for some in _portions(np.array([len(p) + len(q) for p, q in zip(x, y)]), TOGETHER):
+                hit = pa.array(alike(x[some], y[some], elements))
+                yield batch.select([0, 1]).slice(some.start, some.stop - some.start).filter(hit).cast(_PAIRS)
 
     met = pairs.join(a, "a").join(b, "b").where("5 * least(an, bn) >= 4 * greatest(an, bn)")
     return met.select("a", "b", "ai", "bi").mapInArrow(run, "a long, b long")
 
 
+def _folded(sketch: list[bytes], length: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches of ``width`` bytes, those of twice the width folded to it, and the place of each row's."""
+    same, wide = np.flatnonzero(length == width), np.flatnonzero(length == 2 * width)
+    halves = np.frombuffer(b"".join(sketch[i] for i in wide), np.uint64).reshape(-1, 2, width // 8)
+    bits = np.concatenate((np.frombuffer(b"".join(sketch[i] for i in same), np.uint64).reshape(-1, width // 8), halves[:, 0] ^ halves[:, 1]))
+    place = np.full(len(length), -1)
+    place[np.concatenate((same, wide))] = np.arange(len(bits))
+    return bits, place
+
+
+def _possible(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Pairs of a buffer of tiles, of different components, that sizes and sketches allow to link."""
+    begin, end, _ = tiles.partners(rows)
+    node, comp, n = (rows.column(c).to_numpy() for c in ("member", "comp", "n"))
+    sketch = rows.column("sketch").to_pylist()
+    length = np.array([len(x) for x in sketch])
+    folded = {int(w): _folded(sketch, length, int(w)) for w in np.unique(length)}
+    count = np.maximum(end - begin, 0)
+    for some in _portions(count, TOGETHER // 8):
+        of = np.arange(some.start, some.stop)
+        per = count[some]
+        i = np.repeat(of, per)
+        j = np.arange(len(i)) + np.repeat(begin[some] - (np.cumsum(per) - per), per)
+        open_ = (comp[i] != comp[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+        i, j = i[open_], j[open_]
+        width = np.minimum(length[i], length[j])
+        for w in np.unique(width).tolist():
+            bits, place = folded[w]
+            p, q = i[width == w], j[width == w]
+            for at in range(0, len(p), max(1, TOGETHER // w)):
+                x, y = p[at:at + TOGETHER // w], q[at:at + TOGETHER // w]
+                apart = np.bitwise_count(bits[place[x]] ^ bits[place[y]]).sum(axis=1, dtype=np.int64)
+                near = 9 * apart <= n[x] + n[y]
+                if near.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(node[x[near]]), pa.array(node[y[near]])], schema=_PAIRS)
+
+
+def possible(keyed: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of one key that may link, of (key, member, comp, n, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in tiles.buffers(batches, BUFFER):
+            yield from _possible(rows)
+
+    pairs = tiles.tiled(keyed, PIECE).select(*tiles.TILE, "member", "comp", "n", "sketch").mapInArrow(run, "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _labelled(entries: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries with their components, and the keys that different components share, each with one node.
 
@@ -189,26 +282,24 @@ def _labelled(entries: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFram
     least = graph.components(links)
     known = entries.join(least, "node", "left").withColumn("comp", F.coalesce("least", "node")).drop("least")
     top = F.max_by(F.struct("node", "comp"), F.struct("central", "node"))
-    split = known.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), top.alias("top"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")).where("low < high")
-    split = split.groupBy("mark", "low", "high", F.col("top.node").alias("center"), F.col("top.comp").alias("center_comp"))
+    split = known.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), top.alias("top"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"), F.count(F.lit(1)).alias("held")).where("low < high")
+    split = split.groupBy("mark", "low", "high", "held", F.col("top.node").alias("center"), F.col("top.comp").alias("center_comp"))
     return known, split.agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("weight"))
 
 
-def links(entries: DataFrame, items: DataFrame, similar: Callable[[bytes, bytes], bool]) -> DataFrame:
+def links(entries: DataFrame, items: DataFrame, elements: Elements) -> DataFrame:
     """Links (a, b) between nodes whose components are those of all links that share enough keys."""
     # Each node with the node it shares most keys with among the most central of each key.
     centers = entries.groupBy("sig").agg(F.max_by("node", F.struct("central", "node")).alias("center"))
     near = entries.join(centers, "sig").where("node <> center").groupBy("node", "center").count()
     first = near.groupBy("node").agg(F.max_by("center", F.struct("count", "center")).alias("center"))
-    found = cut_lineage(verified(first.select(F.col("node").alias("a"), F.col("center").alias("b")), items, similar))
+    found = cut_lineage(verified(first.select(F.col("node").alias("a"), F.col("center").alias("b")), items, elements))
     known, split = _labelled(entries, found)
     again = known.join(split.select("sig", "center", "center_comp"), "sig").where("comp <> center_comp").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
-    found = cut_lineage(found.union(verified(again, items, similar)))
+    found = cut_lineage(found.union(verified(again, items, elements)))
     known, split = _labelled(entries, found)
-    open_ = known.join(split.select("sig", "weight"), "sig").join(items.select("node", "n"), "node")
-    left = open_.select("sig", "weight", *[F.col(c).alias(f"a_{c}") for c in ("node", "comp", "n", "need")])
-    right = open_.select("sig", *[F.col(c).alias(f"b_{c}") for c in ("node", "comp", "n", "need")])
-    rest = (left.join(right, "sig").where("a_comp < b_comp and 5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)")
-            .groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.sum("weight").alias("keys"), F.max(F.greatest("a_need", "b_need")).alias("need"))
-            .where("keys >= need").select("a", "b"))
-    return cut_lineage(found.union(verified(rest, items, similar)))
+    most_held = Window.partitionBy("node").orderBy(F.desc("held"), F.desc("sig")).rowsBetween(Window.unboundedPreceding, 0)
+    open_ = known.join(split.select("sig", "weight", "held", "center"), "sig").withColumn("so_far", F.sum("weight").over(most_held)).where("so_far >= need")
+    keyed = open_.select(F.col("center").alias("key"), "node", "comp").distinct().join(items.select("node", "n", "sketch"), "node")
+    rest = possible(cut_lineage(keyed.withColumnRenamed("node", "member")))
+    return cut_lineage(found.union(verified(rest, items, elements)))

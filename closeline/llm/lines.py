@@ -22,7 +22,6 @@ those named n_lines or n_removed are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -97,26 +96,27 @@ def _items(s: texts.Slice):
     _, _, a, z = stripped(s)
     folded = texts.FOLD[s.data]
 
-    def content(i: int) -> tuple[int, bytes]:
-        line = folded[a[i]:z[i]].tobytes()
-        return len(_set(line)), line
+    def content(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        values, line = _distinct(*windows(folded, a[at], z[at]))
+        return values, line, [folded[x:y].tobytes() for x, y in zip(a[at].tolist(), z[at].tolist())]
 
     return texts.hashes(folded, a, z).view(np.int64), content
 
 
-@lru_cache(maxsize=4096)
-def _set(line: bytes) -> np.ndarray:
-    """Sorted distinct windows of a folded line."""
-    data = np.frombuffer(line, np.uint8)
-    return np.unique(windows(data, np.zeros(1, np.int64), np.array([len(data)]))[0])
+def _distinct(values: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct windows of each line."""
+    marked = values ^ texts.mix(line + 1)
+    order = np.argsort(marked)
+    new = np.ones(len(order), bool)
+    new[1:] = marked[order[1:]] != marked[order[:-1]]
+    order = order[new]
+    return values[order], line[order]
 
 
-def similar(x: bytes, y: bytes) -> bool:
-    """Of two folded lines: Jaccard similarity of their windows of at least 0.8."""
-    x, y = _set(x), _set(y)
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    common = int((y[at] == x).sum())
-    return 5 * common >= 4 * (len(x) + len(y) - common)
+def elements(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows of folded lines and the line of each."""
+    ends = np.cumsum([len(c) for c in contents])
+    return _distinct(*windows(np.frombuffer(b"".join(contents), np.uint8), np.concatenate(([0], ends[:-1])).astype(np.int64), ends))
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,7 +140,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     column = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{text_col}`").cast("string").alias("text"))
     entries = cut_lineage(candidates.shared(column, _keys))
     items = cut_lineage(candidates.items_of(column, entries.select("node").distinct(), _items))
-    least = graph.components(candidates.links(entries, items, similar))
+    least = graph.components(candidates.links(entries, items, elements))
     lines = occurrences(docs, id_col, text_col).join(least, "node", "left").select("id", "mark", "line", F.coalesce("least", "node").alias("component"))
     lines = cut_lineage(lines)
     first = lines.groupBy("component").agg(F.min(F.struct("id", "mark", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", "first")

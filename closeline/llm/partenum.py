@@ -146,15 +146,17 @@ def _items(s: texts.Slice):
     ids, size = nodes(values, rows, s.rows)
     edges = np.searchsorted(rows, np.arange(s.rows + 1))
     full = np.flatnonzero(size)
-    return ids[full], lambda i: (int(size[full[i]]), values[edges[full[i]]:edges[full[i] + 1]].tobytes())
 
+    def content(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        contents = [values[edges[i]:edges[i + 1]].tobytes() for i in full[places]]
+        return *elements(contents), contents
 
-def similar(x: bytes, y: bytes) -> bool:
-    """Of two sorted sets: 100 * intersection >= 80 * union."""
-    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    common = int((y[at] == x).sum())
-    return 100 * common >= 80 * (len(x) + len(y) - common)
+    return ids[full], content
+
+
+def elements(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of sets and the set of each."""
+    return np.frombuffer(b"".join(contents), np.uint64), np.repeat(np.arange(len(contents)), [len(c) // 8 for c in contents])
 
 
 def links_between(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -162,7 +164,7 @@ def links_between(docs: DataFrame, text_col: str = "text") -> DataFrame:
     column = docs.select(F.col(text_col).cast("string").alias("text"))
     entries = cut_lineage(candidates.shared(column, _keys))
     items = cut_lineage(candidates.items_of(column, entries.select("node").distinct(), _items))
-    return candidates.links(entries, items, similar)
+    return candidates.links(entries, items, elements)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -287,3 +287,41 @@ def test_keys_of_hot_groups_are_thinned():
     found = sorted((int(s), int(x)) for _, f, ss, xs in parts if f for s, x in zip(ss, xs))
     waiting = sorted((int(s), int(x)) for _, f, ss, xs in parts if not f for s, x in zip(ss, xs))
     assert found == [(5, n) for n in (1, 2, 3, 4, 5)] and waiting == [(5, 1), (7, 9), (8, 6)]
+
+
+def test_sketches_lose_no_link_and_stop_most_others(spark):
+    """Families of sets about the threshold, some with lists longer than a piece: all links leave the tiles."""
+    rng = np.random.default_rng(5)
+    sets, rows = [], []
+    for family in range(6):
+        whole = rng.integers(1, 1 << 62, int(rng.integers(30, 900)), dtype=np.uint64)
+        for _ in range(25):
+            own = np.unique(np.concatenate((whole[rng.random(len(whole)) < rng.uniform(0.75, 1)], rng.integers(1, 1 << 62, int(rng.integers(1, 12)), dtype=np.uint64))))
+            rows.append((family, len(sets), len(sets)))
+            sets.append(own)
+    size, bits = candidates.sketches(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets))
+    assert size.tolist() == [len(s) for s in sets]
+    keyed = spark.createDataFrame([(*r, int(size[r[1]]), bytearray(bits[r[1]])) for r in rows], "key long, member long, comp long, n long, sketch binary")
+    candidates.PIECE, piece = 10, candidates.PIECE
+    try:
+        got = {(r["a"], r["b"]) for r in candidates.possible(keyed).collect()}
+    finally:
+        candidates.PIECE = piece
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if rows[a][0] == rows[b][0]]
+    similarity = {(a, b): len(x := set(sets[a].tolist()) & set(sets[b].tolist())) / (size[a] + size[b] - len(x)) for a, b in pairs}
+    linked = {p for p in pairs if similarity[p] >= 0.8}
+    assert linked and linked <= got <= set(pairs)
+    assert not {p for p in got if similarity[p] < 0.7}
+    content = [s.tobytes() for s in sets]
+    hit = candidates.alike([content[a] for a, _ in pairs], [content[b] for _, b in pairs], partenum.elements)
+    assert {p for p, h in zip(pairs, hit) if h} == linked
+
+
+def test_verification_of_lines_equals_sets_of_windows():
+    rng = np.random.default_rng(6)
+    made = ["abcabcabcabcabc" * 3, "short", "x", "the quick brown fox jumps over the lazy dog " * 2]
+    made += ["".join(rng.choice(list("ab c"), int(n))) for n in rng.integers(1, 80, 40)]
+    made += [m[:-1] + "q" for m in made]
+    x, y = [m.encode() for m in made for _ in made], [m.encode() for _ in made for m in made]
+    own = {m: {m[j:j + lines.CHARS] for j in range(max(1, len(m) - lines.CHARS + 1))} for m in {*x}}
+    assert candidates.alike(x, y, lines.elements).tolist() == [5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b]) for a, b in zip(x, y)]
