@@ -277,29 +277,31 @@ def possible(keyed: DataFrame) -> DataFrame:
 def _labelled(entries: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries with their components, and the keys that different components share, each with one node.
 
-    Keys of the same nodes are one key with a weight.
+    Keys of the same nodes are one key with the sum of their weights.
     """
     least = graph.components(links)
     known = entries.join(least, "node", "left").withColumn("comp", F.coalesce("least", "node")).drop("least")
-    top = F.max_by(F.struct("node", "comp"), F.struct("central", "node"))
-    split = known.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), top.alias("top"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"), F.count(F.lit(1)).alias("held")).where("low < high")
-    split = split.groupBy("mark", "low", "high", "held", F.col("top.node").alias("center"), F.col("top.comp").alias("center_comp"))
-    return known, split.agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("weight"))
+    split = (known.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("central", "node", "comp")).alias("top"),
+                                      F.expr("bit_xor(xxhash64(node))").alias("mark"), F.count(F.lit(1)).alias("held"), F.max("weight").alias("weight"))
+             .where("low < high").groupBy("mark", "low", "high", "held", F.col("top.node").alias("center"), F.col("top.comp").alias("center_comp")))
+    return known, split.agg(F.min("sig").alias("sig"), F.sum("weight").alias("weight"))
 
 
 def links(entries: DataFrame, items: DataFrame, elements: Elements) -> DataFrame:
     """Links (a, b) between nodes whose components are those of all links that share enough keys."""
     # Each node with the node it shares most keys with among the most central of each key.
-    centers = entries.groupBy("sig").agg(F.max_by("node", F.struct("central", "node")).alias("center"))
-    near = entries.join(centers, "sig").where("node <> center").groupBy("node", "center").count()
+    centers = entries.groupBy("sig").agg(F.max(F.struct("central", "node")).alias("top")).select("sig", F.col("top.node").alias("center"))
+    near = entries.select("sig", "node").join(centers, "sig").where("node <> center").groupBy("node", "center").count()
     first = near.groupBy("node").agg(F.max_by("center", F.struct("count", "center")).alias("center"))
     found = cut_lineage(verified(first.select(F.col("node").alias("a"), F.col("center").alias("b")), items, elements))
-    known, split = _labelled(entries, found)
-    again = known.join(split.select("sig", "center", "center_comp"), "sig").where("comp <> center_comp").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
+    known, split = _labelled(entries.withColumn("weight", F.lit(1).cast("long")), found)
+    # Components only grow, so other keys than these are of no more use.
+    open_ = cut_lineage(known.drop("weight").join(split.select("sig", "weight", "center", "center_comp"), "sig"))
+    again = open_.where("comp <> center_comp").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     found = cut_lineage(found.union(verified(again, items, elements)))
-    known, split = _labelled(entries, found)
+    known, split = _labelled(open_.select("sig", "node", "need", "central", "weight"), found)
     most_held = Window.partitionBy("node").orderBy(F.desc("held"), F.desc("sig")).rowsBetween(Window.unboundedPreceding, 0)
-    open_ = known.join(split.select("sig", "weight", "held", "center"), "sig").withColumn("so_far", F.sum("weight").over(most_held)).where("so_far >= need")
+    open_ = known.select("sig", "node", "comp", "need").join(split.select("sig", "weight", "held", "center"), "sig").withColumn("so_far", F.sum("weight").over(most_held)).where("so_far >= need")
     keyed = open_.select(F.col("center").alias("key"), "node", "comp").distinct().join(items.select("node", "n", "sketch"), "node")
     rest = possible(cut_lineage(keyed.withColumnRenamed("node", "member")))
     return cut_lineage(found.union(verified(rest, items, elements)))
