@@ -41,6 +41,7 @@ TOGETHER = 1 << 20  # bytes of contents, pairs times 8, or bytes of sketches com
 Elements = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]  # contents to distinct elements and the content of each
 
 _KEY = np.uint64(1 << 63)  # marks keys; smaller numbers are needs
+_PLACE_BYTES = 5  # of a key within its block
 _PACKED = pa.schema([("block", pa.int32()), ("found", pa.bool_()), ("sigs", pa.binary()), ("nodes", pa.binary())])
 _ITEMS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("items", pa.binary())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -67,24 +68,46 @@ def _thin(sig: np.ndarray, node: np.ndarray, blocks: int) -> Iterator[tuple[int,
             yield b, found, s[at], x[at]
 
 
+def _packed(sig: np.ndarray, node: np.ndarray, blocks: int) -> tuple[bytes, bytes]:
+    """Keys of a block by their places in it, node by node; each node with how many of them are its own, 255 at most at a time."""
+    order = np.argsort(node, kind="stable")
+    places = sig[order] // np.uint64(blocks)
+    ids, per = np.unique(node, return_counts=True)
+    runs = -(-per // 255)
+    counts = np.full(int(runs.sum()), 255, np.uint8)
+    counts[np.cumsum(runs) - 1] = per - 255 * (runs - 1)
+    return places.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_PLACE_BYTES].tobytes(), np.repeat(ids, runs).tobytes() + counts.tobytes()
+
+
+def _unpacked(block: int, blocks: int, sigs: bytes, nodes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, runs = len(sigs) // _PLACE_BYTES, len(nodes) // 9
+    places = np.zeros((n, 8), np.uint8)
+    places[:, :_PLACE_BYTES] = np.frombuffer(sigs, np.uint8).reshape(n, _PLACE_BYTES)
+    ids, counts = np.frombuffer(nodes[:8 * runs], np.int64), np.frombuffer(nodes[8 * runs:], np.uint8)
+    return places.view("<u8").ravel() * np.uint64(blocks) + np.uint64(block), np.repeat(ids, counts)
+
+
 def shared(column: DataFrame, keys: Callable[[texts.Slice], tuple[np.ndarray, ...]]) -> DataFrame:
     """(sig, node, need, central): keys that more than one node has.
 
     ``keys`` gives keys and their nodes for a slice of the one text column, and, if links
-    share more than one key, nodes and their needs.
+    share more than one key, nodes and their needs. Keys are told apart by their block and
+    five bytes more, so their space grows with the blocks; keys that coincide by chance only
+    add comparisons.
     """
     blocks = BLOCKS_PER_PARTITION * int(column.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def emit(sig: list[np.ndarray], node: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         for b, found, s, x in _thin(np.concatenate(sig), np.concatenate(node), blocks):
-            yield pa.RecordBatch.from_pylist([{"block": b, "found": found, "sigs": s.tobytes(), "nodes": x.tobytes()}], _PACKED)
+            sigs, nodes = ((s | _KEY).tobytes(), x.tobytes()) if found else _packed(s, x, blocks)
+            yield pa.RecordBatch.from_pylist([{"block": b, "found": found, "sigs": sigs, "nodes": nodes}], _PACKED)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, node, n = [], [], 0
         for batch in batches:
             for s in texts.slices(batch.column(0)):
                 got, of, *noted = keys(s)
-                sig.append(got | _KEY)
+                sig.append(got % np.uint64(blocks << 8 * _PLACE_BYTES))
                 node.append(of)
                 if noted and len(noted[0]):  # small, and in any block
                     block = int(noted[0].view(np.uint64)[0] % np.uint64(blocks))
@@ -99,17 +122,16 @@ def shared(column: DataFrame, keys: Callable[[texts.Slice], tuple[np.ndarray, ..
     def meet(block: pa.Table) -> pa.Table:
         none = np.zeros(0, np.int64)
         sigs, ids, waiting = [none], [none], []
-        for found, s, x in zip(*(block.column(c).to_pylist() for c in ("found", "sigs", "nodes"))):
-            pair = np.frombuffer(s, np.uint64), np.frombuffer(x, np.int64)
+        for b, found, s, x in zip(*(block.column(c).to_pylist() for c in ("block", "found", "sigs", "nodes"))):
             if found:
-                sigs.append(pair[0].view(np.int64))
-                ids.append(pair[1])
+                sigs.append(np.frombuffer(s, np.int64))
+                ids.append(np.frombuffer(x, np.int64))
             else:
-                waiting.append(pair)
+                waiting.append(_unpacked(b, blocks, s, x))
         if waiting:
             for _, found, s, x in _thin(*(np.concatenate(p) for p in zip(*waiting)), 1):
                 if found:
-                    sigs.append(s.view(np.int64))
+                    sigs.append((s | _KEY).view(np.int64))
                     ids.append(x)
         return pa.table({"sig": np.concatenate(sigs), "node": np.concatenate(ids)})
 

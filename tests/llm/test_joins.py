@@ -325,3 +325,13 @@ def test_verification_of_lines_equals_sets_of_windows():
     x, y = [m.encode() for m in made for _ in made], [m.encode() for _ in made for m in made]
     own = {m: {m[j:j + lines.CHARS] for j in range(max(1, len(m) - lines.CHARS + 1))} for m in {*x}}
     assert candidates.alike(x, y, lines.elements).tolist() == [5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b]) for a, b in zip(x, y)]
+
+
+def test_packed_keys_of_a_block_come_back():
+    rng = np.random.default_rng(7)
+    blocks, block = 12, 5
+    sig = rng.integers(0, 1 << 40, 2000, dtype=np.uint64) * np.uint64(blocks) + np.uint64(block)
+    node = np.concatenate((np.full(600, -3), np.full(255, 9), rng.integers(-50, 50, 1145)))
+    for some in (slice(0, 2000), slice(0, 510), slice(0, 0)):
+        got = candidates._unpacked(block, blocks, *candidates._packed(sig[some], node[some], blocks))
+        assert sorted(zip(*(x.tolist() for x in got))) == sorted(zip(sig[some].tolist(), node[some].tolist()))
