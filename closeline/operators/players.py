@@ -137,7 +137,9 @@ def absence_rates(trailing: DataFrame) -> DataFrame:
 
 
 def _grid(sums: DataFrame, ks: Sequence[float]) -> DataFrame:
-    return sums.select(F.inline(F.array(*[F.struct(F.lit(float(k)).alias("k"), F.col(f"l{i}").alias("loss")) for i, k in enumerate(ks)])))
+    """One row per k. ``best`` is told within the row of sums: a second pass over the rows may add them in another order."""
+    least = F.array_min(F.array(*[F.col(f"l{i}") for i in range(len(ks))]))
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(float(k)).alias("k"), F.col(f"l{i}").alias("loss"), (F.col(f"l{i}") == least).alias("best")) for i, k in enumerate(ks)])))
 
 
 def credibility_losses(rows: DataFrame, priors: DataFrame, stat: str, ks: Sequence[float]) -> DataFrame:

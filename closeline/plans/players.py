@@ -101,9 +101,7 @@ KS = [0.5, 2.0, 8.0, 32.0, 128.0, 512.0, 2048.0]
        select k, loss, loss = min(loss) over () as best from l""")
 def _(t):
     rows = L.priced(trail(t))
-    losses = L.credibility_losses(rows, L.role_priors(rows), "points", KS)
-    least = losses.agg(F.min("loss").alias("least"))
-    return losses.crossJoin(F.broadcast(least)).withColumn("best", F.col("loss") == F.col("least"))
+    return L.credibility_losses(rows, L.role_priors(rows), "points", KS)
 
 
 @query("credibility_refined", "k:d loss:d",

@@ -168,3 +168,11 @@ def test_refined_credibility_is_the_least_loss(spark):
     best = min(grid, key=of)
     assert k == pytest.approx(best, rel=1e-3) and loss == pytest.approx(of(k), rel=1e-9)
     assert L.credibility(rows.filter("false"), priors, "points")[0] != L.credibility(rows.filter("false"), priors, "points")[0]
+
+
+def test_the_best_credibility_is_told_from_one_pass(spark):
+    from closeline.operators import players as L
+
+    rows = spark.createDataFrame([(i % 3, 10.0 + i % 7, 5.0 + i % 4, 80.0 + i, 40.0 + i) for i in range(300)], "bucket int, minutes double, points double, prior_minutes double, bank_points double")
+    out = L.credibility_losses(rows, L.role_priors(rows, ["points"]), "points", [1.0, 10.0, 100.0]).collect()
+    assert [r["best"] for r in out].count(True) == 1 and min(out, key=lambda r: r["loss"])["best"]
