@@ -21,14 +21,14 @@ def alias_index(named: DataFrame, name: str, ident: str, scope: Sequence[str] =
 
 
 def resolve(rows: DataFrame, key: str, name: str, index: DataFrame, scope: Sequence[str] = (), variants: Callable[[str], Column] = T.name_variants) -> DataFrame:
-    """Add ``resolved_id`` and ``resolution`` to rows with a unique key.
+    """Add ``resolved_id`` and ``resolution`` to rows whose key is unique within its scope.
 
     One, many, none; or ``too many readings`` where not all readings of the name were
     looked up, so that one hit would not be proof.
     """
     forms = rows.select(*scope, key, F.explode(variants(name)).alias("form"))
-    hits = forms.join(index, [*scope, "form"]).groupBy(key).agg(F.min("lo").alias("__lo"), F.max("hi").alias("__hi"))
-    joined = rows.join(hits, key, "left")
+    hits = forms.join(index, [*scope, "form"]).groupBy(*scope, key).agg(F.min("lo").alias("__lo"), F.max("hi").alias("__hi"))
+    joined = rows.join(hits, [*scope, key], "left")
     state = F.when(F.col("__lo").isNull(), "none").when(F.col("__lo") == F.col("__hi"), "one").otherwise("many")
     if variants in EXCESS:
         state = F.when(EXCESS[variants](name), "too many readings").otherwise(state)

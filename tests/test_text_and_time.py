@@ -67,3 +67,12 @@ def test_names_with_too_many_readings_are_not_resolved(spark):
     asked = people.withColumnRenamed("id", "k")
     found = N.resolve(asked, "k", "name", N.alias_index(people, "name", "id", variants=T.player_variants), variants=T.player_variants)
     assert {r["k"]: r["resolution"] for r in found.collect()} == {1: "too many readings", 2: "one"}
+
+
+def test_a_key_may_come_back_in_another_scope(spark):
+    from closeline.operators import names as N
+
+    named = spark.createDataFrame([(1, 10, "Ann Lee"), (2, 20, "Ann Lee")], "game long, id long, name string")
+    rows = spark.createDataFrame([(7, 1, "Ann Lee"), (7, 2, "Ann Lee"), (7, 3, "Ann Lee")], "k long, game long, name string")
+    out = N.resolve(rows, "k", "name", N.alias_index(named, "name", "id", ["game"]), ["game"])
+    assert {r["game"]: (r["resolution"], r["resolved_id"]) for r in out.collect()} == {1: ("one", 10), 2: ("one", 20), 3: ("none", None)}
