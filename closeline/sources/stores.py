@@ -60,7 +60,8 @@ def capture_lines(lines: DataFrame, schema: T.StructType, must: Sequence[str] =
     kinds = first.select("__header").distinct().limit(MOST_HEADERS + 1).collect()
     if len(kinds) > MOST_HEADERS:
         raise ValueError(f"more than {MOST_HEADERS} different headers")
-    rows = named.join(first, "file", "left").filter(F.col("__header").isNull() | (F.col("__names") != F.col("__header")))
+    # One row per file goes to the lines: dealt by file, the largest file would be one task.
+    rows = named.join(F.broadcast(first), "file", "left").filter(F.col("__header").isNull() | (F.col("__names") != F.col("__header")))
     typed = {f.name: "string" if f.name == "event_id" else f.dataType.simpleString() for f in schema.fields}
     out = [rows.filter("__header is null").select("file", *[F.lit(None).cast(k).alias(c) for c, k in typed.items()], F.col("value").alias("bad_record"))]
     for kind in kinds:

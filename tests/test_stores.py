@@ -193,3 +193,11 @@ def test_capture_files_by_name(spark, folder):
     assert sorted(r["bad_record"] for r in rows if r["bad_record"] is not None) == ["008,spread,abc,1", "009,spread,120", "010,spread,-105,3,9", "13,spread,110"]
     counts = {r["file"][-5:]: (r["rows"], r["bad"]) for r in S.capture_counts(S.read_captures(spark, folder, schema)).collect()}
     assert counts == {"a.csv": (1, 3), "b.csv": (2, 0), "c.csv": (0, 1)}
+
+
+def test_lines_are_not_dealt_by_file(spark):
+    lines = spark.createDataFrame([("a", "event_id,market"), ("a", "1,spread"), ("b", "market,event_id"), ("b", "total,2"), ("c", "3,spread")], "file string, value string")
+    out = S.capture_lines(lines, T.StructType([T.StructField("event_id", T.StringType()), T.StructField("market", T.StringType())]))
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["file"], r["event_id"], r["market"], r["bad_record"]) for r in out.collect() if r["file"] != "c") == [("a", "1", "spread", None), ("b", "2", "total", None)]
+    assert [r["bad_record"] for r in out.collect() if r["file"] == "c"] == ["3,spread"]
