@@ -63,9 +63,10 @@ def one_bet_per_wager(frame: DataFrame, tie: str, phase: str | None = None) -> D
 def refusal_reason(frame: DataFrame, markets: DataFrame) -> DataFrame:
     """Add ``refusal``: the first reason a price row cannot become a wager, or ''.
 
-    ``markets`` is the registry of known market keys, a fixed list.
+    ``markets`` is the registry of known market keys, a fixed list: it goes to the rows,
+    which would else be dealt by market into as many tasks as there are markets.
     """
-    known = markets.select(F.col("market"), F.lit(True).alias("__known"))
+    known = F.broadcast(markets.select(F.col("market"), F.lit(True).alias("__known")))
     joined = frame.join(known, "market", "left")
     odds = P.number("american_odds")
     reason = (

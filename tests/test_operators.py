@@ -131,3 +131,14 @@ def test_replication_states(spark):
     held = spark.createDataFrame([("a", "t", 0.2, 3000, "demonstrated edge"), ("b", "t", 0.2, 3000, "demonstrated edge"), ("c", "t", 0.0, 3000, "no demonstrated edge"), ("d", "t", 0.2, 3000, "demonstrated edge"), ("x", "t", 0.2, 3000, "demonstrated edge")], cols).withColumn("season", F.lit(2024))
     out = {r["market"]: r["state"] for r in L.replication(claims, held).collect()}
     assert out == {"a": "replicated", "b": "nothing to replicate", "c": "did not replicate", "d": "reversed", "e": "untestable"}
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_not_dealt_by_market(spark):
+    rows = spark.createDataFrame([quote(1), quote(2, market="chess")], QUOTE).withColumns({"home_team": F.lit("A"), "away_team": F.lit("B")})
+    out = Q.refusal_reason(rows, spark.createDataFrame([("spread",), ("moneyline",)], "market string"))
+    assert "SortMergeJoin" not in _plan(out) and "BroadcastHashJoin" in _plan(out)
+    assert {r["market"]: r["refusal"] for r in out.collect()} == {"spread": "", "chess": "unknown market"}
