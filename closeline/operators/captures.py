@@ -28,22 +28,21 @@ def next_stamps(store: DataFrame) -> DataFrame:
 
 
 def label_next(rows: DataFrame, store: DataFrame) -> DataFrame:
-    """Add ``next_capture`` and ``label`` to rows that carry ``captured_at``.
+    """Add ``next_capture`` and ``label`` to rows, whose ``captured_at`` may be null for the first sighting.
 
     unknown: no next capture, or it does not cover the event's market; survived: the
-    identity, price included, is there; gone otherwise. Both sides are reduced to one
-    row per identity and capture before they meet.
+    identity, price included, is there; gone otherwise. The store is reduced to one row
+    per identity, and one per event and market, with the captures that show it: these
+    are the polls of one event, and one join answers both the first sighting and the next.
     """
     identity = list(Q.QUOTE_IDENTITY)
-    present = store.select("captured_at", *identity).distinct().withColumn("__there", F.lit(True))
-    covered = store.select("captured_at", "event_id", "market").distinct().withColumn("__covered", F.lit(True))
-    later = lambda d: d.withColumnRenamed("captured_at", "next_capture")
-    work = rows.join(next_stamps(store), "captured_at", "left")
-    work = work.join(later(covered), ["next_capture", "event_id", "market"], "left")
-    work = work.join(later(present), ["next_capture", *identity], "left")
+    shown = lambda keys, name: store.groupBy(*keys).agg(F.collect_set("captured_at").alias(name))
+    work = rows.join(shown(identity, "__seen"), identity, "left").withColumn("captured_at", F.coalesce("captured_at", F.array_min("__seen")))
+    work = work.join(F.broadcast(next_stamps(store)), "captured_at", "left").withColumn("__there", F.array_contains("__seen", F.col("next_capture"))).drop("__seen")
+    work = work.join(shown(["event_id", "market"], "__covered"), ["event_id", "market"], "left")
     label = (
-        F.when(F.col("next_capture").isNull() | F.col("__covered").isNull(), "unknown")
-        .when(F.col("__there"), "survived").otherwise("gone")
+        F.when(F.coalesce(F.array_contains("__covered", F.col("next_capture")), F.lit(False)), F.when(F.col("__there"), "survived").otherwise("gone"))
+        .otherwise("unknown")
     )
     return work.withColumn("label", label).drop("__there", "__covered")
 
@@ -86,14 +85,10 @@ def survival(store: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def label_bets(bets: DataFrame, store: DataFrame) -> DataFrame:
     """Add ``reachability`` to staked quotes; an unstamped one takes its first sighting."""
-    canonical = Q.normalise_identity(store)
-    identity = list(Q.QUOTE_IDENTITY)
-    first = canonical.groupBy(*identity).agg(F.min("captured_at").alias("__first"))
     staked = Q.normalise_identity(bets, Q.QUOTE_IDENTITY)
     if "captured_at" not in bets.columns:
         staked = staked.withColumn("captured_at", F.lit(None).cast(store.schema["captured_at"].dataType))
-    stamped = staked.join(first, identity, "left").withColumn("captured_at", F.coalesce("captured_at", "__first")).drop("__first")
-    return label_next(stamped, canonical).withColumnRenamed("label", "reachability").drop("next_capture")
+    return label_next(staked, Q.normalise_identity(store)).withColumnRenamed("label", "reachability").drop("next_capture")
 
 
 def store_summary(store: DataFrame) -> DataFrame:

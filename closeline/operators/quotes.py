@@ -23,11 +23,11 @@ def normalise_identity(frame: DataFrame, columns: Sequence[str] = QUOTE_IDENTITY
     """Identity columns as canonical text; a missing one is empty."""
     kinds = {f.name: f.dataType for f in frame.schema}
     texts = [c for c in columns if c in kinds and kinds[c].typeName() == "string"]
-    # Texts in two steps, so that each parsed number is one column of the plan.
-    staged = frame.withColumns({c: F.trim(F.col(c)) for c in texts})
-    staged = staged.withColumns({f"__num_{c}": T.numeric_text(F.col(c)) for c in texts})
-    exprs = {c: T.canonical_text(F.col(c), F.col(f"__num_{c}")) if c in texts else T.canonical_value(c, kinds[c]) if c in kinds else F.lit("") for c in columns}
-    return staged.withColumns(exprs).drop(*[f"__num_{c}" for c in texts])
+    if not texts:
+        return frame.withColumns({c: T.canonical_value(c, kinds[c]) if c in kinds else F.lit("") for c in columns})
+    staged = frame.withColumn("__texts", T.canonical_texts(texts))
+    exprs = {c: F.col("__texts")[texts.index(c)] if c in texts else T.canonical_value(c, kinds[c]) if c in kinds else F.lit("") for c in columns}
+    return staged.withColumns(exprs).drop("__texts")
 
 
 def best_by(frame: DataFrame, keys: Sequence[Column], rank: Sequence[Column]) -> DataFrame:

@@ -76,3 +76,10 @@ def test_a_key_may_come_back_in_another_scope(spark):
     rows = spark.createDataFrame([(7, 1, "Ann Lee"), (7, 2, "Ann Lee"), (7, 3, "Ann Lee")], "k long, game long, name string")
     out = N.resolve(rows, "k", "name", N.alias_index(named, "name", "id", ["game"]), ["game"])
     assert {r["game"]: (r["resolution"], r["resolved_id"]) for r in out.collect()} == {1: ("one", 10), 2: ("one", 20), 3: ("none", None)}
+
+
+def test_canonical_texts_are_the_values_one_by_one(spark):
+    odd = [" 1 ", "1.0", "1d", "nan", "None", "<NA>", "", None, "-3e2", ".5", "Über", "9e99"]
+    rows = spark.createDataFrame([(a, b) for a, b in zip(odd, reversed(odd))], "a string, b string")
+    out = rows.select(T.canonical_texts(["a", "b"]).alias("t"), T.canonical_value("a").alias("a"), T.canonical_value("b").alias("b")).collect()
+    assert all(r["t"] == [r["a"], r["b"]] for r in out)
