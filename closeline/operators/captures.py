@@ -73,8 +73,9 @@ def survival(store: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     keys = ["event_id", "market", *[c for c in by if c not in ("event_id", "market")]]
     sums = per.groupBy(*keys, "slot").agg(F.max("here").alias("here"), F.max("asked_at").alias("captured_at"), F.sum(held).alias("held"), F.sum(missed).alias("missed"))
     if len(keys) > 2:
-        covered = per.groupBy("event_id", "market", "slot").agg(F.max("here").alias("covered"))
-        sums = sums.join(covered, ["event_id", "market", "slot"])
+        # From the store itself: asking ``per`` would work it out twice.
+        covered = canonical.select("event_id", "market", F.col("captured_at").alias("slot"), F.lit(True).alias("covered")).distinct()
+        sums = sums.join(covered, ["event_id", "market", "slot"], "left").na.fill(False, ["covered"])
     else:
         sums = sums.withColumn("covered", F.col("here"))
     asked = sums.filter("held + missed > 0").withColumnRenamed("slot", "next_capture")

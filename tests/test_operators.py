@@ -142,3 +142,19 @@ def test_rows_are_not_dealt_by_market(spark):
     out = Q.refusal_reason(rows, spark.createDataFrame([("spread",), ("moneyline",)], "market string"))
     assert "SortMergeJoin" not in _plan(out) and "BroadcastHashJoin" in _plan(out)
     assert {r["market"]: r["refusal"] for r in out.collect()} == {"spread": "", "chess": "unknown market"}
+
+
+def test_tiers_of_a_survivor_are_asked_in_one_pass(spark):
+    rows = [(*quote(1), "high"), (*quote(1), "low"), (*quote(1, odds=-115.0), "low"), (*quote(2), "mid"), (*quote(1, event=2), "low")]
+    out = M.survival(spark.createDataFrame(rows, QUOTE + ", tier string"), ["tier"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("collect_set(") == 1
+    assert {r["tier"]: (r["survived"], r["gone"], r["unknown"]) for r in out.filter("captured_at = date '2024-01-01'").collect()} == {"high": (1, 0, 0), "low": (1, 1, 1)}
+
+
+def test_labels_come_from_one_join_on_the_identity(spark):
+    store = spark.createDataFrame([quote(1), quote(2), quote(3, odds=120.0), quote(1, event=2, odds=105.0)], QUOTE)
+    bets = spark.createDataFrame([quote(1), quote(2), quote(3, odds=120.0), quote(1, event=2, odds=105.0), quote(1, odds=400.0)], QUOTE).withColumn("captured_at", F.when((F.col("american_odds") > -200) & (F.col("captured_at") != F.lit("2024-01-01")), F.col("captured_at")))
+    out = M.label_bets(bets, store)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 4  # identity, market, and the stamps with their months
+    got = sorted((r["event_id"], r["american_odds"], str(r["captured_at"]), r["reachability"]) for r in out.collect())
+    assert got == [("1", "-110", "2024-01-01", "survived"), ("1", "-110", "2024-01-02", "gone"), ("1", "120", "2024-01-03", "unknown"), ("1", "400", "None", "unknown"), ("2", "105", "2024-01-01", "unknown")]
