@@ -13,6 +13,12 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Shuffles start in many small pieces that are joined up to a size, so that the memory
+    # Scans and shuffles are cut into pieces of a size, so that a task holds a piece however
+    # large the input is: many small parts of a shuffle are joined up to that size.
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "1000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m",
+    "spark.sql.files.maxPartitionBytes": "32m",
 }
 
 

@@ -111,3 +111,15 @@ def test_ranks_equal_the_window(spark, skewed, descending):
     pick = lambda d: sorted((r["id"], r["rank"] or 0, r["field"]) for r in d.collect())
     assert pick(G.ranked(rows, ["k"], "y", descending, cuts=5)) == pick(plain)
     assert G.ranked(rows.filter("false"), ["k"], "y").count() == 0
+
+
+def test_parts_of_a_shuffle_are_cut_by_size(spark):
+    from closeline import session
+
+    session.ensure(spark)
+    rows = spark.range(400_000).select((F.col("id") % 200_000).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        assert rows.groupBy("k").agg(F.max("x").alias("x")).rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        session.ensure(spark)
