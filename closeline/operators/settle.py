@@ -156,16 +156,22 @@ def settle_player(asks: DataFrame) -> DataFrame:
         stat = F.when(F.col("market") == FIRST_BASKET[0], game_first).when(F.col("market") == FIRST_BASKET[1], team_first).otherwise(stat)
     known = F.col("market").isin(*PLAYER_STATS, *DOUBLE_FIGURES, *FIRST_BASKET)
     push = F.col("market").isin(*PLAYER_STATS)
-    adjusted = (stat - line) * d
-    note = (
+    # In steps: each is used several times, and written out in full they make too long a method.
+    staged = asks.withColumns({"__line": line, "__turn": d, "__stat": stat})
+    line, d, stat = F.col("__line"), F.col("__turn"), F.col("__stat")
+    staged = staged.withColumn("__adjusted", (stat - line) * d)
+    adjusted = F.col("__adjusted")
+    staged = staged.withColumn("__note", (
         F.when(~known, "not a wired market").when(F.coalesce(F.col("segment"), F.lit("")) != "game", "wrong segment")
         .when(F.col("did_not_play").isNull(), "no player row")
         .when(F.col("did_not_play"), "did not play")
         .when(d.isNull(), "not over or under").when(line.isNull(), "no line").when(stat.isNull(), "stat not recorded")
         .when((adjusted == 0) & ~push, "level where level cannot be")
-    )
-    graded = F.when(note == "did not play", "void").when(note.isNotNull(), "unsettleable").otherwise(_graded(adjusted, push))
-    return asks.select("*", graded.alias("settled"), F.when(~graded.isin("unsettleable", "void"), stat).alias("actual_value"), note.alias("note"))
+    ))
+    note = F.col("__note")
+    graded = staged.withColumn("__settled", F.when(note == "did not play", "void").when(note.isNotNull(), "unsettleable").otherwise(_graded(adjusted, push)))
+    settled = F.col("__settled")
+    return graded.select(*asks.columns, settled.alias("settled"), F.when(~settled.isin("unsettleable", "void"), stat).alias("actual_value"), note.alias("note"))
 
 
 def orient(quotes: DataFrame, events: DataFrame) -> DataFrame:

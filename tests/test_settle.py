@@ -70,3 +70,10 @@ def test_a_joined_row_of_another_team_is_refused(spark):
             ("spread", "game", "home", 1.0, "away", 80, 70, 40, 30, 5, 5), ("spread", "game", "home", 1.0, "away", 80, 70, 40, 30, 5, None)]
     got = [r["note"] for r in X.settle_team(spark.createDataFrame(rows, SCHEMA + ", team_id long, expected_team_id long").coalesce(1)).collect()]
     assert got == [None, "row is another team's", "row names no team", None, "row is not the named side"]
+
+
+def test_the_stat_of_a_wager_is_worked_out_once(spark):
+    rows = spark.createDataFrame([("player_points", "game", "over", 9.5, False, 12)], "market string, segment string, selection string, line double, did_not_play boolean, points long")
+    out = X.settle_player(rows)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("= player_points)") == 1
+    assert [(r["settled"], r["actual_value"], r["note"]) for r in out.collect()] == [("won", 12.0, None)]
