@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from closeline import session
 from closeline.functions import prices as P
 from closeline.operators import intervals as I
 
@@ -96,6 +97,8 @@ def _bucket_table(frame: DataFrame, edges: Sequence[float]) -> DataFrame:
 def edge_buckets(frame: DataFrame, looks: int = 1) -> DataFrame:
     """Claimed edge against result per bucket; empty buckets keep a row."""
     rows = frame.filter(F.col("edge").isNotNull()).withColumn("bucket", bucket_index(F.col("edge"), EDGE_EDGES))
+    # Counts and intervals read the rows, and making them is most of the work.
+    rows = session.cut_lineage(rows.select("bucket", "event_id", "slate_date", "won", "edge", "model_implied", "market_implied", "profit_units"))
     per = rows.groupBy("bucket").agg(
         F.count("*").alias("rows"), F.countDistinct("event_id").alias("games"), F.sum("won").alias("wins"), F.avg("edge").alias("claimed_edge"),
         F.avg("model_implied").alias("model_implied"), F.avg("market_implied").alias("market_implied"))
