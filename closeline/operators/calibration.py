@@ -185,8 +185,10 @@ def ols_clustered(frame: DataFrame, response: str, features: Sequence[str], clus
     """Least squares with sandwich errors by each cluster unit; the wider error is kept.
 
     Two passes of sums: the normal equations, and the summed scores per cluster. What
-    reaches the driver is k by k, whatever the number of rows.
+    reaches the driver is k by k, whatever the number of rows. Both read the columns they
+    need from a checkpoint: the rows are worked out once.
     """
+    frame = session.cut_lineage(frame.select(*dict.fromkeys([response, *features, *clusters.values()])))
     names = ["intercept", *features]
     k = len(names)
     x = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]

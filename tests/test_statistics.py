@@ -176,3 +176,27 @@ def test_the_best_credibility_is_told_from_one_pass(spark):
     rows = spark.createDataFrame([(i % 3, 10.0 + i % 7, 5.0 + i % 4, 80.0 + i, 40.0 + i) for i in range(300)], "bucket int, minutes double, points double, prior_minutes double, bank_points double")
     out = L.credibility_losses(rows, L.role_priors(rows, ["points"]), "points", [1.0, 10.0, 100.0]).collect()
     assert [r["best"] for r in out].count(True) == 1 and min(out, key=lambda r: r["loss"])["best"]
+
+
+def _worked_out(spark, make):
+    """How often the rows behind a result were made, with the result's rows."""
+    made = spark.sparkContext.accumulator(0)
+
+    def rows(parts):
+        for part in parts:
+            made.add(part.num_rows)
+            yield part
+
+    base = spark.range(60, numPartitions=1).select(F.col("id").alias("event_id"), F.expr("date '2024-01-01' + cast(id % 20 as int)").alias("slate_date"), (F.col("id") % 2).cast("double").alias("won"), ((F.col("id") % 7) / 50).alias("edge"),
+                                  (0.3 + (F.col("id") % 11) / 50).alias("model_implied"), (0.3 + (F.col("id") % 5) / 50).alias("market_implied"), (F.col("id") % 3 - 1.0).alias("profit_units"))
+    out = make(base.mapInArrow(rows, base.schema)).collect()
+    return made.value, out
+
+
+def test_rows_of_a_regression_and_of_buckets_are_made_once(spark):
+    from closeline.operators import calibration as K
+
+    made, out = _worked_out(spark, lambda d: K.ols_clustered(d, "won", ["market_implied", "edge"], {"game": "event_id", "day": "slate_date"}, [0.0, 1.0, 0.0]))
+    assert made == 60 and len(out) == 3
+    made, out = _worked_out(spark, K.edge_buckets)
+    assert made == 60 and sum(r["rows"] for r in out) == 60
