@@ -270,9 +270,22 @@ def compound_targets(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.withColumn("implied", implied).withColumn("ratio", F.col("measured") / implied)
 
 
+def settled_sum(value: Column) -> Column:
+    """Sum of doubles rounded once, so that it is the same in whatever order rows are added.
+
+    A value is split into two whole numbers, of 2**-20 and of 2**-60; values they can't hold
+    are added as they are.
+    """
+    fits = F.abs(value) < 2.0 ** 20
+    held = F.when(fits, value)
+    high = F.floor(held * 2.0 ** 20)
+    low = F.floor((held - high * 2.0 ** -20) * 2.0 ** 60)
+    return F.when(F.bool_and(fits), F.sum(high) * 2.0 ** -20 + F.sum(low) * 2.0 ** -60).otherwise(F.sum(value))
+
+
 def roster_totals(players: DataFrame) -> DataFrame:
     return players.filter(~F.coalesce("did_not_play", F.lit(False))).groupBy("season", "team_id", "athlete_id").agg(
-        F.sum(F.coalesce("minutes", F.lit(0.0))).alias("minutes"), F.min(F.when(F.col("minutes") > 0, F.col("slate_date"))).alias("first_day"))
+        settled_sum(F.coalesce("minutes", F.lit(0.0))).alias("minutes"), F.min(F.when(F.col("minutes") > 0, F.col("slate_date"))).alias("first_day"))
 
 
 def main_team(totals: DataFrame) -> DataFrame:

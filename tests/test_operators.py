@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from closeline import pricers
-from closeline.operators import captures as M, ledger as L, names as N, plays as Y, quotes as Q, schedules as D
+from closeline.operators import captures as M, ledger as L, names as N, players as R, plays as Y, quotes as Q, schedules as D
 
 QUOTE = "captured_at date, slate_date date, commence_time date, event_id long, market string, segment string, player string, selection string, line double, book string, american_odds double"
 
@@ -158,3 +158,14 @@ def test_labels_come_from_one_join_on_the_identity(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 4  # identity, market, and the stamps with their months
     got = sorted((r["event_id"], r["american_odds"], str(r["captured_at"]), r["reachability"]) for r in out.collect())
     assert got == [("1", "-110", "2024-01-01", "survived"), ("1", "-110", "2024-01-02", "gone"), ("1", "120", "2024-01-03", "unknown"), ("1", "400", "None", "unknown"), ("2", "105", "2024-01-01", "unknown")]
+
+
+def test_main_team_does_not_depend_on_the_order_of_rows(spark):
+    # Equal minutes whose plain sums differ by the order they come in: the higher id has the smaller sum.
+    a, b, c = minutes = [29 * 0.8, 11 * 0.8, 7 * 0.8]
+    rows = [(2020, team, 1, False, m, date(2020, 1, 1)) for team, ms in ((9, minutes), (1, minutes[::-1])) for m in ms]
+    assert (a + b) + c < (c + b) + a
+    frame = spark.createDataFrame(rows, "season int, team_id int, athlete_id int, did_not_play boolean, minutes double, slate_date date").coalesce(1)
+    assert R.main_team(R.roster_totals(frame)).first().main_team == 9
+    odd = frame.withColumn("minutes", F.when(F.col("team_id") == 1, F.lit(2.0 ** 70)).otherwise(F.lit(float("nan"))))
+    assert {r.team_id: str(r.minutes) for r in R.roster_totals(odd).collect()} == {9: "nan", 1: str(3 * 2.0 ** 70)}
