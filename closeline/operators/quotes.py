@@ -103,10 +103,11 @@ def pair_columns(scope_book: bool = False) -> dict[str, Column]:
     oriented = F.when(selection == "away", -F.coalesce(line, F.lit(0.0))).when(selection == "home", F.coalesce(line, F.lit(0.0)))
     out = {
         "pair_kind": F.when(handicap, "handicap").when(total, "total"),
-        "pair_side": F.when(selection.contains("_"), F.split_part(selection, F.lit("_"), F.lit(1))).otherwise(F.lit("")),
+        "pair_side": F.when(selection.contains("_"), F.substring_index(selection, "_", 1)).otherwise(F.lit("")),
         # adding zero turns a negative zero into zero, so that both sides agree
         "pair_line": F.round(F.when(handicap, oriented).when(total, line), 6) + 0.0,
-        "pair_player": F.lower(T.clean_text("player")),
+        # by a lambda, which keeps the generated method short enough to be compiled
+        "pair_player": F.element_at(F.transform(F.array("player"), lambda x: F.lower(T.clean_text(x))), 1),
     }
     if scope_book:
         out["pair_book"] = T.clean_text("book")
@@ -131,16 +132,18 @@ def devig(frame: DataFrame, scope: str = "wager", power: bool = False) -> DataFr
     """
     by_book = scope == "book"
     pairs = pair_columns(by_book)
-    raw = P.implied("american_odds")
+    raw = F.element_at(F.transform(F.array("american_odds"), P.implied), 1)
     work = frame.withColumns({**pairs, "market_implied_raw": raw})
-    unknown = F.col("pair_kind").isNull() | F.col("pair_line").isNull()
+    # No line for a pair without a kind, so the line tells both.
+    unknown = F.col("pair_line").isNull()
     keys = ["event_id", "market", "segment", *pairs]
     usable = ~unknown & F.col("market_implied_raw").isNotNull()
     # Numbers only, so that the sums are hashed on both sides of the shuffle.
     first = F.col("selection").isin("home", "over") | F.col("selection").endswith("_over")
-    groups = work.filter(usable).groupBy(*keys).agg(
-        F.count("*").alias("__n"), F.count_if(first).alias("__n0"),
-        F.max(F.when(first, F.col("market_implied_raw"))).alias("__a"), F.max(F.when(~first, F.col("market_implied_raw"))).alias("__b"))
+    # Each side's price in a column of its own: the generated method stays short enough to be compiled.
+    sided = work.filter(usable).select(*keys, "market_implied_raw", first.alias("__first"))
+    sided = sided.select(*keys, F.when(F.col("__first"), F.col("market_implied_raw")).alias("__a"), F.when(~F.col("__first"), F.col("market_implied_raw")).alias("__b"))
+    groups = sided.groupBy(*keys).agg(F.count("*").alias("__n"), F.count("__a").alias("__n0"), F.max("__a").alias("__a"), F.max("__b").alias("__b"))
     two_sided = (F.col("__n") == 2) & (F.col("__n0") == 1)
     total = F.col("__a") + F.col("__b")
     groups = groups.withColumn("__total", total)
@@ -152,7 +155,7 @@ def devig(frame: DataFrame, scope: str = "wager", power: bool = False) -> DataFr
     if power:
         good = good & F.col("__exp").isNotNull()
     refusal = (
-        F.when(F.col("w.pair_kind").isNull() | F.col("w.pair_line").isNull(), "unknown selection")
+        F.when(F.col("w.pair_line").isNull(), "unknown selection")
         .when(F.col("w.market_implied_raw").isNull(), "unreadable price")
         .when(F.col("__n") == 1, "no complement")
         .when(~two_sided, "not two sided")
@@ -318,23 +321,44 @@ def within_rung_cap(quotes: DataFrame, mains: DataFrame, ladders: dict[str, str]
     return joined.filter(~F.coalesce(far, F.lit(False))).select(*quotes.columns)
 
 
-def rungs_from_the_money(frame: DataFrame) -> DataFrame:
-    """Steps along its ladder between a quote's rung and the rung priced nearest evens."""
+def ladder_steps(frame: DataFrame) -> DataFrame:
+    """Each rung's steps along its ladder from the rung whose median price is nearest evens.
+
+    Prices are counted first, so that a rung of any size is a row per different price; its
+    exact median comes from running counts. One shuffle of these rows places all that follows.
+    """
     over = F.lower(F.trim(F.col("selection"))) == "over"
     raw = P.implied("american_odds")
     keys = ["event_id", "market", "__subject"]
-    work = frame.withColumn("__subject", T.normalise_subject("player")).withColumn("__line", P.number("line"))
-    # Prices are few distinct numbers, so the exact percentile keeps a small table.
-    rungs = work.filter("__line is not null").groupBy(*keys, "__line").agg(
-        F.percentile(F.when(over, raw).otherwise(1.0 - raw), F.lit(0.5)).alias("__p"))
-    ladder = W.partitionBy(*keys).orderBy("__line")
-    placed = rungs.withColumn("__pos", F.row_number().over(ladder))
-    money = placed.groupBy(*keys).agg(
-        F.min_by("__pos", F.struct(F.abs(F.col("__p") - 0.5), "__pos")).alias("__money"), F.max("__pos").alias("__len"),
-        F.count("__p").alias("__priced"))
+    rows = frame.select("event_id", "market", "player", P.number("line").alias("__line"), F.when(over, raw).otherwise(1.0 - raw).alias("__price"))
+    counted = rows.filter("__line is not null").groupBy(*rows.columns).agg(F.count("__price").alias("__n"))
+    counted = counted.withColumn("__subject", T.normalise_subject("player")).drop("player").repartition(*keys)
+    rung = W.partitionBy(*keys, "__line")
+    upto = F.sum("__n").over(rung.orderBy("__price").rowsBetween(W.unboundedPreceding, W.currentRow))
+    counted = counted.withColumns({"__upto": upto, "__all": F.sum("__n").over(rung)})
+    place = (F.col("__all") - 1) / 2
+    reached = lambda at: F.min(F.when(F.col("__upto") > at, F.col("__price")))
+    rungs = counted.groupBy(*keys, "__line").agg(reached(F.floor(place)).alias("__low"), reached(F.ceil(place)).alias("__high"))
+    median = F.when(F.col("__low") == F.col("__high"), F.col("__low")).otherwise(0.5 * F.col("__low") + 0.5 * F.col("__high"))
+    ladder = W.partitionBy(*keys)
+    placed = rungs.withColumn("__p", median).withColumn("__pos", F.row_number().over(ladder.orderBy("__line")))
+    placed = placed.withColumns({
+        "__money": F.min_by("__pos", F.when(F.col("__p").isNotNull(), F.struct(F.abs(F.col("__p") - 0.5), "__pos"))).over(ladder),
+        "__len": F.max("__pos").over(ladder), "__priced": F.count("__p").over(ladder)})
     centre = F.when(F.col("__priced") > 0, F.col("__money")).otherwise(F.floor((F.col("__len") - 1) / 2) + 1)
-    distance = placed.join(money, keys).select(*keys, "__line", F.abs(F.col("__pos") - centre).cast("double").alias("rungs"))
-    return work.join(distance, [*keys, "__line"], "left").select(*frame.columns, F.col("rungs").alias("rungs_from_the_money"))
+    return placed.select(*keys, "__line", F.abs(F.col("__pos") - centre).cast("double").alias("rungs"))
+
+
+def rungs_from_the_money(frame: DataFrame, ladders: DataFrame | None = None) -> DataFrame:
+    """Steps along its ladder between a quote's rung and the rung priced nearest evens.
+
+    ``ladders`` are the quotes the ladders are made of, where ``frame`` holds the same rows
+    with costly columns beside them.
+    """
+    distance = ladder_steps(frame if ladders is None else ladders)
+    work = frame.withColumn("__subject", T.normalise_subject("player")).withColumn("__line", P.number("line"))
+    out = work.join(distance, ["event_id", "market", "__subject", "__line"], "left")
+    return out.select(*frame.columns, F.col("rungs").alias("rungs_from_the_money"))
 
 
 def bar_of(wagers: DataFrame, approved: Sequence[str], threshold: float = P.EDGE_THRESHOLD,

@@ -207,7 +207,7 @@ def _(t):
 
 
 def rung_frame(t):
-    return Q.rungs_from_the_money(Q.devig(t.quotes, power=True))
+    return Q.rungs_from_the_money(Q.devig(t.quotes, power=True), t.quotes)
 
 
 RUNGS = """over_rows as (select event_id, market, lower(player) as lp, line, case when selection = 'over' then raw_implied else 1 - raw_implied end as oi from quotes where line is not null),

@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from closeline import pricers
+from closeline import plans, pricers
 from closeline.operators import captures as M, ledger as L, names as N, players as R, plays as Y, quotes as Q, schedules as D
 
 QUOTE = "captured_at date, slate_date date, commence_time date, event_id long, market string, segment string, player string, selection string, line double, book string, american_odds double"
@@ -169,3 +169,18 @@ def test_main_team_does_not_depend_on_the_order_of_rows(spark):
     assert R.main_team(R.roster_totals(frame)).first().main_team == 9
     odd = frame.withColumn("minutes", F.when(F.col("team_id") == 1, F.lit(2.0 ** 70)).otherwise(F.lit(float("nan"))))
     assert {r.team_id: str(r.minutes) for r in R.roster_totals(odd).collect()} == {9: "nan", 1: str(3 * 2.0 ** 70)}
+
+
+def test_ladders_are_made_of_the_quotes_alone(spark):
+    plan = _plan(plans.queries()["prop_population"](spark, "/root/testdata/sf0.001"))
+    assert "percentile" not in plan and plan.count("FileScan parquet") == 3
+
+
+def test_a_rung_is_placed_by_its_exact_median(spark):
+    # Rung 1.5 has the prices 0.5, 0.5 and 0.8 and an unreadable one; 2.5 the median of 0.4 and 0.7; 3.5 no price.
+    odds = [(1.5, 100.0), (1.5, 100.0), (1.5, -400.0), (1.5, None), (2.5, 150.0), (2.5, -700.0 / 3), (3.5, None)]
+    rows = [(1, "points", "A", "over", line, o) for line, o in odds]
+    frame = spark.createDataFrame(rows, "event_id int, market string, player string, selection string, line double, american_odds double")
+    steps = {r["__line"]: r.rungs for r in Q.ladder_steps(frame).collect()}
+    assert steps == {1.5: 0.0, 2.5: 1.0, 3.5: 2.0}
+    assert Q.rungs_from_the_money(frame).filter("rungs_from_the_money is null").count() == 0
