@@ -49,19 +49,25 @@ _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def _thin(sig: np.ndarray, node: np.ndarray, blocks: int) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
     """Entries of one task by block. Signatures that are shared already here go on as found; one node of each stands for them."""
-    order = np.lexsort((node, sig))
+    order = texts.together(texts.mix(sig))
     sig, node = sig[order], node[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-    sig, node = sig[new], node[new]
-    first = np.ones(len(sig), bool)
-    first[1:] = sig[1:] != sig[:-1]
+    alone = np.ones(len(sig), bool)
+    alone[1:] = sig[1:] != sig[:-1]
+    alone[:-1] &= alone[1:].copy()
+    held, of = sig[~alone], node[~alone]
+    order = np.lexsort((of, held))
+    held, of = held[order], of[order]
+    new = np.ones(len(held), bool)
+    new[1:] = (held[1:] != held[:-1]) | (of[1:] != of[:-1])
+    held, of = held[new], of[new]
+    first = np.ones(len(held), bool)
+    first[1:] = held[1:] != held[:-1]
     shared = ~first
     shared[:-1] |= ~first[1:]
-    for found, pick in ((False, first), (True, shared)):
-        s, x = sig[pick], node[pick]
+    ones = np.concatenate((sig[alone], held[first])), np.concatenate((node[alone], of[first]))
+    for found, (s, x) in ((False, ones), (True, (held[shared], of[shared]))):
         block = ((texts.mix(s ^ x.view(np.uint64)) if found else s) % np.uint64(blocks)).astype(np.int64)
-        order = np.argsort(block, kind="stable")
+        order = np.argsort(block.astype(np.uint16) if blocks < 1 << 16 else block, kind="stable")  # small numbers by radix
         edges = np.searchsorted(block[order], np.arange(blocks + 1))
         for b in np.flatnonzero(np.diff(edges)).tolist():
             at = order[edges[b]:edges[b + 1]]
@@ -87,7 +93,7 @@ def _unpacked(block: int, blocks: int, sigs: bytes, nodes: bytes) -> tuple[np.nd
     return places.view("<u8").ravel() * np.uint64(blocks) + np.uint64(block), np.repeat(ids, counts)
 
 
-def shared(column: DataFrame, keys: Callable[[texts.Slice], tuple[np.ndarray, ...]]) -> DataFrame:
+def shared(column: DataFrame, keys: Callable[[texts.Slice], tuple[np.ndarray, ...]], slice_bytes: int = texts.SLICE_BYTES) -> DataFrame:
     """(sig, node, need, central): keys that more than one node has.
 
     ``keys`` gives keys and their nodes for a slice of the one text column, and, if links
@@ -105,7 +111,7 @@ def shared(column: DataFrame, keys: Callable[[texts.Slice], tuple[np.ndarray, ..
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, node, n = [], [], 0
         for batch in batches:
-            for s in texts.slices(batch.column(0)):
+            for s in texts.slices(batch.column(0), slice_bytes):
                 got, of, *noted = keys(s)
                 sig.append(got % np.uint64(blocks << 8 * _PLACE_BYTES))
                 node.append(of)
@@ -179,7 +185,7 @@ def sketches(values: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray,
     return size, [data[x:y] for x, y in zip((edges[:-1] >> 3).tolist(), (edges[1:] >> 3).tolist())]
 
 
-def items_of(column: DataFrame, wanted: DataFrame, items: Callable[[texts.Slice], tuple[np.ndarray, Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, list[bytes]]]]]) -> DataFrame:
+def items_of(column: DataFrame, wanted: DataFrame, items: Callable[[texts.Slice], tuple[np.ndarray, Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, list[bytes]]]]], slice_bytes: int = texts.SLICE_BYTES) -> DataFrame:
     """(node, n, sketch, items): size, sketch and content of the wanted nodes, each once.
 
     ``items`` gives the nodes of a slice and a function from places among them to their
@@ -191,7 +197,7 @@ def items_of(column: DataFrame, wanted: DataFrame, items: Callable[[texts.Slice]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for s in texts.slices(batch.column(0)):
+            for s in texts.slices(batch.column(0), slice_bytes):
                 ids, content = items(s)
                 chosen = []
                 for i in np.flatnonzero(sieve.holds(ids)).tolist():
@@ -216,8 +222,8 @@ def alike(x: list[bytes], y: list[bytes], elements: Elements) -> np.ndarray:
     values, rows = elements(x + y)
     size = np.bincount(rows, minlength=2 * n)
     pair = rows % max(n, 1)
-    marked = values ^ texts.mix(pair + 1)
-    order = np.argsort(marked)
+    marked = values ^ texts.mix(np.arange(1, n + 1))[pair]
+    order = texts.together(marked)
     marked = marked[order]
     common = np.bincount(pair[order[1:]][marked[1:] == marked[:-1]], minlength=n)
     return 100 * common >= 80 * (size[:n] + size[n:] - common)
@@ -240,7 +246,7 @@ def verified(pairs: DataFrame, items: DataFrame, elements: Elements) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for some in _portions(np.array([len(p) + len(q) for p, q in zip(x, y)]), TOGETHER):
+            for some in _portions(np.array([len(p) + len(q) for p, q in zip(x, y)]), TOGETHER >> 2):
                 hit = pa.array(alike(x[some], y[some], elements))
                 yield batch.select([0, 1]).slice(some.start, some.stop - some.start).filter(hit).cast(_PAIRS)
 
@@ -325,5 +331,7 @@ def links(entries: DataFrame, items: DataFrame, elements: Elements) -> DataFrame
     most_held = Window.partitionBy("node").orderBy(F.desc("held"), F.desc("sig")).rowsBetween(Window.unboundedPreceding, 0)
     open_ = known.select("sig", "node", "comp", "need").join(split.select("sig", "weight", "held", "center"), "sig").withColumn("so_far", F.sum("weight").over(most_held)).where("so_far >= need")
     keyed = open_.select(F.col("center").alias("key"), "node", "comp").distinct().join(items.select("node", "n", "sketch"), "node")
-    rest = possible(cut_lineage(keyed.withColumnRenamed("node", "member")))
-    return cut_lineage(found.union(verified(rest, items, elements)))
+    rest = cut_lineage(possible(cut_lineage(keyed.withColumnRenamed("node", "member"))))
+    # Few pairs are left, and only what they name is shuffled.
+    named = Sieve(rest.select(F.explode(F.array("a", "b")).alias("node")))
+    return cut_lineage(found.union(verified(rest, items.where(named.may_hold(F.col("node"))), elements)))

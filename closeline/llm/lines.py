@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from closeline.llm import candidates, graph, texts
-from closeline.session import cut_lineage
+from closeline.session import cut_lineage, stored
 
 CHARS = 10
 BANDS = 12
 ROWS = 5
 LEAST = 1  # bytes of a stripped line that takes part: all but blank ones
+SLICE_BYTES = 1 << 18  # arrays of 2 MB stay in the caches of a core
 _PLACES = BANDS * ROWS
 _DRAWS = 24
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -42,7 +43,7 @@ _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 def stripped(s: texts.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, number in its text, start and stripped end of each line that isn't blank."""
     starts, ends = texts.lines(s)
-    solid = np.flatnonzero(~texts.IS_SPACE[s.data]) if len(s.data) else np.zeros(0, np.int64)
+    solid = np.flatnonzero(~texts.spaces(s.data))
     first, last = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
     some = last > first
     a, z = solid[first[some]], solid[last[some] - 1] + 1
@@ -51,19 +52,31 @@ def stripped(s: texts.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return row, np.searchsorted(breaks, a) - np.searchsorted(breaks, s.edges[row]), a, z
 
 
-def windows(folded: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of CHARS bytes of each line, and the line of each."""
+def windows(folded: np.ndarray, a: np.ndarray, z: np.ndarray, summed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of CHARS bytes of each line, and the line of each; lines ascend and stand apart."""
+    summed = texts.sums(folded) if summed is None else summed
     n = np.maximum(z - a - CHARS + 1, 1)
-    line = np.repeat(np.arange(len(a)), n)
-    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + a[line]
-    return texts.hashes(folded, at, np.minimum(at + CHARS, z[line])), line
+    edge = np.zeros(len(folded) + 1, np.int8)
+    edge[a] = 1
+    edge[a + n] -= 1  # two lines may meet here
+    starts = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    whole = texts.rolling(summed, CHARS)
+    if len(whole) < len(folded):  # what starts behind is shorter
+        whole = np.concatenate((whole, np.zeros(len(folded) - len(whole), np.uint64)))
+    out = whole[starts]
+    short = np.flatnonzero(z - a < CHARS)
+    out[(np.cumsum(n) - n)[short]] = texts.hashes(folded, a[short], z[short], summed)
+    return out, np.repeat(np.arange(len(a)), n)
 
 
 def places(hashes: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
     """MinHash values per line and place."""
     out = np.full(n * _PLACES, _NONE, np.uint64)
-    place = (hashes >> np.uint64(32)) * np.uint64(_PLACES) >> np.uint64(32)
-    np.minimum.at(out, line * _PLACES + place.astype(np.int64), hashes)
+    place = hashes >> np.uint64(32)
+    place *= np.uint64(_PLACES)
+    place >>= np.uint64(32)
+    place += (line * _PLACES).view(np.uint64)
+    np.minimum.at(out, place.view(np.int64), hashes)
     out = out.reshape(n, _PLACES)
     filled = out.copy()
     draws = ((texts.constants(21, _DRAWS * _PLACES).reshape(_DRAWS, _PLACES) >> np.uint64(8)) % np.uint64(_PLACES)).astype(np.int64)
@@ -81,10 +94,15 @@ def places(hashes: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
 
 def _keys(s: texts.Slice) -> tuple[np.ndarray, np.ndarray]:
     _, _, a, z = stripped(s)
-    folded = texts.FOLD[s.data]
-    nodes = texts.hashes(folded, a, z)
-    nodes, at = np.unique(nodes, return_index=True)
-    values = places(*windows(folded, a[at], z[at]), len(nodes)).reshape(len(nodes), BANDS, ROWS)
+    # A line below CHARS bytes is its own one window, which no other line has: it has no links.
+    long = z - a >= CHARS
+    a, z = a[long], z[long]
+    folded = texts.folded(s.data)
+    summed = texts.sums(folded)
+    nodes = texts.hashes(folded, a, z, summed)
+    at = np.sort(np.unique(nodes, return_index=True)[1])
+    nodes = nodes[at]
+    values = places(*windows(folded, a[at], z[at], summed), len(nodes)).reshape(len(nodes), BANDS, ROWS)
     keys = np.zeros((len(nodes), BANDS), np.uint64)
     for j in range(ROWS):
         keys = texts.mix(keys ^ values[:, :, j])
@@ -94,21 +112,22 @@ def _keys(s: texts.Slice) -> tuple[np.ndarray, np.ndarray]:
 
 def _items(s: texts.Slice):
     _, _, a, z = stripped(s)
-    folded = texts.FOLD[s.data]
+    folded = texts.folded(s.data)
 
     def content(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        values, line = _distinct(*windows(folded, a[at], z[at]))
-        return values, line, [folded[x:y].tobytes() for x, y in zip(a[at].tolist(), z[at].tolist())]
+        contents = [folded[x:y].tobytes() for x, y in zip(a[at].tolist(), z[at].tolist())]
+        return *elements(contents), contents
 
     return texts.hashes(folded, a, z).view(np.int64), content
 
 
 def _distinct(values: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct windows of each line."""
-    marked = values ^ texts.mix(line + 1)
-    order = np.argsort(marked)
+    marked = values ^ texts.mix(np.arange(1, (int(line[-1]) if len(line) else 0) + 2))[line]
+    order = texts.together(marked)
+    marked = marked[order]
     new = np.ones(len(order), bool)
-    new[1:] = marked[order[1:]] != marked[order[:-1]]
+    new[1:] = marked[1:] != marked[:-1]
     order = order[new]
     return values[order], line[order]
 
@@ -126,9 +145,9 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in texts.slices(batch.column(1)):
+            for s in texts.slices(batch.column(1), SLICE_BYTES):
                 row, number, a, z = stripped(s)
-                nodes = texts.hashes(texts.FOLD[s.data], a, z).view(np.int64)
+                nodes = texts.hashes(texts.folded(s.data), a, z).view(np.int64)
                 of = pa.array(row + s.first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(2).take(of), pa.array(number.astype(np.int32)), pa.array(nodes)], ["id", "mark", "line", "node"])
 
@@ -138,11 +157,11 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, mark, lines): numbers of the lines that a component of the whole table has earlier."""
     column = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    entries = cut_lineage(candidates.shared(column, _keys))
-    items = cut_lineage(candidates.items_of(column, entries.select("node").distinct(), _items))
+    entries = cut_lineage(candidates.shared(column, _keys, SLICE_BYTES))
+    items = cut_lineage(candidates.items_of(column, entries.select("node").distinct(), _items, SLICE_BYTES))
     least = graph.components(candidates.links(entries, items, elements))
     lines = occurrences(docs, id_col, text_col).join(least, "node", "left").select("id", "mark", "line", F.coalesce("least", "node").alias("component"))
-    lines = cut_lineage(lines)
+    lines = stored(lines)
     first = lines.groupBy("component").agg(F.min(F.struct("id", "mark", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", "first")
     later = lines.join(first, "component").where("struct(id, mark, line) <> first")
     return later.groupBy("id", "mark").agg(F.collect_set("line").alias("lines"))

@@ -1,5 +1,6 @@
 """Operators that compare texts with each other or with a benchmark, against brute force."""
 
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -130,6 +131,38 @@ def line_rows():
     return rows + [(100, None), (101, ""), (102, "\n\nshort\nshort\n"), (103, "  " + lines_[0].upper() + "  \nthe end of it all"), (None, lines_[0])]
 
 
+def test_keys_of_lines_are_made_in_small_arrays(spark, monkeypatch):
+    """As the operator cuts a column: 8 MB of text, and arrays of less than 80 MB at any time, 34 of them the powers that a worker keeps."""
+    called = []
+
+    class Asked(Exception):
+        pass
+
+    def asked(column, keys, *cut):
+        called.append((keys, cut))
+        raise Asked
+
+    monkeypatch.setattr(candidates, "shared", asked)
+    with pytest.raises(Asked):
+        lines.repeats(spark.createDataFrame([(1, "x")], "doc_id long, text string"))
+    (keys, cut), = called
+    rng = np.random.default_rng(2)
+    column = pa.array(["\n".join(bytes(rng.integers(97, 123, 300, np.uint8)).decode() for _ in range(7)) for _ in range(4000)])
+    tracemalloc.start()
+    for s in texts.slices(column, *cut):
+        keys(s)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+
+
+def test_numbers_side_by_side():
+    rng = np.random.default_rng(6)
+    for marks in (texts.mix(rng.integers(0, 300, 1000).astype(np.uint64)), np.array([8, 9, 8, 9, 8], np.uint64), np.zeros(0, np.uint64)):
+        got = marks[texts.together(marks)]
+        assert (got[1:] != got[:-1]).sum() == max(len(set(marks.tolist())) - 1, 0)
+
+
 def test_lines_equal_brute_force(spark):
     rows = line_rows()
     seen = []
