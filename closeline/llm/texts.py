@@ -7,6 +7,7 @@ slice and its longest text, not the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -101,6 +102,15 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
         last = max(first + 1, int(np.searchsorted(ends, ends[first] + limit, "right")) - 1)
         yield Slice(first, last, data[ends[first]:ends[last]], ends[first:last + 1] - ends[first])
         first = last
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory to the system: workers stay for later tasks, and what they held would add to those of the next step."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
 
 
 def spans(s: Slice, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -156,6 +156,13 @@ def test_keys_of_lines_are_made_in_small_arrays(spark, monkeypatch):
     assert peak < 80e6
 
 
+def test_freed_memory_is_given_back_after_each_column(monkeypatch):
+    calls = []
+    monkeypatch.setattr(texts, "give_back", lambda: calls.append(1))
+    assert sum(s.rows for s in texts.slices(pa.array(["ab", None, "c"]), 1)) == 3
+    assert calls == [1]
+
+
 def test_numbers_side_by_side():
     rng = np.random.default_rng(6)
     for marks in (texts.mix(rng.integers(0, 300, 1000).astype(np.uint64)), np.array([8, 9, 8, 9, 8], np.uint64), np.zeros(0, np.uint64)):
