@@ -15,17 +15,21 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
+from closeline.llm import texts
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHED = 400_000  # pre-tokens whose ids a task remembers before it starts afresh
-OUT_ROWS = 128
+CACHED = 120_000  # pre-tokens that a task remembers, and as many it met before those
+OUT_BYTES = 1 << 19  # of texts or ids taken together
 
 # Letters that stand for the 256 bytes: none is a space, all differ.
 LETTERS = [chr(0x100 + b) for b in range(256)]
@@ -80,10 +84,17 @@ class Codec:
 
     def __init__(self, content: bytes, pattern: str):
         self.vocabulary = read_ranks(content)
-        self.whole = {b: struct.pack("<I", r + 1) for r, b in enumerate(self.vocabulary)}
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.vocabulary))
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @cached_property
+    def whole(self) -> dict[bytes, bytes]:
+        return {b: struct.pack("<I", r + 1) for r, b in enumerate(self.vocabulary)}
+
+    @cached_property
+    def model(self) -> sentencepiece.SentencePieceProcessor:
+        return sentencepiece.SentencePieceProcessor(model_proto=serialise(self.vocabulary))
 
     def _learn(self, tokens: set[str]) -> None:
         missing = []
@@ -102,9 +113,13 @@ class Codec:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         tokens = [self.split(text) for text in several]
         if len(self.known) > CACHED:
-            self.known.clear()
-        known = self.known
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         missing = {t for found in tokens for t in found if t not in known}
+        if older:
+            again = missing & older.keys()
+            known.update((t, older[t]) for t in again)
+            missing -= again
         if missing:
             self._learn(missing)
         return [(np.frombuffer(b"".join(map(known.__getitem__, found)), "<u4") - np.uint32(1)).tobytes() for found in tokens]
@@ -113,39 +128,63 @@ class Codec:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _mapped(frame: DataFrame, column: str, out: str, content: bytes, pattern: str, decode: bool) -> DataFrame:
+def _portions(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of each run of values that have OUT_BYTES together, or of one value."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + OUT_BYTES, "right")))
+        yield at, to - at
+        at = to
+
+
+def _mapped(frame: DataFrame, column: str, carried: list[str], out: list[str], content: bytes, pattern: str) -> DataFrame:
+    """The carried columns, with ``ids`` of the column's texts, what ids stand for (``decoded``), or both from one worker."""
     shared = frame.sparkSession.sparkContext.broadcast(content)  # the vocabulary file: its size is fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, OUT_ROWS):
-                part = batch.slice(at, OUT_ROWS)
-                values = part.column(part.schema.get_field_index(column)).to_pylist()
-                done = [codec.decode(x or b"") for x in values] if decode else codec.encode([x or "" for x in values])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(done, pa.binary())], [*part.schema.names, out])
+            for at, n in _portions(batch.column(column)):
+                part = batch.slice(at, n)
+                values = part.column(column).to_pylist()
+                done = [codec.encode([x or "" for x in values])] if "ids" in out else []
+                if "decoded" in out:
+                    done.append([codec.decode(x or b"") for x in (done[0] if done else values)])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *(pa.array(x, pa.binary()) for x in done)], [*carried, *out])
+        del codec
+        texts.give_back()
+
+    schema = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in carried)
+    return texts.mapped(frame, run, ", ".join([schema, *(f"{x} binary" for x in out)]))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
-    return frame.mapInArrow(run, f"{schema}, {out} binary")
+
+def _vocabulary(path: str | None) -> bytes:
+    with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
+        return f.read()
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): packed little-endian unsigned 32-bit ids of every whole text."""
-    with open(vocabulary or public_tokenizers.path(VOCABULARY), "rb") as f:
-        content = f.read()
-    frame = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return _mapped(frame, "text", "ids", content, pattern, False).select("doc_id", "ids")
+    return _mapped(_texts(docs, id_col, text_col), "text", ["doc_id"], ["ids"], _vocabulary(vocabulary), pattern)
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, ids, decoded): the bytes that the ids stand for; null ids are none."""
-    with open(vocabulary or public_tokenizers.path(VOCABULARY), "rb") as f:
-        content = f.read()
-    return _mapped(encoded.select("doc_id", "ids"), "ids", "decoded", content, public_tokenizers.PATTERN, True)
+    return _mapped(encoded.select("doc_id", "ids"), "ids", ["doc_id", "ids"], ["decoded"], _vocabulary(vocabulary), public_tokenizers.PATTERN)
+
+
+def there_and_back(docs: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): ``decode`` of ``encode``, both in one worker, so that a task holds one codec."""
+    return _mapped(_texts(docs, id_col, text_col), "text", ["doc_id"], ["ids", "decoded"], _vocabulary(vocabulary), pattern)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """Per document: token count, and SHA-256 of its ids and of what they decode to."""
-    return decode(encode(docs)).select(
+    return there_and_back(docs).select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -141,7 +141,7 @@ def shared(column: DataFrame, keys: Callable[[texts.Slice], tuple[np.ndarray, ..
                     ids.append(x)
         return pa.table({"sig": np.concatenate(sigs), "node": np.concatenate(ids)})
 
-    entries = column.mapInArrow(sign, "block int, found boolean, sigs binary, nodes binary")
+    entries = texts.mapped(column, sign, "block int, found boolean, sigs binary, nodes binary")
     met = cut_lineage(entries.groupBy("block").applyInArrow(meet, "sig long, node long").distinct())
     needs = met.where("sig >= 0").groupBy("node").agg(F.max("sig").alias("need"))
     keyed = met.where("sig < 0")
@@ -212,7 +212,7 @@ def items_of(column: DataFrame, wanted: DataFrame, items: Callable[[texts.Slice]
                     size, bits = sketches(values, rows, len(chosen))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[chosen]), pa.array(size), pa.array(bits, pa.binary()), pa.array(contents, pa.binary())], schema=_ITEMS)
 
-    found = column.mapInArrow(run, "node long, n long, sketch binary, items binary")
+    found = texts.mapped(column, run, "node long, n long, sketch binary, items binary")
     return found.join(wanted, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in _ITEMS.names[1:]])
 
 

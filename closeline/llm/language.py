@@ -33,6 +33,7 @@ from closeline.llm import texts
 
 PER_LANGUAGE = 150
 FIT_BYTES = 8_000
+SLICE_BYTES = 1 << 18  # of texts judged together
 CELLS = 1 << 16
 LEXICON_CELLS = 1 << 17
 LEXICON_SHARE, LEXICON_LEAST = 0.9, 3
@@ -259,7 +260,7 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in texts.slices(batch.column(1), 1 << 20):
+            for s in texts.slices(batch.column(1), SLICE_BYTES):
                 if model.value is None:
                     names, share = [UNKNOWN] * s.rows, np.zeros(s.rows)
                 else:
@@ -268,7 +269,7 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.rows), pa.array(names, pa.string()), pa.array(share)], ["doc_id", "lang_pred", "score"])
 
     kind = frame.schema["doc_id"].dataType.simpleString()
-    found = frame.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    found = texts.mapped(frame, run, f"doc_id {kind}, lang_pred string, score double")
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
@@ -278,9 +279,9 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in texts.slices(batch.column(batch.schema.get_field_index(text_col)), 1 << 20):
+            for s in texts.slices(batch.column(batch.schema.get_field_index(text_col)), SLICE_BYTES):
                 if model.value is not None:
                     best, _ = model.value.judge(s)
                     yield batch.slice(s.first, s.rows).filter(pa.array(best >= 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return texts.mapped(docs, run, docs.schema)

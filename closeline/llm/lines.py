@@ -151,7 +151,7 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 of = pa.array(row + s.first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(2).take(of), pa.array(number.astype(np.int32)), pa.array(nodes)], ["id", "mark", "line", "node"])
 
-    return frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, mark long, line int, node long")
+    return texts.mapped(frame, run, f"id {frame.schema['id'].dataType.simpleString()}, mark long, line int, node long")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

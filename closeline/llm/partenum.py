@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from closeline.llm import candidates, graph, texts
 from closeline.session import cut_lineage
 
+SLICE_BYTES = 1 << 18  # arrays of 2 MB stay in the caches of a core
 WORDS = 5
 SPARE = 130  # partitions in percent of those that one agreement takes
 MOST_NEEDED = 1 << 40
@@ -127,11 +128,11 @@ def shingle_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in texts.slices(batch.column(1)):
+            for s in texts.slices(batch.column(1), SLICE_BYTES):
                 ids, size = nodes(*sets(s), s.rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.rows), pa.array(ids, mask=size == 0), pa.array(size)], ["doc_id", "node", "n_shingles"])
 
-    return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, node long, n_shingles long")
+    return texts.mapped(frame, run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, node long, n_shingles long")
 
 
 def _keys(s: texts.Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -162,8 +163,8 @@ def elements(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def links_between(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Links (a, b) between nodes whose components are those of all links."""
     column = docs.select(F.col(text_col).cast("string").alias("text"))
-    entries = cut_lineage(candidates.shared(column, _keys))
-    items = cut_lineage(candidates.items_of(column, entries.select("node").distinct(), _items))
+    entries = cut_lineage(candidates.shared(column, _keys, SLICE_BYTES))
+    items = cut_lineage(candidates.items_of(column, entries.select("node").distinct(), _items, SLICE_BYTES))
     return candidates.links(entries, items, elements)
 
 

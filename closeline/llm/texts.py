@@ -8,15 +8,17 @@ slice and its longest text, not the partition.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 2 << 20
+BATCH_BYTES = "4m"  # of an Arrow batch on its way to a worker; Spark's own bound is 10,000 rows, whatever their texts
 
 _BYTES = np.arange(256)
 IS_SPACE = np.isin(_BYTES, (9, 10, 11, 12, 13, 32))
@@ -35,6 +37,14 @@ def plain(docs: DataFrame, *named: str) -> tuple[DataFrame, list[str]]:
     return docs.toDF(*names), [names[docs.columns.index(n)] for n in named]
 
 
+def mapped(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` over a table with texts, in batches of some MB unless the session has a bound of its own."""
+    conf = frame.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return frame.mapInArrow(run, schema)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit numbers."""
     x = np.array(x, np.uint64)
@@ -62,7 +72,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power(n: int, inverse: bool) -> np.ndarray:
     if len(_powers[inverse]) < n:
-        base = np.full(max(n, SLICE_BYTES + 1), _UNRATE if inverse else _RATE, np.uint64)
+        base = np.full(max(n, 2 * len(_powers[inverse])), _UNRATE if inverse else _RATE, np.uint64)
         base[0] = 1
         _powers[inverse] = np.cumprod(base)
     return _powers[inverse][:n]

@@ -79,6 +79,29 @@ def test_bpe_equals_tiktoken_and_decodes(docs, none):
     assert bpe.digests(none).count() == 0
 
 
+def test_bpe_takes_one_worker_a_task_and_batches_of_some_mb(spark, docs):
+    plan = bpe.digests(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    long = spark.range(300, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("repeat('lorem ipsum ', 5000)").alias("text"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    sizes = [r["n"] for r in texts.mapped(long, run, "n long").collect()]
+    assert sum(sizes) > 17_000_000 and max(sizes) < 5_000_000
+
+
+def test_bpe_remembers_what_came_before_its_cache_was_full(monkeypatch):
+    codec, several = bpe.Codec(open(public_tokenizers.path(bpe.VOCABULARY), "rb").read(), public_tokenizers.PATTERN), [t or "" for _, t in EDGES]
+    want = codec.encode(several)
+    monkeypatch.setattr(bpe, "CACHED", 3)
+    again = [codec.encode([t])[0] for t in several + several]
+    assert again == want + want and len(codec.known) < 100 and [codec.decode(x).decode() for x in want] == several
+
+
 def test_rule_measures_equal_plain_python(docs, none):
     for r, (_, text) in zip(rows_of(rules.judge(docs)), expected_order()):
         w = words(text)
