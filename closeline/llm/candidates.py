@@ -93,11 +93,18 @@ def _unpacked(block: int, blocks: int, sigs: bytes, nodes: bytes) -> tuple[np.nd
     return places.view("<u8").ravel() * np.uint64(blocks) + np.uint64(block), np.repeat(ids, counts)
 
 
+def one_is_enough(keys: Callable) -> Callable:
+    """Marks a function of keys that never gives needs."""
+    keys.needs = False
+    return keys
+
+
 def shared(column: DataFrame, keys: Callable[[texts.Slice], tuple[np.ndarray, ...]], slice_bytes: int = texts.SLICE_BYTES) -> DataFrame:
     """(sig, node, need, central): keys that more than one node has.
 
     ``keys`` gives keys and their nodes for a slice of the one text column, and, if links
-    share more than one key, nodes and their needs. Keys are told apart by their block and
+    share more than one key, nodes and their needs; if it is marked by ``one_is_enough``, what
+    only counts keys against needs is left out. Keys are told apart by their block and
     five bytes more, so their space grows with the blocks; keys that coincide by chance only
     add comparisons.
     """
@@ -143,10 +150,13 @@ def shared(column: DataFrame, keys: Callable[[texts.Slice], tuple[np.ndarray, ..
 
     entries = texts.mapped(column, sign, "block int, found boolean, sigs binary, nodes binary")
     met = cut_lineage(entries.groupBy("block").applyInArrow(meet, "sig long, node long").distinct())
-    needs = met.where("sig >= 0").groupBy("node").agg(F.max("sig").alias("need"))
-    keyed = met.where("sig < 0")
-    enough = keyed.groupBy("node").count().join(needs, "node", "left").select("node", "count", F.coalesce("need", F.lit(1)).alias("need")).where("count >= need")
-    left = cut_lineage(keyed.join(enough.select("node", "need"), "node"))
+    if getattr(keys, "needs", True):
+        noted = met.where("sig >= 0").groupBy("node").agg(F.max("sig").alias("need"))
+        keyed = met.where("sig < 0")
+        enough = keyed.groupBy("node").count().join(noted, "node", "left").select("node", "count", F.coalesce("need", F.lit(1)).alias("need")).where("count >= need")
+        left = cut_lineage(keyed.join(enough.select("node", "need"), "node"))
+    else:
+        left = met.withColumn("need", F.lit(1).cast("long"))
     held = left.join(left.groupBy("sig").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "sig")
     # How often a node meets others: the text that copies were made from comes first.
     central = held.groupBy("node").agg(F.sum("held").alias("central"))
@@ -175,11 +185,11 @@ class Sieve:
 
 
 def sketches(values: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, list[bytes]]:
-    """Size of each of n sets of distinct elements, and the parities of its elements by bit."""
+    """Size of each of n sets of distinct elements, which are hashes, and the parities of its elements by bit."""
     size = np.bincount(rows, minlength=n)
     width = 1 << np.clip(np.ceil(np.log2(np.maximum(4 * size, 1))).astype(np.int64), *SKETCH_BITS)
     edges = np.concatenate(([0], np.cumsum(width)))
-    bit = (texts.mix(values + np.uint64(0x632BE59BD9B4E019)) & (width[rows] - 1).astype(np.uint64)).astype(np.int64)
+    bit = (values & (width[rows] - 1).astype(np.uint64)).astype(np.int64)
     odd = np.bincount(edges[rows] + bit, minlength=int(edges[-1])) & 1
     data = np.packbits(odd.astype(bool), bitorder="little").tobytes()
     return size, [data[x:y] for x, y in zip((edges[:-1] >> 3).tolist(), (edges[1:] >> 3).tolist())]
@@ -315,8 +325,8 @@ def _labelled(entries: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFram
     return known, split.agg(F.min("sig").alias("sig"), F.sum("weight").alias("weight"))
 
 
-def links(entries: DataFrame, items: DataFrame, elements: Elements) -> DataFrame:
-    """Links (a, b) between nodes whose components are those of all links that share enough keys."""
+def links(entries: DataFrame, items: DataFrame, elements: Elements, needs: bool = True) -> DataFrame:
+    """Links (a, b) between nodes whose components are those of all links that share enough keys; without ``needs``, one."""
     # Each node with the node it shares most keys with among the most central of each key.
     centers = entries.groupBy("sig").agg(F.max(F.struct("central", "node")).alias("top")).select("sig", F.col("top.node").alias("center"))
     near = entries.select("sig", "node").join(centers, "sig").where("node <> center").groupBy("node", "center").count()
@@ -328,8 +338,10 @@ def links(entries: DataFrame, items: DataFrame, elements: Elements) -> DataFrame
     again = open_.where("comp <> center_comp").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     found = cut_lineage(found.union(verified(again, items, elements)))
     known, split = _labelled(open_.select("sig", "node", "need", "central", "weight"), found)
+    open_ = known.select("sig", "node", "comp", "need").join(split.select("sig", "weight", "held", "center"), "sig")
     most_held = Window.partitionBy("node").orderBy(F.desc("held"), F.desc("sig")).rowsBetween(Window.unboundedPreceding, 0)
-    open_ = known.select("sig", "node", "comp", "need").join(split.select("sig", "weight", "held", "center"), "sig").withColumn("so_far", F.sum("weight").over(most_held)).where("so_far >= need")
+    if needs:  # each key weighs one at least
+        open_ = open_.withColumn("so_far", F.sum("weight").over(most_held)).where("so_far >= need")
     keyed = open_.select(F.col("center").alias("key"), "node", "comp").distinct().join(items.select("node", "n", "sketch"), "node")
     rest = cut_lineage(possible(cut_lineage(keyed.withColumnRenamed("node", "member"))))
     # Few pairs are left, and only what they name is shuffled.

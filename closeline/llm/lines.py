@@ -37,7 +37,7 @@ LEAST = 1  # bytes of a stripped line that takes part: all but blank ones
 SLICE_BYTES = 1 << 18  # arrays of 2 MB stay in the caches of a core
 _PLACES = BANDS * ROWS
 _DRAWS = 24
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_NONE = np.uint32(0xFFFFFFFF)
 
 
 def stripped(s: texts.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,14 +52,26 @@ def stripped(s: texts.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return row, np.searchsorted(breaks, a) - np.searchsorted(breaks, s.edges[row]), a, z
 
 
-def windows(folded: np.ndarray, a: np.ndarray, z: np.ndarray, summed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of CHARS bytes of each line, and the line of each; lines ascend and stand apart."""
-    summed = texts.sums(folded) if summed is None else summed
+def _starts(size: int, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a window starts at each byte, and the windows of each line."""
     n = np.maximum(z - a - CHARS + 1, 1)
-    edge = np.zeros(len(folded) + 1, np.int8)
+    edge = np.zeros(size + 1, np.int8)
     edge[a] = 1
     edge[a + n] -= 1  # two lines may meet here
-    starts = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    return np.cumsum(edge[:-1], dtype=np.int8).view(bool), n
+
+
+def drawn(a: np.ndarray, z: np.ndarray, summed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``windows``, of lines of CHARS bytes and more, by 32 bits: enough to draw a least one, not to tell sets."""
+    starts, n = _starts(len(summed) - 1, a, z)
+    whole = texts.rolling32(summed, CHARS)
+    return whole[starts[:len(whole)]], np.repeat(np.arange(len(a)), n)
+
+
+def windows(folded: np.ndarray, a: np.ndarray, z: np.ndarray, summed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of CHARS bytes of each line, and the line of each; lines ascend and stand apart."""
+    summed = texts.sums(folded) if summed is None else summed
+    starts, n = _starts(len(folded), a, z)
     whole = texts.rolling(summed, CHARS)
     if len(whole) < len(folded):  # what starts behind is shorter
         whole = np.concatenate((whole, np.zeros(len(folded) - len(whole), np.uint64)))
@@ -71,12 +83,11 @@ def windows(folded: np.ndarray, a: np.ndarray, z: np.ndarray, summed: np.ndarray
 
 def places(hashes: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
     """MinHash values per line and place."""
-    out = np.full(n * _PLACES, _NONE, np.uint64)
-    place = hashes >> np.uint64(32)
-    place *= np.uint64(_PLACES)
-    place >>= np.uint64(32)
-    place += (line * _PLACES).view(np.uint64)
-    np.minimum.at(out, place.view(np.int64), hashes)
+    out = np.full(n * _PLACES, _NONE, np.uint32)
+    place = hashes >> np.uint32(16)
+    place *= np.uint32(_PLACES)
+    place >>= np.uint32(16)
+    np.minimum.at(out, line * _PLACES + place, hashes)
     out = out.reshape(n, _PLACES)
     filled = out.copy()
     draws = ((texts.constants(21, _DRAWS * _PLACES).reshape(_DRAWS, _PLACES) >> np.uint64(8)) % np.uint64(_PLACES)).astype(np.int64)
@@ -92,6 +103,7 @@ def places(hashes: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
     return filled
 
 
+@candidates.one_is_enough
 def _keys(s: texts.Slice) -> tuple[np.ndarray, np.ndarray]:
     _, _, a, z = stripped(s)
     # A line below CHARS bytes is its own one window, which no other line has: it has no links.
@@ -102,11 +114,11 @@ def _keys(s: texts.Slice) -> tuple[np.ndarray, np.ndarray]:
     nodes = texts.hashes(folded, a, z, summed)
     at = np.sort(np.unique(nodes, return_index=True)[1])
     nodes = nodes[at]
-    values = places(*windows(folded, a[at], z[at], summed), len(nodes)).reshape(len(nodes), BANDS, ROWS)
-    keys = np.zeros((len(nodes), BANDS), np.uint64)
-    for j in range(ROWS):
-        keys = texts.mix(keys ^ values[:, :, j])
-    keys = texts.mix(keys + np.arange(BANDS, dtype=np.uint64))
+    values = places(*drawn(a[at], z[at], summed), len(nodes)).reshape(len(nodes), BANDS, ROWS).astype(np.uint64)
+    keys = values[:, :, 0] + np.arange(BANDS, dtype=np.uint64)
+    for j in range(1, ROWS, 2):  # two by two
+        pair = values[:, :, j] << np.uint64(32)
+        keys = texts.mix(texts.mix(keys) ^ (pair | values[:, :, j + 1]) if j + 1 < ROWS else texts.mix(keys) ^ pair)
     return keys.ravel(), np.repeat(nodes, BANDS).view(np.int64)
 
 
@@ -159,7 +171,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     column = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{text_col}`").cast("string").alias("text"))
     entries = cut_lineage(candidates.shared(column, _keys, SLICE_BYTES))
     items = cut_lineage(candidates.items_of(column, entries.select("node").distinct(), _items, SLICE_BYTES))
-    least = graph.components(candidates.links(entries, items, elements))
+    least = graph.components(candidates.links(entries, items, elements, needs=False))
     lines = occurrences(docs, id_col, text_col).join(least, "node", "left").select("id", "mark", "line", F.coalesce("least", "node").alias("component"))
     lines = stored(lines)
     first = lines.groupBy("component").agg(F.min(F.struct("id", "mark", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", "first")

@@ -148,7 +148,7 @@ def lines(s: Slice) -> tuple[np.ndarray, np.ndarray]:
 def sums(data: np.ndarray) -> np.ndarray:
     """Running sums of the bytes' values at their places, from which hashes are made."""
     out = np.zeros(len(data) + 1, np.uint64)
-    values = _BYTE_VALUES[data]
+    values = np.take(_BYTE_VALUES, data, mode="clip")  # a byte has no other values; unchecked it takes half the time
     values *= _power(len(data), False)
     np.cumsum(values, out=out[1:])
     return out
@@ -168,6 +168,19 @@ def rolling(summed: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def rolling32(summed: np.ndarray, size: int) -> np.ndarray:
+    """As ``rolling``, of 32 bits only: several times as fast."""
+    n = max(len(summed) - size, 0)
+    low = summed.astype(np.uint32)
+    out = low[size:size + n] - low[:n]
+    out *= _power(len(summed), True)[:n].astype(np.uint32)
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B), (16, 1)):
+        out ^= out >> np.uint32(shift)
+        if factor > 1:
+            out *= np.uint32(factor)
+    return out
+
+
 def folded(data: np.ndarray) -> np.ndarray:
     """A-Z as a-z."""
     return np.frombuffer(data.tobytes().translate(_FOLD), np.uint8)

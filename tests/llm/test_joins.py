@@ -163,6 +163,23 @@ def test_freed_memory_is_given_back_after_each_column(monkeypatch):
     assert calls == [1]
 
 
+def test_lines_draw_by_32_bits_of_their_windows():
+    s = next(texts.slices(pa.array(["one line of words\nanother line of words", "one line of words again"])))
+    _, _, a, z = lines.stripped(s)
+    folded = texts.folded(s.data)
+    drawn, line = lines.drawn(a, z, texts.sums(folded))
+    whole, of = lines.windows(folded, a, z)
+    assert drawn.dtype == np.uint32 and line.tolist() == of.tolist()
+    first = [whole.tolist().index(x) for x in whole.tolist()]
+    assert [drawn.tolist().index(x) for x in drawn.tolist()] == first  # equal where the windows are
+
+
+def test_keys_without_needs_are_those_with_needs_of_one(spark):
+    docs = spark.createDataFrame([(f"line number {i % 7} of the table\nonly {i} here and there",) for i in range(40)], "text string")
+    got = [sorted(map(tuple, candidates.shared(docs, keys).collect())) for keys in (lambda s: lines._keys(s), lines._keys)]
+    assert got[0] and got[0] == got[1] and not lines._keys.needs
+
+
 def test_numbers_side_by_side():
     rng = np.random.default_rng(6)
     for marks in (texts.mix(rng.integers(0, 300, 1000).astype(np.uint64)), np.array([8, 9, 8, 9, 8], np.uint64), np.zeros(0, np.uint64)):
