@@ -166,14 +166,23 @@ def name_variants(c: Column | str) -> Column:
     )
 
 
+_RUN = r"(?<=\b[a-z0-9]) (?=[a-z0-9]\b)"  # in a run of single letters: "k j adams" is "kj adams"
+_MEDIAL = r"(?<=\S) [a-z0-9](?= )"  # a single letter that stands between two words
+
+
 def _player_words(c: Column, drop_apostrophe: bool) -> Column:
     text = F.lower(fold_accents(c))
-    text = F.regexp_replace(text, "['’]", "" if drop_apostrophe else " ")
-    text = F.regexp_replace(text, "[^a-z0-9 ]+", " ")
-    words = F.filter(_words(text), lambda w: (w != "") & ~w.isin(*SUFFIXES))
-    # A run of single letters ("k j adams") is one word ("kj adams").
-    joined = F.array_join(words, " ")
-    return F.regexp_replace(joined, r"(?<=\b[a-z0-9]) (?=[a-z0-9]\b)", "")
+    return _letters_words(F.regexp_replace(text, "['’]", "" if drop_apostrophe else " "))
+
+
+def _letters_words(text: Column) -> Column:
+    return F.regexp_replace(_bare_words(text), _RUN, "")
+
+
+def _bare_words(text: Column) -> Column:
+    """Words of letters and digits but suffixes, a space between them. A split at one character needs no pattern."""
+    words = F.split(F.regexp_replace(text, "[^a-z0-9 ]+", " "), " ")
+    return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(*SUFFIXES)), " ")
 
 
 def normalise_player(c: Column | str) -> Column:
@@ -200,21 +209,32 @@ def hyphen_forms(c: Column | str) -> Column:
     )
 
 
+def _unusual(raw: Column) -> Column:
+    """Names with what may make several readings: asides, hyphens, apostrophes, letters to fold."""
+    return raw.rlike(r"[-'(\"]|[^\x00-\x7F]")
+
+
 def _player_forms(c: Column | str) -> Column:
+    """Other names than unusual ones have one reading and that without medial initials: a few expressions instead of some hundred a row."""
     raw = F.coalesce(col(c).cast("string"), F.lit(""))
+    joined = lambda w: F.flatten(F.transform(F.array(F.regexp_replace(w, _RUN, "")), lambda x: F.array_distinct(F.array(x, F.regexp_replace(x, _MEDIAL, "")))))
+    usual = F.flatten(F.transform(F.array(_bare_words(F.lower(raw))), lambda w: F.when(w == "", F.array().cast("array<string>")).when(w.rlike(r"\b[a-z0-9]\b"), joined(w)).otherwise(F.array(w))))
+    return F.when(_unusual(raw), _all_player_forms(raw)).otherwise(usual)
+
+
+def _all_player_forms(raw: Column) -> Column:
     bare = F.regexp_replace(raw, r"\([^)]*\)|\"[^\"]*\"|“[^”]*”", " ")
     bases = F.filter(F.array(raw, bare), lambda b: F.trim(b) != "")
     spelled = F.flatten(F.transform(bases, hyphen_forms))
     words = F.flatten(F.transform(spelled, lambda s: F.array(_player_words(s, False), _player_words(s, True))))
-    # Drop a single letter that stands between two words.
-    both = F.flatten(F.transform(words, lambda w: F.array(w, F.regexp_replace(w, r"(?<=\S) [a-z0-9](?= )", ""))))
+    both = F.flatten(F.transform(words, lambda w: F.array(w, F.regexp_replace(w, _MEDIAL, ""))))
     return F.filter(F.array_distinct(F.transform(both, lambda w: F.trim(F.regexp_replace(w, r"\s+", " ")))), lambda w: w != "")
 
 
 def excess_player_readings(c: Column | str) -> Column:
     """True where a player name has more readings, or hyphenated words, than are kept."""
     raw = F.coalesce(col(c).cast("string"), F.lit(""))
-    return (_hyphenated(_words(raw)) > MAX_HYPHENATED) | (F.size(_player_forms(c)) > MAX_READINGS)
+    return _unusual(raw) & ((_hyphenated(_words(raw)) > MAX_HYPHENATED) | (F.size(_all_player_forms(raw)) > MAX_READINGS))
 
 
 def player_variants(c: Column | str) -> Column:
@@ -225,8 +245,17 @@ def player_variants(c: Column | str) -> Column:
 
 def player_abbreviations(c: Column | str) -> Column:
     """Readings with the first name cut to its initial."""
-    usable = F.filter(player_variants(c), lambda f: f.rlike(r"^\S{2,} \S"))
-    return F.array_distinct(F.transform(usable, lambda f: F.concat(F.substring(f, 1, 1), F.regexp_extract(f, r"^\S+( .*)$", 1))))
+    return _abbreviated(player_variants(c))
+
+
+def player_forms(c: Column | str) -> Column:
+    """Readings, and those with the first name cut; the readings are worked out once."""
+    return F.flatten(F.transform(F.array(player_variants(c)), lambda forms: F.array_union(forms, _abbreviated(forms))))
+
+
+def _abbreviated(forms: Column) -> Column:
+    usable = F.filter(forms, lambda f: F.instr(f, " ") > 2)
+    return F.array_distinct(F.transform(usable, lambda f: F.concat(F.substring(f, 1, 1), F.substr(f, F.instr(f, " ")))))
 
 
 def team_selection(outcome: Column | str, home: Column | str, away: Column | str) -> Column:

@@ -12,10 +12,15 @@ from closeline.functions import text as T
 EXCESS = {T.name_variants: T.excess_team_readings, T.player_variants: T.excess_player_readings}
 
 
+def _each(rows: DataFrame, *columns: str, forms: Column) -> DataFrame:
+    """A row per reading. Spark puts a filter on the length below an inner explode, which works the readings out twice more."""
+    return rows.select(*columns, F.explode_outer(forms).alias("form")).filter("form is not null")
+
+
 def alias_index(named: DataFrame, name: str, ident: str, scope: Sequence[str] = (), variants: Callable[[str], Column] = T.name_variants) -> DataFrame:
     """Alias to id. Only the extremes of the ids of an alias are kept, never the list:
     an alias shared by millions of ids costs one row."""
-    forms = named.select(*scope, F.col(ident).alias("id"), F.explode(variants(name)).alias("form"))
+    forms = _each(named.withColumn("id", F.col(ident)), *scope, "id", forms=variants(name))
     index = forms.groupBy(*scope, "form").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     return index
 
@@ -26,7 +31,7 @@ def resolve(rows: DataFrame, key: str, name: str, index: DataFrame, scope: Seque
     One, many, none; or ``too many readings`` where not all readings of the name were
     looked up, so that one hit would not be proof.
     """
-    forms = rows.select(*scope, key, F.explode(variants(name)).alias("form"))
+    forms = _each(rows, *scope, key, forms=variants(name))
     hits = forms.join(index, [*scope, "form"]).groupBy(*scope, key).agg(F.min("lo").alias("__lo"), F.max("hi").alias("__hi"))
     joined = rows.join(hits, [*scope, key], "left")
     state = F.when(F.col("__lo").isNull(), "none").when(F.col("__lo") == F.col("__hi"), "one").otherwise("many")
@@ -35,8 +40,7 @@ def resolve(rows: DataFrame, key: str, name: str, index: DataFrame, scope: Seque
     return joined.select(*rows.columns, F.when(state == "one", F.col("__lo")).alias("resolved_id"), state.alias("resolution"))
 
 
-def player_forms(name: str | Column) -> Column:
-    return F.array_union(T.player_variants(name), T.player_abbreviations(name))
+player_forms = T.player_forms
 
 
 def resolve_ordered(rows: DataFrame, key: str, spellings: Column, index: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 from datetime import date, datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from closeline.functions import text as T, times as C
+from closeline.operators import names as N
 
 
 def one(spark, values, expr, schema="x string"):
@@ -83,3 +85,15 @@ def test_canonical_texts_are_the_values_one_by_one(spark):
     rows = spark.createDataFrame([(a, b) for a, b in zip(odd, reversed(odd))], "a string, b string")
     out = rows.select(T.canonical_texts(["a", "b"]).alias("t"), T.canonical_value("a").alias("a"), T.canonical_value("b").alias("b")).collect()
     assert all(r["t"] == [r["a"], r["b"]] for r in out)
+
+
+def test_usual_names_take_the_short_path_to_the_same_readings(spark):
+    rng = np.random.default_rng(5)
+    parts = ["Jo", "K", "J.", "a", "Smith 3", "Jr.", "III", "O", "van", "\t", "  ", ".", "7", "McGee,", "nan", "B c D"]
+    names = ["", " ", "Jr."] + [" ".join(rng.choice(parts, rng.integers(1, 6))) for _ in range(300)]
+    frame = spark.createDataFrame([(n,) for n in names], "name string")
+    rows = frame.select("name", T._player_forms("name").alias("short"), T._all_player_forms(F.col("name")).alias("long")).collect()
+    assert [r["short"] for r in rows] == [r["long"] for r in rows] and max(len(r["long"]) for r in rows) == 2
+    # Before, the filter below the explode and the abbreviations each worked the readings out again.
+    index = N.alias_index(frame.withColumn("id", F.lit(1)), "name", "id", variants=N.player_forms)
+    assert index._jdf.queryExecution().optimizedPlan().toString().count("“") == 1
