@@ -255,6 +255,21 @@ def test_suffix_states_of_words_carry_the_score(spark, monkeypatch):
         assert tuple(joined[i]) == pytest.approx(tuple(r))
 
 
+def test_a_block_in_rounds_and_batches_scores_as_in_one(spark, monkeypatch):
+    # A word that is everywhere: its block holds half of all tokens, and is worked through in parts.
+    rows = [(i, " ".join(x for w in t.split() for x in ("the", w)) + (" the end" if i % 3 else "")) for i, t in chained(120)] + [(500, ""), (501, None), (502, "the")]
+    rows += [(600 + i, rows[i][1]) for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    scored = lambda: {r["doc_id"]: tuple(r) for r in suffix_tree.score(frame, ~suffix_tree.held_out()).collect()}
+    whole = scored()
+    assert whole[600][1:] == pytest.approx(whole[0][1:]) and len(whole) == len(rows)
+    monkeypatch.setattr(suffix_tree, "ROUND", 300)
+    monkeypatch.setattr(suffix_tree, "TOGETHER", 500)
+    monkeypatch.setattr(suffix_tree, "FREQUENT", 0.01)
+    for i, r in scored().items():
+        assert r == pytest.approx(whole[i])
+
+
 def test_retained_states_grow_with_the_corpus(spark):
     def kept(rows):
         column = spark.createDataFrame(rows, "doc_id long, text string").select("text")
