@@ -18,7 +18,7 @@ text, its root the unigram. A state is retained if it stands ``LEAST`` times at
 if predicting its own training words, each left out in turn, gains ``EVIDENCE`` nats over
 the state one word shorter. Both bounds are absolute, so states only come in as the corpus
 grows. Depth follows depth: what a state is followed by is its longer states' counts, so
-only states that stand often enough are ever looked at, until there are none. A retained state gives a word its count there less ``DISCOUNT``, as a share of the
+only states that stand often enough are ever looked at, up to ``BACK`` words. A retained state gives a word its count there less ``DISCOUNT``, as a share of the
 state's count, plus the discounted mass times what the shorter state gives; a state not
 retained gives what the shorter one does. As in the
 unigram base, all unknown words are one symbol; the root gives it the share of training
@@ -26,9 +26,11 @@ tokens that stand once (Good-Turing); of the rest, a known word gets its count l
 mass times the byte tree's probability of it where it stands.
 
 Counts of words, of what follows states, and of ends of training texts are exact, for the
-model and for the unigram base. Words and states with at least the share ``FREQUENT`` of
-the tokens, at most 1 / FREQUENT of each length, are broadcast; the others meet their
-counts in a join by 64-bit hashes, which a bit map of fixed size keeps narrow.
+model and for the unigram base. Words with at least the share ``FREQUENT`` of the tokens, at
+most 1 / FREQUENT, are broadcast; the others meet their counts in a join by 64-bit hashes.
+Every token goes, with the words before it, to the block of the last of these: there all
+states that end in that word are counted, judged and used for the scores, so that neither
+counts of states nor what they give are sent anywhere; only sums of each text are.
 
 A null text is an empty one: a lone end. Repeated rows are scored alike, each counted in
 training as often as it stands there. A null id is never held out. An empty table gives
@@ -58,8 +60,8 @@ PIECE = 512
 SPACE, END, START = 32, 10, 9  # the last two never stand in a word
 _NEVER = (9, 11, 12, 13)
 MERGE = 1 << 21
-TOGETHER, BLOCK = 1 << 20, 1 << 20  # tokens that a task packs together, and of a block on average
-ROUND = 3 << 19
+TOGETHER, BLOCK = 1 << 20, 1 << 21  # tokens that a task packs together, and of a block on average
+ROUND = 1 << 20  # tokens of a block that are judged together, on average
 SLICE = 1 << 20
 
 
@@ -375,6 +377,8 @@ def _sent(frame: DataFrame, model, words: DataFrame, below: float, blocks: int)
                     held, rows, size, batch_no = [], 0, 0, batch_no + 1
         if held:
             yield from pack(batch_no, *map(np.concatenate, zip(*held)))
+            held.clear()
+        texts.give_back()
 
     return texts.mapped(frame, run, ", ".join(f"{k} {v}" for k, v in _FIELDS.items())).repartition(blocks, "block")
 
@@ -396,8 +400,8 @@ def _columns(m: dict, *wanted: int) -> list[np.ndarray]:
     return out
 
 
-def _met(sent: DataFrame, words: DataFrame, model, n_all: int, schema: str, found: Callable) -> DataFrame:
-    """``found`` over each block: its tokens with the counts of their words, of which the rare ones are fetched by a join.
+def _met(sent: DataFrame, words: DataFrame, model, n_all: int, schema: str, found: Callable, table: Callable) -> DataFrame:
+    """``table`` of what is ``found`` in the rounds of each block: its tokens with the counts of their words, of which the rare ones are fetched by a join.
 
     What follows single words is counted over the whole block, run by run. Longer states are
     judged in rounds, by the word before the last, so that the block of a word that is
@@ -432,23 +436,24 @@ def _met(sent: DataFrame, words: DataFrame, model, n_all: int, schema: str, foun
             word, last, mark = _columns(m, 0, 1, BACK + 1)
             pairs.add(word, last, lut, lut_n, mark & 1)
         pairs.judge()
-        tables = []
+        results = []
         for r in range(rounds):
             parts, batches, size = [], [], 0
             for m, lut, lut_n in messages():
                 *code, mark = _columns(m, *range(BACK + 2))
                 i = np.flatnonzero(texts.mix(lut[np.where(code[2] == NONE, code[0], code[2])] + np.uint64(5)) % np.uint64(rounds) == r)
-                a, b, share = (x[i] for x in pairs.of(code[0], code[1], lut))
                 code = np.stack(code)[:, i]
+                a, b, share = pairs.of(code[0], code[1], lut)
                 parts.append((lut[code], code != NONE, lut_n[code[0]], mark[i], _loose(m["own"], m["size"], np.float32)[i], code[0] < len(common.by_rank), a, b, share))
                 batches.append((m["batch"], slice(size, size + len(i)), b"" if r else m["signs"]))
                 size += len(i)
             key, there, count, mark, own, known, a, b, share = (np.concatenate(x, axis=-1) for x in zip(*parts))
             del parts
             found_keys = judged(key, there, (mark & 1).astype(bool), a, b, share)
-            tables.append(found(key[0], count, mark, own, known, a, b, [] if r else pairs.kept, found_keys, batches))
+            results.append(found(key[0], count, mark, own, known, a, b, [] if r else pairs.kept, found_keys, batches))
             del key, there, count, mark, own, known, a, b, share
-        return pa.concat_tables(tables)
+            texts.give_back()
+        return table(results)
 
     asked = sent.groupBy("block").applyInArrow(ask, "block int, key long")
     counts = asked.join(words.select("key", "n"), "key").select("block", "key", "n")
@@ -480,7 +485,7 @@ class Pairs:
     @staticmethod
     def runs(word: np.ndarray, last: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First places of equal pairs side by side, their states and keys."""
-        first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (last[1:] != last[:-1])))
+        first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (last[1:] != last[:-1]))[:len(word)])
         state = texts.mix(lut[last[first]] + np.uint64(1))
         return first, state, _then(state, lut[word[first]])
 
@@ -496,7 +501,7 @@ class Pairs:
 
     def merge(self) -> None:
         key, state, n, count = (np.concatenate(x) for x in zip(*self.held))
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
         self.held = [(key[first], state[order][first], np.add.reduceat(n[order], first) if len(first) else n, count[order][first])]
@@ -514,13 +519,16 @@ class Pairs:
 
     def of(self, word: np.ndarray, last: np.ndarray, lut: np.ndarray) -> list[np.ndarray]:
         """A, B and share of each token: p is A + B times the root's."""
-        first, state, key = self.runs(word, last, lut)
+        first, _, key = self.runs(word, last, lut)
+        changed = np.append(True, last[1:] != last[:-1])[:len(last)]
+        after = np.flatnonzero(changed)
         out = []
-        for keys, wanted, values, none in ((self.key, key, self.a, 0.0), (self.state, state, self.b, 1.0), (self.key, key, self.share, 0.0)):
+        for i, keys, wanted, values in ((first, self.key, key, ((self.a, 0.0), (self.share, 0.0))), (after, self.state, texts.mix(lut[last[after]] + np.uint64(1)), ((self.b, 1.0),))):
             at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-            found = np.where((keys[at] == wanted) & (last[first] != NONE), values[at], none) if len(keys) else np.full(len(wanted), none)
-            out.append(np.repeat(found, np.diff(np.append(first, len(word)))))
-        return out
+            hit = (keys[at] == wanted) & (last[i] != NONE) if len(keys) else np.zeros(len(wanted), bool)
+            for x, none in values:
+                out.append(np.repeat(np.where(hit, x[at], none) if len(keys) else np.full(len(wanted), none), np.diff(np.append(i, len(word)))))
+        return [out[0], out[2], out[1]]
 
 
 def judged(key: np.ndarray, there: np.ndarray, learnt: np.ndarray, a_all: np.ndarray, b_all: np.ndarray, shorter: np.ndarray) -> list[np.ndarray]:
@@ -536,12 +544,12 @@ def judged(key: np.ndarray, there: np.ndarray, learnt: np.ndarray, a_all: np.nda
         for d in range(depth - 1, 0, -1):
             state = _then(state, key[d][at])
         of, _ = _kin(state)
-        often = np.bincount(of, learnt[at])[of] >= LEAST
-        at, state = at[often], state[often]
+        c = np.bincount(of, learnt[at])
+        often = c >= LEAST
+        i = np.flatnonzero(often[of])
+        at, state, of, c = at[i], state[i], (np.cumsum(often) - 1)[of[i]], c[often]
         if not len(at):
             break
-        of, _ = _kin(state)
-        c = np.bincount(of, learnt[at])
         both = _then(state, key[0][at])
         pair, first = _kin(both)
         n, s = np.bincount(pair, learnt[at]), of[first]
@@ -560,10 +568,10 @@ def kept_states(training: DataFrame, words: DataFrame, n_all: int) -> tuple[Data
     model = spark.sparkContext.broadcast((None, Words(np.zeros(0, np.int64), np.zeros(0, np.int64))))
     sent = _sent(training.select(F.xxhash64("text").alias("sign"), "text", F.lit(True).alias("learnt")), model, words, 1.0, _blocks(spark, n_all))
 
-    def found(word, count, mark, own, common_word, a, b, pairs, longer, batches) -> pa.Table:
-        return pa.table({"key": np.concatenate([np.zeros(0, np.uint64), *pairs, *longer]).view(np.int64)})
+    def found(word, count, mark, own, common_word, a, b, pairs, longer, batches) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *pairs, *longer]).view(np.int64)
 
-    return _met(sent, words, model, n_all, "key long", found), BACK
+    return _met(sent, words, model, n_all, "key long", found, lambda keys: pa.table({"key": np.concatenate(keys)})), BACK
 
 
 def _blocks(spark, n_all: int) -> int:
@@ -589,8 +597,8 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     common = words.where((F.col("n") >= least) | (F.col("key") == 0)).orderBy("key").toPandas()  # at most 1 / FREQUENT rows, and the end
     model = spark.sparkContext.broadcast((fit(counts), Words(common["key"].to_numpy(np.int64), common["n"].to_numpy(np.int64))))
 
-    def found(word, count, mark, own, common_word, a, b, pairs, longer, batches) -> pa.Table:
-        """Sums of each block by batch: of which rows, scores, and what their rare words add to the base; signs with the block of first tokens."""
+    def found(word, count, mark, own, common_word, a, b, pairs, longer, batches) -> list[tuple]:
+        """Sums of each batch: of which rows, scores, and what their rare words add to the base and to the known ones; signs in the block of first tokens."""
         known = (1 - unknown) * (np.maximum(count - DISCOUNT, 0) / max(n_all, 1) + mass * own.astype(float))
         a = a + b * np.where((count > 0) | (word == 0), known, unknown)
         logs, rare = np.log10(a), ~common_word
@@ -598,8 +606,17 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         for batch, i, signs in batches:
             rows, at = np.unique(mark[i] >> 1, return_inverse=True)
             x, n = at[rare[i]], count[i][rare[i]]
-            sums = [np.bincount(at, logs[i]), np.bincount(x, np.log10((n + 0.1) / below), len(rows)).astype(float), np.bincount(x, n > 0, len(rows)).astype(np.uint32)]
-            out.append({"batch": batch, "signs": signs, "n": len(rows), "rows": _squeeze(np.diff(rows, prepend=np.uint32(0))), "score": sums[0].tobytes(), "base": _squeeze(sums[1]), "known": _squeeze(sums[2])})
+            sums = [np.bincount(at, logs[i], len(rows)).astype(float), np.bincount(x, np.log10((n + 0.1) / below), len(rows)).astype(float), np.bincount(x, n > 0, len(rows)).astype(np.uint32)]
+            out.append((batch, signs, rows, *sums))
+        return out
+
+    def table(rounds: list[list[tuple]]) -> pa.Table:
+        out = []
+        for of in zip(*rounds):  # one batch in each round
+            rows, at = np.unique(np.concatenate([x[2] for x in of]), return_inverse=True)
+            score, base, known = (np.bincount(at, np.concatenate([x[i] for x in of]), len(rows)).astype(float) for i in (3, 4, 5))
+            out.append({"batch": of[0][0], "signs": of[0][1], "n": len(rows), "rows": _squeeze(np.diff(rows, prepend=np.uint32(0))),
+                        "score": score.tobytes(), "base": _squeeze(base), "known": _squeeze(known.astype(np.uint32))})
         return pa.Table.from_pylist(out, _SUMS)
 
     def joined(batch: pa.Table) -> pa.Table:
@@ -615,7 +632,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
 
     sign = F.xxhash64("text").alias("sign")
     sent = _sent(frame.select(sign, "text", F.coalesce("learnt", F.lit(False)).alias("learnt")), model, words, below, _blocks(spark, n_all))
-    parts = _met(sent, words.where((F.col("n") < least) & (F.col("key") != 0)), model, n_all, "batch long, signs binary, n int, rows binary, score binary, base binary, known binary", found)
+    parts = _met(sent, words.where((F.col("n") < least) & (F.col("key") != 0)), model, n_all, "batch long, signs binary, n int, rows binary, score binary, base binary, known binary", found, table)
     scored = parts.groupBy("batch").applyInArrow(joined, "sign long, score double, base double, known long, tokens long")
     # Copies of a text have equal sums but for the order of adding.
     sums = scored.groupBy("sign").agg(*[F.max(x).alias(x) for x in ("score", "base", "known", "tokens")])
